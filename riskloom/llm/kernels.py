@@ -44,10 +44,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """starts, ends, document number and hash of all words of the joined texts, and the joined lower-case bytes.
+def words(texts: list[bytes], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Document number of every word of the texts, and its hash, followed by the hashes of its prefixes of so many bytes.
 
-    A word is a maximal run of anything but white space; equal words (A-Z lowered) have equal 64-bit hashes.
+    A word is a maximal run of anything but white space; equal words (A-Z lowered) have equal 64-bit hashes. A word that
+    is no longer than a prefix stands for it.
     """
     space, lower = tables()
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
@@ -58,15 +59,16 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     ends = ends[1:] if len(ends) > len(starts) else ends
     up, down = powers(len(data) + 1)
     sums = np.concatenate([np.zeros(1, U), np.cumsum((data.astype(U) + U(1)) * up[: len(data)])])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(SHINGLE[0]))
+    cuts = [ends, *[np.minimum(starts + n, ends) for n in prefixes]]
+    hashes = [mix((sums[at] - sums[starts]) * down[starts] + (at - starts).astype(U) * U(SHINGLE[0])) for at in cuts]
     first = np.cumsum([0, *[len(t) + 1 for t in texts]])
     doc = np.searchsorted(first, starts, side="right") - 1
-    return starts, ends, doc, hashes, data
+    return doc, hashes
 
 
 def shingle_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its k-word shingles; fewer words make one shingle, no words none."""
-    _, _, doc, h, _ = words(texts)
+    doc, (h,) = words(texts)
     bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
     if len(h) >= k:
         total = sum((mix(h[i : len(h) - k + 1 + i] + U(SHINGLE[i % 5] >> (i // 5))) * U(SHINGLE[(i + 1) % 5]) for i in range(k)), np.zeros(len(h) - k + 1, U))
@@ -76,10 +78,10 @@ def shingle_sets(texts: list[bytes], k: int = 5) -> list[np.ndarray]:
         if b - a >= k:
             out.append(np.unique(total[a : b - k + 1]))
         elif b > a:
-            short = U(b - a)
-            for x in h[a:b]:
-                short = mix(np.array([short * U(SHINGLE[1]) + x], U))[0]
-            out.append(np.array([short], U))
+            short = np.array([b - a], U)
+            for i in range(a, b):
+                short = mix(short * U(SHINGLE[1]) + h[i : i + 1])
+            out.append(short)
         else:
             out.append(np.zeros(0, U))
     return out

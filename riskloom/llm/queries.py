@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, chat, langid, mixing
+from riskloom.llm import bpe, chat, langid, mixing, quality, toxicity
 from riskloom.llm.shared import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -37,12 +37,26 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality.learn(docs, table(spark, sf_dir, "labels"))
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.apply_rules(docs.select("doc_id", "text"), rules).select(*columns)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
     model = langid.train(docs.where("not held_out"))
     return langid.predict(docs, model, keep=("doc_id", "held_out"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), allowed=~held_out())
+    scored = toxicity.score_rows(docs, model, text_col="text", keep=("doc_id", "held_out"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,5 +67,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op3_mixing, op5_language_id, op9_byte_bpe)
+    for f in (op1_chat_formatting, op3_mixing, op4_quality_rules, op5_language_id, op7_toxicity, op9_byte_bpe)
 }
