@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, chat, langid, mixing, quality, toxicity
+from riskloom.llm import bpe, chat, langid, mixing, pii, quality, toxicity
 from riskloom.llm.shared import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -57,6 +57,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -67,5 +71,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op3_mixing, op4_quality_rules, op5_language_id, op7_toxicity, op9_byte_bpe)
+    for f in (op1_chat_formatting, op3_mixing, op4_quality_rules, op5_language_id, op7_toxicity, op8_personal_data, op9_byte_bpe)
 }
