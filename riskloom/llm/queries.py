@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, chat, langid, mixing, pii, quality, toxicity
+from riskloom.llm import bpe, chat, dedup, langid, mixing, pii, quality, toxicity
 from riskloom.llm.shared import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -33,6 +33,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -71,5 +75,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op3_mixing, op4_quality_rules, op5_language_id, op7_toxicity, op8_personal_data, op9_byte_bpe)
+    for f in (op1_chat_formatting, op2_near_dedup, op3_mixing, op4_quality_rules, op5_language_id, op7_toxicity, op8_personal_data, op9_byte_bpe)
 }
