@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, chat, dedup, langid, mixing, pii, quality, toxicity
+from riskloom.llm import ann, bpe, chat, dedup, langid, mixing, pii, quality, toxicity
 from riskloom.llm.shared import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -73,7 +73,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_near_dedup, op3_mixing, op4_quality_rules, op5_language_id, op7_toxicity, op8_personal_data, op9_byte_bpe)
+    for f in (op1_chat_formatting, op2_near_dedup, op3_mixing, op4_quality_rules, op5_language_id, op7_toxicity, op8_personal_data, op9_byte_bpe, op10_nearest_neighbours)
 }
