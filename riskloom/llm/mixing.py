@@ -56,8 +56,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     no words is never taken more than certain copies say. Rows with a null source are a source of their own; rows that
     repeat an id are documents of their own. Other columns are left behind.
     """
-    row = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), random_bits(F.col("doc_id"), seed).alias("_r"))
-    d = cut(row.withColumn("_bin", F.shiftright("_r", U_BITS - BIN_BITS)), "mix")
+    d = cut(docs.select("doc_id", "source", *_keys(seed)), "mix")
+    out = _copies(d, _plan(d, weights, most))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
+    """The rows of docs with all their columns, each as often as `mix` has copies of it. Only rows of one bin are shuffled."""
+    t = _plan(cut(docs.select("doc_id", "source", *_keys(seed)), "mix"), weights, most)
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", *_keys(seed))
+    out = _copies(whole, t).where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select("_row.*")
+
+
+def _keys(seed: int) -> list[Column]:
+    r = random_bits(F.col("doc_id"), seed)
+    return [n_words(F.col("text")).alias("size"), r.alias("_r"), F.shiftright(r, U_BITS - BIN_BITS).alias("_bin")]
+
+
+def _plan(d: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    """One row for each source: its size and target, certain copies, the words still needed, and the bin that these end in."""
     hist = d.groupBy("source", "_bin").agg(F.sum("size").alias("_n"))
     t = targets(hist.groupBy("source").agg(F.sum("_n").alias("source_size")), weights, most)
     f = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -66,7 +84,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     earlier = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     sums = hist.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).withColumnRenamed("source", "_s")
     t = t.join(sums, F.col("source").eqNullSafe(F.col("_s")) & F.expr("_before < _need and _before + _n >= _need"), "left")
-    t = cut(t.select(F.col("source").alias("_s"), "source_size", "target", "_sure", "_need", F.col("_bin").alias("_cut"), "_before"), "mix-sources")
+    return cut(t.select(F.col("source").alias("_s"), "source_size", "target", "_sure", "_need", F.col("_bin").alias("_cut"), "_before"), "mix-sources")
+
+
+def _copies(d: DataFrame, t: DataFrame) -> DataFrame:
+    """d with what _plan says of its source, and copies."""
     j = d.join(F.broadcast(t) if t.count() <= FEW else t, F.col("source").eqNullSafe(F.col("_s")))
     clear = j.where("_cut is null or _bin <> _cut").withColumn("_more", F.expr("coalesce(_bin < _cut, false)"))
     u = (F.col("_r") + 0.5) / 2**U_BITS
@@ -74,19 +96,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     rank = Window.partitionBy("source").orderBy((u / (1 - u)) / (p / (1 - p)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     held = F.col("_before") + F.coalesce(F.sum("size").over(rank), F.lit(0))
     edge = j.where("_bin = _cut").withColumn("_more", 2 * (F.col("_need") - held) >= F.col("size"))
-    out = clear.unionByName(edge).withColumn("copies", F.col("_sure") + F.col("_more").cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def repeat_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as `mixed` says for its doc_id; rows that repeat an id each follow one row of it.
-
-    mixed holds a row for each row of docs, so the k-th row of an id (by size) takes the copies of the k-th.
-    """
-    size = n_words(F.col("text"))
-    nth = lambda *by: F.row_number().over(Window.partitionBy("doc_id", *by).orderBy(F.lit(0)))
-    left = docs.withColumn("_size", size).withColumn("_k", nth("source", "_size"))
-    right = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_sz"), "copies", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("copies")).alias("_n"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_src")) & (F.col("_size") == F.col("_sz")) & (F.col("_k") == F.col("_n"))
-    many = left.join(right.where("copies > 0"), on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return many.select(*docs.columns)
+    return clear.unionByName(edge).withColumn("copies", F.col("_sure") + F.col("_more").cast("long"))

@@ -167,3 +167,9 @@ def verdict(rules: list[Rule]) -> Column:
 def apply_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """statistics(docs) with base_failed and kept; empty and null texts fail the base rule."""
     return statistics(docs, text_col).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+def kept_rows(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that apply_rules keeps."""
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_whole"))
+    return apply_rules(whole, rules, "_whole").where("kept").select("_row.*")
