@@ -170,6 +170,10 @@ def apply_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> D
 
 
 def kept_rows(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that apply_rules keeps."""
+    """The rows of docs, with all their columns, that apply_rules keeps.
+
+    Rows and verdicts are written once: a filter straight above would be pushed below the statistics, which would then be
+    computed again in each place that names them.
+    """
     whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_whole"))
-    return apply_rules(whole, rules, "_whole").where("kept").select("_row.*")
+    return cut(apply_rules(whole, rules, "_whole").select("_row", "kept"), "verdicts").where("kept").select("_row.*")
