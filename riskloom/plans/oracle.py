@@ -1 +1,199 @@
-ORACLE = {}
+"""DuckDB SQL for the queries of riskloom.plans.queries."""
+
+from __future__ import annotations
+
+from riskloom import config
+from riskloom.plans.queries import BANDS, THEMES
+
+# RE2 has ASCII word boundaries; these spell out those of Unicode that the patterns use.
+_EDGE, _START = r"(?:[^\p{L}\p{N}_]|$)", r"(?:^|[^\p{L}\p{N}_])"
+
+
+def _re2(pattern: str) -> str:
+    return pattern.replace(r"DES\b", "DES" + _EDGE).replace(r"\bResponse", _START + "Response").replace("'", "''")
+
+
+def _case(mapping: dict, column: str, default: str = "null") -> str:
+    return f"case {column} " + " ".join(f"when '{k}' then '{v}'" for k, v in mapping.items()) + f" else {default} end"
+
+
+_CODE = """code as (select doc_id as change_id, text, case lang when 'en' then 'src/' || source || '/m' || doc_id || '.py' when 'fr' then 'web/' || source || '/m' || doc_id || '.js'
+ when 'es' then 'conf/' || source || '/m' || doc_id || '.yml' else 'docs/' || source || '/m' || doc_id || '.md' end as path from documents),
+patch as (select change_id, path, 'diff --git a/' || path || ' b/' || path || chr(10) || 'new file mode 100644' || chr(10) || '--- /dev/null' || chr(10) || '+++ b/' || path || chr(10)
+ || '@@ -0,0 +1,' || len(string_split(text, chr(10))) || ' @@' || chr(10) || '+' || replace(text, chr(10), chr(10) || '+') as diff from code)"""
+_LINES = _CODE + r""",
+lines as (select change_id, path, unnest(string_split(text, chr(10))) as content, unnest(range(1, len(string_split(text, chr(10))) + 1))::int as line from code),
+topics as (select *, case when path like '%.yml' then null
+  when path like '%.py' then case when regexp_matches(content, '^\s*#') then '' else regexp_replace(content, '\s#.*$', '') end
+  when path like '%.js' then case when regexp_matches(content, '^\s*//') then '' else regexp_replace(content, '\s//.*$', '') end
+  else content end as topic from lines)"""
+_HASH = config.HASH_FIELD.replace("'", "''")
+_TESTS = ", ".join(
+    f"case when regexp_matches({'topic' if z in config.TOPIC_ZONES else 'content'} || chr(10), '(?i){_re2(p)}')" + (f" and not regexp_matches(content, '(?i){_HASH}')" if z == "crypto" else "") + f" then '{z}' end"
+    for z, p in config.ZONES.items()
+)
+_HITS = _LINES + f""",
+marked as (select *, [{_TESTS}] as zones from topics where path not like '%.md'),
+hits as (select change_id, path as file, line, zones[i] as zone, i as zone_no, trim(substr(content, 1, 100)) as content_preview
+  from (select *, unnest(range(1, {len(config.ZONES) + 1})) as i from marked) where zones[i] is not null),
+secrets as (select change_id, path as file, line, 'hardcoded_credential' as kind, 'high' as severity, false as provable from lines
+  where regexp_matches(content, '(?i)(?:password|passwd|secret|token|api_?key)["'']?\\s*[:=]\\s*["''][^"'']{{8,}}["'']') and not regexp_matches(content, '(?i){_HASH}')),
+tested as (select *, regexp_matches(path, '(?i)({'|'.join(config.PATHS['L1'])})') as is_test from code),
+findings as (
+  select change_id, file, line, zone, 'sensitive-' || zone as rule_id, case when is_test then 'info' else {_case(config.ZONE_SEVERITY, 'zone', "'medium'")} end as severity, false as provable,
+    'Sensitive ' || zone || ' code modified' as message, 0 as src, zone_no as no from hits join tested using (change_id)
+  union all
+  select change_id, file, line, 'entropy_secret', 'secret-' || kind, 'high', false, 'Hardcoded secret detected (' || kind || ')', 1, 0 from secrets),
+files as (select c.change_id, c.path, len(string_split(text, chr(10))) as added from code c),
+scored as (select change_id, path, added,
+  case when regexp_matches(path, '(?i)({'|'.join(config.PATHS['L4'])})') then 4 when regexp_matches(path, '(?i)({'|'.join(config.PATHS['L3'])})') then 3
+   when regexp_matches(path, '(?i)({'|'.join(config.PATHS['L1'])})') then 1 when regexp_matches(path, '(?i)({'|'.join(config.PATHS['L0'])})') then 0 else 2 end as file_score,
+  case when added > 500 then 3 when added > 100 then 2 when added > 20 then 1 else 0 end as size_score from files),
+ranks as (select change_id, max(case {_case(config.ZONE_SEVERITY, 'zone', "'medium'")} when 'critical' then 4 when 'high' then 3 else 2 end) as zone_score from hits group by 1),
+floors as (select change_id, file_score, coalesce(zone_score, 0) as zone_score, size_score, greatest(file_score, coalesce(zone_score, 0), size_score) as floor from scored left join ranks using (change_id)),
+worst as (select change_id, max(list_position(['info','low','medium','high','critical'], severity) - 1) as w from findings group by 1),
+tiers as (select change_id, 'L' || greatest(floor, case when w = 4 then 4 when w = 3 then 3 else 0 end) as tier from floors left join worst using (change_id)),
+classed as (select *, case when severity = 'critical' and provable then 'block' when severity in ('critical', 'high') then 'condition' else 'advisory' end as kind from findings),
+decided as (select c.change_id, tier, count(*) filter (where kind = 'block') as n_block, least(count(*) filter (where kind = 'condition'), 2) as n_cond from tiers c left join classed using (change_id) group by all),
+assessed as (select change_id, tier, case when n_block > 0 then 'block' when n_cond > 0 then 'merge-with-conditions' else 'merge' end as decision, n_cond from decided)"""
+_REVIEWS = """reviews as (select l_orderkey as change_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) as voter_no, 'supplier ' || l_suppkey as voter,
+ case l_returnflag when 'R' then 'request_changes' when 'N' then 'comment' else 'approve' end as risk_assessment, case l_returnflag when 'R' then 3 when 'N' then 2 else 1 end as r, l_discount as confidence,
+ ['Quantity ' || l_quantity::int, 'status ' || l_linestatus] as concerns, l_quantity, l_tax, case when l_tax = 0 then 'no tax on line ' || l_linenumber end as error from lineitem),
+agreed as (select change_id, count(*) as n_votes, max(r) as top, count(*) filter (where r = m)::double / count(*) as share from (select *, max(r) over (partition by change_id) as m from reviews) group by 1),
+consensus as (select change_id, n_votes, ['approve', 'comment', 'request_changes'][top] as consensus_risk, round_even(share, 2) as agreement_score from agreed)"""
+_ORDERS = """f as (select o_custkey as change_id, ['critical', 'high', 'medium', 'low', 'info'][substr(o_orderpriority, 1, 1)::int] as severity, o_orderstatus = 'F' as provable, o_orderkey as seq, 'order ' || o_orderkey as description from orders),
+k as (select *, case when severity = 'critical' and provable then 'block' when severity in ('critical', 'high') then 'condition' else 'advisory' end as kind from f),
+n as (select *, row_number() over (partition by change_id, kind order by list_position(['info','low','medium','high','critical'], severity) desc, seq) as rn from k),
+g as (select change_id, string_agg(description, '|' order by seq) filter (where kind = 'block') as blocks, string_agg(description, '|' order by rn) filter (where kind = 'condition' and rn <= 2) as conditions,
+ string_agg(description, '|' order by (kind = 'condition'), case when kind = 'condition' then rn else 0 end, seq) filter (where kind = 'advisory' or (kind = 'condition' and rn > 2)) as advisory,
+ count(*) filter (where kind = 'block') as n_block, count(*) filter (where kind = 'condition' and rn <= 2) as n_cond from n group by 1),
+d as (select c_custkey as change_id, coalesce(blocks, '') as blocks, coalesce(conditions, '') as conditions, coalesce(advisory, '') as advisory, coalesce(n_cond, 0) as n_cond,
+ case when coalesce(n_block, 0) > 0 then 'block' when coalesce(n_cond, 0) > 0 then 'merge-with-conditions' else 'merge' end as decision from customer left join g on change_id = c_custkey)"""
+_EVENTS = r"""ev as (select l_orderkey as bundle_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 as sequence,
+ 'line_' || l_returnflag as event_type, strftime(l_shipdate, '%Y-%m-%d') as timestamp, 'supplier-' || l_suppkey as actor, 'part ' || l_partkey as data from lineitem)"""
+_NUM = "p as (select distinct l_suppkey as change_id, l_partkey as n from lineitem)"
+_SCORED = _HITS + """,
+res as (select a.change_id, d.source as dataset, case when toxic = 1 then 'vulnerable' when quality = 0 then 'introducing' else 'clean' end as category, toxic = 1 as bad, tier,
+ decision <> 'merge' as flagged, a.change_id % 3 = 0 as ai from assessed a join documents d on d.doc_id = a.change_id join labels l on l.doc_id = a.change_id),
+s as (select *, category in ('vulnerable', 'clean') as scored from res)"""
+
+
+def _pct(n: str, of: str) -> str:
+    return f"coalesce(round_even(100.0::double * ({n}) / nullif({of}, 0), 1), 0.0::double)"
+
+
+_VULN, _CLEAN = "count(*) filter (where scored and bad)", "count(*) filter (where scored and not bad)"
+_FP, _FN = "count(*) filter (where scored and flagged and not bad)", "count(*) filter (where scored and not flagged and bad)"
+_OK, _ALL = "count(*) filter (where scored and flagged = bad)", "count(*) filter (where scored)"
+_TESTS_C5 = [
+    ("R-LICENCE", "medium", "Licence text changed", r"(?i)licensed under", "path like 'docs/%'"),
+    ("R-TOKEN", "high", "Token assigned", r"(?i)token = ", "false"),
+    ("R-MARK", "critical", "Marks repeated", r"(?i)\$\$\$|!!", "(path like 'conf/%' or path like 'docs/%')"),
+]
+_JOINED = "coalesce(string_agg({0}, '|' order by {1}), '')"
+
+ORACLE: dict[str, str] = {
+    "a2_assemble_diffs": "select conv_id as change_id, md5(string_agg('diff --git a/' || role || '/' || turn || '.txt b/' || role || '/' || turn || '.txt' || chr(10) || text, chr(10) order by turn)) as diff_md5 from conversations where text <> '' group by 1",
+    "a6_code_to_patch": f"with {_CODE} select change_id, md5(diff) as diff_md5 from patch",
+    "a7_inferred_paths": r"select page_id, case when regexp_matches(lower(html), '\b(?:login|password|session)\b') then 'src/auth/handler.js' when regexp_matches(lower(html), '\b(?:select|insert|cursor)\b') then 'src/db/queries.js' when regexp_matches(lower(html), '\b(?:request|response|route)\b') then 'src/api/views.js' else 'src/module.js' end as path from pages",
+    "b1_diff_lines": f"with {_LINES} select change_id, path, 'add' as type, line as line_number, md5(content) as content_md5 from lines",
+    "b2_file_changes": f"with {_CODE} select change_id, path, len(string_split(text, chr(10))) as added, 0::bigint as removed, true as is_new, false as is_deleted from code",
+    "b3_change_totals": f"with {_CODE} select change_id, 1::bigint as files_changed, len(string_split(text, chr(10)))::bigint as lines_added, 0::bigint as lines_removed from code",
+    "b4_fallback_totals": f"with {_LINES} select change_id, 1::bigint as files_changed, count(*) filter (where content not like '++%') as lines_added, 0::bigint as lines_removed from lines group by 1",
+    "b4_parse_errors": f"with {_CODE} select change_id from code where change_id % 7 = 0",
+    "b5_diff_hash": f"with {_CODE} select change_id, 'sha256:' || sha256(diff) as diff_hash from patch",
+    "b6_lanes": "with p as (select url || ['.pdf', '.XLSX', '.png', '.py'][1 + page_id % 4] as path, case when url not like '%/' then ['pdf', 'sheet', 'image', null][1 + page_id % 4] end as lane from pages) select lane, count(*) as files, min(path) as first_path from p group by 1",
+    "b7_path_classes": f"with {_CODE} select change_id, path like '%.md' as is_doc, path like '%.yml' as is_config, regexp_matches(path, '(?i)({'|'.join(config.PATHS['L1'])})') as is_test, regexp_extract(path, '(\\.[a-z]+)$', 1) as suffix from code",
+    "b8_topic_text": f"with {_LINES} select change_id, line as line_number, md5(topic) as topic_md5 from topics",
+    "c1_zone_hits": f"with {_HITS} select change_id, file, line, zone, content_preview from hits",
+    "c4_secret_hits": f"with {_HITS} select * from secrets",
+    "c5_rubric_findings": f"with {_LINES} "
+    + " union all ".join(f"select change_id, path as file, min(line) as line, '{i}' as rule_id, '{s}' as severity, '{m}' as message from lines where regexp_matches(content, '{p}') and not {e} group by 1, 2" for i, s, m, p, e in _TESTS_C5)
+    + " union all select change_id, path, null, 'R-WEB', 'low', 'Web code changed' from code where path like 'web/%'",
+    "c6_merge_zones": f"with {_HITS} select distinct change_id, zone, file, line, '[REDACTED]' as content_preview, 0 as source_no from hits union all select change_id, 'entropy_secret', file, line, '[REDACTED]', 1 from secrets",
+    "c10_redactions_by_type": "select user_id % 100 as change_id, coalesce(case when event_id % 3 = 0 then event_type end, case when event_id % 5 = 0 then 'late' end, case when event_id % 2 = 0 then 'label' end, 'unknown') as kind, count(*) as n from events group by 1, 2",
+    "c12_label_zone": "select p_partkey, ['payment', 'entropy_secret', 'pii', null][1 + p_partkey % 4] as zone from part",
+    "c14_trigger_hits": r"select doc_id as artifact_id, 'licence' as trigger, 'legal' as category, 2 as level from documents where regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:licensed|license)(?:[^\p{L}\p{N}_]|$)') union all select doc_id, 'insult', 'conduct', 3 from documents where regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:idiot|moron|scum)(?:[^\p{L}\p{N}_]|$)') union all select doc_id, 'address', 'privacy', 4 from documents where regexp_matches(text, '(?i)[a-z0-9.]+@[a-z0-9]+[.][a-z]+')",
+    "c16_bands": "with c as (select c_custkey, least(greatest(floor(c_acctbal / 100), 0), 100)::double as score from customer) select c_custkey, score, case "
+    + " ".join(f"when score between {a} and {b} then '{n}'" for a, b, n in BANDS)
+    + " end as band from c",
+    "d1_path_scores": f"with {_HITS} select change_id, file_score as score from scored",
+    "d2_preliminary_tier": f"""with {_HITS}, z as (select change_id, max(case when zone in ('payment', 'crypto', 'pii') then 4 when zone in ('auth', 'security') then 3 when zone in ('database', 'config', 'infra') then 2 else 0 end) as z from hits group by 1),
+e as (select change_id, greatest(case when regexp_matches(path, '(?i)({'|'.join(config.EARLY_PATHS['L4'])})') then 4 when regexp_matches(path, '(?i)({'|'.join(config.EARLY_PATHS['L3'])})') then 3 when regexp_matches(path, '(?i)({'|'.join(config.EARLY_PATHS['L1'])})') then 1 else 0 end,
+ coalesce(z, 0), case when added > 500 then 3 when added > 100 then 2 else 0 end) as s, path not like '%.md' as real from files left join z using (change_id))
+select change_id, 'L' || case when s = 0 and real then 2 else s end as preliminary_tier from e""",
+    "d5_floors": f"with {_HITS} select *, floor >= 3 as protected from floors",
+    "d6_zone_findings": f"with {_HITS} select change_id, file, line, zone, rule_id, severity, provable, message from findings",
+    "d7_severity": """with p as (select o_orderkey, lower(substr(o_orderpriority, 3, 20)) as l from orders), s as (select o_orderkey, case when l in ('info', 'low', 'medium', 'high', 'critical') then l else 'critical' end as severity from p)
+select o_orderkey, severity, list_position(['info','low','medium','high','critical'], severity) - 1 as rank, ['info','low','medium','high','critical'][greatest(list_position(['info','low','medium','high','critical'], severity) - 1, 1)] as lower from s""",
+    "d8_modulated": f"""with {_REVIEWS}, {_ORDERS}, j as (select f.change_id, severity as s, not provable and not coalesce(c.change_id % 5 = 0, false) as open, consensus_risk as v, coalesce(agreement_score >= 0.6, false) as sure from f left join consensus c on c.change_id = f.change_id),
+m as (select change_id, case when v = 'approve' and sure and open then case s when 'critical' then 'high' when 'high' then 'low' else 'info' end
+ when v = 'comment' and open then case s when 'critical' then 'high' when 'high' then 'medium' when 'medium' then 'low' else 'info' end
+ when v = 'request_changes' and sure and s = 'medium' then 'high' else s end as severity from j) select change_id, severity, count(*) as n from m group by 1, 2""",
+    "d9_concern_findings": f"""with {_REVIEWS}, e as (select change_id, voter_no, unnest(concerns) as concern, unnest([0, 1]) as pos from reviews), o as (select *, row_number() over (partition by change_id, lower(concern) order by voter_no, pos) as k from e),
+t as (select change_id, concern as message, row_number() over (partition by change_id order by voter_no, pos) - 1 as no from o where k = 1),
+j as (select change_id, case when consensus_risk = 'request_changes' and agreement_score >= 0.6 then 'AI-CONCERN' when consensus_risk = 'request_changes' then 'AI-MINORITY' when consensus_risk = 'comment' then 'AI-COMMENT' end as rule_id, message, no from t join consensus using (change_id) where no < 3)
+select change_id, rule_id, case rule_id when 'AI-CONCERN' then 'high' else 'medium' end as severity, false as provable, message, no from j where rule_id is not null""",
+    "d10_final_tier": f"with {_HITS} select * from tiers",
+    "d11_zone_drivers": f"""with {_HITS}, o as (select *, file || ':' || line as place from hits), u as (select change_id, zone, count(*) as hits, min(line * 100 + zone_no) as first, list(place order by line) as places from o group by 1, 2),
+r as (select *, row_number() over (partition by change_id order by hits desc, first) as rank from u)
+select change_id, rank, zone, hits, hits || ' changes in ' || zone || ' code (' || list_aggregate(list_transform(places[1:3], lambda x: '`' || x || '`'), 'string_agg', ', ') || case when len(places) > 3 then ' +' || (len(places) - 3) || ' more' else '' end || ')' as description from r where rank <= 3""",
+    "d12_finding_drivers": f"""with {_HITS}, r as (select *, row_number() over (partition by change_id order by list_position(['info','low','medium','high','critical'], severity) desc, src, line, no) as rank from findings)
+select change_id, rank, severity, message || ' (' || file || ':' || line || ')' as description from r where rank <= 3""",
+    "e1_validated_reviews": "select event_id, 'request_changes' as risk_assessment, 0.0::double as confidence, case when props is null then 'no response' else 'wrong envelope' end as reject_reason from events",
+    "e3_consensus": f"with {_REVIEWS} select * from consensus",
+    "e4_combined_concerns": f"""with {_REVIEWS}, e as (select change_id, voter_no, unnest(concerns) as concern, unnest([0, 1]) as pos from reviews), o as (select *, row_number() over (partition by change_id, lower(concern) order by voter_no, pos) as k from e)
+select change_id, string_agg(concern, '|' order by voter_no, pos) as concerns from o where k = 1 group by 1""",
+    "e5_dissent": f"with {_REVIEWS} select change_id, string_agg(voter || ': ' || risk_assessment, '|' order by voter_no, voter || ': ' || risk_assessment) as dissent from reviews join consensus using (change_id) where risk_assessment <> consensus_risk group by 1",
+    "e6_rubric_averages": f"with {_REVIEWS} select change_id, 'quantity' as dimension, round(avg(l_quantity), 6) as score from reviews group by 1 union all select change_id, 'tax', round(avg(round_even(l_tax * 100, 0)), 6) from reviews where l_tax > 0 group by 1",
+    "e7_final_round": """with r as (select conv_id as change_id, (turn + 1)::int as round, case length(text) % 3 when 0 then 'approve' when 1 then 'comment' else 'request_changes' end as risk_assessment, role from conversations),
+c as (select change_id, round, count(*) as n_votes, max(risk_assessment) as consensus_risk, count(*) filter (where risk_assessment = m)::double / count(*) as agreement_score from (select *, max(risk_assessment) over (partition by change_id, round) as m from r) group by 1, 2)
+select change_id, round, n_votes, consensus_risk, round_even(agreement_score, 2) as agreement_score from c where round = 1""",
+    "e8_review_health": f"with {_REVIEWS} select change_id, count(*) filter (where error is null) as used, count(error) as failed, {_JOINED.format('error', 'voter_no')} as errors from reviews group by 1",
+    "e10_crosscheck_prompts": f"""with {_REVIEWS}, t as (select change_id, voter_no, voter, risk_assessment || ' (' || printf('%.2f', confidence) || ')' as t from reviews),
+p as (select a.change_id, a.voter_no, a.voter, a.t, b.t as bt, row_number() over (partition by a.change_id, a.voter_no order by b.voter_no) as i from t a left join t b on a.change_id = b.change_id and a.voter_no <> b.voter_no)
+select change_id, voter, md5('Yours: ' || t || chr(10) || coalesce(string_agg('Peer ' || i || ': ' || bt, chr(10) order by i), '')) as prompt_md5 from p group by change_id, voter_no, voter, t""",
+    "f3_decisions": f"with {_ORDERS} select change_id, decision, case decision when 'merge' then 'APPROVE' when 'block' then 'BLOCK' else 'CONDITIONS' end as verdict, blocks, conditions, advisory from d",
+    "f4_gate": f"""with {_ORDERS}, t as (select *, 'L' || change_id % 5 as tier from d) select change_id, tier, tier >= 'L3' or decision <> 'merge' as requires_approval, case when tier >= 'L3' and decision = 'merge' then 'merge-with-conditions' else decision end as effective_decision,
+n_cond + (tier >= 'L3' and decision = 'merge')::int as n_conditions, case when tier >= 'L3' and decision = 'merge' then 'Risk tier ' || tier || ' meets the approval threshold L3' end as reason from t""",
+    "f8_latest_cards": "select user_id as change_id, arg_max(event_id, (ts, event_id)) as event_id, arg_max(props, (ts, event_id)) as card from events group by 1",
+    "g3_event_chain": f"""with recursive {_EVENTS}, c as (select bundle_id, 0::bigint as nxt, ''::varchar as h from (select distinct bundle_id from ev)
+union all select c.bundle_id, c.nxt + 1, sha256('{{"actor":"' || actor || '","data":"' || data || '","event_type":"' || event_type || '","previous_hash":"' || h || '","timestamp":"' || timestamp || '"}}') from c join ev on ev.bundle_id = c.bundle_id and ev.sequence = c.nxt)
+select bundle_id, max(nxt)::int as event_count, arg_max(h, nxt) as final_hash from c group by 1""",
+    "g5_proof": f"""with recursive {_EVENTS}, i as (select bundle_id, sequence, 'event-' || lpad(sequence::varchar, 4, '0') as item_id, 'riskloom/' || event_type as content_type,
+ 'sha256:' || sha256('{{"actor":"' || actor || '","data":"' || data || '","event_type":"' || event_type || '","timestamp":"' || timestamp || '"}}') as content_hash from ev),
+c as (select bundle_id, 0::bigint as nxt, 'genesis' as h, '' as allh from (select distinct bundle_id from ev)
+union all select c.bundle_id, c.nxt + 1, x, allh || x from (select c.bundle_id, c.nxt, c.allh, 'sha256:' || sha256(sequence || '|' || item_id || '|' || content_type || '|' || content_hash || '|' || h) as x from c join i on i.bundle_id = c.bundle_id and i.sequence = c.nxt) c)
+select bundle_id, 'sha256:' || sha256(arg_max(allh, nxt)) as root_hash from c group by 1""",
+    "g7_zone_summary": f"with {_HITS} select change_id, zone, count(*) as hits, min(file) as files from hits group by 1, 2",
+    "g9_verified": "with b as (select distinct l_orderkey as bundle_id from lineitem) select bundle_id, bundle_id % 5 not in (1, 2, 3) as valid, case bundle_id % 5 when 1 then 'seal differs' when 2 then 'seal is missing' when 3 then 'event count differs' else 'ok' end as reason, null::int as first_bad from b",
+    "h1_rules": f"""with {_HITS}, r as (select *, row_number() over (partition by rule_id order by change_id, src, line, no) as k from findings)
+select rule_id, list_aggregate(list_transform(regexp_split_to_array(rule_id, '[-._]'), lambda p: upper(p[1]) || lower(p[2:])), 'string_agg', '') as name, message as text, {_case({"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "note"}, "severity")} as level,
+{_case({"critical": "9.5", "high": "7.5", "medium": "5.5", "low": "2.5", "info": "1.0"}, "severity")} as score from r where k = 1""",
+    "h2_results": f"""with {_HITS} select change_id, rule_id, {_case({"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "note"}, "severity")} as level, file, line,
+concat_ws(',', 'riskloom', 'sensitive-' || zone, {_case({"auth": "CWE-287", "payment": "CWE-311", "crypto": "CWE-327", "database": "CWE-89", "pii": "CWE-359"}, "zone")}) as tags, substr(sha256(rule_id || '|' || file || '|' || line || '|' || substr(message, 1, 50)), 1, 32) as fingerprint from findings""",
+    "h6_deduped": f"with {_HITS} select substr(sha256(rule_id || '|' || file || '|' || line || '|' || substr(message, 1, 50)), 1, 32) as fingerprint, count(*) as n, min(change_id) as first_change from findings group by 1",
+    "i2_eval_stats": f"""with {_SCORED} select {_ALL} as total, count(*) filter (where not scored) as excluded, {_VULN} as vuln_count, {_CLEAN} as clean_count, {_OK} as correct, {_pct(_OK, _ALL)} as accuracy_pct,
+{_pct('count(*) filter (where scored and bad and flagged)', _VULN)} as detect_rate_pct, {_FP} as fp, {_pct(_FP, _CLEAN)} as fp_rate_pct, {_FN} as fn, {_pct(_FN, _VULN)} as fn_rate_pct,
+coalesce(100.0 * {_FP} / nullif({_CLEAN}, 0), 0) < 5 as fp_pass, coalesce(100.0 * {_FN} / nullif({_VULN}, 0), 0) < 5 as fn_pass,
+{_pct('count(*) filter (where scored and bad and ai)', _VULN)} as ai_detect_pct, {_pct('count(*) filter (where scored and not bad and ai)', _CLEAN)} as ai_fp_pct from s""",
+    "i3_eval_rollup": f"with {_SCORED} select dataset, category, grouping(dataset, category)::int as level, {_ALL} as total, count(*) filter (where not scored) as excluded, {_OK} as correct, {_FP} as fp, {_FN} as fn, {_pct(_OK, _ALL)} as accuracy_pct, {_pct(_FN, _VULN)} as fn_rate_pct from s group by rollup (dataset, category)",
+    "i4_tier_distribution": f"with {_SCORED} select category, " + ", ".join(f"count(*) filter (where tier = '{t}') as {t}" for t in config.TIERS) + " from s group by 1",
+    "i5_failures": f"with {_SCORED} select change_id, dataset, category, case when flagged then 'FP' else 'FN' end as kind, tier from s where scored and flagged <> bad",
+    "i8_confusion": "select p_size % 5 as expected, " + ", ".join(f"count(*) filter (where floor(p_retailprice)::bigint % 5 = {i}) as \"{i}\"" for i in range(5)) + " from part group by 1",
+    "i9_hit_rate": "select l_orderkey as case_id, round(avg((l_returnflag = 'R' or l_linestatus = 'O')::int), 9) as hit_rate from lineitem group by 1",
+    "i10_round_deltas": "with c as (select conv_id // 2 as case_id, (conv_id % 2)::varchar as voter, turn, length(text) % 5 as level, length(text) % 3 as added, length(text) % 2 as rejected from conversations where turn < 2) select a.case_id, a.voter, (case when a.level <> b.level then b.level - a.level else b.added - b.rejected end)::int as delta from c a join c b using (case_id, voter) where a.turn = 0 and b.turn = 1",
+    "j1_deleted_ranges": f"with {_NUM}, g as (select *, n - row_number() over (partition by change_id order by n) as k from p) select change_id, min(n) as start, max(n) as \"end\" from g group by change_id, k",
+    "j2_context_ranges": f"""with {_NUM}, i as (select change_id, greatest(n - 5, 1) as s, n + 5 as e from p), b as (select *, max(e) over (partition by change_id order by s, e rows between unbounded preceding and 1 preceding) as m from i),
+g as (select *, sum((m is null or s > m + 1)::int) over (partition by change_id order by s, e rows between unbounded preceding and current row) as k from b) select change_id, min(s) as start, max(e) as "end" from g group by change_id, k""",
+    "j4_candidates": f"with {_NUM} select change_id, p_brand as sha, count(distinct p_partkey) as lines, min(p_size) as commit_date from p join part on p_partkey between greatest(n - 5, 1) and n + 5 group by 1, 2",
+    "j7_reversed": f"with {_LINES} select change_id, 'remove' as type, true as is_deleted, count(*) as n from lines group by 1",
+    "l1_assessed": f"with {_HITS} select change_id, tier, decision, case when tier >= 'L3' and decision = 'merge' then 'merge-with-conditions' else decision end as effective_decision, tier >= 'L3' or decision <> 'merge' as requires_approval, (n_cond + (tier >= 'L3' and decision = 'merge')::int)::int as n_conditions from assessed",
+    "l4_window_counts": "select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
+}
+ORACLE["c15_control_themes"] = f"with h as ({ORACLE['c14_trigger_hits']}), t(category, theme) as (values " + ", ".join(f"('{c}', '{t}')" for c, ts in THEMES.items() for t in ts) + ") select distinct artifact_id, category, theme from h join t using (category)"
+ORACLE["i12_voter_report"] = f"with d as ({ORACLE['i10_round_deltas']}) select voter, count(*) filter (where delta > 0) as up, count(*) filter (where delta < 0) as down, count(*) filter (where delta = 0) as same, avg(delta) as mean_delta from d group by 1"
+ORACLE["j5_ranked_candidates"] = f"with c as ({ORACLE['j4_candidates']}), m as (select distinct p_brand as sha from part where p_size = 50 and p_brand like '%5'), r as (select *, row_number() over (partition by change_id order by commit_date, sha) as rank from c where sha not in (select sha from m)) select change_id, sha, commit_date, rank from r where rank <= 5"
+ORACLE["j6_clean_sample"] = f"with {_HITS}, q as (select change_id, source as repo, row_number() over (partition by source order by change_id) as rank from files join documents on doc_id = change_id where (path like '%.md' or path like '%.yml' or regexp_matches(path, '(?i)({'|'.join(config.PATHS['L1'])})')) and added >= 3) select change_id, repo, rank from q where rank <= 2"
+ORACLE["j3_prioritised"] = f"""with {_CODE}, c as (select change_id % 50 as change_id, path, case when path like '%.md' then 2 else 0 end as kind from code), b as (select *, min(kind) over (partition by change_id) as best from c),
+r as (select change_id, path, dense_rank() over (partition by change_id order by kind, path) as file_rank from b where kind < 2 or best = 2) select * from r where file_rank <= 20"""
