@@ -27,7 +27,7 @@ from riskloom.llm.shared import cut
 
 TABLES, REACH, SAMPLE, SEED = 2, 0.85, 2_000, 7
 #: Classes and queries of a block, about; and the bucket size that sets the number of projections.
-BLOCK, QUERIES, BUCKET = 4_096, 4_096, 1_024
+BLOCK, QUERIES, BUCKET = 16_384, 1_024, 1_024
 
 
 @dataclass
@@ -182,15 +182,15 @@ def _search(classes: DataFrame, asked: DataFrame, index: Index, top: int, reach:
             names, at = np.unique(bucket, return_inverse=True)
             qcid, asked_x = queries.column("qcid").to_numpy(), _matrix(queries.column("x"))
             lists = queries.column("buckets").combine_chunks()
-            for lo in range(0, len(qcid), 256):
-                part = lists.slice(lo, 256)
+            for lo in range(0, len(qcid), 128):
+                part = lists.slice(lo, 128)
                 who = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy())
                 what = np.searchsorted(names, part.flatten().to_numpy())
                 what = np.where(what < len(names), what, 0)
                 visit = np.zeros((len(part), len(names)), bool)
                 same = names[what] == part.flatten().to_numpy()
                 visit[who[same], what[same]] = True
-                score = np.where(visit[:, at], asked_x[lo : lo + 256] @ x.T, -np.inf)
+                score = np.where(visit[:, at], asked_x[lo : lo + 128] @ x.T, -np.inf)
                 for i, s in enumerate(score):
                     least = np.partition(s, -top)[-top] if len(s) > top else -np.inf
                     best = np.flatnonzero((s >= least - 1e-9) & (s > -np.inf))
