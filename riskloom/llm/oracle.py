@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from riskloom.llm import license
+
 _ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>')"
 
 OP1 = rf"""
@@ -49,4 +51,29 @@ select doc_id, size, source_size, target,
 from o
 """
 
-ORACLE: dict[str, str] = {"op1_chat_formatting": OP1, "op3_mixing": OP3}
+
+
+def _normal(text: str) -> str:
+    """riskloom.llm.license.normalise in SQL."""
+    out = f"trim(regexp_replace(regexp_replace(lower(coalesce({text}, '')), '(?m){license.COPYRIGHT}', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    for old, new in license.SPELLINGS:
+        out = f"replace({out}, '{old}', '{new}')"
+    return out
+
+
+def _values(rows) -> str:
+    return ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in r)) for r in rows)
+
+
+OP6 = f"""
+with k as (select distinct on (digest) digest, license from (
+  select sha256({_normal('t')}) as digest, l as license from (values {_values(license.TEXTS)}) v(l, t)
+  union all select d, l from (values {_values(license.DIGESTS)}) v(l, d))),
+n as (select sha256({_normal('t')}) as digest, l as name from (values {_values(license.NOTICES)}) v(l, t)),
+x as (select doc_id, unnest(string_split(text, chr(10))) as line from documents),
+f as (select doc_id, string_agg(distinct name, ',' order by name) as notices from x join n on sha256({_normal('line')}) = n.digest where lower(line) like '%licen%' group by 1),
+d as (select doc_id, sha256({_normal('text')}) as norm_sha256 from documents)
+select d.doc_id, norm_sha256, coalesce(notices, '') as notices, license from d left join f using (doc_id) left join k on norm_sha256 = digest
+"""
+
+ORACLE: dict[str, str] = {"op1_chat_formatting": OP1, "op3_mixing": OP3, "op6_license_scan": OP6}

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, bpe, chat, dedup, langid, mixing, pii, quality, toxicity
+from riskloom.llm import ann, bpe, chat, dedup, langid, license, mixing, pii, quality, toxicity
 from riskloom.llm.shared import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
-def held_out() -> "F.Column":
+def held_out() -> Column:
+    """Rows that learning leaves out; a row without an id is not held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
@@ -54,6 +55,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=("doc_id", "held_out"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out())
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), allowed=~held_out())
@@ -80,5 +85,5 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_near_dedup, op3_mixing, op4_quality_rules, op5_language_id, op7_toxicity, op8_personal_data, op9_byte_bpe, op10_nearest_neighbours)
+    for f in (op1_chat_formatting, op2_near_dedup, op3_mixing, op4_quality_rules, op5_language_id, op6_license_scan, op7_toxicity, op8_personal_data, op9_byte_bpe, op10_nearest_neighbours)
 }
