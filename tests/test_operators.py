@@ -1,0 +1,148 @@
+"""Operators on small hand-made changes, with expectations by hand."""
+
+import hashlib
+import json
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+from riskloom import config
+from riskloom import functions as fn
+from riskloom.operators import decision, evidence, lines, origins, scans, scoring, votes
+
+DIFF = """diff --git a/src/app.py b/src/app.py
+--- a/src/app.py
++++ b/src/app.py
+@@ -1,4 +1,5 @@
+ import os
+--- looks like a header
++os.system("ls")
++# login in a comment
+ x = 1
+-y = 2
++password = check(y)
+diff --git a/README.md b/README.md
+new file mode 100644
+--- /dev/null
++++ b/README.md
+@@ -0,0 +1,2 @@
++login and encrypt
++eval(x)
+diff --git a/conf/app.yml b/conf/app.yml
+--- a/conf/app.yml
++++ b/conf/app.yml
+@@ -3,1 +3,2 @@
+ password: a
++run: eval(x)"""
+
+
+def changes(spark, *diffs):
+    return spark.createDataFrame([(i, d) for i, d in enumerate(diffs)], "change_id long, diff string")
+
+
+def test_lines_have_numbers_and_bodies_last_as_long_as_headers_say(spark):
+    rows = lines.diff_lines(changes(spark, DIFF)).orderBy("ord").collect()
+    got = [(r.file_no, r.type, r.line_number, r.content) for r in rows]
+    assert got[:7] == [(1, "context", 1, "import os"), (1, "remove", 2, "-- looks like a header"), (1, "add", 2, 'os.system("ls")'), (1, "add", 3, "# login in a comment"), (1, "context", 4, "x = 1"), (1, "remove", 4, "y = 2"), (1, "add", 5, "password = check(y)")]
+    assert [r.path for r in rows if r.file_no == 2] == ["README.md"] * 2 and all(r.is_new for r in rows if r.file_no == 2)
+    assert lines.parse_errors(changes(spark, DIFF)).count() == 0
+
+
+def test_parse_errors_are_hunks_that_break_off_or_have_no_numbers(spark):
+    bad = changes(spark, DIFF.rsplit("\n", 1)[0], "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@\n+a", DIFF)
+    assert {r.change_id for r in lines.parse_errors(bad).collect()} == {0, 1}
+
+
+def test_zones_skip_docs_comments_config_topics_and_removed_lines(spark):
+    hits = scans.zone_hits(lines.diff_lines(changes(spark, DIFF))).collect()
+    assert {(r.file, r.line, r.zone) for r in hits} == {("src/app.py", 2, "command_injection"), ("src/app.py", 5, "auth"), ("conf/app.yml", 4, "command_injection")}
+
+
+def test_hash_field_takes_back_crypto_only(spark):
+    d = lines.code_to_patch(spark.createDataFrame([(1, "a.py", f'content_hash = "{"a" * 64}" # sign\nhash(x)\nsha1'), (2, "b.py", "secret_hash")], "change_id long, path string, code string"))
+    hits = {(r.change_id, r.line, r.zone) for r in scans.zone_hits(lines.diff_lines(d)).collect()}
+    assert (1, 1, "crypto") not in hits and (1, 2, "crypto") in hits and (1, 3, "weak_crypto") in hits and (2, 1, "auth") in hits
+
+
+def test_secrets_block_in_source_and_not_in_tests(spark):
+    key = "-----BEGIN PRIVATE KEY-----"
+    d = lines.code_to_patch(spark.createDataFrame([(1, "a.py", key), (2, "tests/a.py", key), (3, "a.py", 'password = "hunter2hunter2"'), (4, "a.py", "x = 1")], "change_id long, path string, code string"))
+    each = lines.diff_lines(d)
+    found = scoring.zone_findings(scans.zone_hits(each), scans.secret_hits(each))
+    got = {r.change_id: r.decision for r in decision.decide(d, decision.map_findings(found)).collect()}
+    assert got == {1: "block", 2: "merge-with-conditions", 3: "merge-with-conditions", 4: "merge"}
+
+
+def test_only_provable_findings_block(spark):
+    rows = [(i, s, "c", None, f"d{i}", p, i) for i, (s, p) in enumerate([("critical", False), ("high", True), ("critical", True), ("low", True)])]
+    f = spark.createDataFrame(rows, "change_id long, severity string, category string, location string, description string, provable boolean, seq long")
+    got = {r.change_id: r.decision for r in decision.decide(f.select("change_id"), f).collect()}
+    assert got == {0: "merge-with-conditions", 1: "merge-with-conditions", 2: "block", 3: "merge"}
+
+
+def test_severity_fails_closed(spark):
+    df = spark.createDataFrame([("HIGH",), ("odd",), (None,), ("info",)], "s string")
+    got = df.select(fn.severity(F.col("s")), fn.severity_rank(F.col("s")), fn.downgrade(F.col("s"))).collect()
+    assert [tuple(r) for r in got] == [("high", 3, "medium"), ("critical", 4, "high"), ("critical", 4, "high"), ("info", 0, "info")]
+
+
+def test_strictest_vote_wins_and_agreement_is_its_share(spark):
+    v = spark.createDataFrame([(1, "approve"), (1, "approve"), (1, "request_changes"), (2, "comment")], "change_id long, risk_assessment string")
+    got = {r.change_id: (r.consensus_risk, r.agreement_score) for r in votes.consensus(v).collect()}
+    assert got == {1: ("request_changes", 0.33), 2: ("comment", 1.0)}
+
+
+GOOD = {"review": {"summary": "s", "intent": "i", "concerns": ["a"], "risk_assessment": "approve", "confidence": 0.9, "rubric_scores": {"x": 3}}}
+
+
+def test_reviews_that_are_not_exactly_one_object_ask_for_changes(spark):
+    text = json.dumps(GOOD)
+    odd = json.loads(text)
+    odd["review"]["extra"] = 1
+    high = json.loads(text)
+    high["review"]["confidence"] = 2
+    cases = [text, "```json\n" + text + "\n```", text + " trailing", text + '},"y":2', json.dumps(odd), json.dumps(high), "", None]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, response string")
+    got = [r.risk_assessment for r in votes.validate_reviews(df).orderBy("i").collect()]
+    assert got == ["approve", "approve"] + ["request_changes"] * 6
+
+
+def test_chain_proof_and_seal_show_tampering(spark):
+    e = spark.createDataFrame([(1, i, "t", "2024-01-01", "me", f"d{i}") for i in range(3)], "bundle_id long, sequence int, event_type string, timestamp string, actor string, data string")
+    b = evidence.bundles(e, spark.createDataFrame([(1, "fine")], "bundle_id long, summary string"))
+    last = ""
+    for i in range(3):
+        last = hashlib.sha256(json.dumps({"actor": "me", "data": f"d{i}", "event_type": "t", "previous_hash": last, "timestamp": "2024-01-01"}, separators=(",", ":")).encode()).hexdigest()
+    assert b.first().final_hash == last
+    cases = {"ok": b, "seal differs": b.withColumn("summary", F.lit("x")), "seal is missing": b.withColumn("bundle_hash", F.lit(None).cast("string")), "event chain differs": b.withColumn("events", F.reverse("events")), "link differs": b.withColumn("links", F.transform("links", lambda x: x.withField("content_hash", F.lit("0"))))}
+    for reason, rows in cases.items():
+        assert evidence.verify(rows).first().reason == reason
+
+
+def test_bundle_id_is_uuid5(spark):
+    df = spark.createDataFrame([("o/r", 7, "abc")], "r string, n int, c string")
+    assert df.select(evidence.bundle_id(F.col("r"), F.col("n"), F.col("c"))).first()[0] == str(uuid.uuid5(uuid.NAMESPACE_URL, "o/r/pull/7/abc"))
+
+
+def test_hmac_and_redaction_are_stable(spark):
+    import hmac
+
+    df = spark.createDataFrame([("mail a@b.com and a@b.com", ), ("none",), (None,)], "t string")
+    rows = scans.redact(df, "t", "key").collect()
+    mark = hmac.new(b"key", b"a@b.com", "sha256").hexdigest()[:12]
+    assert rows[0].t_redacted == f"mail [HIDDEN:{mark}] and [HIDDEN:{mark}]" and rows[0].redactions["email"] == 1
+    assert rows[1].t_redacted == "none" and not rows[1].changed and rows[2].t_redacted == ""
+
+
+def test_ranges_merge_when_they_touch(spark):
+    p = spark.createDataFrame([(1, "f", n) for n in (3, 4, 5, 30, 41, 100)], "change_id long, path string, line_number int")
+    assert sorted((r.start, r.end) for r in origins.deleted_ranges(p).collect()) == [(3, 5), (30, 30), (41, 41), (100, 100)]
+    assert sorted((r.start, r.end) for r in origins.context_ranges(p).collect()) == [(1, 10), (25, 46), (95, 105)]
+
+
+def test_policies_reject_nonsense():
+    with pytest.raises(ValueError):
+        config.RiskPolicy(sizes={"large": 1, "medium": 2, "small": 3})
+    with pytest.raises(ValueError):
+        config.DecisionPolicy("x", ({"severity": "awful"},), (), 1)
