@@ -22,6 +22,12 @@ def _flags(pattern: str) -> str:
     return EXACT if any(x in pattern for x in (r"\w", r"\s", r"\b", ".*", "$")) else "(?iu)"
 
 
+def _found(rows: DataFrame, tests: list[Column]) -> DataFrame:
+    """A row for each test that gives a value, as _hit. An outer explode: for an inner one the planner adds a filter on
+    the array's size below it, which runs all patterns once more."""
+    return rows.withColumn("_hit", F.explode_outer(F.array_compact(F.array(*tests)))).where(F.col("_hit").isNotNull())
+
+
 def preview(content: Column, redacted: bool) -> Column:
     """The first 100 characters, trimmed; a mark instead where a redacted copy of the change exists."""
     return F.lit("[REDACTED]") if redacted else F.trim(F.substring(content, 1, 100))
@@ -41,7 +47,7 @@ def zone_hits(lines: DataFrame, zones: dict[str, str] = ZONES, redacted: bool =
         if name == "crypto":
             found = found & ~F.col("_raw").rlike("(?iuUd)" + HASH_FIELD)
         tests.append(F.when(found, F.struct(F.lit(i).alias("zone_no"), F.lit(name).alias("zone"))))
-    hit = added.withColumn("_hit", F.explode(F.array_compact(F.array(*tests))))
+    hit = _found(added, tests)
     return hit.select("change_id", "file_no", F.col("path").alias("file"), F.col("line_number").alias("line"), "ord", "_hit.zone_no", "_hit.zone", preview(F.col("content"), redacted).alias("content_preview"))
 
 
@@ -64,7 +70,7 @@ def secret_hits(lines: DataFrame, rules=SECRETS) -> DataFrame:
     """One row for each added line, of any file, and each rule found in it; hash fields are no secrets."""
     tests = [F.when(F.col("content").rlike(p), F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"), F.lit(v).alias("provable"))) for k, p, s, v in rules]
     added = lines.where((F.col("type") == "add") & ~F.col("content").rlike("(?iuUd)" + HASH_FIELD))
-    hit = added.withColumn("_hit", F.explode(F.array_compact(F.array(*tests))))
+    hit = _found(added, tests)
     return hit.select("change_id", "file_no", F.col("path").alias("file"), F.col("line_number").alias("line"), "ord", F.lit("entropy_secret").alias("zone"), "_hit.kind", "_hit.severity", "_hit.provable", F.lit("[REDACTED]").alias("content_preview"))
 
 
@@ -87,7 +93,7 @@ def rubric_findings(lines: DataFrame, rules: list[dict]) -> DataFrame:
         at = F.when(hit & F.col("type").isin("add", "remove"), F.struct(F.lit(no).alias("no"), F.col("ord").alias("at"), F.col("line_number").alias("line")))
         by_path = F.when(at_path, F.struct(F.lit(no).alias("no"), F.lit(2**31 - 1).alias("at"), F.lit(None).cast("int").alias("line")))
         where.append(F.when(~excepted, F.coalesce(at, by_path)))
-    each = lines.withColumn("_hit", F.explode(F.array_compact(F.array(*where))))
+    each = _found(lines, where)
     first = each.groupBy("change_id", "file_no", "path", F.col("_hit.no").alias("rule_no")).agg(F.min_by(F.col("_hit.line"), F.col("_hit.at")).alias("line"))
     column = lambda key: F.get(F.array(*[F.lit(r[key]) for r in rules]), F.col("rule_no"))
     return first.select("change_id", "file_no", F.col("path").alias("file"), "line", "rule_no", column("id").alias("rule_id"), F.when(is_test(F.col("path")), "info").otherwise(severity(column("severity"))).alias("severity"), column("message").alias("message"))
@@ -155,7 +161,7 @@ def trigger_hits(artifacts: DataFrame, pack: list[dict]) -> DataFrame:
     for t in pack:
         pattern = t.get("pattern") or r"\b(?:" + "|".join(rf"\Q{k}\E" for k in t["keywords"]) + r")\b"
         tests.append(F.when(F.col("text").rlike("(?iuUd)" + pattern), F.struct(F.lit(t["trigger"]).alias("trigger"), F.lit(t["category"]).alias("category"), F.lit(t["level"]).alias("level"))))
-    return artifacts.withColumn("_hit", F.explode(F.array_compact(F.array(*tests)))).select("artifact_id", "_hit.*")
+    return _found(artifacts, tests).select("artifact_id", "_hit.*")
 
 
 def band(df: DataFrame, score: str, bands: list[tuple[float, float, str]]) -> DataFrame:
