@@ -154,6 +154,26 @@ def test_licence_spellings_lines_and_marks_do_not_matter(spark):
     assert [r.notices for r in got] == [""] * 6 + ["Apache-2.0"]
 
 
+def test_licence_notices_and_headings_are_known_by_what_they_say(spark):
+    mit = f"{license._MIT}, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {license._AS_IS}"
+    bsd3 = f"{license._BSD_HEAD} {license._BSD_THIRD} {license._BSD_TAIL}"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. " + license._ISC
+    free = isc.replace(", provided that the above copyright notice and this permission notice appear in all copies", "")
+    whole = {
+        f"The MIT License (MIT)\n\nCopyright (c) 2020 A B\n\n{mit}": "MIT", isc: "ISC", f"BSD Zero Clause License\n\n{free}": "0BSD", f"BSD 3-Clause License\n\nCopyright (c) 2020, A B\n\n{bsd3}": "BSD-3-Clause",
+        f"BSD 2-Clause License\n\n{bsd3.replace(license._BSD_THIRD + ' ', '')}": "BSD-2-Clause", f"Our own terms\n\n{mit}": None,
+    }
+    lines = {
+        "Released under the MIT License.": "MIT", "This project is distributed under the terms of the Apache Licence, version 2.0": "Apache-2.0", "Available under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "# released under the GNU General Public License, version 3": "GPL-3.0", "Not released under the MIT License.": "", "Released under the MIT License.\nmore\nPublished under CC BY 4.0": "CC-BY-4.0,MIT", "a house under the hill": "",
+    }
+    got = [(r.license, r.notices) for r in license.scan(docs(spark, [*whole, *(f"prose\n{x}\nend" for x in lines)])).orderBy("doc_id").collect()]
+    assert got[: len(whole)] == [(x, "") for x in whole.values()]
+    assert got[len(whole) :] == [(None, x) for x in lines.values()]
+    some = license.NOTICES[::29] + license.NOTICES[-12:]
+    assert [r.notices for r in license.scan(docs(spark, [t for _, t in some])).orderBy("doc_id").collect()] == [n for n, _ in some]
+
+
 # Toxicity
 
 
