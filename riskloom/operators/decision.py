@@ -52,8 +52,11 @@ def decide(changes: DataFrame, findings: DataFrame, policy: DecisionPolicy = POL
 
 
 def gate(decisions: DataFrame, tiers: DataFrame, threshold: str = "L3") -> DataFrame:
-    """Adds tier, requires_approval, effective_decision, n_conditions and reason; a gated merge gets one more condition."""
-    j = decisions.join(tiers, "change_id")
+    """Adds tier, requires_approval, effective_decision, n_conditions, reason and parse_error; a gated merge gets one more
+    condition. A change without a tier is L2 with a parse_error."""
+    error = F.col("parse_error") if "parse_error" in tiers.columns else F.lit(False)
+    j = decisions.join(tiers.withColumn("parse_error", error), "change_id", "left")
+    j = j.withColumns({"parse_error": F.col("tier").isNull() | F.coalesce("parse_error", F.lit(False)), "tier": F.coalesce("tier", F.lit("L2"))})
     asks = (F.col("tier") >= threshold) | (F.col("decision") != "merge")
     gated = (F.col("tier") >= threshold) & (F.col("decision") == "merge")
     n = F.greatest(F.size(F.coalesce("conditions", F.array())), F.lit(0))

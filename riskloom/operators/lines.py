@@ -31,6 +31,7 @@ def parsed_lines(changes: DataFrame) -> DataFrame:
     """Every line of every diff with its place: what diff_lines and parse_errors select from.
 
     A hunk's body lasts until its header's counts are used up, so a removed line that looks like a file header is one.
+    A file starts at its "diff --git" line, or at a pair of --- and +++ that follows none.
     """
     each = changes.select("change_id", F.posexplode(F.split("diff", "\n")).alias("ord", "raw"))
     each = each.withColumn("_head", F.col("raw").rlike(_HUNK))
@@ -50,8 +51,18 @@ def parsed_lines(changes: DataFrame) -> DataFrame:
     path = F.when(~F.col("_body"), F.regexp_extract("raw", r"^\+\+\+ (?:b/)?([^\t]*)", 1))
     start = ~F.col("_body") & F.col("raw").startswith("--- ") & F.lead("raw").over(Window.partitionBy("change_id").orderBy("ord")).startswith("+++ ")
     source = F.when(start, F.regexp_extract("raw", r"^--- (?:a/)?([^\t]*)", 1))
-    each = each.withColumn("file_no", F.sum(start.cast("int")).over(by_change)).withColumn("_target", F.last(F.nullif(path, F.lit("")), ignorenulls=True).over(by_change)).withColumn("_source", F.last(source, ignorenulls=True).over(by_change))
-    return each.withColumn("path", F.when(F.col("_target") == "/dev/null", F.col("_source")).otherwise(F.col("_target")))
+    git = ~F.col("_body") & F.col("raw").startswith("diff --git ")
+    last = F.last(F.when(git, "git").when(start, "pair"), ignorenulls=True).over(Window.partitionBy("change_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
+    each = each.withColumn("_first", git | (start & F.coalesce(last != "git", F.lit(True)))).withColumn("file_no", F.sum(F.col("_first").cast("int")).over(by_change))
+    plain = lambda c: F.nullif(F.regexp_replace(c, '^"|"$', ""), F.lit(""))
+    header = lambda p, i=1: F.when(~F.col("_body"), plain(F.regexp_extract("raw", p, i)))
+    named = F.coalesce(header(r"^(?:rename|copy) to (.*)$"), header(r'^diff --git "?a/(.*?)"? "?b/\1"?$'), header(r'^diff --git .* "?b/(.*?)"?$'), header(r"^diff --git \S+ (\S+)$"))
+    mode = header(r"^(new|deleted) file mode ")
+    # What a header says holds to the end of its own file.
+    for name, value in (("_target", F.nullif(path, F.lit(""))), ("_source", source), ("_named", named), ("_mode", mode)):
+        seen = F.last(F.when(value.isNotNull(), F.struct("file_no", value.alias("v"))), ignorenulls=True).over(by_change)
+        each = each.withColumn(name, seen).withColumn(name, F.when(F.col(f"{name}.file_no") == F.col("file_no"), F.col(f"{name}.v")))
+    return each.withColumn("path", F.coalesce(F.when(F.col("_target") == "/dev/null", F.col("_source")).otherwise(F.col("_target")), "_named"))
 
 
 def diff_lines(changes: DataFrame) -> DataFrame:
@@ -59,7 +70,13 @@ def diff_lines(changes: DataFrame) -> DataFrame:
     is_new, is_deleted. Numbers are those of the new side, of the old side for removed lines."""
     kind = F.when(F.substring("raw", 1, 1) == "+", "add").when(F.substring("raw", 1, 1) == "-", "remove").otherwise("context")
     number = F.when(kind == "remove", F.col("_old_start") + F.col("_old")).otherwise(F.col("_new_start") + F.col("_new")).cast("int")
-    return parsed_lines(changes).where("_body").select("change_id", "file_no", "path", "hunk_no", "ord", kind.alias("type"), F.expr("substring(raw, 2)").alias("content"), number.alias("line_number"), (F.col("_source") == "/dev/null").alias("is_new"), (F.col("_target") == "/dev/null").alias("is_deleted"))
+    return parsed_lines(changes).where("_body").select("change_id", "file_no", "path", "hunk_no", "ord", kind.alias("type"), F.expr("substring(raw, 2)").alias("content"), number.alias("line_number"), *_kinds())
+
+
+def _kinds() -> list[Column]:
+    """is_new, is_deleted: by the paths of a file's headers, or by its mode."""
+    is_ = lambda c, v: F.coalesce(F.col(c) == v, F.lit(False))
+    return [(is_("_source", "/dev/null") | is_("_mode", "new")).alias("is_new"), (is_("_target", "/dev/null") | is_("_mode", "deleted")).alias("is_deleted")]
 
 
 def parse_errors(changes: DataFrame) -> DataFrame:
@@ -76,10 +93,25 @@ def fallback_totals(changes: DataFrame) -> DataFrame:
 
 
 def file_changes(lines: DataFrame) -> DataFrame:
-    """One row for each file of a change."""
+    """One row for each file of a change that has lines; changed_files has those without, too."""
     return lines.groupBy("change_id", "file_no").agg(F.first("path").alias("path"), F.count_if(F.col("type") == "add").alias("added"), F.count_if(F.col("type") == "remove").alias("removed"), F.bool_or("is_new").alias("is_new"), F.bool_or("is_deleted").alias("is_deleted"))
 
 
+def changed_files(changes: DataFrame) -> DataFrame:
+    """One row for each file of a diff, by its header or its lines: renamed, binary and empty files have no lines.
+
+    Columns are those of file_changes, and broken: a hunk of the file is what parse_errors looks for. A hunk lies in one
+    file; the lines after its end may be headers of the next.
+    """
+    each = parsed_lines(changes).select("*", *_kinds()).where("file_no > 0 or _body or _head")
+    n = lambda mark: F.count_if(F.col("_body") & F.col("raw").startswith(mark))
+    other = lambda mark: F.count_if(F.col("_body") & ~F.col("raw").startswith(mark))
+    short = F.bool_or("_head") & ((F.max("_old_n") != other("+")) | (F.max("_new_n") != other("-")))
+    odd = F.bool_or(F.col("raw").startswith("@@") & ~F.col("_head") & ~F.col("_body"))
+    hunks = each.groupBy("change_id", "file_no", "hunk_no").agg(F.max_by("path", "ord").alias("path"), F.max("ord").alias("ord"), n("+").alias("added"), n("-").alias("removed"), F.bool_or("is_new").alias("is_new"), F.bool_or("is_deleted").alias("is_deleted"), (F.coalesce(short, F.lit(False)) | odd).alias("broken"))
+    return hunks.groupBy("change_id", "file_no").agg(F.max_by("path", "ord").alias("path"), F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.bool_or("is_new").alias("is_new"), F.bool_or("is_deleted").alias("is_deleted"), F.bool_or("broken").alias("broken"))
+
+
 def change_totals(files: DataFrame) -> DataFrame:
     return files.groupBy("change_id").agg(F.count("*").alias("files_changed"), F.sum("added").alias("lines_added"), F.sum("removed").alias("lines_removed"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.config import EARLY_PATHS, RiskPolicy
 from riskloom.functions import any_match, downgrade, literal_map, severity, severity_rank
-from riskloom.operators.lines import is_test
+from riskloom.operators.lines import fallback_totals, is_test
 
 DEFAULT = RiskPolicy()
 
@@ -30,8 +30,9 @@ def zone_rank(zone: Column, policy: RiskPolicy = DEFAULT) -> Column:
     return severity_rank(F.coalesce(literal_map(policy.zone_severity)[zone], F.lit("medium")))
 
 
-def preliminary_tier(files: DataFrame, hits: DataFrame) -> DataFrame:
-    """change_id, preliminary_tier: from flags by change, so the order of files doesn't matter."""
+def preliminary_tier(files: DataFrame, hits: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+    """change_id, preliminary_tier: from flags by change, so the order of files doesn't matter. With changes, those of
+    which no file was parsed are L2."""
     p = F.col("path")
     flag = lambda t: F.bool_or(any_match(p, EARLY_PATHS[t]))
     f = files.groupBy("change_id").agg(flag("L4").alias("l4"), flag("L3").alias("l3"), flag("L1").alias("l1"), F.bool_or(~any_match(p, EARLY_PATHS["L0"])).alias("real"), F.sum(F.col("added") + F.col("removed")).alias("total"))
@@ -42,11 +43,18 @@ def preliminary_tier(files: DataFrame, hits: DataFrame) -> DataFrame:
     zone = F.when(F.col("z4"), 4).when(F.col("z3"), 3).when(F.col("z2"), 2).otherwise(0)
     size = F.when(F.col("total") > 500, 3).when(F.col("total") > 100, 2).otherwise(0)
     score = F.greatest(base, zone, size)
-    return j.select("change_id", F.concat(F.lit("L"), F.when((score == 0) & F.col("real"), 2).otherwise(score).cast("string")).alias("preliminary_tier"))
+    out = j.select("change_id", F.concat(F.lit("L"), F.when((score == 0) & F.col("real"), 2).otherwise(score).cast("string")).alias("preliminary_tier"))
+    return out if changes is None else changes.select("change_id").join(out, "change_id", "left").select("change_id", F.coalesce("preliminary_tier", F.lit("L2")).alias("preliminary_tier"))
 
 
-def floors(files: DataFrame, hits: DataFrame, policy: RiskPolicy = DEFAULT) -> DataFrame:
-    """change_id, file_score, zone_score, size_score, floor, protected: the deterministic part of the final tier."""
+def floors(files: DataFrame, hits: DataFrame, policy: RiskPolicy = DEFAULT, changes: DataFrame | None = None) -> DataFrame:
+    """change_id, file_score, zone_score, size_score, floor, protected: the deterministic part of the final tier.
+
+    With changes (change_id, diff) every change has a row, and parse_error tells those of which no file or not every hunk
+    was parsed: what was parsed counts, the size is at least that of the marks alone, and the floor is 2 at least.
+    """
+    if changes is not None:
+        return _all_floors(files, hits, policy, changes)
     f = files.groupBy("change_id").agg(F.max(path_score(F.col("path"), policy)).alias("file_score"), size_score(F.sum(F.col("added") + F.col("removed")), policy).alias("size_score"))
     z = hits.groupBy("change_id").agg(F.max(zone_rank(F.col("zone"), policy)).alias("zone_score"))
     j = f.join(z, "change_id", "left").withColumn("zone_score", F.coalesce("zone_score", F.lit(0)))
@@ -54,6 +62,17 @@ def floors(files: DataFrame, hits: DataFrame, policy: RiskPolicy = DEFAULT) -> D
     return j.select("change_id", "file_score", "zone_score", "size_score", "floor", (F.col("floor") >= 3).alias("protected"))
 
 
+def _all_floors(files: DataFrame, hits: DataFrame, policy: RiskPolicy, changes: DataFrame) -> DataFrame:
+    f = files.groupBy("change_id").agg(F.max(path_score(F.col("path"), policy)).alias("file_score"), F.sum(F.col("added") + F.col("removed")).alias("_total"), F.bool_or("broken").alias("_broken"))
+    z = hits.groupBy("change_id").agg(F.max(zone_rank(F.col("zone"), policy)).alias("zone_score"))
+    marks = fallback_totals(changes).select("change_id", F.greatest(F.col("lines_added") + F.col("lines_removed"), F.lit(0)).alias("_marks"))
+    j = marks.join(f, "change_id", "left").join(z, "change_id", "left").withColumn("parse_error", F.coalesce("_broken", F.lit(True)))
+    total = F.when(F.col("parse_error"), F.greatest(F.coalesce("_total", F.lit(0)), F.coalesce("_marks", F.lit(0)))).otherwise(F.col("_total"))
+    j = j.withColumns({"file_score": F.coalesce("file_score", F.lit(2)), "zone_score": F.coalesce("zone_score", F.lit(0)), "size_score": size_score(total, policy)})
+    j = j.withColumn("floor", F.greatest("file_score", "zone_score", "size_score", F.when(F.col("parse_error"), 2).otherwise(0)))
+    return j.select("change_id", "file_score", "zone_score", "size_score", "floor", (F.col("floor") >= 3).alias("protected"), "parse_error")
+
+
 def zone_findings(hits: DataFrame, secrets: DataFrame | None = None, policy: RiskPolicy = DEFAULT) -> DataFrame:
     """change_id, file, line, zone, rule_id, severity, provable, message, seq: one for each zone, file and line.
 
@@ -92,10 +111,11 @@ def concern_findings(verdicts: DataFrame) -> DataFrame:
 
 
 def final_tier(floor_rows: DataFrame, findings: DataFrame) -> DataFrame:
-    """change_id, tier: the floor, at least 4 with a critical finding and 3 with a high one."""
+    """change_id, tier (and parse_error, if the floors have it): the floor, at least 4 with a critical finding and 3 with
+    a high one."""
     worst = findings.groupBy("change_id").agg(F.max(severity_rank(F.col("severity"))).alias("worst"))
     lift = F.when(F.col("worst") == 4, 4).when(F.col("worst") == 3, 3).otherwise(0)
-    return floor_rows.join(worst, "change_id", "left").select("change_id", F.concat(F.lit("L"), F.greatest("floor", lift).cast("string")).alias("tier"))
+    return floor_rows.join(worst, "change_id", "left").select("change_id", F.concat(F.lit("L"), F.greatest("floor", lift).cast("string")).alias("tier"), *[c for c in floor_rows.columns if c == "parse_error"])
 
 
 def zone_drivers(hits: DataFrame, top: int = 3) -> DataFrame:

@@ -61,12 +61,12 @@ def b1_diff_lines(spark, d):
 
 @query
 def b2_file_changes(spark, d):
-    return lines.file_changes(inputs.changed_lines(spark, d)).drop("file_no")
+    return lines.changed_files(inputs.changes(spark, d)).drop("file_no", "broken")
 
 
 @query
 def b3_change_totals(spark, d):
-    return lines.change_totals(lines.file_changes(inputs.changed_lines(spark, d)))
+    return lines.change_totals(lines.changed_files(inputs.changes(spark, d)))
 
 
 @query
@@ -166,14 +166,14 @@ def d1_path_scores(spark, d):
 
 @query
 def d2_preliminary_tier(spark, d):
-    each = inputs.changed_lines(spark, d)
-    return scoring.preliminary_tier(lines.file_changes(each), scans.zone_hits(each))
+    changes = inputs.changes(spark, d)
+    return scoring.preliminary_tier(lines.changed_files(changes), scans.zone_hits(lines.diff_lines(changes)), changes)
 
 
 @query
 def d5_floors(spark, d):
-    each = inputs.changed_lines(spark, d)
-    return scoring.floors(lines.file_changes(each), scans.zone_hits(each))
+    changes = inputs.changes(spark, d)
+    return scoring.floors(lines.changed_files(changes), scans.zone_hits(lines.diff_lines(changes)), changes=changes).drop("parse_error")
 
 
 @query
@@ -202,9 +202,10 @@ def d9_concern_findings(spark, d):
 
 @query
 def d10_final_tier(spark, d):
-    each = inputs.changed_lines(spark, d)
+    changes = inputs.changes(spark, d)
+    each = lines.diff_lines(changes)
     hits = scans.zone_hits(each)
-    return scoring.final_tier(scoring.floors(lines.file_changes(each), hits), scoring.zone_findings(hits, scans.secret_hits(each)))
+    return scoring.final_tier(scoring.floors(lines.changed_files(changes), hits, changes=changes), scoring.zone_findings(hits, scans.secret_hits(each))).drop("parse_error")
 
 
 @query
@@ -422,7 +423,7 @@ def j5_ranked_candidates(spark, d):
 @query
 def j6_clean_sample(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("change_id"), F.col("source").alias("repo"))
-    return origins.clean_sample(lines.file_changes(inputs.changed_lines(spark, d)), docs)
+    return origins.clean_sample(lines.changed_files(inputs.changes(spark, d)), docs)
 
 
 @query
@@ -434,7 +435,7 @@ def j7_reversed(spark, d):
 @query
 def l1_assessed(spark, d):
     """The whole chain: the flagship query."""
-    return assess(inputs.changes(spark, d))
+    return assess(inputs.changes(spark, d)).drop("parse_error")
 
 
 @query

@@ -12,12 +12,12 @@ from riskloom.operators import decision, lines, scans, scoring
 
 
 def assess(changes: DataFrame) -> DataFrame:
-    """change_id, diff -> change_id, tier, decision: the whole chain, keyed by change_id throughout."""
+    """change_id, diff -> a row for every change with its tier and decision: the whole chain, keyed by change_id throughout."""
     each = lines.diff_lines(changes)
-    files, hits = lines.file_changes(each), scans.zone_hits(each)
+    files, hits = lines.changed_files(changes), scans.zone_hits(each)
     found = scoring.zone_findings(hits, scans.secret_hits(each))
-    tiers = scoring.final_tier(scoring.floors(files, hits), found)
-    return decision.gate(decision.decide(changes, decision.map_findings(found)), tiers).select("change_id", "tier", "decision", "effective_decision", "requires_approval", "n_conditions")
+    tiers = scoring.final_tier(scoring.floors(files, hits, changes=changes), found)
+    return decision.gate(decision.decide(changes, decision.map_findings(found)), tiers).select("change_id", "tier", "decision", "effective_decision", "requires_approval", "n_conditions", "parse_error")
 
 
 def scan_stream(changes: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

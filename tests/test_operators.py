@@ -54,6 +54,21 @@ def test_parse_errors_are_hunks_that_break_off_or_have_no_numbers(spark):
     assert {r.change_id for r in lines.parse_errors(bad).collect()} == {0, 1}
 
 
+def test_every_change_is_assessed_and_every_file_counts(spark):
+    from riskloom.streaming import assess
+
+    renamed = "diff --git a/src/x.py b/src/payment/x.py\nsimilarity index 100%\nrename from src/x.py\nrename to src/payment/x.py"
+    binary = "diff --git a/docs/a.md b/docs/a.md\n--- a/docs/a.md\n+++ b/docs/a.md\n@@ -1,1 +1,1 @@\n-a\n+b\ndiff --git a/logo.bin b/logo.bin\nnew file mode 100644\nBinary files /dev/null and b/logo.bin differ"
+    bare = "diff --git a/docs/b.md b/docs/b.md\n@@ -1,1 +1,1 @@\n-a\n+b"
+    broken = DIFF.rsplit("\n", 1)[0]
+    d = changes(spark, None, "", "no diff", renamed, binary, bare, broken, "\n".join(["diff --git a/x b/x"] + ["+x"] * 600))
+    files = {(r.change_id, r.path, r.added, r.removed, r.is_new, r.broken) for r in lines.changed_files(d).where("change_id < 6").collect()}
+    assert files == {(3, "src/payment/x.py", 0, 0, False, False), (4, "docs/a.md", 1, 1, False, False), (4, "logo.bin", 0, 0, True, False), (5, "docs/b.md", 1, 1, False, False)}
+    got = {r.change_id: (r.tier, r.parse_error) for r in assess(d).collect()}
+    assert set(got) == set(range(8)) and got[0] == got[1] == got[2] == ("L2", True)
+    assert got[3] == ("L4", False) and got[4] == ("L2", False) and got[5] == ("L0", False) and got[6][1] and got[6][0] >= "L2"
+
+
 def test_zones_skip_docs_comments_config_topics_and_removed_lines(spark):
     hits = scans.zone_hits(lines.diff_lines(changes(spark, DIFF))).collect()
     assert {(r.file, r.line, r.zone) for r in hits} == {("src/app.py", 2, "command_injection"), ("src/app.py", 5, "auth"), ("conf/app.yml", 4, "command_injection")}
