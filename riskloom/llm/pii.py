@@ -20,28 +20,34 @@ from riskloom.llm.shared import cut
 KINDS = ("email", "ip", "card", "phone", "id")
 OTHER = 4
 #: Java patterns with the matches that the contract's have. Runs are possessive, and a match starts where a run or the
-#: search does, so that no run is searched twice. A card's pattern asks for the least number of digits at once.
+#: search does, so that no run is searched twice. A card's pattern asks for the least number of digits at once. A token
+#: of any length has a digit after letters and single hyphens, and six characters; it starts after no hyphen of its own.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?+[0-9]){11,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "id": r"(?<![A-Za-z0-9])(?=[A-Za-z-]{0,12}[0-9])[A-Za-z0-9](?:[A-Za-z0-9]|[-_./:](?=[A-Za-z0-9])){5,63}+(?![A-Za-z0-9])",
+    "id": r"(?<![A-Za-z0-9])(?<![A-Za-z0-9]-)(?=[A-Za-z]*+(?:-[A-Za-z]++)*+-?+[0-9])(?=[A-Za-z0-9](?:[A-Za-z0-9]|[-_./:](?=[A-Za-z0-9])){5})[A-Za-z0-9]++(?:[-_./:][A-Za-z0-9]++)*+",
 }
 #: A text without a match of these has none of the kind.
 GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9]", "phone": r"\+[0-9]", "id": "[0-9]"}
 #: A pattern is trusted with so many known instances, and with such a share of all its instances known.
-LEAST_KNOWN, LEAST_SHARE, ROUNDS = 3, 0.5, 3
+LEAST_KNOWN, LEAST_SHARE = 3, 0.5
 
 
 def _hits(kind: int, text: Column) -> Column:
     """Every match of a kind with the number of characters since the one before, and the last of those characters."""
     name = KINDS[kind]
     found = F.arrays_zip(F.split(text, PATTERNS[name], -1).alias("gap"), F.regexp_extract_all(text, F.lit(PATTERNS[name]), F.lit(0)).alias("m"))
-    rows = F.transform(found, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), F.substring(x["gap"], -48, 48).alias("before"), x["m"].alias("m")))
+    rows = F.transform(found, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.length(x["gap"]).alias("gap"), _before(x["gap"]).alias("before"), x["m"].alias("m")))
     return F.when(text.contains(GUARDS[name]) if name == "email" else text.rlike(GUARDS[name]), F.filter(rows, lambda x: x["m"].isNotNull()))
 
 
+def _before(gap: Column) -> Column:
+    """The last two words of a gap whole, and all that follows them, in reverse: read from there, no word is searched twice."""
+    return F.regexp_extract(F.reverse(gap), r"^[^\p{L}]*+(?:\p{L}\S*+(?:\s++\S++)?+)?+", 0)
+
+
 def _valid(kind: Column, m: Column) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     parts = F.forall(F.split(m, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.try_to_number(F.right(F.concat(F.lit("000"), p), F.lit(3)), F.lit("999")), F.lit(0)) <= 255))
@@ -76,31 +82,32 @@ def _patterns() -> Column:
     """The lexical patterns that a match stands in: the two words before it with the marks between them, and, if marks
     stand between it and the last word (a label), that word with its marks; in lower case with digits as 0."""
     plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), "[0-9]", "0"), r"\s+", " "))
-    two = plain(F.regexp_extract("before", r"(?:^|\s)(\S*\p{L}\S*\s+\S*\p{L}[^\p{L}]*)$", 1))
-    label = plain(F.regexp_extract("before", r"(?:^|\s)([^\s\p{L}]*\p{L}\S*?\s*[:=#][^\p{L}]*)$", 1))
+    two = plain(F.reverse(F.regexp_extract("before", r"^[^\p{L}]*+\p{L}\S*+\s++[^\s\p{L}]*+\p{L}\S*+", 0)))
+    marks = F.reverse(F.regexp_extract("before", r"^[^\p{L}]*+", 0))
+    label = F.when(marks.rlike(r"^[^\s:=#]*+\s*+[:=#]"), plain(F.reverse(F.regexp_extract("before", r"^[^\p{L}]*+\p{L}\S*+", 0)))).otherwise("")
     return F.array_distinct(F.array_except(F.array(two, label), F.array(F.lit(""))))
 
 
-def bootstrap(hits: DataFrame, rounds: int = ROUNDS, least_known: int = LEAST_KNOWN, least_share: float = LEAST_SHARE) -> DataFrame:
-    """pattern, known, total: the trusted patterns after at most `rounds` rounds, learned from all hits.
+def bootstrap(hits: DataFrame, least_known: int = LEAST_KNOWN, least_share: float = LEAST_SHARE) -> DataFrame:
+    """pattern, known, total: the trusted patterns, learned from all hits.
 
     The graph has an edge for each distinct pair of pattern and instance. A round counts, for each pattern, its known
     instances and all, trusts it at least_known and least_share, and makes all instances of trusted patterns known.
-    Rounds end early when nothing new is known. Every step is a sum by key or a join that skew handling can split.
+    Rounds end when nothing new is known; each is written to the shared folder. Every step is a sum by key or a join that
+    skew handling can split.
     """
     each = hits.select(F.explode(F.concat("base", "ids")).alias("x")).select("x.value", (F.col("x.kind") < OTHER).alias("seed"), F.explode("x.patterns").alias("pattern"))
     edges = cut(each.groupBy("pattern", "value").agg(F.bool_or("seed").alias("seed")), "pii-edges")
     known, n = edges.where("seed").select("value").distinct(), -1
-    for _ in range(rounds):
+    while True:
         marked = edges.join(known.select(F.col("value").alias("_v"), F.lit(1).alias("_k")), F.col("value") == F.col("_v"), "left")
         counts = marked.groupBy("pattern").agg(F.sum(F.coalesce("_k", F.lit(0))).alias("known"), F.count("*").alias("total"))
         trusted = cut(counts.where((F.col("known") >= least_known) & (F.col("known") >= least_share * F.col("total"))), "pii-patterns")
         fresh = edges.join(trusted.select("pattern"), "pattern", "left_semi").select("value")
         known = cut(known.select("value").union(fresh).distinct(), "pii-known")
         if (now := known.count()) == n:
-            break
+            return trusted
         n = now
-    return trusted
 
 
 def find(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:

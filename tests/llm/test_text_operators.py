@@ -268,6 +268,30 @@ def test_contexts_of_known_entities_find_unknown_ones(spark):
     assert clean[0] == "intro words member id: [ID] end" and clean[2] == "member id: [EMAIL] end" and clean[32] is None
 
 
+def test_tokens_of_any_length_are_found_whole(spark):
+    tokens = ["q" * 20 + "123", "sess-" + "ab12" * 40, "abcdefgh-ijklmnop-qrstuv-00123", "A" * 3_000 + "-" + "9" * 300, "k" + "1" * 5_000]
+    known = [f"member id: user{i}@mail.org end" for i in range(30)]
+    odd = ["a-" * 20_000, "a--" * 20_000, "a_" * 20_000, "1-" * 20_000 + "x", "x" * 100_000, "member id: ab-12 x"]
+    got = {r.doc_id: r.text for r in pii.redact(docs(spark, [*(f"a member id: {t} end" for t in tokens), *known, *odd])).collect()}
+    assert [got[i] for i in range(len(tokens))] == ["a member id: [ID] end"] * len(tokens)
+    assert [got[len(tokens) + len(known) + i] for i in range(len(odd))] == odd
+
+
+def test_bootstrapping_goes_on_as_long_as_it_learns(spark):
+    # Each link's pattern shares its tokens with the one before, and is trusted only once that one is.
+    links = [f"word link{chr(97 + k)}: tok{k + j}{i:03d}x end" for k in range(8) for j in (0, 1) for i in range(3)]
+    seeds = [f"word linka: u{i}@mail.org end" for i in range(6)]
+    got = pii.report(docs(spark, [*links, *seeds])).collect()
+    assert all(r.n_id == 1 for r in got if r.doc_id < len(links))
+
+
+def test_contexts_are_whole_words(spark):
+    long = "w" * 60
+    known = [f"{a}{long} {long}: user{i}@mail.org end" for i in range(5) for a in "a"]
+    got = {r.doc_id: r.n_id for r in pii.report(docs(spark, [f"a{long} {long}: AB12345X end", f"x {long[:-1]}: AB99999X end", *known])).collect()}
+    assert (got[0], got[1]) == (1, 0)
+
+
 def test_rows_that_repeat_and_empty_tables(spark):
     d = docs(spark, ["call +1 555 555 0100", None])
     twice = pii.report(d.union(d)).collect()
