@@ -162,3 +162,10 @@ def test_pipeline_stages_do_their_work(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, str(tmp_path))
         assert empty.count() == 0
+
+
+def test_components_are_finished_or_an_error(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")
+    assert {(r.node, r.root) for r in components(path).collect()} == {(i, 0) for i in range(61)}
+    with pytest.raises(RuntimeError):
+        components(path, rounds=1)
