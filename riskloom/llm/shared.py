@@ -31,11 +31,43 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: no lineage to recompute when an executor is lost."""
-    path = f"{scratch_dir(df.sparkSession)}/riskloom-{name}-{uuid.uuid4().hex}"
+    return _written(df, f"{scratch_dir(df.sparkSession)}/riskloom-{name}-{uuid.uuid4().hex}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run in a folder of their own below the shared one. A table may go once what follows from it is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.n = spark, f"{scratch_dir(spark)}/riskloom-{name}-{uuid.uuid4().hex}", 0
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        out = _written(df, f"{self.path}/{self.n}-{name}")
+        out.scratch = f"{self.path}/{self.n}-{name}"
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes the given tables, or all of the run if none is given."""
+        for path in [t.scratch for t in tables] or [self.path]:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def named(*names: str) -> list[Column]:
+    """Columns by their exact names, dots and backquotes included."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def whole_row(df: DataFrame, *, but: tuple[str, ...] = ()) -> Column:
+    """All columns of df as one struct, so that helper columns beside it clash with none; `_row.*` gives them back."""
+    return F.struct(*named(*[c for c in df.columns if c not in but])).alias("_row")
+
+
 def n_words(text: Column) -> Column:
     """Maximal runs of anything but SPACE; null has none."""
     trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACE}|{SPACE}$", "")

@@ -53,8 +53,8 @@ def near_texts(n=160, seed=5):
     return [*out, None, "", " \t", "one", "ONE", "one two", "a b c d", "A b\tc d", "É x y z w", "é x y z w", "v " * 20_000]
 
 
-def test_near_duplicates_match_brute_force(spark):
-    texts = near_texts()
+def test_near_duplicates_match_brute_force(spark, n=160):
+    texts = near_texts(n)
     df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, n long")
     sets = {i: shingles(t) for i, t in enumerate(texts)}
 
@@ -80,8 +80,65 @@ def test_rows_without_ids_repeated_rows_and_no_rows(spark):
 
 def test_small_blocks_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(dedup, "BLOCK", 3)
-    monkeypatch.setattr(dedup, "FEW", 0)
-    test_near_duplicates_match_brute_force(spark)
+    monkeypatch.setattr(dedup, "HEAVY", 64)
+    monkeypatch.setattr(dedup, "BATCH", 2_000)
+    monkeypatch.setattr(dedup, "PLACES", 2)
+    test_near_duplicates_match_brute_force(spark, 40)
+
+
+def crowd(n, edits, seed):
+    """n texts of 60 words that differ from one in so many places each, most of them short of the threshold with each other."""
+    r = random.Random(seed)
+    base = [f"b{r.randrange(10**6)}" for _ in range(60)]
+    out = []
+    for _ in range(n):
+        text = list(base)
+        for at in r.sample(range(60), r.choice(edits)):
+            text[at] = f"e{r.randrange(10**6)}"
+        out.append(" ".join(text))
+    return out
+
+
+def crowd_components(texts):
+    """By counts of common shingles for all pairs at once."""
+    sets = [shingles(t) for t in texts]
+    names = {x: i for i, x in enumerate(dict.fromkeys(x for s in sets for x in s))}
+    has = np.zeros((len(sets), len(names)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [names[x] for x in s]] = 1
+    both, n = has @ has.T, has.sum(axis=1)
+    near = 100 * both >= 75 * (n[:, None] + n[None, :] - both)
+    root = np.arange(len(sets))
+    while True:
+        least = np.where(near, root[None, :], len(sets)).min(axis=1)
+        if (least == root).all():
+            return root
+        root = np.minimum(root, least)
+
+
+def test_a_large_group_below_the_threshold_of_each_other(spark):
+    texts = crowd(900, (2, 2, 3, 4), 4)
+    shared = " ".join(f"s{i}" for i in range(40))
+    r = random.Random(6)
+    passage = [f"{shared} " + " ".join(f"o{r.randrange(10**6)}" for _ in range(12)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts + passage)), "doc_id long, text string")
+    want = [*crowd_components(texts).tolist(), *range(900, 1_200)]
+    assert 50 < len(set(want[:900])) < 900
+    assert [x.component_id for x in dedup.near_duplicates(df).orderBy("doc_id").collect()] == want
+
+
+def test_short_sets_at_the_threshold_always_meet(spark):
+    # Words of sets of 3 of 4 and 4 of 5 shingles: an index of 0.75 and 0.8.
+    texts = [x for f in range(1_000) for x in (f"{f}a {f}b {f}c {f}d {f}e {f}f {f}g", f"{f}a {f}b {f}c {f}d {f}e {f}f {f}g {f}h")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert dedup.near_duplicates(df).where("component_id <> doc_id - doc_id % 2").count() == 0
+
+
+def test_a_very_long_copy_and_odd_column_names(spark):
+    long = " ".join(f"w{i}" for i in range(400_000))
+    df = spark.createDataFrame([(1, long, "x", 1, 2), (2, long + " tail", "y", 1, 2), (2, long + " tail", "x", 1, 2), (3, None, "z", 1, 2)], "doc_id long, text string, `a.b` string, _nth long, _kept long")
+    assert sorted((r.doc_id, r.component_id) for r in dedup.near_duplicates(df).collect()) == [(1, 1), (2, 1), (2, 1), (3, 3)]
+    assert sorted((r["doc_id"], r["a.b"]) for r in dedup.kept_rows(df.union(df.where("doc_id = 1"))).collect()) == [(1, "x"), (3, "z")]
 
 
 def test_estimates_are_near_the_index():
