@@ -8,7 +8,8 @@ scoring gathers from it with numpy for the n-grams that a text has.
 
 from __future__ import annotations
 
-import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 from riskloom.llm import kernels
 from riskloom.llm.shared import blocks
 
-LETTER = re.compile(r"[^\W\d_]")
 U = np.uint64
+#: Labels that a model may have: with 2**14 bins of 8 bytes, 64 MB to broadcast at most.
+MOST_LABELS = 512
 
 
 def grams(texts: list[str], orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -29,15 +31,12 @@ def grams(texts: list[str], orders: tuple[int, ...], bits: int) -> tuple[np.ndar
     Characters other than letters count as one space and runs of them as one: digits, marks and layout say little of a
     language. Each text has a space before and after it.
     """
-    joined = "\x00".join(f" {t} " for t in texts).lower()
-    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = code == 0
-    kind = letters()
-    code = np.where(code < len(kind), kind[np.minimum(code, len(kind) - 1)] * code, code)
-    code = np.where(code == 0, np.uint32(32), code)
-    keep = (code != 32) | np.concatenate([[True], code[:-1] != 32]) | ends
-    doc = np.cumsum(ends)[keep]
-    code = code[keep].astype(U)
+    padded = [f" {t} ".lower() for t in texts]
+    code = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
+    doc = np.repeat(np.arange(len(padded)), [len(t) for t in padded])
+    code = np.where(letters()[code], code, np.uint32(32))
+    keep = (code != 32) | np.concatenate([[True], code[:-1] != 32])[: len(code)] | np.concatenate([[True], doc[1:] != doc[:-1]])[: len(code)]
+    doc, code = doc[keep], code[keep].astype(U)
     bins, docs = [], []
     h = np.zeros(len(code), U)
     for n in range(1, max(orders) + 1):
@@ -55,12 +54,16 @@ _letters: list[np.ndarray] = []
 
 
 def letters() -> np.ndarray:
-    """1 for the letters among the first 0x3000 code points; those beyond all count as letters."""
+    """By code point, whether it is a letter: Unicode's categories L."""
     if not _letters:
-        _letters.append(np.array([chr(i).isalpha() for i in range(0x3000)], np.uint32))
+        _letters.append(np.array([unicodedata.category(chr(i))[0] == "L" for i in range(sys.maxunicode + 1)]))
     return _letters[0]
 
 
+def has_letter(text: str) -> bool:
+    return any(unicodedata.category(c)[0] == "L" for c in text)
+
+
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", orders: tuple[int, ...] = (1, 2, 3), bits: int = 14) -> dict:
     """A model from all rows with a text and a label: labels in order, log-probabilities (labels x bins), log-priors."""
 
@@ -79,13 +82,18 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", o
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array([-1, *at.tolist()], pa.int32()), pa.array([n[lang], *total[at].tolist()], pa.int64())], ["lang", "bin", "n"])
 
+    # A model has a row for each label: what is no short list of languages is refused rather than brought home.
+    found = labelled.where(F.col(text_col).isNotNull()).select(lang_col).distinct().limit(MOST_LABELS + 1).count()
+    if found > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels in {lang_col}")
     rows = labelled.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t is not null and l is not null")
     counts = rows.mapInArrow(count, "lang string, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
     lang, at, n = (counts.column(i).to_numpy() for i in range(3))
     names = sorted(set(lang.tolist()))
     if not names:
         return {"names": [], "logp": np.zeros((0, 1 << bits)), "prior": np.zeros(0), "orders": orders, "bits": bits}
-    row = np.array([names.index(x) for x in lang])
+    place = {x: i for i, x in enumerate(names)}
+    row = np.array([place[x] for x in lang])
     table = np.zeros((len(names), 1 << bits))
     table[row[at >= 0], at[at >= 0]] = n[at >= 0]
     prior = np.zeros(len(names))
@@ -97,7 +105,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", o
 def score(texts: list[str | None], model: dict) -> tuple[list[str], np.ndarray]:
     """Label and posterior probability of each text; `und` and 0 for a null text, one without a letter, or no model."""
     out, prob = ["und"] * len(texts), np.zeros(len(texts))
-    todo = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model["names"] else []
+    todo = [i for i, t in enumerate(texts) if t and has_letter(t)] if model["names"] else []
     logp = np.ascontiguousarray(model["logp"].T)
     for a, b in blocks([len(texts[i]) for i in todo], kernels.BLOCK):
         bins, doc = grams([texts[i] for i in todo[a:b]], model["orders"], model["bits"])
