@@ -143,6 +143,54 @@ def test_languages_are_told_apart(spark):
     assert {r.lang_pred for r in langid.predict(d, none).collect()} == {"und"}
 
 
+def brute_bayes(train, texts, orders=(1, 2, 3), bits=14):
+    """Naive Bayes by counters, with the same n-grams and bins: log-odds summed text by text."""
+    import math
+    import unicodedata
+
+    def bins(t):
+        t = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in f" {t} ".lower())
+        t = re.sub(" +", " ", t)
+        out = []
+        for n in orders:
+            for i in range(len(t) - n + 1):
+                h = 0
+                for c in t[i : i + n]:
+                    h = (h * kernels.BASE + ord(c) + 1) % 2**64
+                x = (h + n) % 2**64
+                x = (x ^ x >> 30) * kernels.MIX_1 % 2**64
+                x = (x ^ x >> 27) * kernels.MIX_2 % 2**64
+                out.append((x ^ x >> 31) >> (64 - bits))
+        return out
+
+    langs = sorted({x for _, x in train})
+    seen = {k: Counter() for k in langs}
+    rows = Counter(x for _, x in train)
+    for t, k in train:
+        seen[k].update(bins(t))
+    total = {k: sum(seen[k].values()) + 0.5 * 2**bits for k in langs}
+    prior = {k: math.log((rows[k] + 1) / (len(train) + len(langs))) for k in langs}
+    out = []
+    for t in texts:
+        score = {k: prior[k] + sum(math.log((seen[k][b] + 0.5) / total[k]) for b in bins(t)) for k in langs}
+        best = max(score.values())
+        out.append((min(k for k in langs if score[k] == best), 1 / sum(math.exp(x - best) for x in score.values())))
+    return out
+
+
+def test_languages_match_brute_force_with_odd_characters(spark):
+    words = {"en": "the house and that with which they were", "de": "das haus und nicht mit welche sie waren schön", "fr": "la maison et que avec lesquels étaient"}
+    train = [(f"{w} {i}", k) for k, v in words.items() for i, w in enumerate(v.split())]
+    texts = ["x\0" + words["de"], words["fr"], words["en"], "\0\0", "a\0b", "İstanbul das", "½²①", "、。", "日本", "no\0 la maison", "Ünd"]
+    model = langid.train(docs(spark, [t for t, _ in train], lang=[k for _, k in train]))
+    got = [(r.lang_pred, r.score) for r in langid.predict(docs(spark, texts), model).orderBy("doc_id").collect()]
+    und = {3, 6, 7}
+    for i, (have, want) in enumerate(zip(got, brute_bayes(train, texts))):
+        assert have[0] == ("und" if i in und else want[0]) and abs(have[1] - (0 if i in und else want[1])) < 1e-9, texts[i]
+    with pytest.raises(ValueError):
+        langid.train(docs(spark, ["t"] * 600, lang=[str(i) for i in range(600)]))
+
+
 # Licences
 
 
@@ -318,6 +366,20 @@ def test_ids_are_those_of_whole_texts_and_decode(spark):
     assert bpe.encode_documents(d.limit(0), RANKS, P.PATTERN).count() == 0
 
 
+def test_very_long_white_space(spark):
+    enc = bpe.encoder(RANKS, P.PATTERN)
+    runs = [" " * 2_000_000, "\t" * 300_000, " \n\t\u3000" * 100_000, "\x1c " * 50_000]
+    texts = [a + r + b for r in runs for a, b in (("", ""), ("x", ""), ("", "y"), ("don't", "we're ok"), ("a ", ".\n"))]
+    # Each match of the pattern by itself: a run is one up to its last character, and what follows starts with that.
+    short = [a + r[:6_000] + b for r in runs for a, b in (("x", ""), ("", "y"), ("a ", "b"))]
+    for r in bpe.encode_documents(docs(spark, texts + short), RANKS, P.PATTERN, digests=True).collect():
+        t = (texts + short)[r.doc_id]
+        assert r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+        if r.doc_id >= len(texts):
+            assert r.ids == enc.encode_ordinary(t)
+    assert bpe.encode("x" + runs[0] + "y", bpe._encodings(open(RANKS, "rb").read(), P.PATTERN)) == enc.encode_ordinary("x") + enc.encode_ordinary(" ") * 1_999_999 + enc.encode_ordinary(" y")
+
+
 def test_words_hash_alike_where_they_are_alike():
     doc, (h, p) = kernels.words([b"Abc abc  ABC\tabcd", b"", b"abc"], (3,))
     assert doc.tolist() == [0, 0, 0, 0, 2] and len(set(h[[0, 1, 2, 4]].tolist())) == 1 and h[3] != h[0]
