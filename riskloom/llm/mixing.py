@@ -1,10 +1,12 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Targets come from water-filling over one small row per source. A document of a source whose target is f times its size
-is due f copies: the whole part of f is certain, and the rest is an inclusion probability p. Documents are ranked by
-random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)) with u from a hash of the document's id, and taken in
-that order until the words that the certain copies leave open are filled. The cut in that order is found from a histogram
-of u by source, so that only documents within one bin are ever sorted: a source with most of all rows is no hot key.
+is due f copies: the whole part of f is certain. For the rest, a document's inclusion probability p is proportional to its
+size (to the power of two below it) and capped at 1, such that the expected words are those that the certain copies leave
+open. Documents are ranked by random odds over inclusion odds, (u / (1 - u)) / (p / (1 - p)) with u from a hash of the
+document's id, and taken in that order until the next one doesn't fit; the words still open are then filled by the later
+ones that are no longer than that. Both cuts are found from a histogram of the ranks by source, so that only documents
+within one bin are ever sorted: a source with most of all rows is no hot key.
 """
 
 from __future__ import annotations
@@ -12,20 +14,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.shared import cut, n_words
+from riskloom.llm.shared import cut, n_words, whole_row
 
 #: Fixed weights, by rank of the source.
 WEIGHTS = (5, 2, 1)
 MOST = 3
-#: Sources up to which their table of targets is broadcast; above, the join shuffles.
-FEW = 100_000
-#: Bits of a hash that make u, and those of them that name a bin.
+#: Bits of a hash that make u, and of the rank's bins.
 U_BITS, BIN_BITS = 32, 14
 
 
-def random_bits(doc_id: Column, seed: int = 0) -> Column:
-    """U_BITS bits from the MD5 of the id (and of a seed other than 0), as a long: the same on every run."""
-    key = F.coalesce(doc_id.cast("string"), F.lit("null"))
+def random_bits(doc_id: Column, text: Column, seed: int = 0) -> Column:
+    """U_BITS bits from the MD5 of the id, or of the text where there is none (and of a seed other than 0), as a long: the
+    same on every run."""
+    key = F.coalesce(doc_id.cast("string"), text, F.lit("null"))
     return F.conv(F.substring(F.md5(key if not seed else F.concat(key, F.lit(f"/{seed}"))), 1, U_BITS // 4), 16, 10).cast("long")
 
 
@@ -52,9 +53,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     """doc_id, source, text -> doc_id, source, size, source_size, target, copies, taken for every row.
 
     size counts the words of the text (a null text has none). Every source takes its certain copies and, in Pareto
-    order (ties: doc_id, nulls first, then size), the documents that bring it nearest to its target. A document with
-    no words is never taken more than certain copies say. Rows with a null source are a source of their own; rows that
-    repeat an id are documents of their own. Other columns are left behind.
+    order (ties: u, doc_id with nulls first, size), the documents that bring it near its target. A document with no words
+    is never taken more than certain copies say. Rows with a null source are a source of their own; rows alike in source,
+    id (text, if none) and size are taken together. Other columns are left behind.
     """
     d = cut(docs.select("doc_id", "source", *_keys(seed)), "mix")
     out = _copies(d, _plan(d, weights, most))
@@ -62,38 +63,76 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
-    """The rows of docs with all their columns, each as often as `mix` has copies of it. Only rows of one bin are shuffled."""
+    """The rows of docs with all their columns, each as often as `mix` has copies of it. No row is shuffled."""
     t = _plan(cut(docs.select("doc_id", "source", *_keys(seed)), "mix"), weights, most)
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "source", *_keys(seed))
-    out = _copies(whole, t).where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select("_row.*")
+    out = _copies(docs.select(whole_row(docs), "doc_id", "source", *_keys(seed)), t).where("copies > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def _keys(seed: int) -> list[Column]:
-    r = random_bits(F.col("doc_id"), seed)
-    return [n_words(F.col("text")).alias("size"), r.alias("_r"), F.shiftright(r, U_BITS - BIN_BITS).alias("_bin")]
+    size = n_words(F.col("text"))
+    return [size.alias("size"), random_bits(F.col("doc_id"), F.col("text"), seed).alias("_r")]
+
+
+def _ranked(d: DataFrame, t: DataFrame) -> DataFrame:
+    """d with what t says of its source, its place in Pareto order (_key) and the bin of it; both are null for no words."""
+    j = d.join(t, F.col("source").eqNullSafe(F.col("_s")))
+    u, p = (F.col("_r") + 0.5) / 2**U_BITS, F.col("_c") * _floor_size()
+    q = F.when(p >= 1, 0.0).when(p > 0, (u / (1 - u)) / (p / (1 - p)))
+    j = j.withColumn("_q", F.when(F.col("size") > 0, q))
+    key = F.when(F.col("_q").isNotNull(), F.struct("_q", "_r", "doc_id", "size"))
+    return j.withColumns({"_key": key, "_bin": F.floor(F.col("_q") / (1 + F.col("_q")) * 2**BIN_BITS)})
+
+
+def _floor_size() -> Column:
+    """The largest power of two that is no more than the size."""
+    return F.when(F.col("size") > 0, F.expr("shiftleft(1L, length(bin(size)) - 1)")).otherwise(0)
 
 
 def _plan(d: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
-    """One row for each source: its size and target, certain copies, the words still needed, and the bin that these end in."""
-    hist = d.groupBy("source", "_bin").agg(F.sum("size").alias("_n"))
-    t = targets(hist.groupBy("source").agg(F.sum("_n").alias("source_size")), weights, most)
+    """One row for each source: size and target, certain copies, the words still open (_need), c such that p is c times a
+    document's floored size, and where the two passes over the Pareto order end."""
+    classes = cut(d.groupBy("source", _floor_size().alias("_w")).agg(F.sum("size").alias("_n")), "mix-classes")
+    t = targets(classes.groupBy("source").agg(F.sum("_n").alias("source_size")), weights, most)
     f = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    t = t.withColumn("_sure", F.floor(f).cast("long")).withColumn("_need", F.greatest(F.lit(0.0), F.col("target") - F.col("_sure") * F.col("source_size")))
-    # p is one for a source, so the order of its ranking variable is that of u, and the bins of u come in that order.
-    earlier = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    sums = hist.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).withColumnRenamed("source", "_s")
-    t = t.join(sums, F.col("source").eqNullSafe(F.col("_s")) & F.expr("_before < _need and _before + _n >= _need"), "left")
-    return cut(t.select(F.col("source").alias("_s"), "source_size", "target", "_sure", "_need", F.col("_bin").alias("_cut"), "_before"), "mix-sources")
+    t = t.withColumn("_sure", F.floor(f).cast("long")).withColumn("_need", F.greatest(F.lit(0.0), F.col("target") - F.col("_sure") * F.col("source_size"))).withColumnRenamed("source", "_s")
+    order = Window.partitionBy("_s").orderBy(F.desc("_w"))
+    k = classes.where("_w > 0").join(t.select("_s", "_need"), F.col("source").eqNullSafe(F.col("_s")))
+    above = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("_n").cast("decimal(19,0)") * F.col("_w")).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)).cast("double")
+    k = k.withColumns({"_left": F.col("_need") - above, "_rest": rest})
+    # Sizes whose share would be more than one are certain; those below them share what these leave.
+    c = k.groupBy(F.col("_s").alias("_cs")).agg(F.max_by(F.col("_left") / F.col("_rest"), F.when(F.col("_left") * F.col("_w") <= F.col("_rest"), F.col("_w"))).alias("_c"))
+    t = cut(t.join(c, F.col("_s").eqNullSafe(F.col("_cs")), "left").drop("_cs").withColumn("_c", F.coalesce("_c", F.lit(0.0))), "mix-sources")
+    first = _pass(_ranked(d, t), "_need")
+    held = F.col("_before") + F.col("_earlier")
+    stop = first.groupBy(F.col("_s").alias("_p")).agg(F.first("_cut").alias("_cut"), F.min(F.when(held + F.col("_n") > F.col("_need"), F.struct("_key", (F.col("_need") - held).alias("gap")))).alias("_stop"))
+    t = cut(t.join(stop, F.col("_s").eqNullSafe(F.col("_p")), "left").drop("_p"), "mix-sources")
+    second = _pass(_ranked(d, t).where(_later()), "_stop.gap")
+    held = F.col("_before") + F.col("_earlier")
+    stop = second.groupBy(F.col("_s").alias("_p")).agg(F.first("_cut").alias("_cut2"), F.max(F.when(2 * (F.col("_words") - held) >= F.col("_n"), F.col("_key"))).alias("_stop2"))
+    return cut(t.join(stop, F.col("_s").eqNullSafe(F.col("_p")), "left").drop("_p"), "mix-sources")
+
+
+def _pass(ranked: DataFrame, words: str) -> DataFrame:
+    """For each source whose rows outweigh the given words: its rows of the bin in which these end, by key, with the words
+    of earlier bins (_before), of earlier keys in the bin (_earlier) and of the key (_n)."""
+    r = ranked.where(F.col("_key").isNotNull()).withColumn("_words", F.col(words))
+    bins = r.groupBy("_s", "_bin").agg(F.sum("size").alias("_n"), F.first("_words").alias("_words"))
+    bins = bins.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("_s").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ends = bins.where("_before < _words and _before + _n >= _words").select(F.col("_s").alias("_e"), F.col("_bin").alias("_cut_bin"), "_before")
+    edge = r.join(ends, F.col("_s").eqNullSafe(F.col("_e")) & (F.col("_bin") == F.col("_cut_bin"))).groupBy("_s", "_key").agg(F.sum("size").alias("_n"), F.first("_before").alias("_before"), F.first("_need").alias("_need"), F.first("_words").alias("_words"), F.first("_bin").alias("_cut"))
+    return edge.withColumn("_earlier", F.coalesce(F.sum("_n").over(Window.partitionBy("_s").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+def _later() -> Column:
+    """Whether a row comes after the first pass and may fill what it left open."""
+    return F.coalesce((F.col("_key") > F.col("_stop._key")) & (F.col("size") <= F.col("_stop.gap")), F.lit(False))
 
 
 def _copies(d: DataFrame, t: DataFrame) -> DataFrame:
     """d with what _plan says of its source, and copies."""
-    j = d.join(F.broadcast(t) if t.count() <= FEW else t, F.col("source").eqNullSafe(F.col("_s")))
-    clear = j.where("_cut is null or _bin <> _cut").withColumn("_more", F.expr("coalesce(_bin < _cut, false)"))
-    u = (F.col("_r") + 0.5) / 2**U_BITS
-    p = F.col("_need") / F.col("source_size")
-    rank = Window.partitionBy("source").orderBy((u / (1 - u)) / (p / (1 - p)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    held = F.col("_before") + F.coalesce(F.sum("size").over(rank), F.lit(0))
-    edge = j.where("_bin = _cut").withColumn("_more", 2 * (F.col("_need") - held) >= F.col("size"))
-    return clear.unionByName(edge).withColumn("copies", F.col("_sure") + F.col("_more").cast("long"))
+    j = _ranked(d, t)
+    fits = F.coalesce((F.col("_bin") < F.col("_cut")) | ((F.col("_bin") == F.col("_cut")) & (F.col("_stop").isNull() | (F.col("_key") < F.col("_stop._key")))), F.lit(False))
+    fills = _later() & F.coalesce(F.col("_cut2").isNull() | (F.col("_bin") < F.col("_cut2")) | ((F.col("_bin") == F.col("_cut2")) & (F.col("_key") <= F.col("_stop2"))), F.lit(False))
+    return j.withColumn("copies", F.col("_sure") + (fits | fills).cast("long"))

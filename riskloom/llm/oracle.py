@@ -23,7 +23,7 @@ from c group by conv_id
 _WORDS = "len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::bigint"
 
 OP3 = f"""
-with d as (select doc_id, source, {_WORDS} as size, ('0x' || substr(md5(coalesce(doc_id::varchar, 'null')), 1, 8))::bigint as r from documents),
+with d as (select doc_id, source, {_WORDS} as size, ('0x' || substr(md5(coalesce(doc_id::varchar, text, 'null')), 1, 8))::bigint as r from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, [5, 2, 1][1 + (row_number() over (order by source nulls last) - 1) % 3] as w from s),
 f as (
@@ -38,17 +38,24 @@ t as (
     case when capped then (source_size * 3)::double else (p.lft * w)::double / p.wsum end as target
   from g, p
 ),
-n as (
-  select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as sure from t
-),
-o as (
-  select d.doc_id, d.size, n.source_size, n.target, n.sure, n.target - n.sure * n.source_size as need,
-    coalesce(sum(d.size) over (partition by d.source order by d.r, d.doc_id nulls first, d.size rows between unbounded preceding and 1 preceding), 0) as held
-  from d join n on d.source is not distinct from n.source
-)
-select doc_id, size, source_size, target,
-  ((sure + case when need > 0 and held < need and 2 * (need - held) >= size then 1 else 0 end) * size)::bigint as taken
-from o
+n as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as sure from t),
+e as (select d.*, source_size, target, sure, greatest(0.0, target - sure * source_size) as need, case when size > 0 then (1::bigint << (length(bin(size)) - 1)) else 0 end as v
+  from d join n on d.source is not distinct from n.source),
+k as (select source, v, any_value(need) as need, sum(size) as n from e where v > 0 group by source, v),
+l as (select source, v, need - coalesce(sum(n) over (o rows between unbounded preceding and 1 preceding), 0)::double as lft,
+    (sum(n::hugeint * v) over (o rows between current row and unbounded following))::double as rest
+  from k window o as (partition by source order by v desc)),
+c as (select source, max_by(lft / rest, case when lft * v <= rest then v end) as c from l group by source),
+q as (select e.*, coalesce(c, 0) * v as p, (r + 0.5::double) / 4294967296.0::double as u from e left join c on e.source is not distinct from c.source),
+z as (select *, case when size = 0 then null when p >= 1 then 0 when p > 0 then (u / (1 - u)) / (p / (1 - p)) end as z from q),
+y as (select source, z, r, doc_id, size, any_value(need) as need, sum(size) as n from z where z is not null group by source, z, r, doc_id, size),
+h as (select *, coalesce(sum(n) over (partition by source order by z, r, doc_id nulls first, size rows between unbounded preceding and 1 preceding), 0) as held from y),
+b as (select *, min(case when held + n > need then held end) over (partition by source) as stop from h),
+i as (select *, need - stop as gap from b where held > stop and size <= need - stop),
+j as (select *, coalesce(sum(n) over (partition by source order by held rows between unbounded preceding and 1 preceding), 0) as held2 from i),
+m as (select source, z, r, doc_id, size from b where need > 0 and (stop is null or held < stop) union all select source, z, r, doc_id, size from j where 2 * (gap - held2) >= n)
+select z.doc_id, z.size, source_size, target, ((sure + (m.z is not null)::int) * z.size)::bigint as taken
+from z left join m on z.source is not distinct from m.source and z.z = m.z and z.r = m.r and z.doc_id is not distinct from m.doc_id and z.size = m.size
 """
 
 

@@ -90,6 +90,21 @@ def test_mix_comes_near_its_targets(spark):
     assert copies == Counter({r.doc_id: r.copies for r in rows if r.copies})
 
 
+def test_longer_documents_are_likelier_and_gaps_are_filled(spark):
+    size = [1 << (i % 8) for i in range(4_000)]
+    d = docs(spark, ["w " * n for n in size], source=["a" if i // 8 % 2 else "b" for i in range(4_000)])
+    rows = [r for r in mixing.mix(d).collect() if r.source == "b"]
+    own = [(r.size, r.copies - min(x.copies for x in rows)) for r in rows]
+    share = {n: sum(c for s, c in own if s == n) / sum(s == n for s, _ in own) for n in sorted({s for s, _ in own})}
+    assert list(share.values()) == sorted(share.values()) and share[max(share)] > 4 * share[min(share)]
+    # One very long document and many short ones: the target is met all the same.
+    for k in (0, 3):
+        d = docs(spark, ["w " * 5_000, *["w " * 20] * 200, *["w " * 30] * 40 * (k + 1)], source=["a"] * 201 + ["b"] * 40 * (k + 1))
+        rows = mixing.mix(d, seed=k).collect()
+        for s in "ab":
+            assert abs(sum(r.taken for r in rows if r.source == s) - next(r.target for r in rows if r.source == s)) <= 30
+
+
 def test_mix_of_nothing_and_of_empty_texts(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     assert [r.taken for r in mixing.mix(docs(spark, [None, "", " "])).collect()] == [0, 0, 0]
