@@ -4,12 +4,14 @@ Words and their beginnings (which stand for stems) get log-odds of standing in t
 Dirichlet prior in proportion to the whole sample; those whose odds are clearly positive form a lexicon. A
 token takes the odds of its longest form in the lexicon, and any other token costs a little. In each
 text a linear-time scan (after Ruzzo and Tompa) finds all maximal segments of positive sum. Extreme-value theory gives
-the number of segments of such a score that a clean text of its length shows by chance, and a logistic curve, fitted on
-labelled rows that the lexicon has not seen, turns the best segment's evidence into a probability.
+the number of segments of such a score that a clean text of its length shows by chance, and of such a sum of several
+scores (Karlin and Altschul, 1993). A logistic curve, fitted on labelled rows that the lexicon has not seen, turns the
+evidence of the best number of segments into a probability.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,13 +78,14 @@ def segments(score: np.ndarray) -> list[tuple[int, int, float]]:
 def learn(docs: DataFrame, labels: DataFrame, allowed=None, most: int = SAMPLE, text_col: str = "text") -> dict:
     """A model from at most `most` labelled rows (toxic 1 or 0); `allowed` filters label rows first.
 
-    Of sampled copies and near copies (texts with one smallest shingle hash) one stays, or their words would seem telling.
+    Of sampled copies and near copies (texts with one smallest shingle hash) with one label the one of the smallest id stays
+    (then of the smallest hash of its text), or their words would seem telling.
     Two thirds of the sample make the lexicon, the rest the calibration. Their ids are broadcast: `most` bounds them.
     Without both classes every score is 0.
     """
     sample = labelled_sample(labels.where(allowed) if allowed is not None else labels, "toxic", most)
     part = (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3)) == 0).alias("_held")
-    rows = cut(docs.select("doc_id", F.col(text_col).alias("_text")).join(F.broadcast(sample), "doc_id").select((F.col("toxic") > 0).alias("_toxic"), part, "_text").mapInArrow(_families, "_toxic boolean, _held boolean, _text string, _family bigint").dropDuplicates(["_family"]), "toxic-sample")
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "doc_id").select("doc_id", (F.col("toxic") > 0).alias("_toxic"), part, "_text").mapInArrow(_families, "doc_id bigint, _toxic boolean, _held boolean, _text string, _family bigint").groupBy("_family", "_toxic").agg(F.min_by(F.struct("_held", "_text"), F.struct("doc_id", F.xxhash64("_text"))).alias("_r")).select("_toxic", "_r._held", "_r._text"), "toxic-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,14 +131,15 @@ def learn(docs: DataFrame, labels: DataFrame, allowed=None, most: int = SAMPLE,
     if clean.all() or not clean.any():
         return model
     model["k"] = 1 / max(np.mean(np.maximum(n[clean], 1) * np.exp(-model["rate"] * best[clean])), 1e-12)
-    model["fit"] = _logistic(evidence(best, n, model), toxic.astype(float))
+    told = score_rows(rows.where("_held"), model, keep=("_toxic",)).select("_toxic", "evidence").toArrow()
+    model["fit"] = _logistic(told.column(1).to_numpy(), told.column(0).to_numpy(zero_copy_only=False).astype(float))
     return model
 
 
 def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the smallest hash of each text's word shingles."""
     for batch in batches:
-        texts = kernels.as_bytes(batch.column(2))
+        texts = kernels.as_bytes(batch.column(3))
         least = [int(own.view(np.int64)[0]) if len(own) else 0 for a, b in blocks([len(t) for t in texts], kernels.BLOCK) for own in kernels.shingle_sets(texts[a:b])]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], [*batch.schema.names, "_family"])
 
@@ -155,9 +159,20 @@ def _rate(score: np.ndarray, n: np.ndarray) -> float:
     return low
 
 
-def evidence(best: np.ndarray, n: np.ndarray, model: dict) -> np.ndarray:
-    """Minus the log of the expected number of such segments in clean texts of n tokens."""
-    return model["rate"] * best - np.log(model["k"] * np.maximum(n, 1))
+def evidence(sums: list[float], n: int, model: dict) -> float:
+    """Minus the log of the expected number of such segments in a clean text of n tokens.
+
+    One segment of sum s has x = rate * s - log(k * n). The r best, with x above 0, have T, the sum of their x, and the
+    evidence T - (r - 1) log T + log(r! (r - 1)!), less log 2 for each r tried. The best r counts.
+    """
+    x = [model["rate"] * s - math.log(model["k"] * max(n, 1)) for s in sorted(sums, reverse=True)] or [-math.log(model["k"] * max(n, 1))]
+    best, total = x[0], x[0]
+    for r, more in enumerate(x[1:], 2):
+        if more <= 0:
+            break
+        total += more
+        best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(2))
+    return best
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -194,12 +209,12 @@ def passages(texts: list[bytes], model: dict) -> Iterator[tuple[int, list[tuple[
 
 
 def score_rows(docs: DataFrame, model: dict, text_col: str = "_text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep, with n_tokens, best (the highest segment sum, 0 without one), passages (start, end, sum of
-    each significant one, in tokens) and score (0 to 1) for every row; a null text is empty."""
+    """The columns in keep, with n_tokens, best (the highest segment sum, 0 without one), evidence (of all segments, 0 from
+    a model without calibration), passages (start, end, sum of each significant one, in tokens) and score (0 to 1) for every row; a null text is empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(F.col(text_col).alias("_scored"), *keep)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("sum", pa.float64())]))
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.drop("_scored").schema] + ["n_tokens bigint, best double, passages array<struct<start:bigint,end:bigint,sum:double>>, score double"])
+    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.drop("_scored").schema] + ["n_tokens bigint, best double, evidence double, passages array<struct<start:bigint,end:bigint,sum:double>>, score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -210,12 +225,13 @@ def score_rows(docs: DataFrame, model: dict, text_col: str = "_text", keep: tupl
                 for size, own in passages(texts[a:b], m):
                     n.append(size)
                     found.append(own)
-            size, best = np.array(n, float), np.array([max((s for _, _, s in own), default=0.0) for own in found], float)
+            best = np.array([max((s for _, _, s in own), default=0.0) for own in found], float)
+            all_of_it = np.array([evidence([s for _, _, s in own], k, m) if "k" in m else 0.0 for k, own in zip(n, found)], float)
             if m["fit"]:
-                p = 1 / (1 + np.exp(-np.clip(m["fit"][0] * evidence(best, size, m) + m["fit"][1], -30, 30)))
+                p = 1 / (1 + np.exp(-np.clip(m["fit"][0] * all_of_it + m["fit"][1], -30, 30)))
                 told = [[{"start": int(a), "end": int(b), "sum": s} for a, b, s in own if m["k"] * max(k, 1) * np.exp(-m["rate"] * s) < E_VALUE] for k, own in zip(n, found)]
             else:
                 p, told = np.zeros(len(n)), [[] for _ in n]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64()), pa.array(best), pa.array(told, kind), pa.array(p, pa.float64())], [*keep, "n_tokens", "best", "passages", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64()), pa.array(best), pa.array(all_of_it), pa.array(told, kind), pa.array(p, pa.float64())], [*keep, "n_tokens", "best", "evidence", "passages", "score"])
 
     return src.mapInArrow(run, out)
