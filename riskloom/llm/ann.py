@@ -167,13 +167,14 @@ def _search(classes: DataFrame, asked: DataFrame, index: Index, top: int, reach:
     placed = rows.join(sizes, "bucket").select(block, F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), "bucket", "cid", "x")
     if math.isfinite(reach):
         seen = asked.mapInArrow(visits, "qcid bigint, bucket bigint").join(sizes, "bucket").select("qcid", "bucket", block, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        seen = seen.groupBy("block", "part", "qcid").agg(F.collect_list("bucket").alias("buckets"))
+        seen = cut(seen.groupBy("block", "part", "qcid").agg(F.collect_list("bucket").alias("buckets")), "seen")
     else:
         placed = classes.select(F.pmod(F.xxhash64("cid"), F.lit(groups)).cast("int").alias("block"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("bucket"), "cid", "x")
         seen = asked.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("block"), F.lit(0).alias("part"), F.col("cid").alias("qcid"), F.array(F.lit(0).cast("long")).alias("buckets"))
-    chunks = max(1, math.ceil(asked.count() / QUERIES))
-    wanted = seen.join(asked.select(F.col("cid").alias("qcid"), "x"), "qcid").withColumn("chunk", F.pmod(F.xxhash64("qcid"), F.lit(chunks)).cast("int"))
-    placed = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    # A block's rows go once to each chunk of about QUERIES of the queries that visit it, and nowhere if none does.
+    chunks = cut(seen.groupBy("block", "part").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("chunks")), "chunks")
+    wanted = seen.join(chunks, ["block", "part"]).join(asked.select(F.col("cid").alias("qcid"), "x"), "qcid").withColumn("chunk", F.pmod(F.xxhash64("qcid"), F.col("chunks")).cast("int")).drop("chunks")
+    placed = placed.join(chunks, ["block", "part"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
 
     def meet(queries: pa.Table, rows: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
