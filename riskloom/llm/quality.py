@@ -3,7 +3,8 @@
 Spark computes text statistics of every whole document. Learning joins a bounded sample of labelled rows, cuts every
 statistic at its quantiles, and brings home the count of good and bad rows in each cell of that grid. On these counts,
 rules are grown condition by condition (FOIL gain) on two thirds of the sample and pruned on the other third; the
-resulting list is plain data and compiles into one ordered CASE WHEN.
+resulting list is plain data and compiles into one ordered CASE WHEN. Where no more rejecting rule is precise enough, a
+keeping one may take out good rows, after which rejecting rules that would have hit them can be.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.shared import SPACE, cut
+from riskloom.llm.shared import SPACE, cut, whole_row
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -36,11 +37,12 @@ class Condition:
 
 @dataclass(frozen=True)
 class Rule:
-    """A conjunction that rejects, with the sample's counts of bad and good rows that it was kept for."""
+    """A conjunction that rejects or keeps, with the sample's counts of bad and good rows that it was kept for."""
 
     conditions: tuple[Condition, ...]
     bad: int
     good: int
+    keeps: bool = False
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -108,59 +110,73 @@ def learn(docs: DataFrame, labels: DataFrame, bins: int = 16, most: int = SAMPLE
 
 
 def _cover(cells: list, steps: dict, least_precision: float, max_rules: int, max_conditions: int) -> list[Rule]:
-    """Sequential covering over counted cells of (bin numbers, held back, bad, count)."""
+    """Sequential covering over counted cells of (bin numbers, held back, bad, count), for both classes in one list."""
     rules: list[Rule] = []
 
     def covers(rule: list, bins: tuple) -> bool:
         return all((bins[f] > i) == above for f, above, i in rule)
 
-    def totals(rule: list, held: bool | None) -> tuple[int, int]:
-        hit = [(bad, n) for bins, h, bad, n in cells if (held is None or h == held) and covers(rule, bins)]
-        return sum(n for bad, n in hit if bad), sum(n for bad, n in hit if not bad)
+    def totals(rule: list, held: bool | None, keeps: bool) -> tuple[int, int]:
+        """Rows that the rule covers: those of its class, and the others."""
+        hit = [(bad != keeps, n) for bins, h, bad, n in cells if (held is None or h == held) and covers(rule, bins)]
+        return sum(n for own, n in hit if own), sum(n for own, n in hit if not own)
 
-    while len(rules) < max_rules:
+    def grown(keeps: bool) -> list:
         rule: list = []
-        bad, good = totals(rule, False)
-        while bad and good and len(rule) < max_conditions:
+        own, other = totals(rule, False, keeps)
+        while own and other and len(rule) < max_conditions:
             # Counts by feature and bin of what the rule covers; sums along the bins give every threshold at once.
             by = [{} for _ in FEATURES]
-            for bins, held, is_bad, n in cells:
+            for bins, held, bad, n in cells:
                 if not held and covers(rule, bins):
                     for f, b in enumerate(bins):
-                        by[f].setdefault(b, [0, 0])[not is_bad] += n
+                        by[f].setdefault(b, [0, 0])[bad == keeps] += n
             best = None
             for f, name in enumerate(FEATURES):
                 p = n = 0
                 for i in range(len(steps[name])):
                     p, n = p + by[f].get(i, (0, 0))[0], n + by[f].get(i, (0, 0))[1]
-                    for above, (x, y) in ((False, (p, n)), (True, (bad - p, good - n))):
+                    for above, (x, y) in ((False, (p, n)), (True, (own - p, other - n))):
                         if x:
-                            gain = x * (math.log2(x / (x + y)) - math.log2(bad / (bad + good)))
+                            gain = x * (math.log2(x / (x + y)) - math.log2(own / (own + other)))
                             if best is None or gain > best[0] + 1e-9:
                                 best = (gain, (f, above, i), x, y)
             if best is None or best[0] <= 1e-9:
                 break
             rule.append(best[1])
-            bad, good = best[2], best[3]
-        worth = lambda r: (lambda p, n: (p - n) / (p + n) if p + n else -1.0)(*totals(r, True))
+            own, other = best[2], best[3]
+        worth = lambda r: (lambda p, n: (p - n) / (p + n) if p + n else -1.0)(*totals(r, True, keeps))
         while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
             rule = rule[:-1]
-        p, n = totals(rule, True)
-        if not rule or p < 2 or p < least_precision * (p + n):
+        p, n = totals(rule, True, keeps)
+        # A keeping rule must be surer: what it covers no later rule can reject.
+        asked = least_precision if not keeps else 1 - (1 - least_precision) / 10
+        return rule if rule and p >= 2 and p >= asked * (p + n) else []
+
+    while len(rules) < max_rules:
+        keeps = False
+        if not (rule := grown(False)):
+            keeps = True
+            rule = grown(True) if totals([], None, False)[0] else []
+        if not rule:
             break
-        rules.append(Rule(tuple(Condition(FEATURES[f], above, float(steps[FEATURES[f]][i])) for f, above, i in rule), *totals(rule, None)))
+        own, other = totals(rule, None, keeps)
+        conditions = tuple(Condition(FEATURES[f], above, float(steps[FEATURES[f]][i])) for f, above, i in rule)
+        rules.append(Rule(conditions, *((other, own) if keeps else (own, other)), keeps))
         cells = [c for c in cells if not covers(rule, c[0])]
+    while rules and rules[-1].keeps:
+        rules.pop()
     return rules
 
 
 def verdict(rules: list[Rule]) -> Column:
-    """The list as one conditional expression: false at the first rule that fires, else true."""
+    """The list as one conditional expression: what the first rule that fires says, else true."""
     out = None
     for rule in rules:
         test = rule.conditions[0].column()
         for c in rule.conditions[1:]:
             test = test & c.column()
-        out = F.when(test, F.lit(False)) if out is None else out.when(test, F.lit(False))
+        out = F.when(test, F.lit(rule.keeps)) if out is None else out.when(test, F.lit(rule.keeps))
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
@@ -175,5 +191,5 @@ def kept_rows(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> Dat
     Rows and verdicts are written once: a filter straight above would be pushed below the statistics, which would then be
     computed again in each place that names them.
     """
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_whole"))
+    whole = docs.select(whole_row(docs), F.col(text_col).alias("_whole"))
     return cut(apply_rules(whole, rules, "_whole").select("_row", "kept"), "verdicts").where("kept").select("_row.*")
