@@ -81,3 +81,45 @@ def cards(decisions: DataFrame) -> DataFrame:
 def latest_cards(rows: DataFrame) -> DataFrame:
     """change_id, ts, card -> the latest card of each change."""
     return rows.groupBy("change_id").agg(F.max("ts").alias("ts"), F.max_by("card", "ts").alias("card"))
+
+
+# What a summary says of a message that holds the words on the left; the first that fits counts.
+REWRITES = {
+    "sensitive crypto code modified": "Security-relevant diff without traceable approval artifact",
+    "sensitive auth code modified": "Auth logic changed without corresponding review evidence",
+    "possible null dereference": "Runtime-impacting change lacks rollback signal",
+    "potential auth bug": "Privilege-sensitive path modified; reviewer signoff missing",
+    "sensitive security code modified": "Security-boundary change requires governance evidence",
+    "sensitive config code modified": "Infrastructure config changed without policy review",
+    "sensitive database code modified": "Data-layer change without migration evidence",
+    "sensitive infra code modified": "Infrastructure change without deployment review",
+}
+LABELS = {"L0": "Trivial", "L1": "Low Risk", "L2": "Medium Risk", "L3": "High Risk", "L4": "Critical Risk"}
+
+
+def reframed(message: Column) -> Column:
+    out = message
+    for words, said in reversed(REWRITES.items()):
+        out = F.when(F.lower(message).contains(words), said).otherwise(out)
+    return out
+
+
+def summary_cards(tiers: DataFrame, findings: DataFrame, drivers: DataFrame, threshold: str = "L3") -> DataFrame:
+    """change_id, top, critical, high, other, drivers, evidence, policy, posture, card for every change with a tier.
+
+    top holds the three worst findings in discovery order, with their place and reframed messages. From the threshold on a
+    merge is blocked until someone approves; else L2 and L3 have conditions. Findings are ranked by a window, so only three
+    of a change are ever gathered.
+    """
+    w = Window.partitionBy("change_id").orderBy(F.desc(severity_rank(F.col("severity"))), "seq")
+    place = F.concat(F.lit("`"), F.concat_ws(":", F.coalesce("file", F.lit("unknown")), F.nullif(F.col("line"), F.lit(0)).cast("string")), F.lit("`"))
+    f = findings.withColumn("_n", F.row_number().over(w)).withColumn("_t", F.concat(F.col("_n").cast("string"), F.lit(". "), place, F.lit(": "), reframed(F.col("message"))))
+    count = lambda s: F.count_if(F.col("severity") == s)
+    g = f.groupBy("change_id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= 3, F.struct("_n", "_t")))), lambda x: x["_t"]).alias("top"), count("critical").alias("critical"), count("high").alias("high"), F.count("*").alias("_all"))
+    j = tiers.select("change_id", "tier").join(g, "change_id", "left").join(drivers.groupBy("change_id").agg(F.count("*").alias("drivers")), "change_id", "left")
+    j = j.na.fill(0, ["critical", "high", "_all", "drivers"]).withColumns({"top": F.coalesce("top", F.array().cast("array<string>")), "other": F.col("_all") - F.col("critical") - F.col("high")})
+    asks = F.col("tier") >= threshold
+    j = j.withColumns({"evidence": F.when(asks, "Review needed").otherwise("Complete"), "policy": F.when(F.col("tier").isin("L0", "L1"), "Compliant").when(F.col("tier").isin("L2", "L3"), "Conditions").otherwise("Blocked"), "posture": F.when(asks, "Merge blocked").when(F.col("tier").isin("L2", "L3"), "Merge with conditions").otherwise("Safe to merge")})
+    head = F.concat("tier", F.lit(" ("), literal_map(LABELS)[F.col("tier")], F.lit(") | Evidence: "), "evidence", F.lit(" | Policy: "), "policy")
+    tail = F.concat(F.lit("Findings: "), F.col("critical").cast("string"), F.lit(" critical, "), F.col("high").cast("string"), F.lit(" high, "), F.col("other").cast("string"), F.lit(" other; drivers: "), F.col("drivers").cast("string"))
+    return j.withColumn("card", F.concat_ws("\n", head, F.when(F.size("top") > 0, F.array_join("top", "\n")), tail, "posture")).drop("_all", "tier")

@@ -68,6 +68,48 @@ def confusion(results: DataFrame) -> DataFrame:
     return results.groupBy("expected").pivot("found", [0, 1, 2, 3, 4]).count().na.fill(0)
 
 
+def level_rates(results: DataFrame) -> DataFrame:
+    """expected, found, detected -> fn_rate: the share of cases from level 2 on that weren't detected; fp_rate: the share of
+    level 0 that were; in one row."""
+    real, none = F.col("expected") >= 2, F.col("expected") == 0
+    rate = lambda n, of: F.coalesce(F.try_divide(F.count_if(n), F.count_if(of)), F.lit(0.0))
+    return results.agg(rate(real & ~F.col("detected"), real).alias("fn_rate"), rate(none & F.col("detected"), none).alias("fp_rate"))
+
+
+def council_scores(cases: DataFrame, named: DataFrame, findings: DataFrame) -> DataFrame:
+    """case_id, consensus_correct, total_findings, actionable_findings, actionability for every case.
+
+    cases: case_id, expected, found (levels); named: case_id, finding_id of the consensus; findings: case_id, id,
+    remediation, file_paths. A finding that no row describes isn't counted; one with a remediation and a path is actionable.
+    """
+    acts = (F.coalesce("remediation", F.lit("")) != "") & (F.coalesce(F.size("file_paths"), F.lit(0)) > 0)
+    own = findings.select("case_id", F.col("id").alias("finding_id"), acts.alias("_acts"))
+    g = named.join(own, ["case_id", "finding_id"]).groupBy("case_id").agg(F.count("*").alias("total_findings"), F.count_if(F.col("_acts")).alias("actionable_findings"))
+    j = cases.join(g, "case_id", "left").na.fill(0, ["total_findings", "actionable_findings"])
+    share = F.coalesce(F.try_divide("actionable_findings", "total_findings"), F.lit(0.0))
+    return j.select("case_id", class_match(F.col("expected"), F.col("found")).alias("consensus_correct"), "total_findings", "actionable_findings", share.alias("actionability"))
+
+
+#: What a stored output holds where a field is missing, as JSON by type, and the same for its council.
+OUTPUT_DEFAULTS = {"detected": ("boolean", "false"), "risk_level": ("int", "0"), "signals": ("array<string>", "[]"), "categories": ("array<string>", "[]"), "findings": ("array<string>", "[]")}
+COUNCIL_DEFAULTS = {"enabled": ("boolean", "false"), "models": ("array<string>", "[]"), "naive": ("map<string,string>", "{}"), "round_robin": ("map<string,string>", "{}"), "consensus": ("map<string,string>", '{"findings":"[]","human_required":"false","risk_level":"0","signals":"[]"}')}
+
+
+def apply_defaults(outputs: DataFrame, column: str = "output") -> DataFrame:
+    """outputs with the fields of a JSON column, defaults for those that are missing, and warnings that name them in order."""
+    keys = F.coalesce(F.json_object_keys(column), F.array().cast("array<string>"))
+    inner = F.coalesce(F.json_object_keys(F.get_json_object(column, "$.council")), F.array().cast("array<string>"))
+    types = ", ".join(f"{k} {t}" for k, (t, _) in OUTPUT_DEFAULTS.items()) + ", council struct<" + ", ".join(f"{k}: {t}" for k, (t, _) in COUNCIL_DEFAULTS.items()) + ">"
+    parsed = F.from_json(column, types)
+    value = lambda at, k, t, d: F.coalesce(at[k], F.from_json(F.lit('{"x":' + d + "}"), f"x {t}")["x"]).alias(k)
+    told = [F.when(~F.array_contains(keys, k), F.lit(f"Missing field '{k}', using default")) for k in (*OUTPUT_DEFAULTS, "council")]
+    # An output without any council gets a whole one, and its fields aren't told of again.
+    told += [F.when(F.array_contains(keys, "council") & ~F.array_contains(inner, k), F.lit(f"Missing council.{k}, using default")) for k in COUNCIL_DEFAULTS]
+    fields = [value(F.col("_parsed"), k, t, d) for k, (t, d) in OUTPUT_DEFAULTS.items()]
+    council = F.struct(*[value(F.col("_parsed.council"), k, t, d) for k, (t, d) in COUNCIL_DEFAULTS.items()]).alias("council")
+    return outputs.withColumn("_parsed", parsed).select(*outputs.columns, *fields, council, F.array_compact(F.array(*told)).alias("warnings"))
+
+
 def hit_rate(votes: DataFrame) -> DataFrame:
     """case_id, voter, signals, expected -> case_id, hit_rate: the share of voters with an expected signal."""
     return votes.groupBy("case_id").agg(F.avg(F.arrays_overlap("signals", "expected").cast("double")).alias("hit_rate"))

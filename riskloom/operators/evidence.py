@@ -86,3 +86,32 @@ def verify(bundle_rows: DataFrame) -> DataFrame:
     bad = F.get(F.filter(F.zip_with("links", "_again", lambda x, y: F.when(~(x["chain_hash"].eqNullSafe(y["chain_hash"]) & x["previous_hash"].eqNullSafe(y["previous_hash"])), x["sequence"])), lambda s: s.isNotNull()), 0)
     reason = F.when(F.col("event_count") != F.size("events"), "event count differs").when(F.col("_final") != F.col("final_hash"), "event chain differs").when(bad.isNotNull(), "link differs").when(root_hash(F.col("links")) != F.col("root_hash"), "root differs").when(F.col("bundle_hash").isNull(), "seal is missing").when(F.col("_seal") != F.col("bundle_hash"), "seal differs")
     return b.select("bundle_id", reason.isNull().alias("valid"), F.coalesce(reason, F.lit("ok")).alias("reason"), bad.alias("first_bad"))
+
+
+def evidence_events(submitted: DataFrame, analysed: DataFrame, classified: DataFrame, approvals: DataFrame) -> DataFrame:
+    """bundle_id, sequence, event_type, timestamp, actor, data: a change's events in their fixed order, approvals in the order
+    of their number.
+
+    submitted: bundle_id, created_at, actor, and the fields of data; analysed: bundle_id, created_at, ...; classified:
+    bundle_id, created_at, ...; approvals: bundle_id, created_at, no, actor, .... data is the canonical JSON of the other columns.
+    """
+
+    def part(df: DataFrame, order: int, kind: str, actor: Column, but: tuple[str, ...]) -> DataFrame:
+        own = {c: F.col(c) for c in df.columns if c not in ("bundle_id", "created_at", *but)}
+        no = F.col("no") if "no" in but else F.lit(0)
+        return df.select("bundle_id", F.struct(F.lit(order).alias("order"), no.cast("long").alias("no")).alias("_at"), F.lit(kind).alias("event_type"), F.col("created_at").alias("timestamp"), F.coalesce(actor, F.lit("unknown")).alias("actor"), canonical_json(**own).alias("data"))
+
+    tool = F.lit("riskloom")
+    e = part(submitted, 0, "pr_submitted", F.col("actor"), ("actor",)).unionByName(part(analysed, 1, "analysis_completed", tool, ())).unionByName(part(classified, 2, "risk_classified", tool, ())).unionByName(part(approvals, 3, "approval_granted", F.col("actor"), ("actor", "no")))
+    return number_events(e, ["_at"]).drop("_at")
+
+
+def bundle_documents(bundle_rows: DataFrame, context: DataFrame, snapshot: DataFrame, version: str = "0.2.0") -> DataFrame:
+    """bundle_id, document: the whole bundle as JSON: header, context (bundle_id, ...), events, hash chain, items, proof,
+    summary, snapshot (bundle_id, ...) and seal. One row for each bundle throughout, so the joins are by bundle_id alone."""
+    inner = lambda df, name: df.select("bundle_id", F.struct(*[c for c in df.columns if c != "bundle_id"]).alias(name))
+    j = bundle_rows.join(inner(context, "context"), "bundle_id", "left").join(inner(snapshot, "analysis_snapshot"), "bundle_id", "left")
+    chain = F.struct(F.lit("sha256").alias("algorithm"), "final_hash", "event_count").alias("hash_chain")
+    proof_ = F.struct("links", "root_hash").alias("immutability_proof")
+    body = F.struct(F.lit(version).alias("version"), F.col("bundle_id").cast("string").alias("bundle_id"), "context", "events", chain, proof_, "summary", "analysis_snapshot", "bundle_hash")
+    return j.select("bundle_id", F.to_json(body).alias("document"))

@@ -67,10 +67,11 @@ def parsed_lines(changes: DataFrame) -> DataFrame:
 
 def diff_lines(changes: DataFrame) -> DataFrame:
     """change_id, diff -> change_id, file_no, path, hunk_no, ord, type (add, remove, context), content, line_number,
-    is_new, is_deleted. Numbers are those of the new side, of the old side for removed lines."""
+    other_line, is_new, is_deleted. Numbers are those of the new side, of the old side for removed lines; other_line is a
+    context line's number on the old side, null for the rest."""
     kind = F.when(F.substring("raw", 1, 1) == "+", "add").when(F.substring("raw", 1, 1) == "-", "remove").otherwise("context")
     number = F.when(kind == "remove", F.col("_old_start") + F.col("_old")).otherwise(F.col("_new_start") + F.col("_new")).cast("int")
-    return parsed_lines(changes).where("_body").select("change_id", "file_no", "path", "hunk_no", "ord", kind.alias("type"), F.expr("substring(raw, 2)").alias("content"), number.alias("line_number"), *_kinds())
+    return parsed_lines(changes).where("_body").select("change_id", "file_no", "path", "hunk_no", "ord", kind.alias("type"), F.expr("substring(raw, 2)").alias("content"), number.alias("line_number"), F.when(kind == "context", (F.col("_old_start") + F.col("_old")).cast("int")).alias("other_line"), *_kinds())
 
 
 def _kinds() -> list[Column]:
@@ -156,6 +157,8 @@ def topic_text(path: Column, content: Column) -> Column:
 
 
 def reverse_lines(lines: DataFrame) -> DataFrame:
-    """The lines of the change that takes this one back; both sides' numbers are counted anew within each hunk."""
+    """The lines of the change that takes this one back: kinds and sides change places. An added line's number on the new
+    side is the removed line's on the old one, and a context line's two numbers are exchanged."""
     kind = F.when(F.col("type") == "add", "remove").when(F.col("type") == "remove", "add").otherwise("context")
-    return lines.withColumn("type", kind).withColumns({"is_new": F.col("is_deleted"), "is_deleted": F.col("is_new")})
+    swapped = {"type": kind, "line_number": F.coalesce("other_line", "line_number"), "other_line": F.when(F.col("type") == "context", F.col("line_number"))}
+    return lines.withColumns(swapped | {"is_new": F.col("is_deleted"), "is_deleted": F.col("is_new")})

@@ -53,6 +53,23 @@ def rank_candidates(found: DataFrame, merges: DataFrame, most: int = 5) -> DataF
     return found.join(merges.select("sha"), "sha", "left_anti").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
+def origin_flags(changes: DataFrame, deleted: DataFrame, context: DataFrame, ranked: DataFrame, initial: DataFrame, most_files: int = 20) -> DataFrame:
+    """change_id, flags (in order) for every change (change_id, diff) whose origin was looked for.
+
+    empty_diff: no text, or no range of either kind; add_only_fix: no deleted range (change_id, path, ...), so the context's
+    count; too_many_files: more paths than most_files; blame_error: no candidate (ranked: change_id, sha, rank);
+    initial_commit_candidate: the first candidate is among initial (sha).
+    """
+    paths = lambda df, name: df.groupBy("change_id").agg(F.countDistinct("path").alias(name))
+    first = ranked.where("rank = 1").join(initial.select("sha", F.lit(True).alias("_initial")).distinct(), "sha", "left").select("change_id", F.lit(True).alias("_found"), "_initial")
+    j = changes.select("change_id", (F.trim(F.coalesce("diff", F.lit("")), F.lit(" \t\r\n")) == "").alias("_blank")).join(paths(deleted, "_deleted"), "change_id", "left").join(paths(context, "_context"), "change_id", "left").join(first, "change_id", "left")
+    added = ~F.col("_blank") & F.col("_deleted").isNull()
+    empty = F.col("_blank") | (added & F.col("_context").isNull())
+    many = ~empty & (F.coalesce("_deleted", "_context") > most_files)
+    flags = [F.when(added, "add_only_fix"), F.when(empty, "empty_diff"), F.when(many, "too_many_files"), F.when(~empty & F.col("_found").isNull(), "blame_error"), F.when(~empty & F.col("_initial"), "initial_commit_candidate")]
+    return j.select("change_id", F.array_compact(F.array(*flags)).alias("flags"))
+
+
 def clean_sample(files: DataFrame, changes: DataFrame, per_repo: int = 2, least: int = 3) -> DataFrame:
     """change_id, repo, rank: changes that touch only documentation, tests or configuration, with `least` lines or more."""
     p = F.col("path")

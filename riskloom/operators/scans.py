@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import fnmatch
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from riskloom.config import HASH_FIELD, TOPIC_ZONES, ZONES
 from riskloom.functions import literal_map, severity
@@ -59,13 +60,6 @@ SECRETS = (
 )
 
 
-def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters, in bits."""
-    chars = F.split(text, "")
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / F.size(chars)
-    return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
-
-
 def secret_hits(lines: DataFrame, rules=SECRETS) -> DataFrame:
     """One row for each added line, of any file, and each rule found in it; hash fields are no secrets."""
     tests = [F.when(F.col("content").rlike(p), F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"), F.lit(v).alias("provable"))) for k, p, s, v in rules]
@@ -123,13 +117,39 @@ SAFE = (r"^[0-9a-f]{64}$", r"^[0-9a-f]{40}$", r"^sha256:[0-9a-f]{64}$")
 def redact(df: DataFrame, column: str, salt: str, rules=REDACTIONS, safe=SAFE) -> DataFrame:
     """Adds <column>_redacted, redactions (distinct values by kind) and changed. Equal values get equal marks under one salt."""
     text = F.coalesce(F.col(column), F.lit(""))
+    out, kept = _redacted(text, salt, rules, safe)
+    counts = F.map_from_arrays(F.array(*[F.lit(k) for k, _ in rules]), F.array(*[F.size(v) for v in kept]))
+    return df.withColumns({f"{column}_redacted": out, "redactions": counts, "changed": out != text})
+
+
+def _redacted(text: Column, salt: str, rules, safe) -> tuple[Column, list[Column]]:
+    """The text with marks, and the values that each rule found and no safe pattern spares."""
     found = [F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(0))) for _, p in rules]
     kept = [F.filter(values, lambda v: ~_any(v, safe)) for values in found]
     out = text
     for values in kept:
         out = F.aggregate(values, out, lambda t, v: F.replace(t, v, F.concat(F.lit("[HIDDEN:"), F.substring(hmac_sha256(salt, v), 1, 12), F.lit("]"))))
-    counts = F.map_from_arrays(F.array(*[F.lit(k) for k, _ in rules]), F.array(*[F.size(v) for v in kept]))
-    return df.withColumns({f"{column}_redacted": out, "redactions": counts, "changed": out != text})
+    return out, kept
+
+
+# Names of fields that hold hashes and signatures, by ending and whole.
+HASH_ENDS = ("_hash",)
+HASH_NAMES = ("signature_value", "public_key_id", "root_hash", "chain_hash", "previous_hash", "final_hash")
+
+
+def redact_record(df: DataFrame, column: str, salt: str, rules=REDACTIONS, safe=()) -> DataFrame:
+    """df with every string in a struct column redacted, in nested structs and arrays too, but those in fields that are
+    named as hashes: these come back as they were, whatever the rules say."""
+
+    def walk(value: Column, kind: DataType) -> Column:
+        if isinstance(kind, StructType):
+            fields = [(value[f.name] if f.name in HASH_NAMES or f.name.endswith(HASH_ENDS) else walk(value[f.name], f.dataType)).alias(f.name) for f in kind.fields]
+            return F.when(value.isNotNull(), F.struct(*fields))
+        if isinstance(kind, ArrayType):
+            return F.transform(value, lambda x: walk(x, kind.elementType))
+        return _redacted(value, salt, rules, safe)[0] if isinstance(kind, StringType) else value
+
+    return df.withColumn(column, walk(F.col(column), df.schema[column].dataType))
 
 
 def _any(value: Column, patterns: tuple[str, ...]) -> Column:
@@ -145,11 +165,57 @@ def redactions_by_type(detections: DataFrame) -> DataFrame:
     return detections.groupBy("change_id", kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+# Words of a detection's label by the zone that they stand for, in order.
+LABEL_WORDS = {
+    "pii": ("email", "phone", "ssn", "pii", "phi", "personal"),
+    "payment": ("card", "pan", "payment", "billing"),
+    "entropy_secret": ("secret", "token", "credential", "password", "key", "entropy"),
+}
+
+
 def label_zone(label: Column) -> Column:
-    """The zone of a detection label by its words: pii, payment, entropy_secret, or null."""
-    words = F.split(F.lower(label), "[_\\s-]+")
-    has = lambda *names: F.arrays_overlap(words, F.array(*map(F.lit, names)))
-    return F.when(has("card", "credit", "iban", "bank", "payment"), "payment").when(has("key", "token", "secret", "password", "entropy", "credential"), "entropy_secret").when(has("email", "phone", "ssn", "name", "address", "pii", "ip"), "pii")
+    """The zone of a detection label by its words between spaces, hyphens and underscores; null for other labels."""
+    words = F.split(F.lower(F.trim(label)), "[-_ ]")
+    out = None
+    for zone, names in LABEL_WORDS.items():
+        test = F.arrays_overlap(words, F.array(*map(F.lit, names)))
+        out = F.when(test, zone) if out is None else out.when(test, zone)
+    return out
+
+
+def pii_signals(detections: DataFrame, counts: DataFrame) -> DataFrame:
+    """change_id, zone, file, line, category, content_preview, count from a redaction service's detections.
+
+    detections has change_id, seq and the strings type, category, label, name, file, path, line, line_number, start_line,
+    text, value, token: of each group the first that is neither null nor empty counts, of the lines the first whole number
+    but 0. Changes without a detection in a zone get one signal for each kind of counts (change_id, kind, n). Of equal ones
+    the first stays.
+    """
+    first = lambda *names: F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names])
+    number = lambda n: F.nullif(F.when(F.col(n).rlike(r"^\s*[+-]?[0-9]{1,9}\s*$"), F.trim(n).cast("int")), F.lit(0))
+    own = detections.withColumn("category_", F.coalesce(first("type", "category", "label", "name"), F.lit("unknown")))
+    own = own.withColumn("zone", label_zone(F.col("category_"))).where("zone is not null")
+    own = own.select("change_id", "seq", "zone", F.coalesce(first("file", "path"), F.lit("__pii_shield__")).alias("file"), F.coalesce(*map(number, ("line", "line_number", "start_line"))).alias("line"), F.col("category_").alias("category"), F.substring(F.coalesce(first("text", "value", "token"), F.lit("")), 1, 120).alias("content_preview"), F.lit(None).cast("long").alias("count"))
+    rest = counts.join(own.select("change_id").distinct(), "change_id", "left_anti").withColumn("zone", label_zone(F.col("kind"))).where("zone is not null")
+    rest = rest.select("change_id", F.lit(0).cast("long").alias("seq"), "zone", F.lit("__pii_shield__").alias("file"), F.lit(None).cast("int").alias("line"), F.col("kind").alias("category"), F.lit("").alias("content_preview"), F.col("n").cast("long").alias("count"))
+    keys = ("change_id", "zone", "file", "line", "category", "content_preview")
+    return own.unionByName(rest).groupBy(*keys).agg(F.min_by("count", "seq").alias("count"))
+
+
+def sanitization_summary(stages: DataFrame) -> DataFrame:
+    """change_id, redaction_count, applied_to, status from change_id, stage_no, stage, redaction_count, changed.
+
+    Stages are named once, in the order of their first number. Any change makes the status sanitized; redactions without
+    one partial; else it is none. redaction_totals has the counts by kind.
+    """
+    by_stage = stages.groupBy("change_id", "stage").agg(F.min("stage_no").alias("_no"), F.sum(F.greatest("redaction_count", F.lit(0))).alias("_n"), F.bool_or("changed").alias("_changed"), F.bool_or(F.col("redaction_count") > 0).alias("_some"))
+    g = by_stage.groupBy("change_id").agg(F.sum("_n").alias("redaction_count"), F.transform(F.array_sort(F.collect_list(F.struct("_no", "stage"))), lambda x: x["stage"]).alias("applied_to"), F.bool_or("_changed").alias("_changed"), F.bool_or("_some").alias("_some"))
+    return g.select("change_id", "redaction_count", "applied_to", F.when(F.col("_changed"), "sanitized").when(F.col("_some"), "partial").otherwise("none").alias("status"))
+
+
+def redaction_totals(stages: DataFrame) -> DataFrame:
+    """change_id, kind, n: the counts of all stages (change_id, redactions: a map of kind and count) by kind."""
+    return stages.select("change_id", F.explode("redactions").alias("kind", "n")).groupBy("change_id", "kind").agg(F.sum("n").alias("n"))
 
 
 def trigger_hits(artifacts: DataFrame, pack: list[dict]) -> DataFrame:
@@ -177,9 +243,3 @@ def control_themes(hits: DataFrame, themes: dict[str, list[str]]) -> DataFrame:
     """trigger hits -> artifact_id, category, theme, by a literal map of each category's themes."""
     pairs = literal_map({k: "\n".join(v) for k, v in themes.items()})
     return hits.select("artifact_id", "category").distinct().withColumn("theme", F.explode(F.split(pairs[F.col("category")], "\n")))
-
-
-def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key in the given order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

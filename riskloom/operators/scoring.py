@@ -91,23 +91,29 @@ def zone_findings(hits: DataFrame, secrets: DataFrame | None = None, policy: Ris
 def modulate(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Findings after the reviewers' consensus (change_id, consensus_risk, agreement_score, protected).
 
-    approve from 0.6 on lowers unprotected zone findings twice, criticals to high at the lowest; comment lowers them once;
-    request_changes from 0.6 on lifts medium ones to high. A provable finding or one without a zone stays as it is.
+    approve from 0.6 on lowers zone findings of unprotected changes twice, criticals to high at the lowest; comment lowers
+    them once, at any agreement; request_changes from 0.6 on lifts every medium finding to high. Findings without a zone and
+    those of rubric rules (rule_id RUBRIC...) are never lowered.
     """
     j = findings.join(verdicts, "change_id", "left")
-    open_ = F.col("zone").isNotNull() & ~F.col("provable") & ~F.coalesce("protected", F.lit(False))
+    rubric = F.coalesce(F.col("rule_id").startswith("RUBRIC"), F.lit(False))
+    open_ = F.col("zone").isNotNull() & (F.col("zone") != "") & ~rubric & ~F.coalesce("protected", F.lit(False))
     sure = F.coalesce(F.col("agreement_score") >= 0.6, F.lit(False))
     s = F.col("severity")
-    out = F.when((F.col("consensus_risk") == "approve") & sure & open_, F.when(s == "critical", "high").otherwise(downgrade(downgrade(s)))).when((F.col("consensus_risk") == "comment") & open_, downgrade(s)).when((F.col("consensus_risk") == "request_changes") & sure & (s == "medium") & F.col("zone").isNotNull(), "high").otherwise(s)
+    twice = F.when(s == "critical", "high").otherwise(downgrade(downgrade(s)))
+    out = F.when((F.col("consensus_risk") == "approve") & sure & open_, twice).when((F.col("consensus_risk") == "comment") & open_, downgrade(s)).when((F.col("consensus_risk") == "request_changes") & sure & (s == "medium"), "high").otherwise(s)
     return j.withColumn("severity", out).select(*findings.columns)
 
 
 def concern_findings(verdicts: DataFrame) -> DataFrame:
-    """The first three combined concerns of a change as findings; never provable."""
-    agreed = F.coalesce(F.col("agreement_score") >= 0.6, F.lit(False))
-    rule = F.when((F.col("consensus_risk") == "request_changes") & agreed, "AI-CONCERN").when(F.col("consensus_risk") == "request_changes", "AI-MINORITY").when(F.col("consensus_risk") == "comment", "AI-COMMENT")
-    e = verdicts.withColumn("rule_id", rule).where("rule_id is not null").select("*", F.posexplode(F.slice("combined_concerns", 1, 3)).alias("no", "message"))
-    return e.select("change_id", "rule_id", F.when(F.col("rule_id") == "AI-CONCERN", "high").otherwise("medium").alias("severity"), F.lit(False).alias("provable"), "message", "no")
+    """change_id, id, rule_id, severity, provable, message, no: the first three combined concerns of a change as findings
+    without a file; high where a majority asks for changes, else medium; never provable."""
+    sure = F.coalesce(F.col("agreement_score") >= 0.6, F.lit(False))
+    asks = F.col("consensus_risk") == "request_changes"
+    kind = F.when(asks & sure, "AI-CONCERN").when(asks, "AI-MINORITY").when(F.col("consensus_risk") == "comment", "AI-COMMENT")
+    e = verdicts.withColumn("_kind", kind).where("_kind is not null").select("*", F.posexplode(F.slice("combined_concerns", 1, 3)).alias("no", "concern"))
+    lead = F.when(F.col("_kind") == "AI-MINORITY", "AI minority concern: ").otherwise("AI concern: ")
+    return e.select("change_id", F.concat_ws("-", "_kind", F.col("no").cast("string")).alias("id"), F.lit("ai-consensus").alias("rule_id"), F.when(F.col("_kind") == "AI-CONCERN", "high").otherwise("medium").alias("severity"), F.lit(False).alias("provable"), F.concat(lead, "concern").alias("message"), "no")
 
 
 def final_tier(floor_rows: DataFrame, findings: DataFrame) -> DataFrame:
@@ -119,24 +125,66 @@ def final_tier(floor_rows: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def zone_drivers(hits: DataFrame, top: int = 3) -> DataFrame:
-    """change_id, rank, zone, hits, description: the zones with most hits and their first three places."""
-    place = F.concat_ws(":", "file", F.col("line").cast("string"))
-    g = hits.groupBy("change_id", "zone").agg(F.count("*").alias("hits"), F.min(F.struct("file_no", "ord", "zone_no")).alias("_first"), F.array_sort(F.collect_list(F.struct("file_no", "ord", place.alias("p")))).alias("_places"))
-    g = g.withColumn("_places", F.array_distinct(F.transform("_places", lambda x: x["p"])))
+    """change_id, rank, zone, hits, description: the zones with most hits and their first three places.
+
+    Hits are summed by place first, so the largest change sends no more than its places, and no array holds them.
+    """
+    places = hits.groupBy("change_id", "zone", "file", "line").agg(F.count("*").alias("n"), F.min(F.struct("file_no", "ord", "zone_no")).alias("_first"))
+    nth = Window.partitionBy("change_id", "zone").orderBy("_first")
+    p = places.withColumn("_nth", F.row_number().over(nth))
+    ref = F.when(F.col("_nth") <= 3, F.struct("_nth", F.concat(F.lit("`"), F.concat_ws(":", "file", F.col("line").cast("string")), F.lit("`")).alias("t")))
+    g = p.groupBy("change_id", "zone").agg(F.sum("n").alias("hits"), F.count("*").alias("_places"), F.min("_first").alias("_first"), F.array_sort(F.collect_list(ref)).alias("_refs"))
     w = Window.partitionBy("change_id").orderBy(F.desc("hits"), "_first")
-    more = F.when(F.size("_places") > 3, F.concat(F.lit(" +"), (F.size("_places") - 3).cast("string"), F.lit(" more"))).otherwise("")
-    text = F.concat(F.col("hits").cast("string"), F.lit(" changes in "), "zone", F.lit(" code ("), F.array_join(F.transform(F.slice("_places", 1, 3), lambda x: F.concat(F.lit("`"), x, F.lit("`"))), ", "), more, F.lit(")"))
+    more = F.when(F.col("_places") > 3, F.concat(F.lit(" +"), (F.col("_places") - 3).cast("string"), F.lit(" more"))).otherwise("")
+    text = F.concat(F.col("hits").cast("string"), F.lit(" changes in "), "zone", F.lit(" code ("), F.array_join(F.transform("_refs", lambda x: x["t"]), ", "), more, F.lit(")"))
     return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("change_id", "rank", "zone", "hits", text.alias("description"))
 
 
 def finding_drivers(findings: DataFrame, top: int = 3) -> DataFrame:
-    """change_id, rank, severity, description: the worst findings, in discovery order within a severity."""
+    """change_id, rank, severity, description: the worst findings, in discovery order within a severity; the place, if
+    there is one, in backquotes."""
     w = Window.partitionBy("change_id").orderBy(F.desc(severity_rank(F.col("severity"))), "seq")
-    return findings.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("change_id", "rank", "severity", F.concat("message", F.lit(" ("), F.concat_ws(":", "file", F.col("line").cast("string")), F.lit(")")).alias("description"))
-
-
-def rationale(tiers: DataFrame, drivers: DataFrame) -> DataFrame:
-    """change_id, tier, rationale: one sentence from the tier and its first driver."""
-    top = drivers.where("rank = 1").select("change_id", "description")
-    lead = literal_map({"L0": "Trivial change", "L1": "Low risk", "L2": "Moderate risk", "L3": "High risk, needs review", "L4": "Critical, needs human approval"})
-    return tiers.join(top, "change_id", "left").select("change_id", "tier", F.concat_ws(": ", lead[F.col("tier")], "description").alias("rationale"))
+    place = F.when(F.coalesce("file", F.lit("")) != "", F.concat(F.lit(" (`"), F.concat_ws(":", "file", F.nullif(F.col("line"), F.lit(0)).cast("string")), F.lit("`)"))).otherwise("")
+    return findings.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("change_id", "rank", "severity", F.concat("message", place).alias("description"))
+
+
+def path_drivers(files: DataFrame, policy: RiskPolicy = DEFAULT, top: int = 3) -> DataFrame:
+    """change_id, rank, description: the files with the highest path scores, in the order of files, where any scores above 0."""
+    f = files.where("path <> ''").withColumn("_score", path_score(F.col("path"), policy)).withColumn("_most", F.max("_score").over(Window.partitionBy("change_id")))
+    w = Window.partitionBy("change_id").orderBy(F.desc("_score"), "file_no")
+    text = F.concat(F.lit("File path `"), "path", F.lit("` contributed L"), F.col("_score").cast("string"), F.lit(" risk scoring"))
+    return f.where("_most > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("change_id", "rank", text.alias("description"))
+
+
+def risk_drivers(zones: DataFrame, found: DataFrame, concerns: DataFrame, files: DataFrame, policy: RiskPolicy = DEFAULT, top: int = 5) -> DataFrame:
+    """change_id, rank, type, description: at most `top` of a change's drivers: of zones, of findings, and the reviewers'
+    first two concerns (change_id, concerns); drivers of paths only where there is no other."""
+    part = lambda df, no, kind: df.select("change_id", F.lit(no).alias("_no"), F.col("rank").alias("_rank"), F.lit(kind).alias("type"), "description")
+    voiced = concerns.select("change_id", F.posexplode(F.slice("concerns", 1, 2)).alias("rank", "description"))
+    each = part(zone_drivers(zones), 0, "sensitive_zone").unionByName(part(finding_drivers(found), 1, "policy_finding")).unionByName(part(voiced, 2, "ai_concern")).unionByName(part(path_drivers(files, policy), 3, "file_pattern"))
+    whole = Window.partitionBy("change_id")
+    each = each.withColumn("_other", F.min("_no").over(whole) < 3).where("_no < 3 or not _other")
+    return each.withColumn("rank", F.row_number().over(whole.orderBy("_no", "_rank"))).where(F.col("rank") <= top).select("change_id", "rank", "type", "description")
+
+
+# The sentences that explain a tier.
+RATIONALES = {
+    "L0": "Trivial change (documentation, formatting, or configuration only)",
+    "L1": "Low-risk change (tests or non-critical code)",
+    "L2": "Medium-risk change (feature code, review recommended)",
+    "L3": "High-risk change: {}. Human approval required.",
+    "L4": "Critical risk: {}. Executive approval may be required.",
+}
+RATIONALE_DEFAULTS = ("sensitive code detected", "Critical risk: security, payment, or PII code affected. Executive approval required.")
+
+
+def rationale(tiers: DataFrame, drivers: DataFrame, findings: DataFrame) -> DataFrame:
+    """change_id, tier, rationale: one sentence for the tier; at L3 with the first driver, at L4 with the first critical finding."""
+    top = drivers.where("rank = 1").select("change_id", F.col("description").alias("_driver"))
+    worst = findings.where("severity = 'critical'").groupBy("change_id").agg(F.min_by("message", "seq").alias("_critical"))
+    j = tiers.join(top, "change_id", "left").join(worst, "change_id", "left")
+    filled = lambda tier, value: F.concat(F.lit(RATIONALES[tier].split("{}")[0]), value, F.lit(RATIONALES[tier].split("{}")[1]))
+    high = filled("L3", F.coalesce("_driver", F.lit(RATIONALE_DEFAULTS[0])))
+    critical = F.coalesce(filled("L4", F.col("_critical")), F.lit(RATIONALE_DEFAULTS[1]))
+    text = F.when(F.col("tier") == "L3", high).when(F.col("tier") == "L4", critical).otherwise(literal_map({k: RATIONALES[k] for k in ("L0", "L1", "L2")})[F.col("tier")])
+    return j.select("change_id", "tier", text.alias("rationale"))

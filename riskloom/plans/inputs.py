@@ -63,3 +63,12 @@ def item_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     e = li.select(F.col("l_orderkey").alias("bundle_id"), *ITEM_ORDER, F.concat(F.lit("line_"), "l_returnflag").alias("event_type"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("timestamp"), F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string")).alias("actor"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("data"))
     return number_events(e, ITEM_ORDER).select("bundle_id", "sequence", "event_type", "timestamp", "actor", "data")
+
+
+def mixed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as changes of two files: a hunk with a context line, two removed lines and an added one; and a deleted file."""
+    text = [
+        "diff --git a/src/m.py b/src/m.py\n--- a/src/m.py\n+++ b/src/m.py\n@@ -10,3 +10,2 @@\n ", "p_name", "\n-", "p_type", "\n-", "p_brand", "\n+", "p_size",
+        "\ndiff --git a/old/", "p_partkey", ".js b/old/", "p_partkey", ".js\ndeleted file mode 100644\n--- a/old/", "p_partkey", ".js\n+++ /dev/null\n@@ -1,1 +0,0 @@\n-", "p_name",
+    ]
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("change_id"), F.concat(*[F.col(x).cast("string") if x.startswith("p_") else F.lit(x) for x in text]).alias("diff"))

@@ -11,7 +11,7 @@ from riskloom import functions as fn
 from riskloom.operators import decision, evaluation, evidence, export, lines, origins, scans, scoring, votes
 from riskloom.plans import inputs
 from riskloom.plans.inputs import table
-from riskloom.sources import infer_path
+from riskloom.sources import infer_path, load_rubric, stable_name
 from riskloom.streaming import assess, window_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,15 @@ RUBRIC = [
     {"id": "R-MARK", "severity": "odd", "message": "Marks repeated", "patterns": [r"\$\$\$", "!!"], "exceptions": ["conf/*", "docs/*"]},
     {"id": "R-WEB", "severity": "low", "message": "Web code changed", "patterns": [r"^web/"], "exceptions": []},
 ]
+RAW_RUBRIC = {
+    "rules": {
+        "R-TOKEN": {"pattern": "token = ", "severity": "HIGH", "description": "Token assigned"},
+        "R-MARK": {"patterns": ["(bad", r"\$\$\$", "!!"], "severity": "odd", "exceptions": "docs/*"},
+        "R-PLAIN": "licensed under",
+        "R-NONE": {"message": "no pattern"},
+        "R-BAD": {"pattern": "(bad"},
+    }
+}
 PACK = [
     {"trigger": "licence", "category": "legal", "level": 2, "keywords": ["licensed", "license"]},
     {"trigger": "insult", "category": "conduct", "level": 3, "keywords": ["idiot", "moron", "scum"]},
@@ -50,10 +59,38 @@ def a6_code_to_patch(spark, d):
 
 @query
 def a7_inferred_paths(spark, d):
-    p = table(spark, d, "pages").select("page_id", F.lit("JavaScript").alias("language"), F.col("html").alias("code"))
+    lang = F.get(F.array(*map(F.lit, ("javascript", "python", "typescript", "rust", "cobol"))), (F.col("page_id") % 5).cast("int"))
+    p = table(spark, d, "pages").select("page_id", lang.alias("language"), F.col("html").alias("code"))
     return p.select("page_id", infer_path().alias("path"))
 
 
+@query
+def a3_loaded_rubric(spark, d):
+    """A rubric by id, with aliases, patterns that don't compile and rules without any, over all changed lines."""
+    rules, _ = load_rubric(RAW_RUBRIC)
+    return scans.rubric_findings(inputs.changed_lines(spark, d), rules).select("change_id", "line", "rule_id", "severity", "message")
+
+
+@query
+def a8_stable_names(spark, d):
+    return stable_name(table(spark, d, "pages").select(F.col("html").alias("code"))).select("name")
+
+
+@query
+def b1_mixed_lines(spark, d):
+    return lines.diff_lines(inputs.mixed_changes(spark, d)).select("change_id", "file_no", "path", "type", "line_number", "other_line", "content", "is_new", "is_deleted")
+
+
+@query
+def b2_mixed_files(spark, d):
+    return lines.changed_files(inputs.mixed_changes(spark, d))
+
+
+@query
+def b3_mixed_totals(spark, d):
+    return lines.change_totals(lines.changed_files(inputs.mixed_changes(spark, d)))
+
+
 @query
 def b1_diff_lines(spark, d):
     return inputs.changed_lines(spark, d).select("change_id", "path", "type", "line_number", F.md5("content").alias("content_md5"))
@@ -137,10 +174,51 @@ def c10_redactions_by_type(spark, d):
     return scans.redactions_by_type(e)
 
 
+@query
+def c9_redacted_records(spark, d):
+    """Documents as records: their own text and a field named as a hash that holds the same."""
+    r = table(spark, d, "documents").select("doc_id", F.struct(F.col("text").alias("body"), F.col("text").alias("text_hash"), F.struct(F.col("text").alias("root_hash"), F.array("text", "source").alias("parts")).alias("inner"), "n_chars").alias("record"))
+    r = scans.redact_record(r, "record", SALT).select("doc_id", "record.*")
+    return r.select("doc_id", F.md5("body").alias("body_md5"), F.md5("text_hash").alias("hash_md5"), F.md5("inner.root_hash").alias("root_md5"), F.md5(F.get("inner.parts", 0)).alias("part_md5"), F.get("inner.parts", 1).alias("source"), "n_chars")
+
+
+def _stages(spark, d):
+    e = table(spark, d, "events")
+    return e.select((F.col("user_id") * 7 % 1000).alias("change_id"), F.col("event_id").alias("stage_no"), F.concat(F.lit("stage-"), "event_type").alias("stage"), (F.col("event_id") % 4 - 1).alias("redaction_count"), (F.col("event_id") % 50 == 0).alias("changed"), F.create_map(F.lit("email"), F.col("event_id") % 3, F.col("event_type"), F.col("event_id") % 2).alias("redactions"))
+
+
+@query
+def c11_sanitization(spark, d):
+    return scans.sanitization_summary(_stages(spark, d)).withColumn("applied_to", F.array_join("applied_to", "|"))
+
+
+@query
+def c11_redaction_totals(spark, d):
+    return scans.redaction_totals(_stages(spark, d))
+
+
+LABEL_CASES = ("card_number", "api-key", "Email Address", "size", "credit", "bank_iban", "billing", "PAN", "phi", "personal name", "email_token", "card token", " ", "entropy")
+
+
 @query
 def c12_label_zone(spark, d):
-    p = table(spark, d, "part").select("p_partkey", F.concat(F.get(F.array(*map(F.lit, ("card_number", "api_key", "email_address", "size"))), (F.col("p_partkey") % 4).cast("int"))).alias("label"))
-    return p.select("p_partkey", scans.label_zone(F.col("label")).alias("zone"))
+    p = table(spark, d, "part").select("p_partkey", F.get(F.array(*map(F.lit, LABEL_CASES)), (F.col("p_partkey") % len(LABEL_CASES)).cast("int")).alias("label"))
+    return p.select("p_partkey", "label", scans.label_zone(F.col("label")).alias("zone"))
+
+
+@query
+def c13_pii_signals(spark, d):
+    """Events as detections of a change for each user, and line items' flags as counts for every order."""
+    e, k = table(spark, d, "events"), F.col("event_id")
+    pick = lambda *values: F.get(F.array(*map(F.lit, values)), (k % len(values)).cast("int"))
+    none = F.lit(None).cast("string")
+    detections = e.select(F.col("user_id").alias("change_id"), k.alias("seq"), pick("", "email", "api_key", None).alias("type"), pick("phone", None, "size").alias("category"), F.lit("card").alias("label"), none.alias("name"), pick("a.py", "", None).alias("file"), pick(None, "b.py").alias("path"), pick("0", "x", "12", " 7 ", "3.5").alias("line"), pick("", "4").alias("line_number"), F.lit("9").alias("start_line"), pick(None, "").alias("text"), F.col("event_type").alias("value"), none.alias("token"))
+    counts = table(spark, d, "orders").select(F.col("o_orderkey").alias("change_id"), pick_column("o_orderstatus", {"F": "ssn", "O": "note", "P": "iban card"}).alias("kind")).groupBy("change_id", "kind").agg(F.count("*").alias("n"))
+    return scans.pii_signals(detections, counts)
+
+
+def pick_column(name, values):
+    return fn.literal_map(values)[F.col(name)]
 
 
 @query
@@ -189,9 +267,10 @@ def d7_severity(spark, d):
 
 @query
 def d8_modulated(spark, d):
-    f = inputs.order_findings(spark, d).withColumn("zone", F.col("category"))
+    k = F.col("seq.o_orderkey")
+    f = inputs.order_findings(spark, d).withColumns({"zone": F.when(k % 3 != 0, F.col("category")), "rule_id": F.when(k % 5 == 0, "RUBRIC-1").otherwise("sensitive-order")})
     c = votes.consensus(inputs.item_reviews(spark, d)).withColumn("protected", F.col("change_id") % 5 == 0)
-    return scoring.modulate(f, c).groupBy("change_id", "severity").agg(F.count("*").alias("n"))
+    return scoring.modulate(f, c).groupBy("change_id", "zone", "rule_id", "severity", "provable").agg(F.count("*").alias("n"))
 
 
 @query
@@ -218,6 +297,28 @@ def d12_finding_drivers(spark, d):
     return scoring.finding_drivers(inputs.findings(spark, d))
 
 
+def _drivers(spark, d):
+    """Drivers of documents as changes; toxic ones have three concerns."""
+    changes = inputs.changes(spark, d)
+    each = lines.diff_lines(changes)
+    hits = scans.zone_hits(each)
+    found = scoring.zone_findings(hits, scans.secret_hits(each))
+    voiced = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("change_id"), F.array(*map(F.lit, ("Toxic text", "Second look", "Third"))).alias("concerns"))
+    files = lines.changed_files(changes)
+    return scoring.risk_drivers(hits, found, voiced, files), scoring.final_tier(scoring.floors(files, hits, changes=changes), found), found
+
+
+@query
+def d12_risk_drivers(spark, d):
+    return _drivers(spark, d)[0]
+
+
+@query
+def d13_rationales(spark, d):
+    drivers, tiers, found = _drivers(spark, d)
+    return scoring.rationale(tiers.select("change_id", "tier"), drivers, found)
+
+
 @query
 def e1_validated_reviews(spark, d):
     """Event properties as responses: none has the envelope, so each is rejected with its reason."""
@@ -258,11 +359,43 @@ def e8_review_health(spark, d):
     return votes.review_health(inputs.item_reviews(spark, d)).select("change_id", "used", "failed", F.array_join("errors", "|").alias("errors"))
 
 
+@query
+def e2_review_slots(spark, d):
+    t = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("L"), (F.col("c_custkey") % 5).cast("string")).alias("tier"))
+    return t.select("c_custkey", votes.review_slots(F.col("tier")).alias("slots"))
+
+
+@query
+def e9_sealed_reviews(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("prompt"), F.col("text").alias("response"))
+    return votes.seal_reviews(c).select("conv_id", "turn", "prompt_hash", "response_hash", F.md5("raw_response").alias("raw_md5"))
+
+
 @query
 def e10_crosscheck_prompts(spark, d):
     return votes.crosscheck_prompts(inputs.item_reviews(spark, d)).select("change_id", "voter", F.md5("prompt").alias("prompt_md5"))
 
 
+@query
+def e10_review_prompts(spark, d):
+    c = table(spark, d, "documents").select(F.col("doc_id").alias("change_id"), F.col("source").alias("title"), F.col("text").alias("diff"))
+    slots = c.select("change_id", F.explode(F.array(F.lit("first"), F.lit("second"))).alias("voter"))
+    return votes.review_prompts(slots, c, "Score security from 1 to 5.").select("change_id", "voter", F.md5("prompt").alias("prompt_md5"))
+
+
+@query
+def f5_auto_merge(spark, d):
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").select("o_orderkey", F.get(F.array(*map(F.lit, ("merge", "merge-with-conditions", "block"))), (k % 3).cast("int")).alias("decision"), F.concat(F.lit("L"), (k % 5).cast("string")).alias("tier"), (F.col("o_orderstatus") != "P").alias("is_open"), (k % 7 == 0).alias("conflict"))
+    return o.select("o_orderkey", decision.auto_merge(F.col("decision"), F.col("tier"), F.col("is_open"), F.col("conflict")).alias("merges"))
+
+
+@query
+def f7_summaries(spark, d):
+    drivers, tiers, found = _drivers(spark, d)
+    return decision.summary_cards(tiers, found, drivers).select("change_id", F.array_join("top", "|").alias("top"), "critical", "high", "other", "drivers", "evidence", "policy", "posture")
+
+
 @query
 def f3_decisions(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("change_id"))
@@ -310,17 +443,46 @@ def g7_zone_summary(spark, d):
     return evidence.zone_summary(inputs.hits(spark, d)).select("change_id", "zone", "hits", F.array_join("files", "|").alias("files"))
 
 
+@query
+def g2_evidence_events(spark, d):
+    """Orders as changes: what was submitted, analysed and classified; line items returned are approvals."""
+    o = table(spark, d, "orders").withColumnRenamed("o_orderkey", "bundle_id").withColumn("created_at", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    submitted = o.select("bundle_id", "created_at", F.when(F.col("o_custkey") % 3 != 0, F.concat(F.lit("customer-"), F.col("o_custkey").cast("string"))).alias("actor"), F.col("bundle_id").alias("pr_number"), F.lit("main").alias("base_branch"))
+    analysed = o.select("bundle_id", "created_at", F.col("o_orderpriority").alias("preliminary"), (F.col("o_custkey") % 10).alias("files_changed"))
+    classified = o.select("bundle_id", "created_at", F.concat(F.lit("L"), (F.col("bundle_id") % 5).cast("string")).alias("risk_tier"))
+    li = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("bundle_id"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("created_at"), (F.col("l_linenumber").cast("long") * 10**9 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("no"), F.concat(F.lit("supplier-"), F.col("l_suppkey").cast("string")).alias("actor"), F.lit("L2").alias("risk_tier_at_approval")).distinct()
+    return evidence.evidence_events(submitted, analysed, classified, li)
+
+
 @query
 def g9_verified(spark, d):
-    """Bundles of all orders, some changed after sealing: a summary, a removed seal, a later event count."""
+    """Bundles of all orders, most changed after sealing: summary, seal, count, an event, a link, the root."""
     e = inputs.item_events(spark, d)
     s = e.select("bundle_id").distinct().withColumn("summary", F.concat(F.lit("order "), F.col("bundle_id").cast("string")))
     b = evidence.bundles(e, s)
-    k = F.col("bundle_id") % 5
-    b = b.withColumns({"summary": F.when(k == 1, "changed").otherwise(F.col("summary")), "bundle_hash": F.when(k != 2, F.col("bundle_hash")), "event_count": F.when(k == 3, F.col("event_count") + 1).otherwise(F.col("event_count"))})
+    k = F.col("bundle_id") % 7
+    forged = F.transform("events", lambda x: x.withField("data", F.lit("forged")))
+    cut_link = F.transform("links", lambda x, i: F.when(i == F.size("links") - 1, x.withField("content_hash", F.lit("0"))).otherwise(x))
+    b = b.withColumns({"summary": F.when(k == 1, "changed").otherwise(F.col("summary")), "bundle_hash": F.when(k != 2, F.col("bundle_hash")), "event_count": F.when(k == 3, F.col("event_count") + 1).otherwise(F.col("event_count")), "events": F.when(k == 4, forged).otherwise(F.col("events")), "links": F.when(k == 5, cut_link).otherwise(F.col("links")), "root_hash": F.when(k == 6, F.lit("0")).otherwise(F.col("root_hash"))})
     return evidence.verify(b)
 
 
+@query
+def g10_bundles(spark, d):
+    e = inputs.item_events(spark, d)
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("bundle_id"), "o_orderstatus", "o_orderpriority")
+    b = evidence.bundles(e, o.select("bundle_id", F.concat(F.lit("order "), F.col("bundle_id").cast("string")).alias("summary")))
+    docs = evidence.bundle_documents(b, o.select("bundle_id", F.lit("main").alias("base_branch")), o.select("bundle_id", F.col("o_orderstatus").alias("status")))
+    at = lambda p: F.get_json_object("document", p)
+    return docs.select("bundle_id", at("$.version").alias("version"), at("$.context.base_branch").alias("base_branch"), at("$.analysis_snapshot.status").alias("status"), at("$.hash_chain.event_count").cast("int").alias("event_count"), at("$.summary").alias("summary"))
+
+
+@query
+def h5_documents(spark, d):
+    doc = export.documents(inputs.findings(spark, d))
+    return doc.select("change_id", F.get_json_object("document", "$.version").alias("version"), F.json_array_length(F.get_json_object("document", "$.runs[0].results")).alias("n"), F.get_json_object("document", "$.runs[0].results[0].rule_id").alias("first_rule"))
+
+
 @query
 def h1_rules(spark, d):
     return export.rules(inputs.findings(spark, d))
@@ -369,12 +531,51 @@ def i8_confusion(spark, d):
     return evaluation.confusion(r)
 
 
+@query
+def i6_detected(spark, d):
+    """Documents as stored answers: their language and source are signals, their words the text; labels set flag and level."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    expected, found = F.array(F.lit("wiki"), F.lit("LICENSED")), F.array("lang", "source")
+    return docs.select("doc_id", evaluation.detected(expected, found, F.coalesce(F.col("toxic") == 1, F.lit(False)), F.when(F.col("quality") == 0, 1).otherwise(0), F.col("text")).alias("detected"))
+
+
+@query
+def i7_class_match(spark, d):
+    p = table(spark, d, "part")
+    return p.select("p_partkey", evaluation.class_match(F.col("p_size") % 5, (F.floor(F.col("p_retailprice")) % 5).cast("int")).alias("matches"))
+
+
+@query
+def i8_level_rates(spark, d):
+    p = table(spark, d, "part").select((F.col("p_size") % 5).alias("expected"), (F.floor(F.col("p_retailprice")) % 3 > 0).alias("detected"))
+    return evaluation.level_rates(p)
+
+
 @query
 def i9_hit_rate(spark, d):
     v = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.array("l_returnflag", "l_linestatus").alias("signals"), F.array(F.lit("R"), F.lit("O")).alias("expected"))
     return evaluation.hit_rate(v).select("case_id", F.round("hit_rate", 9).alias("hit_rate"))
 
 
+@query
+def i11_council_scores(spark, d):
+    """Orders as cases, their line items' suppliers as the findings that the consensus names; parts' rows describe some."""
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    cases = o.select(F.col("o_orderkey").alias("case_id"), (F.col("o_custkey") % 5).alias("expected"), (F.col("o_orderkey") % 5).alias("found"))
+    named = li.select(F.col("l_orderkey").alias("case_id"), F.col("l_suppkey").alias("finding_id")).distinct()
+    findings = named.where("finding_id % 4 <> 0").select("case_id", F.col("finding_id").alias("id"), F.when(F.col("finding_id") % 3 != 0, "mend").otherwise("").alias("remediation"), F.when(F.col("finding_id") % 5 != 0, F.array(F.lit("a.py"))).alias("file_paths"))
+    return evaluation.council_scores(cases, named, findings).withColumn("actionability", F.round("actionability", 9))
+
+
+@query
+def i13_defaults(spark, d):
+    """Event properties as stored outputs, some with more fields."""
+    full = F.concat(F.lit('{"detected":true,"risk_level":'), (F.col("event_id") % 5).cast("string"), F.lit(',"signals":["a"],"council":{"enabled":true}}'))
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, full).otherwise(F.col("props")).alias("output"))
+    r = evaluation.apply_defaults(e)
+    return r.select("event_id", "detected", "risk_level", F.array_join("signals", "|").alias("signals"), F.col("council.enabled").alias("enabled"), F.col("council.consensus")["risk_level"].alias("consensus_level"), F.array_join("warnings", "|").alias("warnings"))
+
+
 @query
 def i10_round_deltas(spark, d):
     c = table(spark, d, "conversations").where("turn < 2").select(F.floor(F.col("conv_id") / 2).alias("case_id"), F.concat((F.col("conv_id") % 2).cast("string")).alias("voter"), (F.col("turn") + 1).alias("round"), (F.length("text") % 5).alias("level"), (F.length("text") % 3).alias("added"), (F.length("text") % 2).alias("rejected"))
@@ -426,10 +627,24 @@ def j6_clean_sample(spark, d):
     return origins.clean_sample(lines.changed_files(inputs.changes(spark, d)), docs)
 
 
+@query
+def j5_origin_flags(spark, d):
+    """Suppliers as fixes: deleted lines are their part numbers, in files by the number's last digits; some have only context."""
+    li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("change_id"), F.col("l_partkey").alias("line_number"), F.concat(F.lit("f"), (F.col("l_partkey") % 60).cast("string")).alias("path"))
+    fixes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("change_id"), F.when(F.col("s_suppkey") % 11 == 0, " \n").otherwise("diff").alias("diff"))
+    s = F.col("change_id")
+    deleted, context = origins.deleted_ranges(li.where(s % 3 != 0)), origins.context_ranges(li.where(s % 7 != 0))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("line_number"), F.col("p_brand").alias("sha"), F.col("p_size").alias("commit_date"))
+    found = li.where(s % 4 != 0).join(parts, "line_number").groupBy("change_id", "sha").agg(F.min("commit_date").alias("commit_date"))
+    ranked = origins.rank_candidates(found, parts.where("sha like '%5'").select("sha").distinct())
+    initial = parts.where("sha like '%1'").select("sha").distinct()
+    return origins.origin_flags(fixes, deleted, context, ranked, initial).withColumn("flags", F.array_join("flags", "|"))
+
+
 @query
 def j7_reversed(spark, d):
-    r = lines.reverse_lines(inputs.changed_lines(spark, d))
-    return r.groupBy("change_id", "type", "is_deleted").agg(F.count("*").alias("n"))
+    r = lines.reverse_lines(lines.diff_lines(inputs.mixed_changes(spark, d)))
+    return r.select("change_id", "path", "type", "line_number", "other_line", "content", "is_new", "is_deleted")
 
 
 @query
