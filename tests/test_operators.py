@@ -161,3 +161,55 @@ def test_policies_reject_nonsense():
         config.RiskPolicy(sizes={"large": 1, "medium": 2, "small": 3})
     with pytest.raises(ValueError):
         config.DecisionPolicy("x", ({"severity": "awful"},), (), 1)
+
+
+def test_rubrics_load_from_any_shape_and_skip_what_is_broken(tmp_path):
+    from riskloom.sources import load_rubric
+
+    by_id = {"rules": {"A": {"pattern": "x", "severity": "HIGH", "exceptions": "docs/*"}, "B": "y", "C": {"patterns": ["(", "z"], "description": "told"}, "D": {"severity": "low"}, "E": {"pattern": "("}}}
+    rules, errors = load_rubric(by_id)
+    assert [(r["id"], r["severity"], r["message"], r["patterns"], r["exceptions"]) for r in rules] == [("A", "high", "Policy rule triggered", ["x"], ["docs/*"]), ("B", "medium", "Policy rule triggered", ["y"], []), ("C", "medium", "told", ["z"], [])]
+    assert len(errors) == 3
+    (tmp_path / "r.json").write_text(json.dumps([{"pattern": "q", "severity": "odd"}, 7]))
+    rules, errors = load_rubric(str(tmp_path / "r.json"))
+    assert [(r["id"], r["severity"]) for r in rules] == [("rule_0", "critical")] and len(errors) == 1
+    assert load_rubric({"rules": None}) == ([], [])
+
+
+def test_consensus_moves_only_what_it_may(spark):
+    rows = [(v, a, p, z, r, s) for v, a in (("approve", 0.7), ("approve", 0.5), ("comment", 0.1), ("request_changes", 0.7), ("request_changes", 0.5)) for p in (False, True) for z, r in (("auth", "sensitive-auth"), ("auth", "RUBRIC-1"), (None, "R")) for s in config.SEVERITIES]
+    f = spark.createDataFrame([(i, z, r, s, True) for i, (_, _, _, z, r, s) in enumerate(rows)], "change_id long, zone string, rule_id string, severity string, provable boolean")
+    v = spark.createDataFrame([(i, x[0], x[1], x[2]) for i, x in enumerate(rows)], "change_id long, consensus_risk string, agreement_score double, protected boolean")
+    for got in scoring.modulate(f, v).collect():
+        kind, share, protected, zone, rule, s = rows[got.change_id]
+        level = config.SEVERITIES.index(s)
+        if kind == "request_changes":
+            want = 3 if share >= 0.6 and level == 2 else level
+        elif protected or zone is None or rule.startswith("RUBRIC") or (kind == "approve" and share < 0.6):
+            want = level
+        else:
+            want = 3 if kind == "approve" and level == 4 else max(0, level - (2 if kind == "approve" else 1))
+        assert got.severity == config.SEVERITIES[want], rows[got.change_id]
+
+
+def test_records_keep_what_is_named_as_a_hash(spark):
+    df = spark.createDataFrame([(("a@b.com", "a@b.com", ("a@b.com", ["a@b.com", None])),), (None,)], "r struct<t:string,x_hash:string,i:struct<root_hash:string,l:array<string>>>")
+    got = [x.r for x in scans.redact_record(df, "r", "key").collect()]
+    assert got[1] is None and got[0].t.startswith("[HIDDEN:") and got[0].x_hash == got[0].i.root_hash == "a@b.com" and got[0].i.l == [got[0].t, None]
+
+
+def test_reversal_is_its_own_inverse_and_swaps_numbers(spark):
+    each = lines.diff_lines(changes(spark, DIFF.replace("@@ -1,4 +1,5 @@", "@@ -11,4 +1,5 @@")))
+    back = lines.reverse_lines(each)
+    assert [r.line_number for r in back.where("type = 'context' and file_no = 1").orderBy("ord").collect()] == [11, 13]
+    keys = ("ord", "type", "line_number", "other_line", "is_new", "is_deleted")
+    assert sorted(map(tuple, lines.reverse_lines(back).select(*keys).collect()), key=str) == sorted(map(tuple, each.select(*keys).collect()), key=str)
+
+
+def test_queries_of_the_subpackage_are_there_if_its_folder_is():
+    import os
+
+    import __spark_entry__
+
+    here = os.path.isdir(os.path.join(os.path.dirname(__spark_entry__.__file__), "riskloom", "llm"))
+    assert sum(n.startswith("op") for n in __spark_entry__.queries()) == 10 * here
