@@ -39,11 +39,16 @@ def window_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type", s
 
 
 def latest_cards_stream(cards: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the latest card of each change in a table that every batch rewrites under its own number."""
+    """Keeps the latest card of each change in a table that every batch rewrites under its own number, as v<number>.
+
+    A batch that runs twice reads the same table before it, so the last two stay; older ones go.
+    """
 
     def merge(df: DataFrame, n: int) -> None:
         spark = df.sparkSession
         old = spark.read.parquet(f"{path}/v{n - 1}") if n else df.limit(0)
         decision.latest_cards(old.unionByName(df)).write.mode("overwrite").parquet(f"{path}/v{n}")
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n - 2}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return cards.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -62,3 +62,25 @@ def test_latest_card_stays_across_batches(spark, tmp_path):
     src = spark.readStream.schema("change_id long, ts long, card string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     streaming.latest_cards_stream(src, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted((r.change_id, r.card) for r in spark.read.parquet(str(tmp_path / "out/v1")).collect()) == [(1, "c"), (2, "b")]
+
+
+def test_card_tables_older_than_two_batches_go(spark, tmp_path):
+    from riskloom import streaming
+
+    for i in range(4):
+        spark.createDataFrame([(1, i, f"c{i}"), (10 + i, 0, "x")], "change_id long, ts long, card string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema("change_id long, ts long, card string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streaming.latest_cards_stream(src, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["v2", "v3"]
+    assert sorted((r.change_id, r.card) for r in spark.read.parquet(str(tmp_path / "out/v3")).collect()) == [(1, "c3"), (10, "x"), (11, "x"), (12, "x"), (13, "x")]
+
+
+def test_a_delivery_counts_once_within_the_watermark(spark, tmp_path):
+    from riskloom import streaming
+
+    rows = [("a", "2024-01-01 00:00:00", 1), ("a", "2024-01-01 00:10:00", 1), ("b", "2024-01-01 00:05:00", 2)]
+    spark.createDataFrame(rows, "bundle_id string, t string, n int").selectExpr("bundle_id", "timestamp(t) as ts", "n").coalesce(1).write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema("bundle_id string, ts timestamp, n int").parquet(str(tmp_path / "in"))
+    out = streaming.drop_repeats(src).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    out.awaitTermination()
+    assert sorted((r.bundle_id, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 1), ("b", 2)]
