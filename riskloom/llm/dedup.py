@@ -7,11 +7,12 @@ keys besides. Candidates are measured by their registers, with the expected chan
 reach of the threshold are verified on their full sets.
 
 Two things lose a link whose Jaccard index is just at the threshold, both by chance: no band in common (README gives
-measured rates), and an estimate more than MARGIN standard errors too low (under 1e-6). Nothing else does.
+measured rates), and an estimate more than MARGIN standard errors too low (under 1e-6). Nothing else does: every bucket's
+nodes end in one component or were measured against each other.
 
 Texts with one set are one node from the start. Verification asks only what components still need. First every node meets
 the smallest nodes of its buckets, and the best candidate among them is verified. What is left are buckets that hold
-several components. Their nodes meet by rare shingles: two sets of an index of 0.75 share one of the first quarter and one
+several components. A bucket of two is one pair, which is verified. The nodes of larger ones meet by rare shingles: two sets of an index of 0.75 share one of the first quarter and one
 of either set in any fixed order of all shingles, so with frequent shingles ordered last, texts that merely share a passage
 don't meet, and all that can link do. Where they meet, each node tries the best of some drawn from those it meets; at last
 sketches say which node may still link with which component, and full sets, computed from the texts in question, answer in
@@ -227,6 +228,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     return scratch.cut(src.mapInArrow(_sets(schema, k), "v bigint, part int, node bigint, raw binary").groupBy("v", "part").applyInArrow(meet, "u bigint, v bigint"), "verified")
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs u, v whose nodes are in different components."""
+    u, v = (roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in "uv")
+    return pairs.join(u, "u", "left").join(v, "v", "left").where(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select("u", "v")
+
+
 def _mixed(keyed: DataFrame, roots: DataFrame) -> DataFrame:
     """key, node and others -> the same with root, for the keys at which different components meet."""
     r = roots.select(F.col("node").alias("_k"), F.col("root").alias("_r"))
@@ -424,8 +431,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     best = near.groupBy("u").agg(F.max_by("v", F.struct("est", F.negate("v"))).alias("v"))
     roots = joined(_verified(best, nodes, docs, *where))
+    # A bucket of two is one pair: verified if its nodes are still apart. Larger buckets go on by rare shingles.
+    two = shared.where("members = 2 and node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
+    two = _apart(near.join(two, ["u", "v"], "left_semi").select("u", "v"), roots)
     keyed = _rare(shared.where("members > 2").select("key", "node"), nodes, roots, docs, *where)
-    roots = joined(_verified(_tries(keyed, nodes, threshold), nodes, docs, *where), roots)
+    roots = joined(_verified(_tries(keyed, nodes, threshold).unionByName(two).distinct(), nodes, docs, *where), roots)
     keyed = scratch.cut(_mixed(keyed.drop("root"), roots), "rare")
     roots = joined(_answered(_asks(keyed, nodes, roots, threshold), roots, nodes, docs, *where), roots)
     tops = nodes.join(roots, "node", "left").select("a", "b", "id", F.coalesce("root", "node").alias("root"))

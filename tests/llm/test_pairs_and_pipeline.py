@@ -134,6 +134,39 @@ def test_short_sets_at_the_threshold_always_meet(spark):
     assert dedup.near_duplicates(df).where("component_id <> doc_id - doc_id % 2").count() == 0
 
 
+def chains_of_twos(size, wanted, seed):
+    """Texts a, w, b with a-w and w-b at an index of exactly 0.75, where each pair shares bands but no band is common to all.
+
+    w has `size` shingles; a and b each have a seventh of theirs in place of a seventh of its. Sets that leave registers
+    empty (112 shingles and fewer) have no such chain in tens of thousands; of 560 shingles, one in a hundred is one.
+    """
+    r, found = random.Random(seed), []
+    fresh = lambda n: [f"x{r.randrange(10**9)}" for _ in range(n)]
+    swap = size // 7
+    while len(found) < wanted:
+        made = []
+        for _ in range(64):
+            w = fresh(size + 4)
+            a, b = fresh(swap) + w[swap:], w[:-swap] + fresh(swap)
+            made.append([" ".join(x) for x in (a, w, b)])
+        regs = dedup.sketch(kernels.shingle_sets([t.encode() for x in made for t in x])).reshape(-1, 3, dedup.REGISTERS // dedup.ROWS, dedup.ROWS)
+        same = lambda i, j: (regs[:, i] == regs[:, j]).all(axis=2) & (regs[:, i] != dedup.EMPTY).any(axis=2)
+        aw, wb = same(0, 1), same(1, 2)
+        found += [made[i] for i in np.flatnonzero(aw.any(axis=1) & wb.any(axis=1) & ~(aw & wb).any(axis=1))]
+    return found[:wanted]
+
+
+def test_chains_whose_links_share_buckets_of_two_only(spark):
+    chains = chains_of_twos(560, 150, 3)
+    both = [len(shingles(a) & shingles(w)) * 100 == 75 * len(shingles(a) | shingles(w)) for a, w, _ in chains]
+    assert all(both)
+    for order in ((0, 1, 2), (1, 0, 2)):
+        rows = [(3 * i + order[j], t) for i, c in enumerate(chains) for j, t in enumerate(c)]
+        random.Random(order[0]).shuffle(rows)
+        got = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert got.where("component_id <> doc_id - doc_id % 3").count() == 0
+
+
 def test_a_very_long_copy_and_odd_column_names(spark):
     long = " ".join(f"w{i}" for i in range(400_000))
     df = spark.createDataFrame([(1, long, "x", 1, 2), (2, long + " tail", "y", 1, 2), (2, long + " tail", "x", 1, 2), (3, None, "z", 1, 2)], "doc_id long, text string, `a.b` string, _nth long, _kept long")
