@@ -83,4 +83,19 @@ d as (select doc_id, sha256({_normal('text')}) as norm_sha256 from documents)
 select d.doc_id, norm_sha256, coalesce(notices, '') as notices, license from d left join f using (doc_id) left join k on norm_sha256 = digest
 """
 
-ORACLE: dict[str, str] = {"op1_chat_formatting": OP1, "op3_mixing": OP3, "op6_license_scan": OP6}
+#: Terms are found in bytes that aren't ASCII letters or digits, A-Z lowered.
+_TERMS = "regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP11 = f"""
+with d as (select doc_id, {_TERMS.format('text')} as ts from documents),
+s as (select count(*)::bigint as n_docs, sum(len(ts))::bigint as total from d where len(ts) > 0),
+i as (select row_number() over () as k, item_id, {_TERMS.format('text')} as ts from benchmark),
+q as (select k, item_id, t, count(*)::bigint as times from (select k, item_id, unnest(ts) as t from i) group by all),
+p as (select r, doc_id, n, t, count(*)::bigint as tf from (select r, doc_id, n, unnest(ts) as t from (select row_number() over () as r, doc_id, len(ts)::bigint as n, ts from d)) where t in (select t from q) group by all),
+w as (select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)))::bigint as w from (select t, count(*)::bigint as df from p group by t), s),
+v as (select r, doc_id, p.t, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * n_docs) // total)))) as v from p join w on p.t = w.t, s),
+x as (select k, item_id, r, doc_id, sum(times * v)::bigint as score from q join v on q.t = v.t group by all)
+select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by k order by score desc, doc_id nulls last, r) as rank from x where score > 0) where rank <= 20
+"""
+
+ORACLE: dict[str, str] = {"op1_chat_formatting": OP1, "op3_mixing": OP3, "op6_license_scan": OP6, "op11_ranked_search": OP11}

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import ann, bpe, chat, dedup, langid, license, mixing, pii, quality, toxicity
-from riskloom.llm.shared import table
+from riskloom.llm import align, ann, bpe, chat, dedup, langid, lexical, license, mixing, pii, quality, tokenfile, toxicity
+from riskloom.llm.shared import Scratch, table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
@@ -83,7 +83,30 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files, result = Scratch(spark, "token-files"), Scratch(spark, "token-index")
+    tokenfile.write_tokens(table(spark, sf_dir, "documents"), files.path, public_tokenizers.path("byte_bpe_50k.json"))
+    read = result.cut(tokenfile.documents(spark, files.path), "read")
+    files.drop()
+    return tokenfile.with_starts(read).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_near_dedup, op3_mixing, op4_quality_rules, op5_language_id, op6_license_scan, op7_toxicity, op8_personal_data, op9_byte_bpe, op10_nearest_neighbours)
+    for f in (
+        op1_chat_formatting, op2_near_dedup, op3_mixing, op4_quality_rules, op5_language_id, op6_license_scan, op7_toxicity, op8_personal_data, op9_byte_bpe,
+        op10_nearest_neighbours, op11_ranked_search, op12_token_files, op13_token_alignment,
+    )
 }
