@@ -14,6 +14,7 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ LISTED = 4096
 
 @dataclass
 class Aligner:
-    """Two tokenizers: functions from words after a space to ids, the bytes of each id, and the identity map: for each id of A
+    """Two tokenizers: functions from words after a space to ids (of A as bytes of 32-bit numbers), the bytes of each id, and the identity map: for each id of A
     an id of B with the same bytes, -1 if there is none (of two, the later one: byte pieces come first)."""
 
     a: object
@@ -51,15 +52,16 @@ class Aligner:
     def aligned(self, words: list[str]) -> list[tuple]:
         """For each word after a space: (n_a, n_b, groups, links, groups as text, distinct pairs, their links), the last two
         as bytes of 64-bit numbers, a pair being a * size of B + b; n_a is -1 if bytes of tokens aren't those of the text."""
-        ids_a, ids_b = self.a(words), self.b(words)
-        raw = [(" " + w).encode() for w in words]
-        fine = [b"".join([self.bytes_a[i] for i in x]) == r == b"".join([self.bytes_b[i] for i in y]) for x, y, r in zip(ids_a, ids_b, raw)]
+        coded_a, coded_b = self.a(words), self.b(words)
+        na, nb = np.array([len(x) >> 2 for x in coded_a]), np.array([len(x) for x in coded_b])
+        a, b = np.frombuffer(b"".join(coded_a), "<u4").astype(np.int64), np.fromiter(chain.from_iterable(coded_b), np.int64, nb.sum())
         out = [(-1, 0, 0, 0, b"", b"", b"")] * len(words)
-        good = [i for i, ok in enumerate(fine) if ok]
+        fine = self._same_bytes([(" " + w).encode() for w in words], a, b, na, nb)
+        good = np.flatnonzero(fine).tolist()
         if not good:
             return out
-        na, nb = (np.array([len(x[i]) for i in good]) for x in (ids_a, ids_b))
-        a, b = (np.concatenate([np.asarray(x[i], np.int64) for i in good]) for x in (ids_a, ids_b))
+        if len(good) < len(words):
+            a, b, na, nb = a[np.repeat(fine, na)], b[np.repeat(fine, nb)], na[fine], nb[fine]
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
@@ -81,6 +83,17 @@ class Aligner:
             out[i] = (int(na[k]), int(nb[k]), int(groups[k]), int(n_links[k]), b"".join(texts[cuts[k] : cuts[k + 1]])[:-1], keys[lo:hi], links[lo:hi])
         return out
 
+    def _same_bytes(self, raw: list[bytes], a, b, na, nb) -> np.ndarray:
+        """Whether the bytes of a word's tokens, of A and of B, are those of the word: for all at once, or else one by one."""
+        fine = np.ones(len(raw), bool)
+        for ids, n, names in ((a, na, self.bytes_a), (b, nb, self.bytes_b)):
+            ends = np.cumsum(n)
+            held = np.concatenate([[0], np.cumsum([len(names[i]) for i in ids.tolist()])])
+            fine &= held[ends] - held[ends - n] == np.array([len(r) for r in raw])
+            if not fine.all() or b"".join([names[i] for i in ids.tolist()]) != b"".join(raw):
+                fine &= np.array([b"".join([names[i] for i in ids[e - k : e].tolist()]) == r for e, k, r in zip(ends.tolist(), n.tolist(), raw)], bool)
+        return fine
+
     def _pairs(self, a, b, in_a, in_b, first_a, first_b, word) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct pairs of each word, their links and the word, in the order of words."""
         n, few = len(self.bytes_b), in_a * in_b <= LISTED
@@ -142,11 +155,8 @@ def summed(keys: np.ndarray, counts: np.ndarray, owners: np.ndarray | None = Non
 
 
 def byte_level_bytes(entries: list[str]) -> list[bytes]:
-    """The bytes of a byte-level vocabulary's entries. Printable bytes stand for themselves, the others, in order, for the
-    characters from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    back = {chr(x): x for x in plain}
-    back |= {chr(0x100 + i): x for i, x in enumerate(x for x in range(256) if x not in set(plain))}
+    """The bytes of a byte-level vocabulary's entries."""
+    back = {c: b for b, c in enumerate(wordwise.byte_characters())}
     return [bytes(back[c] for c in e) for e in entries]
 
 
@@ -167,15 +177,14 @@ def aligner(raw_a: bytes, raw_b: bytes) -> Aligner:
         raise ValueError("pieces with a space after another character can't be told word by word")
     lone = right.piece_to_id("▁")
 
-    def ids_a(words: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, "<u4") for x in wordwise.byte_level_ids(left, [" " + w for w in words])]
+    encode = wordwise.ByteLevel(left)
 
     def ids_b(words: list[str]) -> list[list[int]]:
         # The library puts its space before every word but an empty one.
         return [x if w else [lone] for w, x in zip(words, right.encode(words, num_threads=1))]
 
     names = [left.id_to_token(i) or "" for i in range(left.get_vocab_size())]
-    return Aligner(ids_a, ids_b, byte_level_bytes(names), piece_bytes(pieces, [right.is_byte(i) for i in range(len(pieces))]))
+    return Aligner(encode, ids_b, byte_level_bytes(names), piece_bytes(pieces, [right.is_byte(i) for i in range(len(pieces))]))
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -42,6 +42,8 @@ def width_of(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, width: int) -> bytes:
     """ids one after the other in `width` bits each, lowest bits first; the last byte is filled with zeros."""
+    if width % 8 == 0:
+        return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : width // 8]).tobytes()
     out = []
     for i in range(0, len(ids), 1 << 16):
         bits = (ids[i : i + (1 << 16), None].astype(np.uint64) >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
@@ -51,6 +53,10 @@ def pack(ids: np.ndarray, width: int) -> bytes:
 
 def unpack(raw: np.ndarray, width: int, count: int, start: int = 0) -> np.ndarray:
     """`count` ids of packed bytes from the one with number `start` on, as 32-bit numbers."""
+    if width % 8 == 0:
+        out = np.zeros((count, 4), np.uint8)
+        out[:, : width // 8] = raw[start * width // 8 : (start + count) * width // 8].reshape(count, width // 8)
+        return out.view("<u4").ravel()
     at = (start + np.arange(count, dtype=np.int64)) * width
     padded = np.concatenate([raw[(at[0] >> 3) : (at[-1] >> 3) + 5], np.zeros(5, np.uint8)]) if count else raw
     byte = (at >> 3) - (at[0] >> 3) if count else at
@@ -108,8 +114,7 @@ class TokenFile:
 def _encoders(raw: bytes):
     """Two functions from words to ids, for words after a space and for first words; the vocabulary's size."""
     tokenizer = wordwise.byte_level_tokenizer(raw, plain=False)
-    own = lambda words: wordwise.byte_level_ids(tokenizer, words)
-    return wordwise.Remembered(lambda words: own([" " + w for w in words])), wordwise.Remembered(own), tokenizer.get_vocab_size()
+    return wordwise.Remembered(wordwise.ByteLevel(tokenizer)), wordwise.Remembered(wordwise.ByteLevel(tokenizer, ""), 1 << 16), tokenizer.get_vocab_size()
 
 
 def encode(texts: pa.Array, raw: bytes) -> list[np.ndarray]:

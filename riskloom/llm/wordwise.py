@@ -8,8 +8,10 @@ there into white space, and no piece of a sentence-piece vocabulary does unless
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,9 @@ import pyarrow.compute as pc
 ODD = r"(?:^|[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]) "
 CUT = re.compile(r"(?<=\S) ")
 #: Bytes of texts that are taken apart at once, distinct words that a worker remembers, and their longest.
-BLOCK, REMEMBERED, LONGEST = 1 << 23, 1 << 19, 64
+BLOCK, REMEMBERED, LONGEST = 1 << 23, 1 << 20, 64
+#: Words that a function gets at once.
+PART = 1 << 14
 
 
 @dataclass
@@ -60,24 +64,74 @@ class Remembered:
 
     def __call__(self, words: list[str]) -> list:
         found = list(map(self.known.get, words))
-        new = [i for i, x in enumerate(found) if x is None]
-        for lo in range(0, len(new), 1 << 14):
-            part = new[lo : lo + (1 << 14)]
-            for i, x in zip(part, self.function([words[i] for i in part])):
-                found[i] = x
-                if len(words[i]) <= LONGEST:
-                    if len(self.known) >= self.most:
-                        self.known.clear()
-                    self.known[words[i]] = x
-        return found
-
-
-def byte_level_ids(tokenizer, words: list[str]) -> list[bytes]:
-    """The ids of each word, encoded apart by the tokenizers library, as little-endian 32-bit numbers."""
-    coded = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-    bounds = np.searchsorted(np.array(coded.word_ids, np.int64), np.arange(len(words) + 1)) * 4
-    raw = np.array(coded.ids, "<u4").tobytes()
-    return [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        new = [w for w, x in zip(words, found) if x is None]
+        if not new:
+            return found
+        made = [x for lo in range(0, len(new), PART) for x in self.function(new[lo : lo + PART])]
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+        self.known.update((w, x) for w, x in zip(new[: self.most], made) if len(w) <= LONGEST)
+        rest = iter(made)
+        return [next(rest) if x is None else x for x in found]
+
+
+#: Marks that end a word of letters as a match of their own, and the characters below which letters are old and well known.
+MARKS, LATIN = frozenset(".,;:!?"), "\u0250"
+
+
+@lru_cache(maxsize=1)
+def byte_characters() -> str:
+    """The character that stands for each byte in a byte-level vocabulary: printable bytes for themselves, the others, in
+    order, for the characters from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in plain else next(rest)) for b in range(256))
+
+
+class ByteLevel:
+    """Words, each after `lead`, to their ids by the tokenizers library, as little-endian 32-bit numbers.
+
+    A word of Latin letters alone is one match of the splitting pattern, and goes to the library's model as it is; one with
+    a mark after it is two matches. All others go through the whole of the library.
+    """
+
+    def __init__(self, tokenizer, lead: str = " "):
+        self.tokenizer, self.lead = tokenizer, lead
+        self.marks = {m: self._whole([m])[0] for m in MARKS}
+        self.letters = Remembered(self._letters)
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        plain, marked, rest = {}, {}, []
+        for i, w in enumerate(words):
+            if is_latin(w):
+                plain[i] = w
+            elif w[-1:] in MARKS and is_latin(w[:-1]):
+                marked[i] = w[:-1]
+            else:
+                rest.append(i)
+        out: list[bytes] = [b""] * len(words)
+        for i, x in zip(plain, self.letters(list(plain.values()))):
+            out[i] = x
+        for i, x in zip(marked, self.letters(list(marked.values()))):
+            out[i] = x + self.marks[words[i][-1]]
+        for i, x in zip(rest, self._whole([self.lead + words[i] for i in rest])):
+            out[i] = x
+        return out
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        table, split_up = byte_characters(), self.tokenizer.model.tokenize
+        return [array("I", [t.id for t in split_up((self.lead + w).encode().decode("latin-1").translate(table))]).tobytes() for w in words]
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        bounds = np.searchsorted(np.array(coded.word_ids, np.int64), np.arange(len(words) + 1)) * 4
+        raw = np.array(coded.ids, "<u4").tobytes()
+        return [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+
+def is_latin(word: str) -> bool:
+    """Whether a word is of Latin letters alone."""
+    return word.isalpha() and (word.isascii() or max(word) < LATIN)
 
 
 def byte_level_tokenizer(raw: bytes, plain: bool):
