@@ -83,13 +83,11 @@ def probes(place: np.ndarray, spread: float, reach: float) -> Iterator[tuple[tup
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """id and x (array<double>) of the rows that take part: an id, and a vector of the most common length (the smaller of
-    two as common) without null or non-finite components that isn't zero."""
+    """id and x (array<double>) of the rows that take part: an id, and a vector without null or non-finite components that
+    isn't zero."""
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("x"))
     bad = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
-    v = v.where(F.col("id").isNotNull() & F.col("x").isNotNull() & ~F.coalesce(F.exists("x", bad), F.lit(False)) & F.exists("x", lambda c: c != 0))
-    size = v.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return v.where(F.size("x") == (size["d"] if size else 0))
+    return v.where(F.col("id").isNotNull() & F.col("x").isNotNull() & ~F.coalesce(F.exists("x", bad), F.lit(False)) & F.exists("x", lambda c: c != 0))
 
 
 def _matrix(column) -> np.ndarray:
@@ -112,16 +110,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 20, id_col: str =
 
     queries are rows of vectors. Ties go to the smaller id. Fewer rows come back only where fewer are candidates: a
     query for which the buckets visited hold too few visits all of them. Rows that take no part (see usable) are neither
-    queries nor candidates; rows that repeat an id and a vector are candidates each.
+    queries nor candidates; rows that repeat an id and a vector are candidates each. Vectors of one length are candidates
+    of queries of that length: each length that queries have is a search of its own.
     """
-    v = cut(usable(vectors, id_col, vec_col), "vectors")
+    v, asked = cut(usable(vectors, id_col, vec_col), "vectors"), cut(usable(queries, id_col, vec_col).distinct(), "asked")
+    lengths = [r[0] for r in asked.select(F.size("x").alias("d")).distinct().orderBy("d").collect()]
+    out = v.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for d in lengths:
+        out = out.unionByName(_of_one_length(v.where(F.size("x") == d), asked.where(F.size("x") == d), top, reach))
+    return out
+
+
+def _of_one_length(v: DataFrame, asked_rows: DataFrame, top: int, reach: float) -> DataFrame:
     order = Window.partitionBy("x").orderBy("id")
     first = v.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top + 1)
     classes = cut(first.groupBy("x").agg(F.min("id").alias("cid"), F.array_sort(F.collect_list("id")).alias("ids")), "classes")
     if not classes.take(1):
         return v.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = build(classes)
-    q = cut(usable(queries, id_col, vec_col).distinct().join(classes.select("x", "cid"), "x").select(F.col("id").alias("query_id"), F.col("cid").alias("qcid")), "queries")
+    q = cut(asked_rows.join(classes.select("x", "cid"), "x").select(F.col("id").alias("query_id"), F.col("cid").alias("qcid")), "queries")
     asked = cut(q.select(F.col("qcid").alias("cid")).distinct().join(classes.select("cid", "x"), "cid"), "asked")
     found = cut(_search(classes.select("cid", "x"), asked, index, top + 1, reach), "found")
     # A query short of candidates goes through all buckets.

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.shared import cut
+from riskloom.llm.shared import cut, named, whole_row
 
 #: The kinds in their fixed order; the last is the one that bootstrapping adds.
 KINDS = ("email", "ip", "card", "phone", "id")
@@ -145,15 +145,17 @@ def report(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[{}]") -> DataFrame:
     """docs with each found span replaced by its kind; spans that overlap are replaced together, by the first one's kind.
 
-    A null text stays null, and the columns are those of docs.
+    A null text stays null, and the columns are those of docs, whatever their names.
     """
     _, spans = find(docs, text_col)
     names = F.array(*[F.lit(mark.format(k.upper())) for k in KINDS])
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_hash"), F.col("spans").alias("_spans"))
-    j = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")
+    d = docs.select(whole_row(docs), named("doc_id")[0].alias("_own"), named(text_col)[0].alias("_t")).withColumn("_h", F.xxhash64(F.coalesce("_t", F.lit(""))))
+    j = d.join(spans, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")
     # Overlapping spans merge; then the text is what lies between, and the marks.
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    part = lambda a, b: F.substring(F.col(text_col), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    part = lambda a, b: F.substring(F.col("_t"), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
     step = lambda acc, s: F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], part(acc["at"], s["start"]), F.get(names, s["kind"])).alias("out")))
-    text = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), F.length(text_col))))
-    return j.withColumn(text_col, F.when(F.size("_spans") > 0, text).otherwise(F.col(text_col))).select(*docs.columns)
+    text = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("_t"), (acc["at"] + 1).cast("int"), F.length("_t"))))
+    j = j.select("_row", F.when(F.size("_spans") > 0, text).otherwise(F.col("_t")).alias("_new"))
+    return j.select(*[(F.col("_new") if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns])

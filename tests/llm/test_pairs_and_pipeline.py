@@ -83,6 +83,7 @@ def test_small_blocks_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(dedup, "HEAVY", 64)
     monkeypatch.setattr(dedup, "BATCH", 2_000)
     monkeypatch.setattr(dedup, "PLACES", 2)
+    monkeypatch.setattr(dedup, "SMALL", 2)
     test_near_duplicates_match_brute_force(spark, 40)
 
 
@@ -219,6 +220,34 @@ def test_neighbours_with_ties_copies_and_odd_vectors(spark):
     assert ann.nearest(few.limit(0), few.limit(0)).count() == 0 and ann.nearest(few.limit(1), few.limit(1)).count() == 0
 
 
+def test_each_length_is_a_search_of_its_own(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, r.normal(size=8 if i % 3 else 5).tolist()) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    # The commonest length among the queries isn't that of the table.
+    asked = [i for i in range(90) if i % 9 == 0 or i == 40]
+    got = ann.nearest(df, df.where(F.col("vec_id").isin(asked)), top=5, reach=0.999).collect()
+    for q in asked:
+        own = [x for x in rows if len(x[1]) == len(rows[q][1])]
+        want = dict(brute_nearest(own, {q}, 5))[q]
+        found = [x.vec_id for x in sorted(got, key=lambda x: x.rank) if x.query_id == q]
+        assert len(found) == 5 and len(set(found) & {i for i, _ in want}) >= 4
+
+
+@pytest.mark.parametrize("spread", [0.05, 1.0])
+def test_recall_at_the_parameters_of_the_query(spark, spread):
+    """Clustered and random vectors of 48 dimensions against brute force."""
+    r = np.random.default_rng(5)
+    x = r.normal(size=(40, 48))[r.integers(0, 40, 4_000)] * (spread < 1) + spread * r.normal(size=(4_000, 48))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id % 20 = 0")).collect()
+    score = x[::20] @ x.T
+    score[np.arange(200), np.arange(0, 4_000, 20)] = -np.inf
+    want = np.argsort(-score, axis=1, kind="stable")[:, :20]
+    hits = sum(g.vec_id in set(want[g.query_id // 20]) for g in got)
+    assert len(got) == 4_000 and hits >= 0.9 * 4_000
+
+
 def test_probes_come_in_the_order_of_their_chances():
     got = list(ann.probes(np.array([0.2, 3.7, -1.5]), 0.6, 0.9))
     chances = [p for _, p in got]

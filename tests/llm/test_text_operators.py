@@ -399,3 +399,12 @@ def test_words_hash_alike_where_they_are_alike():
     doc, (h, p) = kernels.words([b"Abc abc  ABC\tabcd", b"", b"abc"], (3,))
     assert doc.tolist() == [0, 0, 0, 0, 2] and len(set(h[[0, 1, 2, 4]].tolist())) == 1 and h[3] != h[0]
     assert len(set(p.tolist())) == 1
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    kind = "doc_id long, text string, _h long, _id string, _hash string, _spans string, _row string, _t string, `a.b` string, `c``d` string"
+    df = spark.createDataFrame([(1, "mail a@b.org now", 5, "i", "h", "s", "r", "t", "x", "y"), (2, None, 6, "i", "h", "s", "r", "t", "x", "y"), (None, "no", 7, None, None, None, None, None, None, None)], kind)
+    got = pii.redact(df)
+    assert got.columns == df.columns
+    rows = {r.doc_id: tuple(r) for r in got.collect()}
+    assert rows == {1: (1, "mail [EMAIL] now", 5, "i", "h", "s", "r", "t", "x", "y"), 2: (2, None, 6, "i", "h", "s", "r", "t", "x", "y"), None: (None, "no", 7, *[None] * 7)}
