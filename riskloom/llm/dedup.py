@@ -12,7 +12,8 @@ nodes end in one component or were measured against each other.
 
 Texts with one set are one node from the start. Verification asks only what components still need. First every node meets
 the smallest nodes of its buckets, and the best candidate among them is verified. What is left are buckets that hold
-several components. A bucket of two is one pair, which is verified. The nodes of larger ones meet by rare shingles: two sets of an index of 0.75 share one of the first quarter and one
+several components. In one of at most SMALL nodes, those of different components are measured against each other and what
+may link is verified. The nodes of larger ones meet by rare shingles: two sets of an index of 0.75 share one of the first quarter and one
 of either set in any fixed order of all shingles, so with frequent shingles ordered last, texts that merely share a passage
 don't meet, and all that can link do. Where they meet, each node tries the best of some drawn from those it meets; at last
 sketches say which node may still link with which component, and full sets, computed from the texts in question, answer in
@@ -44,6 +45,8 @@ FEW = 1 << 18
 MARGIN = 5.0
 #: Shingles up to which a set has its own first shingles as keys, too.
 SHORT = 8
+#: Nodes of a bucket that are measured pair by pair; larger buckets go by rare shingles.
+SMALL = 64
 #: Bits of a hash that name a slot of the map of frequent shingles, a fixed 4 MB that at most a quarter as many enter.
 SLOT_BITS = 22
 U = np.uint64
@@ -228,10 +231,28 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     return scratch.cut(src.mapInArrow(_sets(schema, k), "v bigint, part int, node bigint, raw binary").groupBy("v", "part").applyInArrow(meet, "u bigint, v bigint"), "verified")
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs u, v whose nodes are in different components."""
-    u, v = (roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in "uv")
-    return pairs.join(u, "u", "left").join(v, "v", "left").where(F.coalesce("_u", "u") != F.coalesce("_v", "v")).select("u", "v")
+def _small(keyed: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """u, v: of small buckets (key, node, root) that hold several components, the pairs of nodes in different ones that may
+    reach the threshold. A bucket has at most SMALL nodes, so the pairs measured are at most SMALL for each row."""
+    packs = max(1, keyed.count() // (16 * BLOCK))
+    rows = keyed.join(nodes.select("node", "n", "regs"), "node").withColumn("pack", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(packs)))
+
+    def meet(table: pa.Table) -> pa.Table:
+        key, node, root, n = (table.column(c).to_numpy() for c in ("key", "node", "root", "n"))
+        regs = _regs(table.column("regs"))
+        order = np.lexsort((node, key))
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            x, y = np.triu_indices(len(at), 1)
+            x, y = at[x], at[y]
+            apart = root[x] != root[y]
+            x, y = x[apart], y[apart]
+            near = may_reach(regs[x], regs[y], n[x], n[y], threshold)
+            us.append(node[x[near]])
+            vs.append(node[y[near]])
+        return pa.table({"u": np.concatenate(us), "v": np.concatenate(vs)})
+
+    return rows.groupBy("pack").applyInArrow(meet, "u bigint, v bigint").distinct()
 
 
 def _mixed(keyed: DataFrame, roots: DataFrame) -> DataFrame:
@@ -431,11 +452,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     best = near.groupBy("u").agg(F.max_by("v", F.struct("est", F.negate("v"))).alias("v"))
     roots = joined(_verified(best, nodes, docs, *where))
-    # A bucket of two is one pair: verified if its nodes are still apart. Larger buckets go on by rare shingles.
-    two = shared.where("members = 2 and node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
-    two = _apart(near.join(two, ["u", "v"], "left_semi").select("u", "v"), roots)
-    keyed = _rare(shared.where("members > 2").select("key", "node"), nodes, roots, docs, *where)
-    roots = joined(_verified(_tries(keyed, nodes, threshold).unionByName(two).distinct(), nodes, docs, *where), roots)
+    small = scratch.cut(_mixed(shared.where(F.col("members") <= SMALL).select("key", "node"), roots), "small")
+    pairs = _small(small, nodes, threshold)
+    keyed = _rare(shared.where(F.col("members") > SMALL).select("key", "node"), nodes, roots, docs, *where)
+    roots = joined(_verified(_tries(keyed, nodes, threshold).unionByName(pairs).distinct(), nodes, docs, *where), roots)
     keyed = scratch.cut(_mixed(keyed.drop("root"), roots), "rare")
     roots = joined(_answered(_asks(keyed, nodes, roots, threshold), roots, nodes, docs, *where), roots)
     tops = nodes.join(roots, "node", "left").select("a", "b", "id", F.coalesce("root", "node").alias("root"))
