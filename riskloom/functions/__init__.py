@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DateType, DoubleType, FloatType, IntegralType, MapType, NullType, StringType, StructType, TimestampNTZType, TimestampType
 
 from riskloom.config import SEVERITIES
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: inside functions over arrays, Spark computes a repeated expression each time."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def literal_map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
 
@@ -42,9 +50,72 @@ def chained_sha256(items: Column, seed: str = "", step=None) -> Column:
     return F.aggregate(items, F.lit(seed), lambda last, item: F.sha2(step(last, item), 256))
 
 
-def canonical_json(**fields: Column) -> Column:
-    """Compact JSON with sorted keys and nulls kept; for strings, integers, booleans and structs of them."""
-    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+# How JSON writes the characters that it must not hold as they are; other control characters go by number.
+ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
+def _json_string(text: Column) -> Column:
+    swap = lambda t, pairs: reduce(lambda out, pair: F.replace(out, F.lit(pair[0]), F.lit(pair[1])), pairs, t)
+    rest = {chr(i): f"\\u{i:04x}" for i in range(0x20) if chr(i) not in ESCAPES}
+    plain = swap(text, ESCAPES.items())
+    return F.concat(F.lit('"'), F.when(plain.rlike(r"[\x00-\x1f]"), swap(plain, rest.items())).otherwise(plain), F.lit('"'))
+
+
+def _json_double(value: Column) -> Column:
+    """The fewest digits that give a double, laid out with a point from 1e-4 up to 1e16 and else as 1e+16, 1e-05.
+
+    The JVM's own text may have a digit too many: one of 15, 16 or 17 digits that gives the same number goes before it.
+    """
+
+    def laid_out(x: Column) -> Column:
+        digits, exponent, n = x["digits"], x["exponent"], F.length(x["digits"])
+        fixed = F.when(exponent >= n - 1, F.concat(F.rpad(digits, exponent + 1, F.lit("0")), F.lit(".0"))).when(exponent >= 0, F.concat(F.substring(digits, F.lit(1), exponent + 1), F.lit("."), F.substring(digits, exponent + 2, n))).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits))
+        power = F.concat(F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.length(F.abs(exponent).cast("string")), F.lit(2)), F.lit("0")))
+        wide = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""), power)
+        return F.concat(x["sign"], F.when(digits == "", "0.0").when(exponent.between(-4, 15), fixed).otherwise(wide))
+
+    def taken_apart(t: Column) -> Column:
+        part = lambda i: F.regexp_extract(t, r"^-?(\d+)\.(\d+)(?:[eE]([+-]?\d+))?$", i)
+        every = F.concat(part(1), part(2))
+        lead = F.length(every) - F.length(F.ltrim(every, F.lit("0")))
+        exponent = F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), F.lit(0)) + F.length(part(1)) - 1 - lead
+        return let(F.struct(F.when(t.startswith("-"), "-").otherwise("").alias("sign"), F.rtrim(F.ltrim(every, F.lit("0")), F.lit("0")).alias("digits"), exponent.alias("exponent")), laid_out)
+
+    finite = ~F.isnan(value) & (F.abs(value) != float("inf"))
+    shorter = [let(F.format_string(f"%.{n}e", value), lambda t: F.when(t.cast("double") == value, t)) for n in (14, 15, 16)]
+    return F.when(value.isNull(), None).when(finite, let(F.coalesce(*shorter, value.cast("string")), taken_apart)).otherwise(F.raise_error(F.lit("canonical JSON has no numbers that aren't finite")).cast("string"))
+
+
+def canonical(value: Column, kind: DataType) -> Column:
+    """The one JSON text of a value of any nested type: keys sorted at every level, no white space, nulls kept, strings as
+    they are (no Unicode normalisation), dates and times in ISO 8601, other types as strings. Numbers that aren't finite
+    are an error."""
+    listed = lambda parts, left, right: F.concat(F.lit(left), F.array_join(parts, ","), F.lit(right))
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        parts = [F.concat(_json_string(F.lit(f.name)), F.lit(":"), canonical(value[f.name], f.dataType)) for f in fields]
+        text = listed(F.array(*parts), "{", "}") if parts else F.lit("{}")
+    elif isinstance(kind, ArrayType):
+        text = listed(F.transform(value, lambda x: canonical(x, kind.elementType)), "[", "]")
+    elif isinstance(kind, MapType):
+        entries = F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"].cast("string").alias("k"), canonical(e["value"], kind.valueType).alias("v"))))
+        text = listed(F.transform(entries, lambda e: F.concat(_json_string(e["k"]), F.lit(":"), e["v"])), "{", "}")
+    elif isinstance(kind, (IntegralType, BooleanType)):
+        text = value.cast("string")
+    elif isinstance(kind, (DoubleType, FloatType)):
+        text = _json_double(value.cast("double"))
+    elif isinstance(kind, (StringType, BinaryType)):
+        text = _json_string(value.cast("string"))
+    elif isinstance(kind, DateType):
+        text = _json_string(F.date_format(value, "yyyy-MM-dd"))
+    elif isinstance(kind, (TimestampType, TimestampNTZType)):
+        zone = "" if isinstance(kind, TimestampNTZType) else "xxx"
+        text = _json_string(F.concat(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss"), F.regexp_replace(F.date_format(value, ".SSSSSS"), r"^\.0+$", ""), F.date_format(value, zone) if zone else F.lit("")))
+    elif isinstance(kind, NullType):
+        text = F.lit("null")
+    else:
+        text = _json_string(value.cast("string"))
+    return F.coalesce(text, F.lit("null"))
 
 
 def uuid5_url(name: Column) -> Column:

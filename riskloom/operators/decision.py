@@ -17,21 +17,25 @@ def map_findings(findings: DataFrame) -> DataFrame:
     return findings.select("change_id", "severity", F.coalesce(has("control_category"), has("zone"), F.lit("general")).alias("category"), place.alias("location"), text.alias("description"), F.coalesce("provable", F.lit(False)).alias("provable"), "seq")
 
 
-def rule_predicate(rules: tuple[dict, ...]) -> Column:
-    """Whether a finding has all that one of the rules asks for."""
+def rule_predicate(rules: tuple[dict, ...], field=F.col) -> Column:
+    """Whether a finding has all that one of the rules asks for; field gives its severity, provable and category."""
     out = F.lit(False)
     for r in rules:
         test = F.lit(True)
         if "severity" in r:
-            test = test & (F.col("severity") == r["severity"])
+            test = test & (field("severity") == r["severity"])
         if r.get("provable_only"):
-            test = test & F.col("provable")
+            test = test & field("provable")
         if "category" in r:
-            test = test & (F.col("category") == r["category"])
+            test = test & (field("category") == r["category"])
         out = out | test
     return out
 
 
+def by_counts(blocks: Column, conditions: Column) -> Column:
+    return F.when(blocks > 0, "block").when(conditions > 0, "merge-with-conditions").otherwise("merge")
+
+
 def decide(changes: DataFrame, findings: DataFrame, policy: DecisionPolicy = POLICIES["standard"]) -> DataFrame:
     """change_id, decision, hard_blocks, conditions, advisory for every change; one without findings merges.
 
@@ -47,7 +51,7 @@ def decide(changes: DataFrame, findings: DataFrame, policy: DecisionPolicy = POL
     listed = lambda test, row: F.transform(F.array_sort(F.collect_list(F.when(test, row))), lambda r: r["x"])
     g = f.groupBy("change_id").agg(listed(F.col("_kind") == "block", F.struct("seq", item.alias("x"))).alias("hard_blocks"), listed((F.col("_kind") == "condition") & ~F.col("_over"), by_rank).alias("conditions"), listed((F.col("_kind") == "advisory") | F.col("_over"), by_seq).alias("advisory"))
     j = changes.select("change_id").join(g, "change_id", "left")
-    decision = F.when(F.size("hard_blocks") > 0, "block").when(F.size("conditions") > 0, "merge-with-conditions").otherwise("merge")
+    decision = by_counts(F.size("hard_blocks"), F.size("conditions"))
     return j.select("change_id", decision.alias("decision"), "hard_blocks", "conditions", "advisory")
 
 
@@ -57,16 +61,26 @@ def gate(decisions: DataFrame, tiers: DataFrame, threshold: str = "L3") -> DataF
     error = F.col("parse_error") if "parse_error" in tiers.columns else F.lit(False)
     j = decisions.join(tiers.withColumn("parse_error", error), "change_id", "left")
     j = j.withColumns({"parse_error": F.col("tier").isNull() | F.coalesce("parse_error", F.lit(False)), "tier": F.coalesce("tier", F.lit("L2"))})
+    return gated(j, F.greatest(F.size(F.coalesce("conditions", F.array())), F.lit(0)), threshold)
+
+
+def gated(rows: DataFrame, n_conditions: Column, threshold: str = "L3") -> DataFrame:
+    """Adds requires_approval, effective_decision, n_conditions and reason to rows with tier and decision."""
     asks = (F.col("tier") >= threshold) | (F.col("decision") != "merge")
-    gated = (F.col("tier") >= threshold) & (F.col("decision") == "merge")
-    n = F.greatest(F.size(F.coalesce("conditions", F.array())), F.lit(0))
-    return j.withColumns({"requires_approval": asks, "effective_decision": F.when(gated, "merge-with-conditions").otherwise(F.col("decision")), "n_conditions": n + gated.cast("int"), "reason": F.when(gated, F.concat(F.lit("Risk tier "), "tier", F.lit(f" meets the approval threshold {threshold}")))})
+    lifted = (F.col("tier") >= threshold) & (F.col("decision") == "merge")
+    return rows.withColumns({"requires_approval": asks, "effective_decision": F.when(lifted, "merge-with-conditions").otherwise(F.col("decision")), "n_conditions": n_conditions + lifted.cast("int"), "reason": F.when(lifted, F.concat(F.lit("Risk tier "), "tier", F.lit(f" meets the approval threshold {threshold}")))})
 
 
 def verdict(decision: Column) -> Column:
     return F.coalesce(literal_map({"merge": "APPROVE", "merge-with-conditions": "CONDITIONS", "block": "BLOCK"})[decision], F.lit("UNKNOWN"))
 
 
+def run_status(decision: Column, fail_on_conditions: bool = False) -> Column:
+    """failure for a block, and for conditions if they are to fail; success else. A decision that isn't known fails."""
+    sound = ["merge"] if fail_on_conditions else ["merge", "merge-with-conditions"]
+    return F.when(F.coalesce(decision.isin(*sound), F.lit(False)), "success").otherwise("failure")
+
+
 def auto_merge(decision: Column, tier: Column, is_open: Column, conflict: Column) -> Column:
     return (decision == "merge") & (tier != "L4") & is_open & ~conflict
 
@@ -104,22 +118,36 @@ def reframed(message: Column) -> Column:
     return out
 
 
-def summary_cards(tiers: DataFrame, findings: DataFrame, drivers: DataFrame, threshold: str = "L3") -> DataFrame:
-    """change_id, top, critical, high, other, drivers, evidence, policy, posture, card for every change with a tier.
+def summary_lines(findings: DataFrame) -> DataFrame:
+    """change_id, no, line: the list of all findings of the changes that have more than three, in discovery order; a row for
+    each finding, so that no change's list has to fit anywhere."""
+    w = Window.partitionBy("change_id")
+    f = findings.withColumns({"_all": F.count("*").over(w), "no": F.row_number().over(w.orderBy("seq"))}).where("_all > 3")
+    return f.select("change_id", "no", F.concat(F.lit("- ["), "severity", F.lit("] "), _place(), F.lit(": "), reframed(F.col("message"))).alias("line"))
+
+
+def _place() -> Column:
+    return F.concat(F.lit("`"), F.concat_ws(":", F.coalesce("file", F.lit("unknown")), F.nullif(F.col("line"), F.lit(0)).cast("string")), F.lit("`"))
+
+
+def summary_cards(gates: DataFrame, findings: DataFrame, drivers: DataFrame, threshold: str = "L3") -> DataFrame:
+    """change_id, top, critical, high, other, drivers, evidence, policy, posture, gaps, card for every change of gates
+    (change_id, tier, requires_approval: see gate).
 
-    top holds the three worst findings in discovery order, with their place and reframed messages. From the threshold on a
-    merge is blocked until someone approves; else L2 and L3 have conditions. Findings are ranked by a window, so only three
-    of a change are ever gathered.
+    top holds the three worst findings in discovery order, with their place and reframed messages; summary_lines has the
+    list of all. A change that needs approval, by its tier or by its decision, is blocked until someone gives it; else L2
+    and L3 have conditions. gaps counts critical and high findings. Findings are ranked by a window, so only three of a
+    change are ever gathered.
     """
     w = Window.partitionBy("change_id").orderBy(F.desc(severity_rank(F.col("severity"))), "seq")
-    place = F.concat(F.lit("`"), F.concat_ws(":", F.coalesce("file", F.lit("unknown")), F.nullif(F.col("line"), F.lit(0)).cast("string")), F.lit("`"))
-    f = findings.withColumn("_n", F.row_number().over(w)).withColumn("_t", F.concat(F.col("_n").cast("string"), F.lit(". "), place, F.lit(": "), reframed(F.col("message"))))
+    f = findings.withColumn("_n", F.row_number().over(w)).withColumn("_t", F.concat(F.col("_n").cast("string"), F.lit(". "), _place(), F.lit(": "), reframed(F.col("message"))))
     count = lambda s: F.count_if(F.col("severity") == s)
     g = f.groupBy("change_id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= 3, F.struct("_n", "_t")))), lambda x: x["_t"]).alias("top"), count("critical").alias("critical"), count("high").alias("high"), F.count("*").alias("_all"))
-    j = tiers.select("change_id", "tier").join(g, "change_id", "left").join(drivers.groupBy("change_id").agg(F.count("*").alias("drivers")), "change_id", "left")
+    j = gates.select("change_id", "tier", "requires_approval").join(g, "change_id", "left").join(drivers.groupBy("change_id").agg(F.count("*").alias("drivers")), "change_id", "left")
     j = j.na.fill(0, ["critical", "high", "_all", "drivers"]).withColumns({"top": F.coalesce("top", F.array().cast("array<string>")), "other": F.col("_all") - F.col("critical") - F.col("high")})
-    asks = F.col("tier") >= threshold
-    j = j.withColumns({"evidence": F.when(asks, "Review needed").otherwise("Complete"), "policy": F.when(F.col("tier").isin("L0", "L1"), "Compliant").when(F.col("tier").isin("L2", "L3"), "Conditions").otherwise("Blocked"), "posture": F.when(asks, "Merge blocked").when(F.col("tier").isin("L2", "L3"), "Merge with conditions").otherwise("Safe to merge")})
+    asks, middle = F.coalesce("requires_approval", F.lit(True)), F.col("tier").isin("L2", "L3")
+    j = j.withColumns({"gaps": F.col("critical") + F.col("high"), "evidence": F.when(asks, "Review needed").otherwise("Complete"), "policy": F.when(F.col("tier").isin("L0", "L1"), "Compliant").when(middle, "Conditions").otherwise("Blocked"), "posture": F.when(asks, "Merge blocked").when(middle, "Merge with conditions").otherwise("Safe to merge")})
     head = F.concat("tier", F.lit(" ("), literal_map(LABELS)[F.col("tier")], F.lit(") | Evidence: "), "evidence", F.lit(" | Policy: "), "policy")
     tail = F.concat(F.lit("Findings: "), F.col("critical").cast("string"), F.lit(" critical, "), F.col("high").cast("string"), F.lit(" high, "), F.col("other").cast("string"), F.lit(" other; drivers: "), F.col("drivers").cast("string"))
-    return j.withColumn("card", F.concat_ws("\n", head, F.when(F.size("top") > 0, F.array_join("top", "\n")), tail, "posture")).drop("_all", "tier")
+    why = F.when(asks & (F.col("tier") >= threshold), F.concat(F.lit("Risk tier "), "tier", F.lit(f" meets the approval threshold {threshold}"))).when(asks, "The decision asks for approval")
+    return j.withColumn("card", F.concat_ws("\n", head, F.when(F.size("top") > 0, F.array_join("top", "\n")), F.when(F.size("top") == 3, F.when(F.col("_all") > 3, F.concat(F.lit("of "), F.col("_all").cast("string"), F.lit(" findings")))), tail, "posture", why)).drop("_all", "tier", "requires_approval")

@@ -1,11 +1,25 @@
-"""Tamper-evident evidence: event chains, proofs, bundles and their verification, as folds over arrays in a row."""
+"""Tamper-evident evidence: event chains, proofs, sealed bundles and their verification, as folds over arrays in a row.
+
+A bundle is one row: events, each with the hash of the chain up to it, items made of them, the proof that chains the items,
+what is known of the change (context, summary, sanitization, analysis_snapshot), and a seal over the canonical JSON of all of
+it. One shuffle gathers a bundle's events; all else is computed in the row.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from riskloom.functions import canonical, let, uuid5_url
 
-from riskloom.functions import canonical_json, chained_sha256, uuid5_url
+# The fields of an event that its hash covers, of a bundle that the seal covers, and those among them that a
+# bundle without a seal must not have; and the versions that must be sealed.
+EVENT = ("event_type", "timestamp", "actor", "data")
+BUNDLE = ("version", "spec_version", "bundle_id", "created_at", "context", "events", "hash_chain", "items", "immutability_proof", "summary", "sanitization", "analysis_snapshot")
+SEALED = ("items", "immutability_proof", "summary", "analysis_snapshot", "context", "sanitization")
+VERSION, SEALED_VERSIONS = "0.2.0", "0.2"
+STRING = StringType()
 
 
 def number_events(events: DataFrame, order: list) -> DataFrame:
@@ -13,26 +27,51 @@ def number_events(events: DataFrame, order: list) -> DataFrame:
     return events.withColumn("sequence", F.row_number().over(Window.partitionBy("bundle_id").orderBy(*order)) - 1)
 
 
-def event_text(e: Column, previous: Column) -> Column:
-    """The canonical JSON of an event with the hash before it."""
-    return canonical_json(actor=e["actor"], data=e["data"], event_type=e["event_type"], previous_hash=previous, timestamp=e["timestamp"])
+def _text(e: Column, kinds: StructType, previous: Column | None = None) -> Column:
+    """The canonical JSON of an event, with the hash before it if given."""
+    fields = [StructField(c, kinds[c].dataType) for c in EVENT]
+    values = [e[c].alias(c) for c in EVENT]
+    if previous is not None:
+        fields.append(StructField("previous_hash", STRING))
+        values.append(previous.alias("previous_hash"))
+    return canonical(F.struct(*values), StructType(fields))
+
+
+def hashed_events(events: Column, kinds: StructType) -> Column:
+    """Events with their hash: each covers its canonical JSON with the hash before it; the first follows the empty string."""
+    kind = StructType([StructField(c, kinds[c].dataType) for c in EVENT] + [StructField("hash", STRING)])
+    start = F.struct(F.lit("").alias("last"), F.array().cast(f"array<{kind.simpleString()}>").alias("out"))
+    grown = lambda a, e, h: F.struct(h.alias("last"), F.array_append(a["out"], F.struct(*[e[c].alias(c) for c in EVENT], h.alias("hash"))).alias("out"))
+    return F.aggregate(events, start, lambda a, e: let(F.sha2(_text(e, kinds, a["last"]), 256), lambda h: grown(a, e, h)), lambda a: a["out"])
+
+
+def _gathered(events: DataFrame) -> tuple[DataFrame, StructType]:
+    e = F.array_sort(F.collect_list(F.struct("sequence", *EVENT)))
+    return events.groupBy("bundle_id").agg(e.alias("_e")), StructType([events.schema[c] for c in EVENT])
 
 
 def event_chain(events: DataFrame) -> DataFrame:
-    """bundle_id, sequence, event_type, timestamp, actor, data -> bundle_id, event_count, events, final_hash.
+    """bundle_id, sequence, event_type, timestamp, actor, data (of any type) -> bundle_id, event_count, events (with hash),
+    final_hash."""
+    rows, kinds = _gathered(events)
+    rows = rows.select("bundle_id", F.size("_e").alias("event_count"), hashed_events(F.col("_e"), kinds).alias("events"))
+    return rows.withColumn("final_hash", F.coalesce(F.element_at("events", -1)["hash"], F.lit("")))
 
-    Each event's hash covers its canonical JSON with the hash before it; the first follows the empty string.
-    """
-    e = F.array_sort(F.collect_list(F.struct("sequence", "event_type", "timestamp", "actor", "data")))
-    g = events.groupBy("bundle_id").agg(e.alias("events"))
-    return g.select("bundle_id", F.size("events").alias("event_count"), "events", chained_sha256(F.col("events"), "", lambda last, x: event_text(x, last)).alias("final_hash"))
+
+def item(e: Column, i: Column, kinds: StructType) -> Column:
+    """The item of a bundle that stands for event number i."""
+    content = F.struct(*[e[c].alias(c) for c in sorted(EVENT)])
+    return F.struct(
+        F.format_string("event-%04d", i).alias("item_id"), i.cast("int").alias("sequence"), F.concat(F.lit("riskloom/"), e["event_type"]).alias("content_type"), content.alias("content"),
+        F.concat(F.lit("sha256:"), F.sha2(_text(e, kinds), 256)).alias("content_hash"),
+    )
 
 
 def items(events: DataFrame) -> DataFrame:
-    """bundle_id, sequence, item_id, content_type, content, content_hash: one item for each event."""
-    content = canonical_json(actor=F.col("actor"), data=F.col("data"), event_type=F.col("event_type"), timestamp=F.col("timestamp"))
-    i = events.select("bundle_id", "sequence", F.format_string("event-%04d", "sequence").alias("item_id"), F.concat(F.lit("riskloom/"), "event_type").alias("content_type"), content.alias("content"))
-    return i.withColumn("content_hash", F.concat(F.lit("sha256:"), F.sha2("content", 256)))
+    """bundle_id, item_id, sequence, content_type, content, content_hash: one item for each event."""
+    kinds = StructType([events.schema[c] for c in EVENT])
+    whole = F.struct(*EVENT)
+    return events.select("bundle_id", F.transform(F.array(whole), lambda e: item(e, F.col("sequence"), kinds))[0].alias("_i")).select("bundle_id", "_i.*")
 
 
 def proof(item_rows: DataFrame) -> DataFrame:
@@ -42,15 +81,15 @@ def proof(item_rows: DataFrame) -> DataFrame:
 
 
 def chain_links(rows: Column) -> Column:
-    link = lambda x, last: F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("|", x["sequence"].cast("string"), x["item_id"], x["content_type"], x["content_hash"], last), 256))
+    text = lambda x, last: F.concat_ws("|", x["sequence"].cast("string"), x["item_id"], x["content_type"], x["content_hash"], last)
     kind = "array<struct<sequence:int,item_id:string,content_type:string,content_hash:string,previous_hash:string,chain_hash:string>>"
     start = F.struct(F.lit("genesis").alias("last"), F.array().cast(kind).alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        row = F.struct(x["sequence"].cast("int").alias("sequence"), x["item_id"].alias("item_id"), x["content_type"].alias("content_type"), x["content_hash"].alias("content_hash"), a["last"].alias("previous_hash"), link(x, a["last"]).alias("chain_hash"))
-        return F.struct(link(x, a["last"]).alias("last"), F.array_append(a["out"], row).alias("out"))
+    def grown(a: Column, x: Column, h: Column) -> Column:
+        row = F.struct(x["sequence"].cast("int").alias("sequence"), x["item_id"].alias("item_id"), x["content_type"].alias("content_type"), x["content_hash"].alias("content_hash"), a["last"].alias("previous_hash"), h.alias("chain_hash"))
+        return F.struct(h.alias("last"), F.array_append(a["out"], row).alias("out"))
 
-    return F.aggregate(rows, start, step, lambda a: a["out"])
+    return F.aggregate(rows, start, lambda a, x: let(F.concat(F.lit("sha256:"), F.sha2(text(x, a["last"]), 256)), lambda h: grown(a, x, h)), lambda a: a["out"])
 
 
 def root_hash(links: Column) -> Column:
@@ -65,27 +104,82 @@ def zone_summary(hits: DataFrame) -> DataFrame:
     return hits.groupBy("change_id", "zone").agg(F.count("*").alias("hits"), F.sort_array(F.collect_set("file")).alias("files"))
 
 
-def seal_text() -> Column:
-    """What a bundle's seal covers: all but the seal itself."""
-    return canonical_json(bundle_id=F.col("bundle_id"), final_hash=F.col("final_hash"), event_count=F.col("event_count"), root_hash=F.col("root_hash"), summary=F.col("summary"))
+def _present(rows: DataFrame, names: tuple[str, ...]) -> list[str]:
+    return [c for c in names if c in rows.columns]
+
+
+def seal_text(rows: DataFrame) -> Column:
+    """What a bundle's seal covers: the canonical JSON of all of BUNDLE that the row has. A null field is one it hasn't."""
+    part = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f'"{c}":'), canonical(F.col(c), rows.schema[c].dataType)))
+    return F.concat(F.lit("{"), F.concat_ws(",", *[part(c) for c in sorted(_present(rows, BUNDLE))]), F.lit("}"))
 
 
-def bundles(events: DataFrame, summaries: DataFrame) -> DataFrame:
-    """bundle_id, events, event_count, final_hash, links, root_hash, summary, bundle_hash."""
-    chain, links = event_chain(events), proof(items(events))
-    b = chain.join(links, "bundle_id").join(summaries, "bundle_id", "left")
-    return b.withColumn("bundle_hash", F.sha2(seal_text(), 256))
+def seal(rows: DataFrame, strip_signatures: bool = False) -> DataFrame:
+    """rows with bundle_hash over all of BUNDLE, and no signatures (array<string>): the last step, and to be taken again after
+    any change, as redaction is. A row that carries signatures is an error unless they are to go."""
+    text = seal_text(rows)
+    if "signatures" in rows.columns and not strip_signatures:
+        text = F.when(F.coalesce(F.size("signatures"), F.lit(0)) > 0, F.raise_error(F.lit("a new seal would void the bundle's signatures")).cast("string")).otherwise(text)
+    return rows.withColumns({"bundle_hash": F.concat(F.lit("sha256:"), F.sha2(text, 256)), "signatures": F.array().cast("array<string>")})
 
 
-def verify(bundle_rows: DataFrame) -> DataFrame:
-    """bundle_id, valid, reason, first_bad: chain, links, root and seal are computed again; a bundle without its seal is
-    a downgrade and invalid. first_bad is the first sequence whose link differs, null if none does."""
-    final = chained_sha256(F.col("events"), "", lambda last, x: event_text(x, last))
-    again = chain_links(F.transform("links", lambda x: F.struct(x["sequence"].alias("sequence"), x["item_id"].alias("item_id"), x["content_type"].alias("content_type"), x["content_hash"].alias("content_hash"))))
-    b = bundle_rows.withColumns({"_final": final, "_again": again, "_seal": F.sha2(seal_text(), 256)})
-    bad = F.get(F.filter(F.zip_with("links", "_again", lambda x, y: F.when(~(x["chain_hash"].eqNullSafe(y["chain_hash"]) & x["previous_hash"].eqNullSafe(y["previous_hash"])), x["sequence"])), lambda s: s.isNotNull()), 0)
-    reason = F.when(F.col("event_count") != F.size("events"), "event count differs").when(F.col("_final") != F.col("final_hash"), "event chain differs").when(bad.isNotNull(), "link differs").when(root_hash(F.col("links")) != F.col("root_hash"), "root differs").when(F.col("bundle_hash").isNull(), "seal is missing").when(F.col("_seal") != F.col("bundle_hash"), "seal differs")
-    return b.select("bundle_id", reason.isNull().alias("valid"), F.coalesce(reason, F.lit("ok")).alias("reason"), bad.alias("first_bad"))
+def bundles(events: DataFrame, heads: DataFrame, version: str = VERSION) -> DataFrame:
+    """One sealed row for each bundle_id of events: BUNDLE, bundle_hash and signatures (none).
+
+    events: see event_chain. heads: bundle_id and any of created_at, context, summary, sanitization, analysis_snapshot, of any
+    type; a bundle that isn't there has none of them.
+    """
+    chain = event_chain(events)
+    kinds = StructType([events.schema[c] for c in EVENT])
+    rows = chain.withColumn("items", F.transform("events", lambda e, i: item(e, i, kinds))).withColumn("_links", chain_links(F.col("items")))
+    rows = rows.select(
+        "bundle_id", F.lit(version).alias("version"), F.lit(version).alias("spec_version"), "events", F.struct(F.lit("sha256").alias("algorithm"), "final_hash", "event_count").alias("hash_chain"), "items",
+        F.struct(F.col("_links").alias("hash_chain"), root_hash(F.col("_links")).alias("root_hash")).alias("immutability_proof"),
+    )
+    rows = rows.join(heads, "bundle_id", "left")
+    return seal(rows.select(*_present(rows, BUNDLE)))
+
+
+def verify(rows: DataFrame) -> DataFrame:
+    """bundle_id, valid, reason, first_bad for each bundle (columns of BUNDLE and bundle_hash; those that are missing or null
+    are fields it hasn't).
+
+    The event chain is computed again with the hashes that each event carries: first_bad is the first event, from 0, whose
+    hash differs. Then the chain's end, and the seal. A bundle of a sealed version, or with any field of SEALED, an empty
+    one too, must have its seal; only bare events may go without.
+    """
+    has = lambda c: F.col(c) if c in rows.columns else F.lit(None)
+    kinds = rows.schema["events"].dataType.elementType
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("bad"))
+    step = lambda a, e, h: F.struct(h.alias("last"), (a["i"] + 1).alias("i"), F.coalesce(a["bad"], F.when(~h.eqNullSafe(e["hash"]), a["i"])).alias("bad"))
+    walked = F.aggregate("events", start, lambda a, e: let(F.sha2(_text(e, kinds, a["last"]), 256), lambda h: step(a, e, h)))
+    sealed = F.lit(False)
+    for c in _present(rows, SEALED):
+        sealed = sealed | F.col(c).isNotNull()
+    for c in _present(rows, ("version", "spec_version")):
+        sealed = sealed | F.coalesce(F.col(c).startswith(SEALED_VERSIONS), F.lit(False))
+    end = F.col("hash_chain.final_hash") if "hash_chain" in rows.columns else F.lit("")
+    b = rows.select("bundle_id", (F.coalesce(F.size("events"), F.lit(0)) <= 0).alias("_none"), walked.alias("_w"), F.coalesce(end, F.lit("")).alias("_end"), sealed.alias("_sealed"), F.nullif(has("bundle_hash").cast("string"), F.lit("")).alias("_hash"), F.concat(F.lit("sha256:"), F.sha2(seal_text(rows), 256)).alias("_seal"))
+    reason = (
+        F.when(F.col("_none"), "no events")
+        .when(F.col("_w.bad").isNotNull(), "event hash differs")
+        .when(F.col("_w.last") != F.col("_end"), "final hash differs")
+        .when(F.col("_sealed") & F.col("_hash").isNull(), "seal is missing")
+        .when(F.col("_hash") != F.col("_seal"), "seal differs")
+    )
+    return b.select("bundle_id", reason.isNull().alias("valid"), F.coalesce(reason, F.lit("ok")).alias("reason"), F.when(~F.col("_none"), F.col("_w.bad")).alias("first_bad"))
+
+
+def verify_proof(rows: DataFrame) -> DataFrame:
+    """bundle_id, valid, reason, first_bad: whether items are those of the events, and links and root those of the items;
+    first_bad is the first sequence that differs. A seal shows whether these were changed, this shows which."""
+    kinds = rows.schema["events"].dataType.elementType
+    again = rows.select("bundle_id", "items", F.col("immutability_proof.hash_chain").alias("links"), F.col("immutability_proof.root_hash").alias("root"), F.transform("events", lambda e, i: item(e, i, kinds)).alias("_items"))
+    again = again.withColumn("_links", chain_links(F.col("_items")))
+    first = lambda a, b: F.array_min(F.zip_with(a, b, lambda x, y: F.when(~x.eqNullSafe(y), F.coalesce(x["sequence"], y["sequence"]))))
+    again = again.withColumns({"_i": first("items", "_items"), "_l": first("links", "_links")})
+    reason = F.when(F.col("_i").isNotNull(), "item differs").when(F.col("_l").isNotNull(), "link differs").when(~F.col("root").eqNullSafe(root_hash(F.col("_links"))), "root differs")
+    return again.select("bundle_id", reason.isNull().alias("valid"), F.coalesce(reason, F.lit("ok")).alias("reason"), F.coalesce("_i", "_l").alias("first_bad"))
 
 
 def evidence_events(submitted: DataFrame, analysed: DataFrame, classified: DataFrame, approvals: DataFrame) -> DataFrame:
@@ -97,21 +191,17 @@ def evidence_events(submitted: DataFrame, analysed: DataFrame, classified: DataF
     """
 
     def part(df: DataFrame, order: int, kind: str, actor: Column, but: tuple[str, ...]) -> DataFrame:
-        own = {c: F.col(c) for c in df.columns if c not in ("bundle_id", "created_at", *but)}
+        own = [c for c in df.columns if c not in ("bundle_id", "created_at", *but)]
         no = F.col("no") if "no" in but else F.lit(0)
-        return df.select("bundle_id", F.struct(F.lit(order).alias("order"), no.cast("long").alias("no")).alias("_at"), F.lit(kind).alias("event_type"), F.col("created_at").alias("timestamp"), F.coalesce(actor, F.lit("unknown")).alias("actor"), canonical_json(**own).alias("data"))
+        data = canonical(F.struct(*own), StructType([df.schema[c] for c in own])) if own else F.lit("{}")
+        return df.select("bundle_id", F.struct(F.lit(order).alias("order"), no.cast("long").alias("no")).alias("_at"), F.lit(kind).alias("event_type"), F.col("created_at").alias("timestamp"), F.coalesce(actor, F.lit("unknown")).alias("actor"), data.alias("data"))
 
     tool = F.lit("riskloom")
     e = part(submitted, 0, "pr_submitted", F.col("actor"), ("actor",)).unionByName(part(analysed, 1, "analysis_completed", tool, ())).unionByName(part(classified, 2, "risk_classified", tool, ())).unionByName(part(approvals, 3, "approval_granted", F.col("actor"), ("actor", "no")))
     return number_events(e, ["_at"]).drop("_at")
 
 
-def bundle_documents(bundle_rows: DataFrame, context: DataFrame, snapshot: DataFrame, version: str = "0.2.0") -> DataFrame:
-    """bundle_id, document: the whole bundle as JSON: header, context (bundle_id, ...), events, hash chain, items, proof,
-    summary, snapshot (bundle_id, ...) and seal. One row for each bundle throughout, so the joins are by bundle_id alone."""
-    inner = lambda df, name: df.select("bundle_id", F.struct(*[c for c in df.columns if c != "bundle_id"]).alias(name))
-    j = bundle_rows.join(inner(context, "context"), "bundle_id", "left").join(inner(snapshot, "analysis_snapshot"), "bundle_id", "left")
-    chain = F.struct(F.lit("sha256").alias("algorithm"), "final_hash", "event_count").alias("hash_chain")
-    proof_ = F.struct("links", "root_hash").alias("immutability_proof")
-    body = F.struct(F.lit(version).alias("version"), F.col("bundle_id").cast("string").alias("bundle_id"), "context", "events", chain, proof_, "summary", "analysis_snapshot", "bundle_hash")
-    return j.select("bundle_id", F.to_json(body).alias("document"))
+def bundle_documents(rows: DataFrame) -> DataFrame:
+    """bundle_id, document: the whole bundle as canonical JSON: all that the seal covers, the seal and the signatures."""
+    part = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f'"{c}":'), canonical(F.col(c), rows.schema[c].dataType)))
+    return rows.select("bundle_id", F.concat(F.lit("{"), F.concat_ws(",", *[part(c) for c in sorted(_present(rows, (*BUNDLE, "bundle_hash", "signatures")))]), F.lit("}")).alias("document"))

@@ -1,15 +1,16 @@
 """Unified diffs as tables of lines and files, and projections of them.
 
-Every window and aggregate here is keyed by change_id first, so one shuffle of the lines serves them all.
+A diff is parsed in its row, by one fold over its lines: parsing needs no shuffle and no window, and works on streams. The
+fold goes chunk by chunk, since an array grows by being copied: a diff of n lines costs n * CHUNK copies at most.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.config import COMMENT_MARKERS, CONFIG_FILE, DOC_FILE, LANES, PATHS
-from riskloom.functions import any_match
+from riskloom.functions import any_match, let
 
 _HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
@@ -27,70 +28,160 @@ def assemble_diffs(patches: DataFrame) -> DataFrame:
     return patches.where("patch is not null and patch <> ''").groupBy("change_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n").alias("diff"))
 
 
-def parsed_lines(changes: DataFrame) -> DataFrame:
-    """Every line of every diff with its place: what diff_lines and parse_errors select from.
+#: Lines of a chunk of the fold.
+CHUNK = 256
+#: What the fold gives for a diff: its body lines and its files.
+LINE = "struct<file_no:int,path:string,hunk_no:int,ord:int,type:string,content:string,line_number:int,other_line:int,is_new:boolean,is_deleted:boolean>"
+FILE = "struct<file_no:int,path:string,added:bigint,removed:bigint,is_new:boolean,is_deleted:boolean,broken:boolean>"
+#: The state of the fold: the hunk (numbers of its header, lines of either side so far), the file (what its headers said,
+#: lines so far, lines of either side in the present hunk, whether that hunk began in it) and the diff.
+_STATE = {
+    "hunk_no": "int", "old_start": "bigint", "old_n": "bigint", "new_start": "bigint", "new_n": "bigint", "old": "bigint", "new": "bigint",
+    "file_no": "int", "last": "string", "target": "string", "source": "string", "named": "string", "mode": "string",
+    "any": "boolean", "path": "string", "added": "bigint", "removed": "bigint", "is_new": "boolean", "is_deleted": "boolean", "broken": "boolean", "own_old": "bigint", "own_new": "bigint", "own_head": "boolean",
+    "error": "boolean", "files": f"array<{FILE}>", "lines": f"array<{LINE}>",
+}
+
+
+def _state(now: Column | None = None, **fields: Column) -> Column:
+    """A state of the fold: fields as given, else as they are now, else as they are before a diff's first line."""
+    zero = {"int": F.lit(0), "bigint": F.lit(0), "boolean": F.lit(False)}
+    kept = {c: fields[c] if c in fields else now[c] if now is not None else zero.get(kind, F.array() if kind.startswith("array") else F.lit(None)) for c, kind in _STATE.items()}
+    return F.struct(*[v.cast(_STATE[c]).alias(c) if c not in ("files", "lines") or now is None else v.alias(c) for c, v in kept.items()])
+
+
+def _facts(raw: Column, after: Column) -> Column:
+    """What a line says by itself; `after` is the next line."""
+    head = raw.startswith("@@") & raw.rlike(_HUNK)
+    number = lambda i, default: F.when(head, F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(raw, _HUNK, i), F.lit("")), F.lit("999999999")).cast("long"), F.lit(default)))
+    plain = lambda c: F.nullif(F.regexp_replace(c, '^"|"$', ""), F.lit(""))
+    header = lambda start, pattern, i=1: F.when(raw.startswith(start), plain(F.regexp_extract(raw, pattern, i)))
+    named = F.coalesce(header("rename to ", "^rename to (.*)$"), header("copy to ", "^copy to (.*)$"), header("diff --git ", r'^diff --git "?a/(.*?)"? "?b/\1"?$'), header("diff --git ", r'^diff --git .* "?b/(.*?)"?$'), header("diff --git ", r"^diff --git \S+ (\S+)$"))
+    pair = raw.startswith("--- ") & F.coalesce(after.startswith("+++ "), F.lit(False))
+    return F.struct(
+        raw.alias("raw"), F.substring(raw, 1, 1).alias("mark"), head.alias("head"), number(1, 0).alias("old_start"), number(2, 1).alias("old_n"), number(3, 0).alias("new_start"), number(4, 1).alias("new_n"),
+        raw.startswith("diff --git ").alias("git"), pair.alias("pair"), F.when(raw.startswith("+++ "), F.nullif(F.regexp_extract(raw, r"^\+\+\+ (?:b/)?([^\t]*)", 1), F.lit(""))).alias("target"),
+        F.when(pair, F.regexp_extract(raw, r"^--- (?:a/)?([^\t]*)", 1)).alias("source"), named.alias("named"), header("", "^(new|deleted) file mode ").alias("mode"),
+    )
+
+
+def _path(s: Column) -> Column:
+    return F.coalesce(F.when(s["target"] == "/dev/null", s["source"]).otherwise(s["target"]), s["named"])
+
+
+def _is(s: Column, name: str, mode: str) -> Column:
+    return F.coalesce(s[name] == "/dev/null", F.lit(False)) | F.coalesce(s["mode"] == mode, F.lit(False))
+
+
+def _short(s: Column) -> Column:
+    """Whether the hunk at hand began in this file and hasn't the lines here that its header counts."""
+    return s["own_head"] & ((s["own_old"] != s["old_n"]) | (s["own_new"] != s["new_n"]))
+
+
+def _short_hunk(s: Column) -> Column:
+    return (s["hunk_no"] > 0) & ((s["old"] != s["old_n"]) | (s["new"] != s["new_n"]))
+
+
+def _with_file(s: Column) -> Column:
+    """The files so far and the one at hand, if any of its lines count."""
+    own = F.struct(s["file_no"].alias("file_no"), s["path"].alias("path"), s["added"].alias("added"), s["removed"].alias("removed"), s["is_new"].alias("is_new"), s["is_deleted"].alias("is_deleted"), (s["broken"] | _short(s)).alias("broken"))
+    return F.when(s["any"], F.array_append(s["files"], own)).otherwise(s["files"])
+
+
+def _step(s: Column, f: Column, i: Column) -> Column:
+    """The state after line i, of which f has the facts."""
+    marked = f["mark"].isin(" ", "+", "-") | (F.length(f["raw"]) == 0)
+    body = (s["hunk_no"] > 0) & ~f["head"] & ((s["old"] < s["old_n"]) | (s["new"] < s["new_n"])) & marked
+
+    def headed(b: Column) -> Column:
+        """The state after what the line says of hunks and files; b: whether it is a body line, and whether it starts a file."""
+        git, pair = ~b["body"] & f["git"], ~b["body"] & f["pair"]
+        fresh = b["first"]
+        said = lambda name: F.coalesce(F.when(~b["body"], f[name]), F.when(~fresh, s[name]))
+        zero = lambda name, new=fresh: F.when(new, 0).otherwise(s[name])
+        no = lambda name, new=fresh: s[name] & ~new
+        new_hunk = f["head"]
+        hunk = {c: F.when(new_hunk, f[c]).otherwise(s[c]) for c in ("old_start", "old_n", "new_start", "new_n")}
+        return _state(
+            s, **hunk, hunk_no=s["hunk_no"] + new_hunk.cast("int"), old=zero("old", new_hunk), new=zero("new", new_hunk), file_no=s["file_no"] + fresh.cast("int"), last=F.when(git, "git").when(pair, "pair").otherwise(s["last"]),
+            target=said("target"), source=said("source"), named=said("named"), mode=said("mode"),
+            any=no("any"), path=F.when(~fresh, s["path"]), added=zero("added"), removed=zero("removed"), is_new=no("is_new"), is_deleted=no("is_deleted"), broken=(s["broken"] | (new_hunk & _short(s))) & ~fresh,
+            own_old=zero("own_old", fresh | new_hunk), own_new=zero("own_new", fresh | new_hunk), own_head=new_hunk | no("own_head"),
+            error=s["error"] | (new_hunk & _short_hunk(s)) | (f["raw"].startswith("@@") & ~new_hunk & ~b["body"]), files=F.when(fresh, _with_file(s)).otherwise(s["files"]),
+        )
+
+    def counted(b: Column, t: Column) -> Column:
+        """The state with the line's own share: its side, its file and, in a hunk's body, the line itself."""
+        kind = F.when(f["mark"] == "+", "add").when(f["mark"] == "-", "remove").otherwise("context")
+        at_old, at_new = t["old_start"] + t["old"], t["new_start"] + t["new"]
+        own = F.struct(
+            t["file_no"].alias("file_no"), _path(t).alias("path"), t["hunk_no"].alias("hunk_no"), i.cast("int").alias("ord"), kind.alias("type"), F.substring(f["raw"], F.lit(2), F.length(f["raw"])).alias("content"),
+            F.when(kind == "remove", at_old).otherwise(at_new).cast("int").alias("line_number"), F.when(kind == "context", at_old.cast("int")).alias("other_line"), _is(t, "source", "new").alias("is_new"), _is(t, "target", "deleted").alias("is_deleted"),
+        )
+        n = lambda test: (b["body"] & test).cast("bigint")
+        counts = b["body"] | f["head"] | (t["file_no"] > 0)
+        old, new = n(f["mark"] != "+"), n(f["mark"] != "-")
+        return _state(
+            t, any=t["any"] | counts, path=F.when(counts, _path(t)).otherwise(t["path"]), added=t["added"] + n(f["mark"] == "+"), removed=t["removed"] + n(f["mark"] == "-"), is_new=t["is_new"] | (counts & _is(t, "source", "new")), is_deleted=t["is_deleted"] | (counts & _is(t, "target", "deleted")),
+            broken=t["broken"] | (counts & f["raw"].startswith("@@") & ~f["head"] & ~b["body"]), old=t["old"] + old, new=t["new"] + new, own_old=t["own_old"] + old, own_new=t["own_new"] + new,
+            lines=F.when(b["body"], F.array_append(t["lines"], own)).otherwise(t["lines"]),
+        )
+
+    starts = lambda is_body: ~is_body & (f["git"] | (f["pair"] & F.coalesce(s["last"] != "git", F.lit(True))))
+    return let(F.struct(body.alias("body")), lambda a: let(F.struct(a["body"].alias("body"), starts(a["body"]).alias("first")), lambda b: let(headed(b), lambda t: counted(b, t))))
+
+
+def parsed(diff: Column) -> Column:
+    """A diff as a struct: lines (of LINE), files (of FILE), and error: a hunk is shorter than its header says, or a hunk header
+    doesn't parse. Null for a null diff.
 
     A hunk's body lasts until its header's counts are used up, so a removed line that looks like a file header is one.
-    A file starts at its "diff --git" line, or at a pair of --- and +++ that follows none.
+    A file starts at its "diff --git" line, or at a pair of --- and +++ that follows none; what a header says holds to the
+    end of its own file. Files without lines (renamed, binary, empty) count, too.
     """
-    each = changes.select("change_id", F.posexplode(F.split("diff", "\n")).alias("ord", "raw"))
-    each = each.withColumn("_head", F.col("raw").rlike(_HUNK))
-    by_change = Window.partitionBy("change_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    each = each.withColumn("hunk_no", F.sum(F.col("_head").cast("int")).over(by_change))
-    number = lambda i, default: F.coalesce(F.when(F.col("_head"), F.try_to_number(F.nullif(F.regexp_extract("raw", _HUNK, i), F.lit("")), F.lit("999999999"))).cast("long"), F.when(F.col("_head"), F.lit(default)))
-    in_hunk = Window.partitionBy("change_id", "hunk_no")
-    for name, i, default in (("old_start", 1, 0), ("old_n", 2, 1), ("new_start", 3, 0), ("new_n", 4, 1)):
-        each = each.withColumn(f"_{name}", number(i, default)).withColumn(f"_{name}", F.max(f"_{name}").over(in_hunk))
-    mark = F.substring("raw", 1, 1)
-    old = (~F.col("_head") & (mark.isin(" ", "-", "") | (F.length("raw") == 0))).cast("int")
-    new = (~F.col("_head") & (mark.isin(" ", "+", "") | (F.length("raw") == 0))).cast("int")
-    before = in_hunk.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("_old", F.coalesce(F.sum(old).over(before), F.lit(0))).withColumn("_new", F.coalesce(F.sum(new).over(before), F.lit(0)))
-    body = (F.col("hunk_no") > 0) & ~F.col("_head") & ((F.col("_old") < F.col("_old_n")) | (F.col("_new") < F.col("_new_n"))) & (mark.isin(" ", "+", "-") | (F.length("raw") == 0))
-    each = each.withColumn("_body", body)
-    path = F.when(~F.col("_body"), F.regexp_extract("raw", r"^\+\+\+ (?:b/)?([^\t]*)", 1))
-    start = ~F.col("_body") & F.col("raw").startswith("--- ") & F.lead("raw").over(Window.partitionBy("change_id").orderBy("ord")).startswith("+++ ")
-    source = F.when(start, F.regexp_extract("raw", r"^--- (?:a/)?([^\t]*)", 1))
-    git = ~F.col("_body") & F.col("raw").startswith("diff --git ")
-    last = F.last(F.when(git, "git").when(start, "pair"), ignorenulls=True).over(Window.partitionBy("change_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1))
-    each = each.withColumn("_first", git | (start & F.coalesce(last != "git", F.lit(True)))).withColumn("file_no", F.sum(F.col("_first").cast("int")).over(by_change))
-    plain = lambda c: F.nullif(F.regexp_replace(c, '^"|"$', ""), F.lit(""))
-    header = lambda p, i=1: F.when(~F.col("_body"), plain(F.regexp_extract("raw", p, i)))
-    named = F.coalesce(header(r"^(?:rename|copy) to (.*)$"), header(r'^diff --git "?a/(.*?)"? "?b/\1"?$'), header(r'^diff --git .* "?b/(.*?)"?$'), header(r"^diff --git \S+ (\S+)$"))
-    mode = header(r"^(new|deleted) file mode ")
-    # What a header says holds to the end of its own file.
-    for name, value in (("_target", F.nullif(path, F.lit(""))), ("_source", source), ("_named", named), ("_mode", mode)):
-        seen = F.last(F.when(value.isNotNull(), F.struct("file_no", value.alias("v"))), ignorenulls=True).over(by_change)
-        each = each.withColumn(name, seen).withColumn(name, F.when(F.col(f"{name}.file_no") == F.col("file_no"), F.col(f"{name}.v")))
-    return each.withColumn("path", F.coalesce(F.when(F.col("_target") == "/dev/null", F.col("_source")).otherwise(F.col("_target")), "_named"))
+
+    def chunk(raws: Column, no: Column) -> Column:
+        """(facts, number of the first line) of the lines of a chunk."""
+        own = F.slice(raws, no * CHUNK + 1, F.lit(CHUNK))
+        return F.struct((no * CHUNK).alias("start"), F.transform(own, lambda raw, i: F.struct((no * CHUNK + i).alias("i"), _facts(raw, F.get(raws, no * CHUNK + i + 1)).alias("f"))).alias("rows"))
+
+    def fold(raws: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(raws) - 1) / CHUNK).cast("int"))
+        zero = F.struct(_state().alias("s"), F.array().cast(f"array<array<{LINE}>>").alias("out"))
+        emptied = lambda s: _state(s, lines=F.array().cast(f"array<{LINE}>"))
+
+        def step(a: Column, no: Column) -> Column:
+            done = F.aggregate(chunk(raws, no)["rows"], a["s"], lambda s, row: _step(s, row["f"], row["i"]))
+            return let(done, lambda s: F.struct(emptied(s).alias("s"), F.array_append(a["out"], s["lines"]).alias("out")))
+
+        return F.aggregate(numbers, zero, step, lambda a: F.struct(F.flatten(a["out"]).alias("lines"), _with_file(a["s"]).alias("files"), (a["s"]["error"] | _short_hunk(a["s"])).alias("error")))
+
+    return F.when(diff.isNotNull(), let(F.split(diff, "\n"), fold))
 
 
 def diff_lines(changes: DataFrame) -> DataFrame:
     """change_id, diff -> change_id, file_no, path, hunk_no, ord, type (add, remove, context), content, line_number,
     other_line, is_new, is_deleted. Numbers are those of the new side, of the old side for removed lines; other_line is a
-    context line's number on the old side, null for the rest."""
-    kind = F.when(F.substring("raw", 1, 1) == "+", "add").when(F.substring("raw", 1, 1) == "-", "remove").otherwise("context")
-    number = F.when(kind == "remove", F.col("_old_start") + F.col("_old")).otherwise(F.col("_new_start") + F.col("_new")).cast("int")
-    return parsed_lines(changes).where("_body").select("change_id", "file_no", "path", "hunk_no", "ord", kind.alias("type"), F.expr("substring(raw, 2)").alias("content"), number.alias("line_number"), F.when(kind == "context", (F.col("_old_start") + F.col("_old")).cast("int")).alias("other_line"), *_kinds())
+    context line's number on the old side, null for the rest. is_new and is_deleted go by the paths of a file's headers, or
+    by its mode."""
+    return changes.select("change_id", F.explode(parsed(F.col("diff"))["lines"]).alias("_l")).select("change_id", "_l.*")
 
 
-def _kinds() -> list[Column]:
-    """is_new, is_deleted: by the paths of a file's headers, or by its mode."""
-    is_ = lambda c, v: F.coalesce(F.col(c) == v, F.lit(False))
-    return [(is_("_source", "/dev/null") | is_("_mode", "new")).alias("is_new"), (is_("_target", "/dev/null") | is_("_mode", "deleted")).alias("is_deleted")]
+def parse_errors(changes: DataFrame) -> DataFrame:
+    """change_id of the diffs in which a hunk is shorter than its header says, or a hunk header doesn't parse."""
+    return changes.where(parsed(F.col("diff"))["error"]).select("change_id").distinct()
 
 
-def parse_errors(changes: DataFrame) -> DataFrame:
-    """change_id of the diffs in which a hunk is shorter than its header says, or a file has no hunk header that parses."""
-    hunks = parsed_lines(changes).groupBy("change_id", "hunk_no").agg(F.max("_old_n").alias("o"), F.max("_new_n").alias("n"), F.count_if(F.col("_body") & ~F.col("raw").startswith("+")).alias("old"), F.count_if(F.col("_body") & ~F.col("raw").startswith("-")).alias("new"), F.count_if(F.col("raw").startswith("@@") & ~F.col("_head") & ~F.col("_body")).alias("odd"))
-    return hunks.where("(hunk_no > 0 and (old <> o or new <> n)) or odd > 0").select("change_id").distinct()
+def marks(diff: Column) -> Column:
+    """A diff's files_changed, lines_added and lines_removed by the marks of its lines alone."""
+    n = lambda lines, p, but: F.size(F.filter(lines, lambda x: x.startswith(p) & ~x.startswith(but))).cast("long")
+    counts = lambda x: F.struct(n(x, "diff --git", "\n").alias("files_changed"), n(x, "+", "+++").alias("lines_added"), n(x, "-", "---").alias("lines_removed"))
+    return let(F.split(diff, "\n"), counts)
 
 
 def fallback_totals(changes: DataFrame) -> DataFrame:
     """Totals of diffs that don't parse, by the marks of their lines alone."""
-    lines = F.split("diff", "\n")
-    n = lambda p, but: F.size(F.filter(lines, lambda x: x.startswith(p) & ~x.startswith(but))).cast("long")
-    return changes.select("change_id", F.size(F.filter(lines, lambda x: x.startswith("diff --git"))).cast("long").alias("files_changed"), n("+", "+++").alias("lines_added"), n("-", "---").alias("lines_removed"))
+    return changes.select("change_id", marks(F.col("diff")).alias("_m")).select("change_id", "_m.*")
 
 
 def file_changes(lines: DataFrame) -> DataFrame:
@@ -104,13 +195,7 @@ def changed_files(changes: DataFrame) -> DataFrame:
     Columns are those of file_changes, and broken: a hunk of the file is what parse_errors looks for. A hunk lies in one
     file; the lines after its end may be headers of the next.
     """
-    each = parsed_lines(changes).select("*", *_kinds()).where("file_no > 0 or _body or _head")
-    n = lambda mark: F.count_if(F.col("_body") & F.col("raw").startswith(mark))
-    other = lambda mark: F.count_if(F.col("_body") & ~F.col("raw").startswith(mark))
-    short = F.bool_or("_head") & ((F.max("_old_n") != other("+")) | (F.max("_new_n") != other("-")))
-    odd = F.bool_or(F.col("raw").startswith("@@") & ~F.col("_head") & ~F.col("_body"))
-    hunks = each.groupBy("change_id", "file_no", "hunk_no").agg(F.max_by("path", "ord").alias("path"), F.max("ord").alias("ord"), n("+").alias("added"), n("-").alias("removed"), F.bool_or("is_new").alias("is_new"), F.bool_or("is_deleted").alias("is_deleted"), (F.coalesce(short, F.lit(False)) | odd).alias("broken"))
-    return hunks.groupBy("change_id", "file_no").agg(F.max_by("path", "ord").alias("path"), F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.bool_or("is_new").alias("is_new"), F.bool_or("is_deleted").alias("is_deleted"), F.bool_or("broken").alias("broken"))
+    return changes.select("change_id", F.explode(parsed(F.col("diff"))["files"]).alias("_f")).select("change_id", "_f.*")
 
 
 def change_totals(files: DataFrame) -> DataFrame:

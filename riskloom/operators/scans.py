@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from riskloom.config import HASH_FIELD, TOPIC_ZONES, ZONES
-from riskloom.functions import literal_map, severity
+from riskloom.functions import let, literal_map, severity
 from riskloom.operators.lines import is_doc, is_test, topic_text
 
 #: Unicode classes and case folding, and lines that end at a newline only, for patterns where these can matter.
@@ -34,6 +34,15 @@ def preview(content: Column, redacted: bool) -> Column:
     return F.lit("[REDACTED]") if redacted else F.trim(F.substring(content, 1, 100))
 
 
+def found_zones(topic: Column, raw: Column, zones: dict[str, str] = ZONES) -> dict[str, Column]:
+    """For each zone whether a line has it; topic and raw are the code in the line and all of it, with its newline."""
+    out = {}
+    for name, pattern in zones.items():
+        test = (topic if name in TOPIC_ZONES else raw).rlike(_flags(pattern) + pattern)
+        out[name] = test & ~raw.rlike(EXACT + HASH_FIELD) if name == "crypto" else test
+    return out
+
+
 def zone_hits(lines: DataFrame, zones: dict[str, str] = ZONES, redacted: bool = False) -> DataFrame:
     """One row for each added line of a file that isn't documentation and each zone found in it.
 
@@ -42,12 +51,8 @@ def zone_hits(lines: DataFrame, zones: dict[str, str] = ZONES, redacted: bool =
     added = lines.where(F.col("type") == "add").where(~is_doc(F.col("path")))
     topic, raw = F.concat(topic_text(F.col("path"), F.col("content")), F.lit("\n")), F.concat("content", F.lit("\n"))
     added = added.withColumns({"_topic": topic, "_raw": raw})
-    tests = []
-    for i, (name, pattern) in enumerate(zones.items()):
-        found = F.col("_topic" if name in TOPIC_ZONES else "_raw").rlike(_flags(pattern) + pattern)
-        if name == "crypto":
-            found = found & ~F.col("_raw").rlike("(?iuUd)" + HASH_FIELD)
-        tests.append(F.when(found, F.struct(F.lit(i).alias("zone_no"), F.lit(name).alias("zone"))))
+    found = found_zones(F.col("_topic"), F.col("_raw"), zones)
+    tests = [F.when(test, F.struct(F.lit(i).alias("zone_no"), F.lit(name).alias("zone"))) for i, (name, test) in enumerate(found.items())]
     hit = _found(added, tests)
     return hit.select("change_id", "file_no", F.col("path").alias("file"), F.col("line_number").alias("line"), "ord", "_hit.zone_no", "_hit.zone", preview(F.col("content"), redacted).alias("content_preview"))
 
@@ -62,10 +67,40 @@ SECRETS = (
 
 def secret_hits(lines: DataFrame, rules=SECRETS) -> DataFrame:
     """One row for each added line, of any file, and each rule found in it; hash fields are no secrets."""
-    tests = [F.when(F.col("content").rlike(p), F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity"), F.lit(v).alias("provable"))) for k, p, s, v in rules]
+    tests = [F.when(F.col("content").rlike(p), F.struct(F.lit(i).alias("kind_no"), F.lit(k).alias("kind"), F.lit(s).alias("severity"), F.lit(v).alias("provable"))) for i, (k, p, s, v) in enumerate(rules)]
     added = lines.where((F.col("type") == "add") & ~F.col("content").rlike("(?iuUd)" + HASH_FIELD))
     hit = _found(added, tests)
-    return hit.select("change_id", "file_no", F.col("path").alias("file"), F.col("line_number").alias("line"), "ord", F.lit("entropy_secret").alias("zone"), "_hit.kind", "_hit.severity", "_hit.provable", F.lit("[REDACTED]").alias("content_preview"))
+    return hit.select("change_id", "file_no", F.col("path").alias("file"), F.col("line_number").alias("line"), "ord", F.lit("entropy_secret").alias("zone"), "_hit.kind_no", "_hit.kind", "_hit.severity", "_hit.provable", F.lit("[REDACTED]").alias("content_preview"))
+
+
+#: A token that may be random: its characters, and the least length and bits a character that make it a secret, for tokens
+#: of hexadecimal digits and for others, which must mix letters and digits.
+TOKEN = "[A-Za-z0-9+/=_-]{20,}"
+HEX_LEAST, ANY_LEAST = (32, 3.0), (20, 4.0)
+#: Lengths of commit ids and digests in hexadecimal digits, which are no secrets.
+DIGESTS = (40, 64)
+
+
+def entropy(token: Column) -> Column:
+    """Shannon's entropy of a token in bits a character, from its histogram of characters; 0 for an empty one."""
+
+    def over(chars: Column) -> Column:
+        n = F.size(chars).cast("double")
+        share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
+        return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: let(share(c), lambda p: a - p * F.log2(p)))
+
+    return F.when(F.length(token) > 0, let(F.filter(F.split(token, ""), lambda c: c != ""), over)).otherwise(0.0)
+
+
+def entropy_hits(lines: DataFrame) -> DataFrame:
+    """change_id, file, line, ord, token_no (from 0), length, bits: tokens of added lines that look random. Lines with a hash
+    field have none, nor do tokens as long as a commit id or digest."""
+    added = lines.where((F.col("type") == "add") & F.col("content").rlike(TOKEN) & ~F.col("content").rlike(EXACT + HASH_FIELD))
+    each = added.select("change_id", F.col("path").alias("file"), F.col("line_number").alias("line"), "ord", F.posexplode(F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0))).alias("token_no", "_t"))
+    hexes = F.col("_t").rlike("^[0-9A-Fa-f]+$")
+    likely = F.when(hexes, (F.length("_t") >= HEX_LEAST[0]) & ~F.length("_t").isin(*DIGESTS)).otherwise((F.length("_t") >= ANY_LEAST[0]) & F.col("_t").rlike("[A-Za-z]") & F.col("_t").rlike("[0-9]"))
+    rows = each.where(likely).withColumn("bits", entropy(F.col("_t")))
+    return rows.where(F.col("bits") >= F.when(hexes, HEX_LEAST[1]).otherwise(ANY_LEAST[1])).select("change_id", "file", "line", "ord", "token_no", F.length("_t").alias("length"), "bits")
 
 
 def rubric_findings(lines: DataFrame, rules: list[dict]) -> DataFrame:
@@ -160,11 +195,23 @@ def _any(value: Column, patterns: tuple[str, ...]) -> Column:
 
 
 def redactions_by_type(detections: DataFrame) -> DataFrame:
-    """change_id, type, category, label -> change_id, kind, n: the first of the three that is given, else unknown."""
-    kind = F.coalesce("type", "category", "label", F.lit("unknown"))
+    """change_id, type, category, label -> change_id, kind, n: the first of the three that is neither null nor empty, else
+    unknown."""
+    given = lambda c: F.nullif(F.col(c), F.lit(""))
+    kind = F.coalesce(given("type"), given("category"), given("label"), F.lit("unknown"))
     return detections.groupBy("change_id", kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+def reported_redactions(reports: DataFrame) -> DataFrame:
+    """change_id, kind, n from a service's reports: change_id, redactions_by_type (map of kind and count, as text) and
+    redactions (array of structs with type, category and label). A map that is there counts, an empty one too; of it what
+    is no whole number is skipped, and parts of one are cut off. Else the listed redactions are counted by kind."""
+    whole = F.when(F.col("v").rlike(r"^\s*[+-]?[0-9]{1,18}\s*$"), F.trim("v").cast("long")).when(F.col("v").rlike(r"^[+-]?[0-9]{1,15}\.[0-9]*$"), F.regexp_extract("v", r"^([^.]*)", 1).cast("long"))
+    mapped = reports.where("redactions_by_type is not null").select("change_id", F.explode("redactions_by_type").alias("kind", "v")).select("change_id", "kind", whole.alias("n")).where("n is not null")
+    listed = reports.where("redactions_by_type is null").select("change_id", F.explode("redactions").alias("r")).select("change_id", "r.type", "r.category", "r.label")
+    return mapped.unionByName(redactions_by_type(listed))
+
+
 # Words of a detection's label by the zone that they stand for, in order.
 LABEL_WORDS = {
     "pii": ("email", "phone", "ssn", "pii", "phi", "personal"),

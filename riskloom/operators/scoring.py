@@ -76,13 +76,14 @@ def _all_floors(files: DataFrame, hits: DataFrame, policy: RiskPolicy, changes:
 def zone_findings(hits: DataFrame, secrets: DataFrame | None = None, policy: RiskPolicy = DEFAULT) -> DataFrame:
     """change_id, file, line, zone, rule_id, severity, provable, message, seq: one for each zone, file and line.
 
-    Of several the first in discovery order stays (zones of a file before its secrets). In test files zones are info,
+    Of several the first in discovery order stays (zones of a file before its secrets, secrets of a line in the order of rules). In test files zones are info,
     and secrets are high and not provable. Only secrets may be provable.
     """
-    test = is_test(F.col("file"))
+    # A line without a path is in no test.
+    test = F.coalesce(is_test(F.col("file")), F.lit(False))
     z = hits.select("change_id", "file_no", "file", "line", "ord", "zone", F.struct(F.lit(0).alias("source"), F.col("file_no"), F.col("ord"), F.col("zone_no").alias("no")).alias("seq"), F.concat(F.lit("sensitive-"), "zone").alias("rule_id"), F.when(test, "info").otherwise(F.coalesce(literal_map(policy.zone_severity)[F.col("zone")], F.lit("medium"))).alias("severity"), F.lit(False).alias("provable"), F.concat(F.lit("Sensitive "), "zone", F.lit(" code modified")).alias("message"))
     if secrets is not None:
-        s = secrets.select("change_id", "file_no", "file", "line", "ord", "zone", F.struct(F.lit(1).alias("source"), F.col("file_no"), F.col("ord"), F.lit(0).alias("no")).alias("seq"), F.concat(F.lit("secret-"), "kind").alias("rule_id"), F.when(test, "high").otherwise(severity(F.col("severity"))).alias("severity"), (~test & F.col("provable")).alias("provable"), F.concat(F.lit("Hardcoded secret detected ("), "kind", F.lit(")")).alias("message"))
+        s = secrets.select("change_id", "file_no", "file", "line", "ord", "zone", F.struct(F.lit(1).alias("source"), F.col("file_no"), F.col("ord"), F.col("kind_no").alias("no")).alias("seq"), F.concat(F.lit("secret-"), "kind").alias("rule_id"), F.when(test, "high").otherwise(severity(F.col("severity"))).alias("severity"), (~test & F.col("provable")).alias("provable"), F.concat(F.lit("Hardcoded secret detected ("), "kind", F.lit(")")).alias("message"))
         z = z.unionByName(s)
     w = Window.partitionBy("change_id", "zone", "file", "line").orderBy("seq")
     return z.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("change_id", "file", "line", "zone", "rule_id", "severity", "provable", "message", "seq")

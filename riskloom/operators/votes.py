@@ -8,41 +8,83 @@ from pyspark.sql import functions as F
 from riskloom.config import REVIEW_SLOTS
 from riskloom.functions import literal_map
 
-# Verdicts from weakest to strictest, and the fields of a structured verdict.
+# Verdicts from weakest to strictest, the fields of a structured verdict, what it may say of a change's
+# intent, and what it scores.
 VERDICTS = ("approve", "comment", "request_changes")
-FIELDS = ("summary", "intent", "concerns", "risk_assessment", "confidence", "rubric_scores")
+FIELDS = ("schema_version", "summary", "intent", "concerns", "risk_assessment", "confidence", "rubric_scores")
+INTENTS = ("feature", "bugfix", "refactor", "config", "security", "documentation", "test", "unknown")
+SCORES = ("security_impact", "code_quality", "test_coverage", "documentation", "rollback_safety")
+SCHEMA_VERSION, ENVELOPE = "riskloom.review.v1", "review"
 
 
-def validate_reviews(responses: DataFrame, envelope: str = "review") -> DataFrame:
-    """responses with risk_assessment, confidence, concerns and reject_reason (null where the verdict is sound).
+def _kind(v: Column) -> Column:
+    """The JSON type of a VARIANT: STRING, NUMBER, BOOLEAN, VOID, ARRAY or OBJECT; null where there is nothing."""
+    return F.regexp_replace(F.regexp_replace(F.schema_of_variant(v), "<.*$", ""), r"^(BIGINT|DOUBLE|DECIMAL.*)$", "NUMBER")
 
-    A response is one JSON object with the envelope as its only key and exactly FIELDS inside, or it is rejected: then it
-    asks for changes with confidence 0. The text is parsed inside a wrapper keyed by its own hash, which nothing that
-    follows the object can close.
+
+def _as(v: Column, kind: str) -> Column:
+    return F.try_variant_get(v, "$", kind)
+
+
+def _said(v: Column) -> Column:
+    """A JSON value as a sentence: a string as it is, an object by its description or message if it says something."""
+    plain = lambda x: F.when(_kind(x) == "STRING", _as(x, "string")).when(_kind(x) == "BOOLEAN", F.initcap(_as(x, "string"))).when(_kind(x) == "VOID", "None").otherwise(F.to_json(x))
+    held = lambda name: F.nullif(F.regexp_replace(plain(F.try_variant_get(v, f"$.{name}", "variant")), r"^(0|0\.0|False|None|\{\}|\[\])$", ""), F.lit(""))
+    return F.when(_kind(v) == "OBJECT", F.coalesce(held("description"), held("message"), F.to_json(v))).otherwise(plain(v))
+
+
+def validate_reviews(responses: DataFrame, envelope: str = ENVELOPE, version: str = SCHEMA_VERSION) -> DataFrame:
+    """responses with summary, intent, concerns, risk_assessment, confidence, rubric_scores (those given) and reject_reason
+    (null where the verdict is sound).
+
+    A response is one JSON object, or one fenced block of it, with the envelope as its only key and exactly FIELDS inside,
+    each of its own JSON type: nothing is converted, so a number in quotes is no number. Anything else is rejected: it asks
+    for changes with confidence 0, and the reason is its summary and only concern. The text is parsed as a VARIANT inside a
+    wrapper keyed by its own hash, which nothing that follows the object can close. Repeated keys, NaN and infinities are
+    no JSON here. Columns of responses with those names are replaced.
     """
-    text = F.regexp_replace(F.trim("response"), r"(?s)^```(?:json)?\s*(.*?)\s*```$", "$1")
+    text = F.regexp_replace(F.col("response"), r"^\s+|\s+$", "")
+    text = F.regexp_replace(text, r"(?s)^```(?:json)?[ \t]*\n(.*)\n[ \t]*```$", "$1")
     key = F.sha2(text, 256)
     wrapped = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit(',"'), key, F.lit('":1}')))
-    sealed = F.array_sort(F.json_object_keys(F.to_json(wrapped))) == F.array_sort(F.array(F.lit("x"), key))
-    inner = F.get_json_object(F.to_json(wrapped), f"$.x.{envelope}")
-    only = F.json_object_keys(F.get_json_object(F.to_json(wrapped), "$.x")) == F.array(F.lit(envelope))
-    fields = F.array_sort(F.json_object_keys(inner)) == F.array(*map(F.lit, sorted(FIELDS)))
-    body = F.from_json(inner, "summary string, intent string, concerns array<string>, risk_assessment string, confidence double, rubric_scores map<string,double>")
-    r = responses.withColumns({"_sealed": F.coalesce(sealed, F.lit(False)), "_only": F.coalesce(only, F.lit(False)), "_fields": F.coalesce(fields, F.lit(False)), "_b": body})
-    scores = F.coalesce(F.forall(F.map_values("_b.rubric_scores"), lambda v: v.isNull() | v.between(1, 5)), F.lit(True))
+    r = responses.select(F.struct(*[c for c in responses.columns if c not in (*FIELDS, "reject_reason")]).alias("_row"), F.col("response").isNull().alias("_none"), wrapped.alias("_w"), key.alias("_key"))
+    keys = lambda v: F.array_sort(F.map_keys(_as(v, "map<string,variant>")))
+    same = lambda found, names: F.coalesce(found == F.array_sort(F.array(*names)), F.lit(False))
+    r = r.withColumns({"_whole": same(keys(F.col("_w")), [F.lit("x"), F.col("_key")]), "_x": F.try_variant_get("_w", "$.x", "variant")})
+    r = r.withColumns({"_only": same(keys(F.col("_x")), [F.lit(envelope)]), "_b": F.try_variant_get("_x", f"$['{envelope}']", "variant")})
+    field = {f: F.try_variant_get("_b", f"$.{f}", "variant") for f in FIELDS}
+    is_ = lambda f, kind: F.coalesce(_kind(field[f]) == kind, F.lit(False))
+    one_of = lambda f, names: is_(f, "STRING") & F.coalesce(_as(field[f], "string").isin(*names), F.lit(False))
+    scores, confidence = _as(field["rubric_scores"], "map<string,variant>"), _as(field["confidence"], "double")
+    in_range = lambda v: (_kind(v) == "VOID") | ((_kind(v) == "NUMBER") & F.coalesce(_as(v, "double").between(1, 5), F.lit(False)))
     reason = (
-        F.when(F.col("response").isNull(), "no response")
-        .when(~F.col("_sealed"), "not one JSON object")
+        F.when(F.col("_none"), "no response")
+        .when(~F.col("_whole") | ~F.coalesce(_kind(F.col("_x")) == "OBJECT", F.lit(False)), "not one JSON object")
         .when(~F.col("_only"), "wrong envelope")
-        .when(~F.col("_fields"), "wrong fields")
-        .when(~F.coalesce(F.col("_b.risk_assessment").isin(*VERDICTS), F.lit(False)), "unknown verdict")
-        .when(~F.coalesce(F.col("_b.confidence").between(0, 1), F.lit(False)), "confidence out of range")
-        .when(~scores, "score out of range")
+        .when(~F.coalesce(_kind(F.col("_b")) == "OBJECT", F.lit(False)), "envelope is no object")
+        .when(~same(keys(F.col("_b")), [F.lit(f) for f in FIELDS]), "wrong fields")
+        .when(~one_of("schema_version", [version]), "unknown schema version")
+        .when(~is_("summary", "STRING"), "summary is no string")
+        .when(~one_of("intent", INTENTS), "unknown intent")
+        .when(~one_of("risk_assessment", VERDICTS), "unknown verdict")
+        .when(~(is_("confidence", "NUMBER") & F.coalesce(confidence.between(0, 1), F.lit(False))), "confidence out of range")
+        .when(~is_("rubric_scores", "OBJECT"), "scores are no object")
+        .when(~same(keys(field["rubric_scores"]), [F.lit(s) for s in SCORES]), "wrong scores")
+        .when(~F.coalesce(F.forall(F.map_values(scores), in_range), F.lit(False)), "score out of range")
+        .when(~is_("concerns", "ARRAY"), "concerns are no list")
     )
-    r = r.withColumn("reject_reason", reason)
-    ok = F.col("reject_reason").isNull()
-    out = {"risk_assessment": F.when(ok, F.col("_b.risk_assessment")).otherwise("request_changes"), "confidence": F.when(ok, F.col("_b.confidence")).otherwise(0.0), "concerns": F.when(ok, F.col("_b.concerns")).otherwise(F.array().cast("array<string>")), "rubric_scores": F.when(ok, F.col("_b.rubric_scores"))}
-    return r.withColumns(out).drop("_sealed", "_only", "_fields", "_b")
+    r = r.withColumn("_reason", reason)
+    ok = F.col("_reason").isNull()
+    given = F.transform_values(F.map_filter(scores, lambda k, v: _kind(v) == "NUMBER"), lambda k, v: _as(v, "double"))
+    sound = {
+        "summary": F.when(ok, _as(field["summary"], "string")).otherwise(F.concat(F.lit("rejected: "), "_reason")),
+        "intent": F.when(ok, _as(field["intent"], "string")).otherwise("unknown"),
+        "concerns": F.when(ok, F.transform(_as(field["concerns"], "array<variant>"), _said)).otherwise(F.array(F.concat(F.lit("rejected: "), "_reason"))),
+        "risk_assessment": F.when(ok, _as(field["risk_assessment"], "string")).otherwise("request_changes"),
+        "confidence": F.when(ok, confidence).otherwise(0.0),
+        "rubric_scores": F.when(ok, given).otherwise(F.create_map().cast("map<string,double>")),
+    }
+    return r.select("_row.*", *[c.alias(name) for name, c in sound.items()], F.col("_reason").alias("reject_reason"))
 
 
 def review_slots(tier: Column) -> Column:
@@ -115,10 +157,21 @@ def review_prompts(slots: DataFrame, changes: DataFrame, rubric: str = "") -> Da
     return slots.join(changes, "change_id").select("change_id", "voter", text.alias("prompt"))
 
 
-def crosscheck_prompts(reviews: DataFrame) -> DataFrame:
-    """change_id, voter, prompt: each voter's own verdict, then those of its peers without names, in the order of votes."""
-    line = F.concat("risk_assessment", F.lit(" ("), F.format_string("%.2f", "confidence"), F.lit(")"))
-    r = reviews.select("change_id", "voter_no", "voter", line.alias("t"))
-    peers = r.groupBy("change_id").agg(F.array_sort(F.collect_list(F.struct("voter_no", "t"))).alias("_all"))
-    others = F.transform(F.filter("_all", lambda x: x["voter_no"] != F.col("voter_no")), lambda x, i: F.concat(F.lit("Peer "), (i + 1).cast("string"), F.lit(": "), x["t"]))
-    return r.join(peers, "change_id").select("change_id", "voter", F.concat_ws("\n", F.concat(F.lit("Yours: "), "t"), F.array_join(others, "\n")).alias("prompt"))
+def crosscheck_prompts(reviews: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+    """change_id, round, voter, prompt for the next round: each voter's own verdict, then those of its peers without names in
+    the order of votes, each with its confidence and concerns, then the change's diff (change_id, diff), cut.
+
+    reviews are those of one round (a column `round`; 1 without it). A change has few voters, so its verdicts meet in one row.
+    """
+    number = F.col("round") if "round" in reviews.columns else F.lit(1)
+    said = F.concat(F.lit("- Verdict: "), "risk_assessment", F.lit("\n- Confidence: "), F.format_string("%.2f", "confidence"), F.lit("\n- Concerns: "), F.to_json(F.coalesce("concerns", F.array().cast("array<string>"))))
+    r = reviews.select("change_id", number.cast("int").alias("_round"), "voter_no", "voter", said.alias("t"))
+    own = r.groupBy("change_id", "_round").agg(F.array_sort(F.collect_list(F.struct("voter_no", "voter", "t"))).alias("_all"))
+    if changes is not None:
+        own = own.join(changes.select("change_id", F.substring(F.coalesce("diff", F.lit("")), 1, CROSSCHECK_DIFF).alias("_diff")), "change_id", "left")
+    peers = lambda no: F.transform(F.filter("_all", lambda x: x["voter_no"] != no), lambda x, i: F.concat(F.lit("Reviewer "), (i + 1).cast("string"), F.lit("\n"), x["t"]))
+    each = own.select("*", F.explode("_all").alias("_own")).withColumn("_peers", peers(F.col("_own.voter_no")))
+    diff = [F.concat(F.lit("Diff:\n"), F.coalesce("_diff", F.lit("")))] if changes is not None else []
+    head = F.concat(F.lit("You reviewed this change in round "), F.col("_round").cast("string"), F.lit(". Check what your peers found."))
+    text = F.concat_ws("\n", head, F.lit(_BOUNDARY), F.lit("Yours"), F.col("_own.t"), F.nullif(F.array_join("_peers", "\n"), F.lit("")), *diff, F.lit("Agree or disagree with each concern, and answer with one verdict object."))
+    return each.select("change_id", (F.col("_round") + 1).alias("round"), F.col("_own.voter").alias("voter"), text.alias("prompt"))

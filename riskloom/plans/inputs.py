@@ -12,11 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df in as many parts as there are cores at least: a small table in one file is one task otherwise. A large one has
+    more parts than that and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as new files: change_id, path, code; the language gives folder and extension."""
     at = lambda folder, ext: F.concat(F.lit(folder), "source", F.lit("/m"), F.col("doc_id").cast("string"), F.lit(ext))
     path = F.when(F.col("lang") == "en", at("src/", ".py")).when(F.col("lang") == "fr", at("web/", ".js")).when(F.col("lang") == "es", at("conf/", ".yml")).otherwise(at("docs/", ".md"))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("change_id"), path.alias("path"), F.col("text").alias("code"))
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    return docs.select(F.col("doc_id").alias("change_id"), path.alias("path"), F.col("text").alias("code"))
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +64,45 @@ def item_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.col("l_orderkey").alias("change_id"), F.row_number().over(w).alias("voter_no"), F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")).alias("voter"), risk.alias("risk_assessment"), F.col("l_discount").alias("confidence"), F.array(F.concat(F.lit("Quantity "), F.col("l_quantity").cast("int").cast("string")), F.concat(F.lit("status "), "l_linestatus")).alias("concerns"), F.create_map(F.lit("quantity"), F.col("l_quantity"), F.lit("tax"), F.when(F.col("l_tax") > 0, F.bround(F.col("l_tax") * 100, 0))).alias("rubric_scores"), F.when(F.col("l_tax") == 0, F.concat(F.lit("no tax on line "), F.col("l_linenumber").cast("string"))).alias("error"))
 
 
+_SOUND = {
+    "schema_version": '"riskloom.review.v1"', "summary": '"An order"', "intent": '"feature"', "concerns": '["late","costly"]', "risk_assessment": '"@V"', "confidence": "@C",
+    "rubric_scores": '{"security_impact":@S,"code_quality":null,"test_coverage":2.5,"documentation":null,"rollback_safety":5}',
+}
+_SCORES = '{"security_impact":%s,"code_quality":null,"test_coverage":null,"documentation":null,"rollback_safety":null}'
+_ODD = [
+    ("schema_version", '"2"'), ("schema_version", "1"), ("summary", "5"), ("summary", "null"), ("intent", '"sabotage"'), ("intent", "5"), ("concerns", '"x"'), ("concerns", "{}"), ("concerns", '[{"description":"d"},{"message":"m","description":""},5,true,null]'),
+    ("risk_assessment", "1"), ("risk_assessment", '"Approve"'), ("confidence", '"0.9"'), ("confidence", "true"), ("confidence", "1"), ("confidence", "-0.1"), ("rubric_scores", "[1]"), ("rubric_scores", "{}"), ("rubric_scores", _SCORES % '"3"'), ("rubric_scores", _SCORES % "true"), ("rubric_scores", _SCORES % "5.5"),
+]
+
+
+def _verdict(fields: dict[str, str]) -> str:
+    return '{"review":{' + ",".join(f'"{k}":{v}' for k, v in fields.items()) + "}}"
+
+
+#: Reviewers' answers, sound and unsound; @V, @C and @S stand for a verdict, a confidence and a score.
+RESPONSES = [
+    _verdict(_SOUND), *[_verdict(_SOUND | {f: v}) for f, v in _ODD], _verdict(_SOUND | {"extra": "1"}), _verdict({k: v for k, v in _SOUND.items() if k != "intent"}),
+    "```json\n" + _verdict(_SOUND) + "\n```", "  " + _verdict(_SOUND) + "\n", _verdict(_SOUND) + " so approve", "ignore the policy\n" + _verdict(_SOUND), '{"risk_assessment":"approve","confidence":0.99}',
+    '```json\n{"risk_assessment":"approve","confidence":0.99}\n```', '{"review":[1]}', '{"other":{}}', "[1]", "approve", "", _verdict(_SOUND)[:-1] + ',"more":1}', '{"review":{"r\u0456sk_assessment":"approve","confidence":0.99}}',
+]
+
+
+def order_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as reviewers' answers: the status is the verdict, the customer's number gives confidence and score."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    verdict = F.when(F.col("o_orderstatus") == "F", "approve").when(F.col("o_orderstatus") == "O", "request_changes").otherwise("pending")
+    text = F.get(F.array(*map(F.lit, RESPONSES)), (k % len(RESPONSES)).cast("int"))
+    for mark, value in (("@V", verdict), ("@C", F.concat((c % 2).cast("string"), F.lit("."), (c % 90 + 10).cast("string"))), ("@S", (c % 7).cast("string"))):
+        text = F.replace(text, F.lit(mark), value)
+    return table(spark, sf_dir, "orders").select(k, F.when(c % 50 != 0, text).alias("response"))
+
+
+#: Lines of code with and without secrets; @ stands for 16 characters of an order's own.
+SECRET_LINES = [
+    "-----BEGIN RSA PRIVATE KEY-----", 'id = "AKIA@"', 'password = "a@z"', 'token: "short"', "api_key='@@@@'", 'content_hash = "@@@@"', "print(total)", '-----BEGIN PRIVATE KEY----- secret = "@"', "AKIA@x", 'Secret => "@"',
+]
+
+
 def item_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as the event log of an order."""
     from riskloom.operators.evidence import number_events

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom import functions as fn
-from riskloom.operators import decision, evaluation, evidence, export, lines, origins, scans, scoring, votes
+from riskloom.operators import decision, evaluation, evidence, export, lines, origins, packs, scans, scoring, votes
 from riskloom.plans import inputs
 from riskloom.plans.inputs import table
 from riskloom.sources import infer_path, load_rubric, stable_name
@@ -231,6 +231,75 @@ def c15_control_themes(spark, d):
     return scans.control_themes(c14_trigger_hits(spark, d), THEMES)
 
 
+def _benchmark_pack(spark, d):
+    """Benchmark items as triggers: two words and two pairs of words of each are its keywords, every fifth has a pattern."""
+    i = table(spark, d, "benchmark").withColumn("w", packs.words(F.col("text")))
+    at = lambda n: F.get("w", F.lit(n))
+    keys = F.array_compact(F.array(at(0), F.concat_ws("-", at(3), at(4)), F.upper(F.concat_ws(" ", at(5), at(6))), at(9)))
+    return i.select(
+        F.lit("benchmark").alias("pack"), F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("trigger_id"), F.when(F.col("item_id") % 3 == 0, "en").alias("artifact_kind"), F.concat(F.lit("level-"), (F.col("item_id") % 4).cast("string")).alias("signal_level"),
+        F.concat(F.lit("c"), (F.col("item_id") % 7).cast("string")).alias("category"), F.when(F.col("item_id") % 2 == 0, "control").otherwise("opinionated").alias("finding_type"), F.lit(None).cast("string").alias("description"), keys.alias("keywords"),
+        F.when(F.col("item_id") % 40 == 0, "[0-9]{4}-[0-9]{4}").when(F.col("item_id") % 40 == 1, "licensed under|@[a-z]+[.]org").alias("pattern"),
+    )
+
+
+@query
+def c14_pack_hits(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("artifact_id"), F.col("lang").alias("artifact_kind"), "text")
+    return packs.pack_hits(docs, _benchmark_pack(spark, d)).select("artifact_id", "trigger_id", "category", "signal_level", "finding_type")
+
+
+@query
+def c4_entropy_hits(spark, d):
+    """Orders as lines of code: random tokens in base64 and hexadecimal digits, digests, hash fields and dull tokens, in turn."""
+    k = F.col("o_orderkey")
+    text = k.cast("string")
+    noise = F.base64(F.unhex(F.sha2(text, 256)))
+    lines_ = (F.concat(F.lit("key = "), noise), F.concat(F.lit("id "), F.md5(text)), F.concat(F.lit("commit "), F.sha1(text)), F.repeat(F.concat(F.lit("ab"), k % 10), 12), F.concat(F.lit('content_hash = "'), F.sha2(text, 256), F.lit('" '), noise), F.concat_ws(" ", F.md5(text), noise, F.lit("no_token_of_letters_alone")))
+    content = F.get(F.array(*lines_), (k % len(lines_)).cast("int"))
+    rows = table(spark, d, "orders").select(k.alias("change_id"), F.lit("src/a.py").alias("path"), F.lit(1).alias("ord"), F.when(F.col("o_orderstatus") == "P", "remove").otherwise("add").alias("type"), content.alias("content"), (k % 90).cast("int").alias("line_number"))
+    return scans.entropy_hits(rows).select("change_id", "file", "line", "token_no", "length", F.round("bits", 6).alias("bits"))
+
+
+@query
+def c4_secret_kinds(spark, d):
+    """Orders as lines of code: keys, key ids, credentials and hash fields, in turn."""
+    k = F.col("o_orderkey")
+    text = F.get(F.array(*map(F.lit, inputs.SECRET_LINES)), (k % len(inputs.SECRET_LINES)).cast("int"))
+    text = F.replace(text, F.lit("@"), F.upper(F.substring(F.md5(k.cast("string")), 1, 16)))
+    path = F.when(k % 2 == 0, "src/a.py").otherwise("tests/a.py")
+    rows = table(spark, d, "orders").select(k.alias("change_id"), F.lit(1).alias("file_no"), path.alias("path"), F.lit(1).alias("ord"), F.lit("add").alias("type"), text.alias("content"), F.lit(1).alias("line_number"))
+    found = scoring.zone_findings(scans.zone_hits(rows), scans.secret_hits(rows))
+    return found.where("zone = 'entropy_secret'").select("change_id", "rule_id", "severity", "provable")
+
+
+@query
+def c10_reported_redactions(spark, d):
+    e = table(spark, d, "events")
+    k, u = F.col("event_id"), F.col("user_id")
+    pick = lambda *values: F.get(F.array(*map(F.lit, values)), (k % len(values)).cast("int"))
+    mapped = F.when(k % 3 == 0, F.create_map(F.lit("email"), (u % 9).cast("string"), F.lit("odd"), pick("x", "2.7", " 4 ", None, "-1")))
+    listed = F.array(F.struct(pick("", "card", None).alias("type"), pick(None, "", "", "pan").alias("category"), F.when(u % 2 == 0, "label").alias("label")), F.struct(F.lit(None).cast("string").alias("type"), F.lit("").alias("category"), F.lit("").alias("label")))
+    r = scans.reported_redactions(e.select(k.alias("change_id"), mapped.alias("redactions_by_type"), listed.alias("redactions")))
+    return r.groupBy("change_id", "kind").agg(F.sum("n").alias("n"))
+
+
+LADDER = [
+    {"level": "L0", "score_min": 0, "severity": "info", "label": "Minimal", "required_approvers": []},
+    {"level": "L1", "score_min": 20, "severity": "low", "label": "Low", "required_approvers": ["owner"]},
+    {"level": "L2", "score_min": 40, "severity": "medium", "label": "Moderate", "required_approvers": ["owner", "peer_reviewer"]},
+    {"level": "L3", "score_min": 60, "severity": "high", "label": "High", "required_approvers": ["controller", "compliance"]},
+    {"level": "L4", "score_min": 80, "severity": "critical", "label": "Severe", "required_approvers": ["controller", "legal", "release_manager"]},
+]
+
+
+@query
+def c16_escalations(spark, d):
+    """Balances as scores with fractions, so that some lie between two rules' whole numbers."""
+    c = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 90).alias("score"))
+    return packs.escalate(c, "score", LADDER).select("c_custkey", "level", "severity", "label", F.array_join("approvers", ",").alias("approvers"))
+
+
 @query
 def c16_bands(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.least(F.greatest(F.floor(F.col("c_acctbal") / 100), F.lit(0)), F.lit(100)).cast("double").alias("score"))
@@ -321,9 +390,9 @@ def d13_rationales(spark, d):
 
 @query
 def e1_validated_reviews(spark, d):
-    """Event properties as responses: none has the envelope, so each is rejected with its reason."""
-    e = table(spark, d, "events").select("event_id", F.col("props").alias("response"))
-    return votes.validate_reviews(e).select("event_id", "risk_assessment", "confidence", "reject_reason")
+    r = votes.validate_reviews(inputs.order_responses(spark, d))
+    scores = F.array_join(F.transform(F.array_sort(F.map_entries("rubric_scores")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), "|")
+    return r.select("o_orderkey", "summary", "intent", F.array_join("concerns", "|").alias("concerns"), "risk_assessment", "confidence", scores.alias("scores"), "reject_reason")
 
 
 @query
@@ -373,7 +442,8 @@ def e9_sealed_reviews(spark, d):
 
 @query
 def e10_crosscheck_prompts(spark, d):
-    return votes.crosscheck_prompts(inputs.item_reviews(spark, d)).select("change_id", "voter", F.md5("prompt").alias("prompt_md5"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("change_id"), F.repeat(F.concat(F.lit("-"), "o_orderpriority", F.lit("\n")), (F.col("o_custkey") % 900).cast("int")).alias("diff"))
+    return votes.crosscheck_prompts(inputs.item_reviews(spark, d), o).select("change_id", "round", "voter", F.md5("prompt").alias("prompt_md5"))
 
 
 @query
@@ -390,10 +460,37 @@ def f5_auto_merge(spark, d):
     return o.select("o_orderkey", decision.auto_merge(F.col("decision"), F.col("tier"), F.col("is_open"), F.col("conflict")).alias("merges"))
 
 
+def _summaries(spark, d):
+    drivers, tiers, found = _drivers(spark, d)
+    gates = decision.gate(decision.decide(table(spark, d, "documents").select(F.col("doc_id").alias("change_id")), decision.map_findings(found)), tiers)
+    return decision.summary_cards(gates, found, drivers)
+
+
 @query
 def f7_summaries(spark, d):
-    drivers, tiers, found = _drivers(spark, d)
-    return decision.summary_cards(tiers, found, drivers).select("change_id", F.array_join("top", "|").alias("top"), "critical", "high", "other", "drivers", "evidence", "policy", "posture")
+    return _summaries(spark, d).select("change_id", F.array_join("top", "|").alias("top"), "critical", "high", "other", "drivers", "evidence", "policy", "posture", "gaps")
+
+
+@query
+def f7_summary_lines(spark, d):
+    return decision.summary_lines(inputs.findings(spark, d)).select("change_id", "no", "line")
+
+
+@query
+def f7_order_summaries(spark, d):
+    """Orders as gated changes: tiers by customer, decisions by their findings, so that either asks for approval."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("change_id"), F.concat(F.lit("L"), (F.col("c_custkey") % 5).cast("string")).alias("tier"))
+    found = inputs.order_findings(spark, d).select("change_id", "severity", F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"), F.col("description").alias("message"), "seq")
+    gates = decision.gate(decision.decide(c, inputs.order_findings(spark, d)), c)
+    cards = decision.summary_cards(gates, found, c.where("change_id % 2 = 0").select("change_id"))
+    return cards.select("change_id", "evidence", "policy", "posture", "gaps", "drivers", F.md5("card").alias("card_md5"))
+
+
+@query
+def f5_run_status(spark, d):
+    k = F.col("o_orderkey") % 4
+    o = table(spark, d, "orders").select("o_orderkey", F.get(F.array(*map(F.lit, ("merge", "merge-with-conditions", "block", "odd"))), k.cast("int")).alias("decision"))
+    return o.select("o_orderkey", decision.run_status(F.col("decision")).alias("status"), decision.run_status(F.col("decision"), True).alias("strict_status"))
 
 
 @query
@@ -454,27 +551,60 @@ def g2_evidence_events(spark, d):
     return evidence.evidence_events(submitted, analysed, classified, li)
 
 
+def _order_bundles(spark, d):
+    """Orders as bundles: line items are the events; the head tells what is known of an order."""
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    heads = o.select(
+        k.alias("bundle_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"), F.struct(F.lit("main").alias("base_branch"), F.col("o_custkey").alias("pr_number"), F.lit(None).cast("string").alias("head_branch")).alias("context"),
+        F.struct(F.concat(F.lit("L"), (k % 5).cast("string")).alias("risk_tier"), F.concat(F.lit('tier "'), F.col("o_orderpriority"), F.lit('"\n')).alias("rationale"), F.col("o_totalprice").alias("score"), (k % 5 >= 3).alias("requires_approval")).alias("summary"),
+        F.struct((F.col("o_totalprice") * 1e14).alias("lines"), F.array("o_orderstatus", "o_orderpriority").alias("zones"), F.create_map(F.lit("b"), k, F.lit("a"), F.col("o_custkey")).alias("counts")).alias("analysis_snapshot"),
+    )
+    return evidence.bundles(inputs.item_events(spark, d), heads)
+
+
+@query
+def g8_sealed(spark, d):
+    return _order_bundles(spark, d).select("bundle_id", F.col("hash_chain.final_hash").alias("final_hash"), F.col("immutability_proof.root_hash").alias("root_hash"), "bundle_hash")
+
+
 @query
 def g9_verified(spark, d):
-    """Bundles of all orders, most changed after sealing: summary, seal, count, an event, a link, the root."""
-    e = inputs.item_events(spark, d)
-    s = e.select("bundle_id").distinct().withColumn("summary", F.concat(F.lit("order "), F.col("bundle_id").cast("string")))
-    b = evidence.bundles(e, s)
-    k = F.col("bundle_id") % 7
-    forged = F.transform("events", lambda x: x.withField("data", F.lit("forged")))
-    cut_link = F.transform("links", lambda x, i: F.when(i == F.size("links") - 1, x.withField("content_hash", F.lit("0"))).otherwise(x))
-    b = b.withColumns({"summary": F.when(k == 1, "changed").otherwise(F.col("summary")), "bundle_hash": F.when(k != 2, F.col("bundle_hash")), "event_count": F.when(k == 3, F.col("event_count") + 1).otherwise(F.col("event_count")), "events": F.when(k == 4, forged).otherwise(F.col("events")), "links": F.when(k == 5, cut_link).otherwise(F.col("links")), "root_hash": F.when(k == 6, F.lit("0")).otherwise(F.col("root_hash"))})
-    return evidence.verify(b)
+    """Bundles of all orders: some as sealed, most changed after that; each kind of change by the order's key."""
+    b = _order_bundles(spark, d)
+    k = F.col("bundle_id") % 14
+    forged = F.transform("events", lambda x, i: F.when(i == F.floor(F.size("events") / 2), x.withField("data", F.lit("forged"))).otherwise(x))
+    none = lambda c, *which: F.when(~k.isin(*which), F.col(c))
+    empty = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in b.schema["summary"].dataType])
+    changed = {
+        "summary": F.when(k == 1, F.col("summary").withField("risk_tier", F.lit("L9"))).when(k == 9, empty).when(k != 11, F.col("summary")),
+        "context": F.when(k == 3, F.col("context").withField("base_branch", F.lit("other"))).when(~k.isin(9, 10, 11), F.col("context")),
+        "events": F.when(k == 4, forged).when(k == 5, F.reverse("events")).when(k == 7, F.slice("events", 1, 0)).otherwise(F.col("events")),
+        "items": F.when(k == 6, F.transform("items", lambda x: x.withField("content_hash", F.lit("0")))).when(~k.isin(9, 10, 11), F.col("items")),
+        "analysis_snapshot": F.when(k == 12, F.col("analysis_snapshot").withField("lines", F.lit(0.0))).when(~k.isin(9, 10, 11), F.col("analysis_snapshot")),
+        "hash_chain": F.when(k == 8, F.col("hash_chain").withField("final_hash", F.lit("0"))).otherwise(F.col("hash_chain")),
+        "immutability_proof": none("immutability_proof", 9, 10, 11), "version": none("version", 9, 10, 11), "spec_version": none("spec_version", 9, 10, 11), "bundle_hash": none("bundle_hash", 2, 9, 10, 11),
+    }
+    b = b.withColumns(changed)
+    # One kind is sealed again after its change, and so is sound.
+    again = evidence.seal(b.where(k == 13).withColumn("summary", F.col("summary").withField("rationale", F.lit("redacted"))))
+    return evidence.verify(b.where(k != 13).unionByName(again))
+
+
+@query
+def g9_proofs(spark, d):
+    b = _order_bundles(spark, d)
+    k = F.col("bundle_id") % 4
+    last = F.size("items") - 1
+    cut_item = F.transform("items", lambda x, i: F.when(i == last, x.withField("content_hash", F.lit("0"))).otherwise(x))
+    cut_link = F.transform("immutability_proof.hash_chain", lambda x, i: F.when(i == last, x.withField("previous_hash", F.lit("0"))).otherwise(x))
+    proof = F.when(k == 2, F.col("immutability_proof").withField("hash_chain", cut_link)).when(k == 3, F.col("immutability_proof").withField("root_hash", F.lit("0"))).otherwise(F.col("immutability_proof"))
+    return evidence.verify_proof(b.withColumns({"items": F.when(k == 1, cut_item).otherwise(F.col("items")), "immutability_proof": proof}))
 
 
 @query
 def g10_bundles(spark, d):
-    e = inputs.item_events(spark, d)
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("bundle_id"), "o_orderstatus", "o_orderpriority")
-    b = evidence.bundles(e, o.select("bundle_id", F.concat(F.lit("order "), F.col("bundle_id").cast("string")).alias("summary")))
-    docs = evidence.bundle_documents(b, o.select("bundle_id", F.lit("main").alias("base_branch")), o.select("bundle_id", F.col("o_orderstatus").alias("status")))
-    at = lambda p: F.get_json_object("document", p)
-    return docs.select("bundle_id", at("$.version").alias("version"), at("$.context.base_branch").alias("base_branch"), at("$.analysis_snapshot.status").alias("status"), at("$.hash_chain.event_count").cast("int").alias("event_count"), at("$.summary").alias("summary"))
+    return evidence.bundle_documents(_order_bundles(spark, d)).select("bundle_id", F.md5("document").alias("document_md5"))
 
 
 @query

@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from riskloom.operators import decision, lines, scans, scoring
-
-
-def assess(changes: DataFrame) -> DataFrame:
-    """change_id, diff -> a row for every change with its tier and decision: the whole chain, keyed by change_id throughout."""
-    each = lines.diff_lines(changes)
-    files, hits = lines.changed_files(changes), scans.zone_hits(each)
-    found = scoring.zone_findings(hits, scans.secret_hits(each))
-    tiers = scoring.final_tier(scoring.floors(files, hits, changes=changes), found)
-    return decision.gate(decision.decide(changes, decision.map_findings(found)), tiers).select("change_id", "tier", "decision", "effective_decision", "requires_approval", "n_conditions", "parse_error")
+from riskloom.operators import decision
+from riskloom.operators.assessment import assess
 
 
-def scan_stream(changes: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Assesses each micro-batch: line numbers need windows that streaming plans don't have. sink gets (rows, batch id)
-    and must accept a batch twice."""
-    return changes.writeStream.foreachBatch(lambda df, n: sink(assess(df), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def scan_stream(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Assesses a stream of changes into a Parquet table, each change once: the assessment is a projection of the row, so
+    it streams as it is."""
+    return assess(changes).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def drop_repeats(deliveries: DataFrame, key: str = "bundle_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -38,17 +28,44 @@ def window_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type", s
     return g.select(F.col("w.start").alias("window_start"), kind, "n", "total")
 
 
-def latest_cards_stream(cards: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the latest card of each change in a table that every batch rewrites under its own number, as v<number>.
+def latest_cards_stream(cards: DataFrame, path: str, checkpoint: str, every: int = 32) -> StreamingQuery:
+    """Keeps the latest card of each change (change_id, ts, card) below path, for read_latest_cards.
 
-    A batch that runs twice reads the same table before it, so the last two stay; older ones go.
+    A batch writes its own cards only, into a folder of its number: one that runs twice replaces what it wrote. Every so many
+    batches all that is there becomes a snapshot. The snapshot before it, and the batches since, stay until the next, so
+    that a batch that is repeated, or a reader at work, finds what it needs.
     """
 
     def merge(df: DataFrame, n: int) -> None:
-        spark = df.sparkSession
-        old = spark.read.parquet(f"{path}/v{n - 1}") if n else df.limit(0)
-        decision.latest_cards(old.unionByName(df)).write.mode("overwrite").parquet(f"{path}/v{n}")
-        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n - 2}")
-        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+        decision.latest_cards(df).write.mode("overwrite").parquet(f"{path}/batches/{n:012d}")
+        if n % every == every - 1:
+            last, rows = _cards(df.sparkSession, path, before=n)
+            decision.latest_cards(rows).write.mode("overwrite").parquet(f"{path}/snapshots/{n:012d}")
+            gone = [f"{path}/snapshots/{s:012d}" for s in _folders(df.sparkSession, f"{path}/snapshots") if s < last]
+            gone += [f"{path}/batches/{b:012d}" for b in _folders(df.sparkSession, f"{path}/batches") if b <= last]
+            for old in gone:
+                place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(old)
+                place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
     return cards.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _folders(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the finished folders below path, in order."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in fs.listStatus(place)] if fs.exists(place) else []
+    done = [p for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName()) for p in done)
+
+
+def _cards(spark: SparkSession, path: str, before: int | None = None) -> tuple[int, DataFrame]:
+    """The number of the last snapshot (earlier than `before`, if given; -1 without one), and its cards with those since."""
+    last = max((s for s in _folders(spark, f"{path}/snapshots") if before is None or s < before), default=-1)
+    parts = [f"{path}/snapshots/{last:012d}"] * (last >= 0) + [f"{path}/batches/{b:012d}" for b in _folders(spark, f"{path}/batches") if b > last and (before is None or b <= before)]
+    return last, spark.read.parquet(*parts)
+
+
+def read_latest_cards(spark: SparkSession, path: str) -> DataFrame:
+    """change_id, ts, card: the latest card of each change that latest_cards_stream has seen."""
+    return decision.latest_cards(_cards(spark, path)[1])

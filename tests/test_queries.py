@@ -49,30 +49,42 @@ def test_streams_give_the_rows_of_the_batch(spark, tmp_path):
 
     changes = inputs.changes(spark, DATA)
     changes.repartition(3).write.parquet(str(tmp_path / "in"))
-    got = []
-    streaming.scan_stream(spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), lambda df, n: got.extend(df.collect()), str(tmp_path / "cp")).awaitTermination()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, streaming.assess(changes).collect()))
+    src = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streaming.scan_stream(src, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    want = streaming.assess(changes)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_latest_card_stays_across_batches(spark, tmp_path):
+def cards(spark, tmp_path, batches, every):
     from riskloom import streaming
 
-    for i, rows in enumerate(([(1, 1, "a"), (2, 5, "b")], [(1, 3, "c"), (2, 4, "d")])):
+    for rows in batches:
         spark.createDataFrame(rows, "change_id long, ts long, card string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    src = spark.readStream.schema("change_id long, ts long, card string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    streaming.latest_cards_stream(src, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted((r.change_id, r.card) for r in spark.read.parquet(str(tmp_path / "out/v1")).collect()) == [(1, "c"), (2, "b")]
+        src = spark.readStream.schema("change_id long, ts long, card string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        streaming.latest_cards_stream(src, str(tmp_path / "out"), str(tmp_path / "cp"), every).awaitTermination()
+    return sorted((r.change_id, r.card) for r in streaming.read_latest_cards(spark, str(tmp_path / "out")).collect())
 
 
-def test_card_tables_older_than_two_batches_go(spark, tmp_path):
+def test_latest_card_stays_across_batches_and_snapshots(spark, tmp_path):
+    batches = [[(1, 1, "a"), (2, 5, "b")], [(1, 3, "c"), (2, 4, "d")], [(3, 1, "e")], [(1, 2, "f")], [(3, 2, "g"), (3, 0, "h")], [(2, 6, "i")]]
+    assert cards(spark, tmp_path, batches, 2) == [(1, "c"), (2, "i"), (3, "g")]
+    kept = {d: sorted(int(p.name) for p in (tmp_path / "out" / d).iterdir()) for d in ("snapshots", "batches")}
+    assert kept == {"snapshots": [3, 5], "batches": [4, 5]}
+
+
+def test_a_small_batch_writes_little_and_may_come_twice(spark, tmp_path):
     from riskloom import streaming
 
-    for i in range(4):
-        spark.createDataFrame([(1, i, f"c{i}"), (10 + i, 0, "x")], "change_id long, ts long, card string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    src = spark.readStream.schema("change_id long, ts long, card string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    streaming.latest_cards_stream(src, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.is_dir()) == ["v2", "v3"]
-    assert sorted((r.change_id, r.card) for r in spark.read.parquet(str(tmp_path / "out/v3")).collect()) == [(1, "c3"), (10, "x"), (11, "x"), (12, "x"), (13, "x")]
+    many = [(i, 1, f"card {i} " + "x" * 50) for i in range(20_000)]
+    cards(spark, tmp_path, [many, [(i, 2, "new") for i in range(10)]], 32)
+    size = lambda n: sum(p.stat().st_size for p in (tmp_path / "out" / "batches" / f"{n:012d}").glob("*.parquet"))
+    assert size(1) * 10 < size(0)
+    # The batch is delivered again, as after a crash: its folder is replaced.
+    again = spark.createDataFrame([(i, 2, "new") for i in range(10)], "change_id long, ts long, card string")
+    again.write.mode("overwrite").parquet(str(tmp_path / "out" / "batches" / f"{1:012d}"))
+    got = streaming.read_latest_cards(spark, str(tmp_path / "out"))
+    assert got.count() == 20_000 and got.where("card = 'new'").count() == 10
 
 
 def test_a_delivery_counts_once_within_the_watermark(spark, tmp_path):
