@@ -177,7 +177,8 @@ def aligner(raw_a: bytes, raw_b: bytes) -> Aligner:
         raise ValueError("pieces with a space after another character can't be told word by word")
     lone = right.piece_to_id("▁")
 
-    encode = wordwise.ByteLevel(left)
+    # Whole words are remembered with all that is known of them, so few stems need be.
+    encode = wordwise.ByteLevel(left, most=REMEMBERED >> 2)
 
     def ids_b(words: list[str]) -> list[list[int]]:
         # The library puts its space before every word but an empty one.

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm import kernels
 from riskloom.llm.components import components
-from riskloom.llm.shared import Scratch, blocks, named, whole_row
+from riskloom.llm.shared import Scratch, blocks, named, slices, whole_row
 
 REGISTERS, ROWS, MANTISSA = 160, 4, 10
 EMPTY = 0xFFFF
@@ -102,7 +102,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, threshold: flo
     for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, ids = kernels.as_bytes(batch.column(1)), batch.column(0)
             for lo, hi in blocks([len(t) for t in texts], kernels.BLOCK):
                 sets = kernels.shingle_sets(texts[lo:hi], k)
@@ -277,7 +277,7 @@ def _rare(shared: DataFrame, nodes: DataFrame, roots: DataFrame, docs: DataFrame
     often = max(2, (at.agg(F.sum("n")).first()[0] or 0) >> (SLOT_BITS - 2))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             node, a, b = (batch.column(i).to_pylist() for i in range(3))
             texts = kernels.as_bytes(batch.column(3))
             for lo, hi in blocks([len(t) for t in texts], kernels.BLOCK):

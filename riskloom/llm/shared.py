@@ -84,3 +84,10 @@ def blocks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def slices(batches: Iterator, rows: int = 512) -> Iterator:
+    """Arrow batches in slices of a few rows, so that no more than these are Python objects at a time."""
+    for batch in batches:
+        for lo in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(lo, rows)

@@ -114,7 +114,7 @@ class TokenFile:
 def _encoders(raw: bytes):
     """Two functions from words to ids, for words after a space and for first words; the vocabulary's size."""
     tokenizer = wordwise.byte_level_tokenizer(raw, plain=False)
-    return wordwise.Remembered(wordwise.ByteLevel(tokenizer)), wordwise.Remembered(wordwise.ByteLevel(tokenizer, ""), 1 << 16), tokenizer.get_vocab_size()
+    return wordwise.Remembered(wordwise.ByteLevel(tokenizer)), wordwise.Remembered(wordwise.ByteLevel(tokenizer, "", 1 << 16), 1 << 16), tokenizer.get_vocab_size()
 
 
 def encode(texts: pa.Array, raw: bytes) -> list[np.ndarray]:

@@ -95,10 +95,10 @@ class ByteLevel:
     a mark after it is two matches. All others go through the whole of the library.
     """
 
-    def __init__(self, tokenizer, lead: str = " "):
+    def __init__(self, tokenizer, lead: str = " ", most: int = REMEMBERED):
         self.tokenizer, self.lead = tokenizer, lead
         self.marks = {m: self._whole([m])[0] for m in MARKS}
-        self.letters = Remembered(self._letters)
+        self.letters = Remembered(self._letters, most)
 
     def __call__(self, words: list[str]) -> list[bytes]:
         plain, marked, rest = {}, {}, []
