@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column
@@ -55,10 +56,11 @@ ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b"
 
 
 def _json_string(text: Column) -> Column:
-    swap = lambda t, pairs: reduce(lambda out, pair: F.replace(out, F.lit(pair[0]), F.lit(pair[1])), pairs, t)
-    rest = {chr(i): f"\\u{i:04x}" for i in range(0x20) if chr(i) not in ESCAPES}
-    plain = swap(text, ESCAPES.items())
-    return F.concat(F.lit('"'), F.when(plain.rlike(r"[\x00-\x1f]"), swap(plain, rest.items())).otherwise(plain), F.lit('"'))
+    """A string in JSON; most have nothing to escape, and few of the rest anything but ESCAPES."""
+    by_number = lambda c: F.when(F.ascii(c) < 0x20, F.concat(F.lit("\\u00"), F.lower(F.lpad(F.hex(F.ascii(c)), 2, "0")))).otherwise(c)
+    rare = lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), by_number), "")
+    swapped = lambda t: let(reduce(lambda out, pair: F.replace(out, F.lit(pair[0]), F.lit(pair[1])), ESCAPES.items(), t), lambda p: F.when(p.rlike(r"[\x00-\x1f]"), rare(p)).otherwise(p))
+    return let(text, lambda t: F.concat(F.lit('"'), F.when(t.rlike(r'[\x00-\x1f"\\]'), swapped(t)).otherwise(t), F.lit('"')))
 
 
 def _json_double(value: Column) -> Column:
@@ -93,7 +95,7 @@ def canonical(value: Column, kind: DataType) -> Column:
     listed = lambda parts, left, right: F.concat(F.lit(left), F.array_join(parts, ","), F.lit(right))
     if isinstance(kind, StructType):
         fields = sorted(kind.fields, key=lambda f: f.name)
-        parts = [F.concat(_json_string(F.lit(f.name)), F.lit(":"), canonical(value[f.name], f.dataType)) for f in fields]
+        parts = [F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ":"), canonical(value[f.name], f.dataType)) for f in fields]
         text = listed(F.array(*parts), "{", "}") if parts else F.lit("{}")
     elif isinstance(kind, ArrayType):
         text = listed(F.transform(value, lambda x: canonical(x, kind.elementType)), "[", "]")
