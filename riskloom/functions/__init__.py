@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DataType, DateType, DoubleType, FloatType, IntegralType, MapType, NullType, StringType, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, DoubleType, FloatType, IntegralType, MapType, NullType, StructType, TimestampNTZType, TimestampType
 
 from riskloom.config import SEVERITIES
 
@@ -51,73 +51,76 @@ def chained_sha256(items: Column, seed: str = "", step=None) -> Column:
     return F.aggregate(items, F.lit(seed), lambda last, item: F.sha2(step(last, item), 256))
 
 
-# How JSON writes the characters that it must not hold as they are; other control characters go by number.
-ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+# How JSON writes the characters (by number) that it must not hold as they are; other control characters go by
+# number.
+ESCAPES = {92: r"\\", 34: r"\"", 10: r"\n", 13: r"\r", 9: r"\t", 8: r"\b", 12: r"\f"}
 
 
-def _json_string(text: Column) -> Column:
-    """A string in JSON; most have nothing to escape, and few of the rest anything but ESCAPES."""
-    by_number = lambda c: F.when(F.ascii(c) < 0x20, F.concat(F.lit("\\u00"), F.lower(F.lpad(F.hex(F.ascii(c)), 2, "0")))).otherwise(c)
-    rare = lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), by_number), "")
-    swapped = lambda t: let(reduce(lambda out, pair: F.replace(out, F.lit(pair[0]), F.lit(pair[1])), ESCAPES.items(), t), lambda p: F.when(p.rlike(r"[\x00-\x1f]"), rare(p)).otherwise(p))
-    return let(text, lambda t: F.concat(F.lit('"'), F.when(t.rlike(r'[\x00-\x1f"\\]'), swapped(t)).otherwise(t), F.lit('"')))
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of body with name standing for value, computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _json_double(value: Column) -> Column:
-    """The fewest digits that give a double, laid out with a point from 1e-4 up to 1e16 and else as 1e+16, 1e-05.
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _json_string(text: str) -> str:
+    """SQL of a string in JSON; most have nothing to escape, and few of the rest anything but ESCAPES."""
+    swapped = reduce(lambda out, pair: f"replace({out}, char({pair[0]}), r'{pair[1]}')", ESCAPES.items(), "_t")
+    rare = r"array_join(transform(regexp_extract_all(_p, r'(?s).', 0), _c -> if(ascii(_c) < 32, concat(r'\u00', lower(lpad(hex(ascii(_c)), 2, '0'))), _c)), '')"
+    plain = _let("_p", swapped, rf"if(_p rlike r'[\x00-\x1f]', {rare}, _p)")
+    return _let("_t", text, rf"""concat('"', if(_t rlike r'[\x00-\x1f"\\]', {plain}, _t), '"')""")
+
+
+def _json_double(value: str) -> str:
+    """SQL of the fewest digits that give a double, laid out with a point from 1e-4 up to 1e16 and else as 1e+16, 1e-05.
 
     The JVM's own text may have a digit too many: one of 15, 16 or 17 digits that gives the same number goes before it.
     """
-
-    def laid_out(x: Column) -> Column:
-        digits, exponent, n = x["digits"], x["exponent"], F.length(x["digits"])
-        fixed = F.when(exponent >= n - 1, F.concat(F.rpad(digits, exponent + 1, F.lit("0")), F.lit(".0"))).when(exponent >= 0, F.concat(F.substring(digits, F.lit(1), exponent + 1), F.lit("."), F.substring(digits, exponent + 2, n))).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits))
-        power = F.concat(F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.length(F.abs(exponent).cast("string")), F.lit(2)), F.lit("0")))
-        wide = F.concat(F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""), power)
-        return F.concat(x["sign"], F.when(digits == "", "0.0").when(exponent.between(-4, 15), fixed).otherwise(wide))
-
-    def taken_apart(t: Column) -> Column:
-        part = lambda i: F.regexp_extract(t, r"^-?(\d+)\.(\d+)(?:[eE]([+-]?\d+))?$", i)
-        every = F.concat(part(1), part(2))
-        lead = F.length(every) - F.length(F.ltrim(every, F.lit("0")))
-        exponent = F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), F.lit(0)) + F.length(part(1)) - 1 - lead
-        return let(F.struct(F.when(t.startswith("-"), "-").otherwise("").alias("sign"), F.rtrim(F.ltrim(every, F.lit("0")), F.lit("0")).alias("digits"), exponent.alias("exponent")), laid_out)
-
-    finite = ~F.isnan(value) & (F.abs(value) != float("inf"))
-    shorter = [let(F.format_string(f"%.{n}e", value), lambda t: F.when(t.cast("double") == value, t)) for n in (14, 15, 16)]
-    return F.when(value.isNull(), None).when(finite, let(F.coalesce(*shorter, value.cast("string")), taken_apart)).otherwise(F.raise_error(F.lit("canonical JSON has no numbers that aren't finite")).cast("string"))
-
-
-def canonical(value: Column, kind: DataType) -> Column:
-    """The one JSON text of a value of any nested type: keys sorted at every level, no white space, nulls kept, strings as
-    they are (no Unicode normalisation), dates and times in ISO 8601, other types as strings. Numbers that aren't finite
-    are an error."""
-    listed = lambda parts, left, right: F.concat(F.lit(left), F.array_join(parts, ","), F.lit(right))
+    parts = r"'^-?(\\d+)\\.(\\d+)(?:[eE]([+-]?\\d+))?$'"
+    part = lambda i: f"regexp_extract(_s, {parts}, {i})"
+    every = f"concat({part(1)}, {part(2)})"
+    exponent = f"coalesce(cast(nullif({part(3)}, '') as int), 0) + length({part(1)}) - 1 - (length({every}) - length(ltrim('0', {every})))"
+    taken = f"named_struct('sign', if(startswith(_s, '-'), '-', ''), 'digits', rtrim('0', ltrim('0', {every})), 'e', {exponent})"
+    fixed = "case when _n.e >= length(_n.digits) - 1 then concat(rpad(_n.digits, _n.e + 1, '0'), '.0') when _n.e >= 0 then concat(substring(_n.digits, 1, _n.e + 1), '.', substring(_n.digits, _n.e + 2)) else concat('0.', repeat('0', -_n.e - 1), _n.digits) end"
+    wide = "concat(substring(_n.digits, 1, 1), if(length(_n.digits) > 1, concat('.', substring(_n.digits, 2)), ''), if(_n.e < 0, 'e-', 'e+'), lpad(cast(abs(_n.e) as string), greatest(length(cast(abs(_n.e) as string)), 2), '0'))"
+    laid = _let("_n", taken, f"concat(_n.sign, case when _n.digits = '' then '0.0' when _n.e between -4 and 15 then {fixed} else {wide} end)")
+    shorter = ", ".join(f"transform(array(format_string('%.{n}e', _d)), _f -> if(cast(_f as double) = _d, _f, null))[0]" for n in (14, 15, 16))
+    text = _let("_s", f"coalesce({shorter}, cast(_d as string))", laid)
+    return _let("_d", value, f"case when _d is null then null when isnan(_d) or abs(_d) = double('infinity') then cast(raise_error('canonical JSON has no numbers that aren\\'t finite') as string) else {text} end")
+
+
+def canonical(value: str, kind: DataType, depth: int = 0) -> str:
+    """SQL of the one JSON text of a value of any nested type, itself given as SQL: keys sorted at every level, no white
+    space, nulls kept, strings as they are (no Unicode normalisation), dates and times in ISO 8601, other types as strings.
+    Numbers that aren't finite are an error. It is SQL and no Column since it is long: the driver hands it over at once."""
+    x, quoted = f"_x{depth}", lambda n: "`" + n.replace("`", "``") + "`"
+    named = lambda n: _literal(json.dumps(n, ensure_ascii=False) + ":")
     if isinstance(kind, StructType):
         fields = sorted(kind.fields, key=lambda f: f.name)
-        parts = [F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ":"), canonical(value[f.name], f.dataType)) for f in fields]
-        text = listed(F.array(*parts), "{", "}") if parts else F.lit("{}")
+        parts = ", ',', ".join(f"{named(f.name)}, {canonical(f'{value}.{quoted(f.name)}', f.dataType, depth + 1)}" for f in fields)
+        text = f"if({value} is null, null, concat('{{', {parts + ', ' if parts else ''}'}}'))"
     elif isinstance(kind, ArrayType):
-        text = listed(F.transform(value, lambda x: canonical(x, kind.elementType)), "[", "]")
+        text = f"concat('[', array_join(transform({value}, {x} -> {canonical(x, kind.elementType, depth + 1)}), ','), ']')"
     elif isinstance(kind, MapType):
-        entries = F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"].cast("string").alias("k"), canonical(e["value"], kind.valueType).alias("v"))))
-        text = listed(F.transform(entries, lambda e: F.concat(_json_string(e["k"]), F.lit(":"), e["v"])), "{", "}")
+        entry = f"named_struct('k', cast({x}.key as string), 'v', {canonical(f'{x}.value', kind.valueType, depth + 1)})"
+        joined = f"concat({_json_string(f'{x}.k')}, ':', {x}.v)"
+        text = f"concat('{{', array_join(transform(array_sort(transform(map_entries({value}), {x} -> {entry})), {x} -> {joined}), ','), '}}')"
     elif isinstance(kind, (IntegralType, BooleanType)):
-        text = value.cast("string")
+        text = f"cast({value} as string)"
     elif isinstance(kind, (DoubleType, FloatType)):
-        text = _json_double(value.cast("double"))
-    elif isinstance(kind, (StringType, BinaryType)):
-        text = _json_string(value.cast("string"))
+        text = _json_double(f"cast({value} as double)")
     elif isinstance(kind, DateType):
-        text = _json_string(F.date_format(value, "yyyy-MM-dd"))
+        text = _json_string(f"date_format({value}, 'yyyy-MM-dd')")
     elif isinstance(kind, (TimestampType, TimestampNTZType)):
-        zone = "" if isinstance(kind, TimestampNTZType) else "xxx"
-        text = _json_string(F.concat(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss"), F.regexp_replace(F.date_format(value, ".SSSSSS"), r"^\.0+$", ""), F.date_format(value, zone) if zone else F.lit("")))
+        zone = "''" if isinstance(kind, TimestampNTZType) else f"date_format({value}, 'xxx')"
+        text = _json_string(rf"concat(date_format({value}, r'yyyy-MM-dd\'T\'HH:mm:ss'), regexp_replace(date_format({value}, '.SSSSSS'), r'^\.0+$', ''), {zone})".replace(r"r'yyyy-MM-dd\'T\'HH:mm:ss'", '"yyyy-MM-dd\'T\'HH:mm:ss"'))
     elif isinstance(kind, NullType):
-        text = F.lit("null")
+        text = "null"
     else:
-        text = _json_string(value.cast("string"))
-    return F.coalesce(text, F.lit("null"))
+        text = _json_string(f"cast({value} as string)")
+    return f"coalesce({text}, 'null')"
 
 
 def uuid5_url(name: Column) -> Column:

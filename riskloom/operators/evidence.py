@@ -27,22 +27,23 @@ def number_events(events: DataFrame, order: list) -> DataFrame:
     return events.withColumn("sequence", F.row_number().over(Window.partitionBy("bundle_id").orderBy(*order)) - 1)
 
 
-def _text(e: Column, kinds: StructType, previous: Column | None = None) -> Column:
-    """The canonical JSON of an event, with the hash before it if given."""
-    fields = [StructField(c, kinds[c].dataType) for c in EVENT]
-    values = [e[c].alias(c) for c in EVENT]
-    if previous is not None:
-        fields.append(StructField("previous_hash", STRING))
-        values.append(previous.alias("previous_hash"))
-    return canonical(F.struct(*values), StructType(fields))
-
-
-def hashed_events(events: Column, kinds: StructType) -> Column:
-    """Events with their hash: each covers its canonical JSON with the hash before it; the first follows the empty string."""
+def _text(e: str, kinds: StructType, previous: str | None = None) -> str:
+    """SQL of the canonical JSON of an event, with the hash before it if given."""
+    fields = {c: (f"{e}.{c}", kinds[c].dataType) for c in EVENT} | ({"previous_hash": (previous, STRING)} if previous else {})
+    return "concat('{', " + ", ',', ".join(f"'\"{c}\":', {canonical(v, kind)}" for c, (v, kind) in sorted(fields.items())) + ", '}')"
+
+
+def _fields(e: str, names: tuple[str, ...] = EVENT) -> str:
+    return ", ".join(f"'{c}', {e}.{c}" for c in names)
+
+
+def hashed_events(events: str, kinds: StructType) -> Column:
+    """Events (a column's name) with their hash: each covers its canonical JSON with the hash before it; the first follows
+    the empty string."""
     kind = StructType([StructField(c, kinds[c].dataType) for c in EVENT] + [StructField("hash", STRING)])
-    start = F.struct(F.lit("").alias("last"), F.array().cast(f"array<{kind.simpleString()}>").alias("out"))
-    grown = lambda a, e, h: F.struct(h.alias("last"), F.array_append(a["out"], F.struct(*[e[c].alias(c) for c in EVENT], h.alias("hash"))).alias("out"))
-    return F.aggregate(events, start, lambda a, e: let(F.sha2(_text(e, kinds, a["last"]), 256), lambda h: grown(a, e, h)), lambda a: a["out"])
+    start = f"named_struct('last', '', 'out', cast(array() as array<{kind.simpleString()}>))"
+    grown = f"named_struct('last', _h, 'out', array_append(_a.out, named_struct({_fields('_e')}, 'hash', _h)))"
+    return F.expr(f"aggregate({events}, {start}, (_a, _e) -> transform(array(sha2({_text('_e', kinds, '_a.last')}, 256)), _h -> {grown})[0], _a -> _a.out)")
 
 
 def _gathered(events: DataFrame) -> tuple[DataFrame, StructType]:
@@ -54,24 +55,21 @@ def event_chain(events: DataFrame) -> DataFrame:
     """bundle_id, sequence, event_type, timestamp, actor, data (of any type) -> bundle_id, event_count, events (with hash),
     final_hash."""
     rows, kinds = _gathered(events)
-    rows = rows.select("bundle_id", F.size("_e").alias("event_count"), hashed_events(F.col("_e"), kinds).alias("events"))
+    rows = rows.select("bundle_id", F.size("_e").alias("event_count"), hashed_events("_e", kinds).alias("events"))
     return rows.withColumn("final_hash", F.coalesce(F.element_at("events", -1)["hash"], F.lit("")))
 
 
-def item(e: Column, i: Column, kinds: StructType) -> Column:
-    """The item of a bundle that stands for event number i."""
-    content = F.struct(*[e[c].alias(c) for c in sorted(EVENT)])
-    return F.struct(
-        F.format_string("event-%04d", i).alias("item_id"), i.cast("int").alias("sequence"), F.concat(F.lit("riskloom/"), e["event_type"]).alias("content_type"), content.alias("content"),
-        F.concat(F.lit("sha256:"), F.sha2(_text(e, kinds), 256)).alias("content_hash"),
-    )
+def item(e: str, i: str, kinds: StructType) -> str:
+    """SQL of the item of a bundle that stands for event number i."""
+    content = f"named_struct({_fields(e, tuple(sorted(EVENT)))})"
+    return f"named_struct('item_id', format_string('event-%04d', {i}), 'sequence', cast({i} as int), 'content_type', concat('riskloom/', {e}.event_type), 'content', {content}, 'content_hash', concat('sha256:', sha2({_text(e, kinds)}, 256)))"
 
 
 def items(events: DataFrame) -> DataFrame:
     """bundle_id, item_id, sequence, content_type, content, content_hash: one item for each event."""
     kinds = StructType([events.schema[c] for c in EVENT])
-    whole = F.struct(*EVENT)
-    return events.select("bundle_id", F.transform(F.array(whole), lambda e: item(e, F.col("sequence"), kinds))[0].alias("_i")).select("bundle_id", "_i.*")
+    rows = events.select("bundle_id", "sequence", F.struct(*EVENT).alias("_e"))
+    return rows.select("bundle_id", F.expr(item("_e", "sequence", kinds)).alias("_i")).select("bundle_id", "_i.*")
 
 
 def proof(item_rows: DataFrame) -> DataFrame:
@@ -108,10 +106,15 @@ def _present(rows: DataFrame, names: tuple[str, ...]) -> list[str]:
     return [c for c in names if c in rows.columns]
 
 
+def _document(rows: DataFrame, names: tuple[str, ...]) -> Column:
+    part = lambda c: f"if(`{c}` is null, null, concat('\"{c}\":', {canonical(f'`{c}`', rows.schema[c].dataType)}))"
+    parts = ", ".join(part(c) for c in sorted(_present(rows, names)))
+    return F.expr(f"concat('{{', concat_ws(',', {parts}), '}}')")
+
+
 def seal_text(rows: DataFrame) -> Column:
     """What a bundle's seal covers: the canonical JSON of all of BUNDLE that the row has. A null field is one it hasn't."""
-    part = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f'"{c}":'), canonical(F.col(c), rows.schema[c].dataType)))
-    return F.concat(F.lit("{"), F.concat_ws(",", *[part(c) for c in sorted(_present(rows, BUNDLE))]), F.lit("}"))
+    return _document(rows, BUNDLE)
 
 
 def seal(rows: DataFrame, strip_signatures: bool = False) -> DataFrame:
@@ -131,7 +134,7 @@ def bundles(events: DataFrame, heads: DataFrame, version: str = VERSION) -> Data
     """
     chain = event_chain(events)
     kinds = StructType([events.schema[c] for c in EVENT])
-    rows = chain.withColumn("items", F.transform("events", lambda e, i: item(e, i, kinds))).withColumn("_links", chain_links(F.col("items")))
+    rows = chain.withColumn("items", F.expr(f"transform(events, (_v, _i) -> {item('_v', '_i', kinds)})")).withColumn("_links", chain_links(F.col("items")))
     rows = rows.select(
         "bundle_id", F.lit(version).alias("version"), F.lit(version).alias("spec_version"), "events", F.struct(F.lit("sha256").alias("algorithm"), "final_hash", "event_count").alias("hash_chain"), "items",
         F.struct(F.col("_links").alias("hash_chain"), root_hash(F.col("_links")).alias("root_hash")).alias("immutability_proof"),
@@ -150,9 +153,9 @@ def verify(rows: DataFrame) -> DataFrame:
     """
     has = lambda c: F.col(c) if c in rows.columns else F.lit(None)
     kinds = rows.schema["events"].dataType.elementType
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("bad"))
-    step = lambda a, e, h: F.struct(h.alias("last"), (a["i"] + 1).alias("i"), F.coalesce(a["bad"], F.when(~h.eqNullSafe(e["hash"]), a["i"])).alias("bad"))
-    walked = F.aggregate("events", start, lambda a, e: let(F.sha2(_text(e, kinds, a["last"]), 256), lambda h: step(a, e, h)))
+    start = "named_struct('last', '', 'i', 0, 'bad', cast(null as int))"
+    step = "named_struct('last', _h, 'i', _a.i + 1, 'bad', coalesce(_a.bad, if(_h <=> _e.hash, null, _a.i)))"
+    walked = F.expr(f"aggregate(events, {start}, (_a, _e) -> transform(array(sha2({_text('_e', kinds, '_a.last')}, 256)), _h -> {step})[0])")
     sealed = F.lit(False)
     for c in _present(rows, SEALED):
         sealed = sealed | F.col(c).isNotNull()
@@ -174,7 +177,7 @@ def verify_proof(rows: DataFrame) -> DataFrame:
     """bundle_id, valid, reason, first_bad: whether items are those of the events, and links and root those of the items;
     first_bad is the first sequence that differs. A seal shows whether these were changed, this shows which."""
     kinds = rows.schema["events"].dataType.elementType
-    again = rows.select("bundle_id", "items", F.col("immutability_proof.hash_chain").alias("links"), F.col("immutability_proof.root_hash").alias("root"), F.transform("events", lambda e, i: item(e, i, kinds)).alias("_items"))
+    again = rows.select("bundle_id", "items", F.col("immutability_proof.hash_chain").alias("links"), F.col("immutability_proof.root_hash").alias("root"), F.expr(f"transform(events, (_v, _i) -> {item('_v', '_i', kinds)})").alias("_items"))
     again = again.withColumn("_links", chain_links(F.col("_items")))
     first = lambda a, b: F.array_min(F.zip_with(a, b, lambda x, y: F.when(~x.eqNullSafe(y), F.coalesce(x["sequence"], y["sequence"]))))
     again = again.withColumns({"_i": first("items", "_items"), "_l": first("links", "_links")})
@@ -193,7 +196,8 @@ def evidence_events(submitted: DataFrame, analysed: DataFrame, classified: DataF
     def part(df: DataFrame, order: int, kind: str, actor: Column, but: tuple[str, ...]) -> DataFrame:
         own = [c for c in df.columns if c not in ("bundle_id", "created_at", *but)]
         no = F.col("no") if "no" in but else F.lit(0)
-        data = canonical(F.struct(*own), StructType([df.schema[c] for c in own])) if own else F.lit("{}")
+        listed = ", ".join(f"`{c}`" for c in own)
+        data = F.expr(canonical(f"struct({listed})", StructType([df.schema[c] for c in own]))) if own else F.lit("{}")
         return df.select("bundle_id", F.struct(F.lit(order).alias("order"), no.cast("long").alias("no")).alias("_at"), F.lit(kind).alias("event_type"), F.col("created_at").alias("timestamp"), F.coalesce(actor, F.lit("unknown")).alias("actor"), data.alias("data"))
 
     tool = F.lit("riskloom")
@@ -203,5 +207,4 @@ def evidence_events(submitted: DataFrame, analysed: DataFrame, classified: DataF
 
 def bundle_documents(rows: DataFrame) -> DataFrame:
     """bundle_id, document: the whole bundle as canonical JSON: all that the seal covers, the seal and the signatures."""
-    part = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f'"{c}":'), canonical(F.col(c), rows.schema[c].dataType)))
-    return rows.select("bundle_id", F.concat(F.lit("{"), F.concat_ws(",", *[part(c) for c in sorted(_present(rows, (*BUNDLE, "bundle_hash", "signatures")))]), F.lit("}")).alias("document"))
+    return rows.select("bundle_id", _document(rows, (*BUNDLE, "bundle_hash", "signatures")).alias("document"))
