@@ -389,7 +389,7 @@ ORACLE["c16_escalations"] = """select c_custkey, case when s >= 0 then 'L' || le
 ORACLE["c4_entropy_hits"] = """with o as (select o_orderkey as k, o_orderkey::varchar as s, o_orderkey % 6 as i, to_base64(unhex(sha256(o_orderkey::varchar))) as b from orders where o_orderstatus <> 'P'),
 t as (select k, i, unnest(case i when 0 then [b] when 1 then [md5(s)] when 3 then [repeat('ab' || k % 10, 12)] when 5 then [md5(s), b] end) as t, unnest(case when i = 5 then [0, 1] when i in (0, 1, 3) then [0] end)::int as token_no from o),
 f as (select k, token_no, t, ch, count(*)::double / length(t) as p from (select *, unnest(string_split(t, '')) as ch from t) group by k, token_no, t, ch), e as (select k, token_no, t, -sum(p * log2(p)) as bits from f group by k, token_no, t)
-select k as change_id, 'src/a.py' as file, (k % 90)::int as line, token_no, length(t)::int as length, round(bits, 6) as bits from e where bits >= case when length(t) = 32 then 3 else 4 end"""
+select k as change_id, 'src/a.py' as file, (k % 90)::int as line, token_no, length(t)::int as length, round(bits, 6) as bits from e where bits >= case when length(t) = 32 then 3 else 4 end and (length(t) = 32 or (regexp_matches(t, '[0-9]') and regexp_matches(t, '[A-Za-z]')))"""
 ORACLE["c4_secret_kinds"] = f"""with o as (select o_orderkey as k, o_orderkey % 2 = 1 as test, o_orderkey % {len(inputs.SECRET_LINES)} as i from orders)
 select k as change_id, 'secret-' || ['private_key', 'cloud_key_id', 'hardcoded_credential', null, 'hardcoded_credential', null, null, 'private_key', null, null][1 + i] as rule_id, case when test or i in (2, 4) then 'high' else 'critical' end as severity, not test and i not in (2, 4) as provable from o where i in (0, 1, 2, 4, 7)"""
 ORACLE["c10_reported_redactions"] = """with e as (select event_id as id, user_id as u from events), m as (select id, 'email' as kind, u % 9 as n from e where id % 3 = 0 union all select id, 'odd', [null, 2, 4, null, -1][1 + id % 5] from e where id % 3 = 0 and id % 5 in (1, 2, 4)),
