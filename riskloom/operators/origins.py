@@ -22,7 +22,13 @@ def context_ranges(points: DataFrame, around: int = 5, keys: tuple[str, ...] = (
     """keys, start, end: intervals around points; those that overlap or touch are one, and none starts below 1."""
     i = points.select(*keys, F.greatest(F.col(number) - around, F.lit(1)).alias("start"), (F.col(number) + around).alias("end"))
     order = Window.partitionBy(*keys).orderBy("start", "end")
-    i = i.withColumn("_before", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    return _joined(i, keys)
+
+
+def _joined(ranges: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, start, end: ranges that overlap or touch as one."""
+    order = Window.partitionBy(*keys).orderBy("start", "end")
+    i = ranges.withColumn("_before", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     i = i.withColumn("_g", F.sum((F.col("_before").isNull() | (F.col("start") > F.col("_before") + 1)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return i.groupBy(*keys, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_g")
 
@@ -39,12 +45,15 @@ def candidates(ranges: DataFrame, blame: DataFrame, keys: tuple[str, ...] = ("pa
     """ranges (change_id, keys, start, end) and blame (keys, line_no, sha, ...) -> change_id, sha, lines for lines in a range.
 
     A range is spread over buckets of BUCKET lines, so the join is an equality of keys and bucket with the range as a
-    filter: nothing is broadcast, and a long file doesn't meet all ranges of its path.
+    filter: nothing is broadcast, and a long file doesn't meet all ranges of its path. A change's ranges are made disjoint
+    and a line's repeats under one commit are dropped before it, so what follows counts rows, and a task sends one row for
+    each change and commit it saw instead of every line.
     """
-    r = ranges.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor(F.col("end") / BUCKET))))
-    b = blame.withColumn("_b", F.floor(F.col("line_no") / BUCKET))
+    r = _joined(ranges.where("start <= end").select("change_id", *keys, "start", "end"), ("change_id", *keys))
+    r = r.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.floor(F.col("end") / BUCKET))))
+    b = blame.groupBy(*keys, "line_no", "sha").agg(F.min("commit_date").alias("commit_date")).withColumn("_b", F.floor(F.col("line_no") / BUCKET))
     j = r.join(b, [*keys, "_b"]).where("line_no between start and end")
-    return j.groupBy("change_id", "sha").agg(F.countDistinct(*keys, "line_no").alias("lines"), F.min("commit_date").alias("commit_date"))
+    return j.groupBy("change_id", "sha").agg(F.count("*").alias("lines"), F.min("commit_date").alias("commit_date"))
 
 
 def rank_candidates(found: DataFrame, merges: DataFrame, most: int = 5) -> DataFrame:

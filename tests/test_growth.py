@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.operators import votes
+from riskloom.operators import origins, votes
 
 
 def executed(df) -> str:
@@ -18,3 +18,11 @@ def test_diffs_of_prompts_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in executed(got) and "SortMergeJoin" in executed(got)
     assert got.count() == 40 and got.where(F.col("prompt").contains("Diff:\n-x\n-x\nAgree")).count() == 0
     assert got.where(F.col("prompt").contains("Diff:\n-x\n-x\n\nAgree")).count() == 2
+
+
+def test_lines_in_ranges_are_counted_once_without_a_distinct_count(spark):
+    ranges = spark.createDataFrame([(1, "a", 1, 9), (1, "a", 5, 600), (1, "a", 590, 595), (1, "b", 4, 4), (2, "a", 600, 700), (3, "a", 9, 3)], "change_id long, path string, start long, end long")
+    blame = spark.createDataFrame([(p, n, s, t) for p in "ab" for n in range(1, 651) for s, t in ((f"s{n % 2}", n), (f"s{n % 2}", n + 1), ("s0", 7))], "path string, line_no long, sha string, commit_date long")
+    got = origins.candidates(ranges, blame)
+    assert "distinct" not in executed(got)
+    assert sorted(map(tuple, got.collect())) == [(1, "s0", 601, 2), (1, "s1", 300, 1), (2, "s0", 51, 7), (2, "s1", 25, 601)]
