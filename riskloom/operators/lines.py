@@ -1,7 +1,8 @@
 """Unified diffs as tables of lines and files, and projections of them.
 
-A diff is parsed in its row, by one fold over its lines: parsing needs no shuffle and no window, and works on streams. The
-fold goes chunk by chunk, since an array grows by being copied: a diff of n lines costs n * CHUNK copies at most.
+A diff is parsed in its row: parsing needs no shuffle and no window, and works on streams. Only lines that may be headers go
+through a fold; the lines after each, up to the next such line, are one step of it, by counts of their marks. The fold holds
+no text of lines, since a function over arrays copies what it gives.
 """
 
 from __future__ import annotations
@@ -28,26 +29,49 @@ def assemble_diffs(patches: DataFrame) -> DataFrame:
     return patches.where("patch is not null and patch <> ''").groupBy("change_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n").alias("diff"))
 
 
-#: Lines of a chunk of the fold.
-CHUNK = 256
-#: What the fold gives for a diff: its body lines and its files.
+#: The most lines of a piece, and pieces of a chunk: an array grows by being copied, so a long one is made of parts.
+CHUNK = 64
+#: Lines that may say something of hunks or files.
+_MARKER = r"^(?:@@|diff --git |--- |\+\+\+ |rename to |copy to |new file mode |deleted file mode )"
+#: What parsing gives for a diff: its body lines and its files.
 LINE = "struct<file_no:int,path:string,hunk_no:int,ord:int,type:string,content:string,line_number:int,other_line:int,is_new:boolean,is_deleted:boolean>"
 FILE = "struct<file_no:int,path:string,added:bigint,removed:bigint,is_new:boolean,is_deleted:boolean,broken:boolean>"
+#: What the fold gives for a piece with body lines: its number, whether its first line is none of them, the counts before them
+#: and in them, and what holds for all of them.
+_BODY = "struct<no:int,first:int,base:bigint,c:bigint,file_no:int,path:string,hunk_no:int,at_old:bigint,at_new:bigint,is_new:boolean,is_deleted:boolean>"
+#: Counts of added, removed and context lines of a piece in one number.
+_ADDED, _REMOVED, _CONTEXT = 1, 1 << 20, 1 << 40
 #: The state of the fold: the hunk (numbers of its header, lines of either side so far), the file (what its headers said,
 #: lines so far, lines of either side in the present hunk, whether that hunk began in it) and the diff.
 _STATE = {
     "hunk_no": "int", "old_start": "bigint", "old_n": "bigint", "new_start": "bigint", "new_n": "bigint", "old": "bigint", "new": "bigint",
     "file_no": "int", "last": "string", "target": "string", "source": "string", "named": "string", "mode": "string",
     "any": "boolean", "path": "string", "added": "bigint", "removed": "bigint", "is_new": "boolean", "is_deleted": "boolean", "broken": "boolean", "own_old": "bigint", "own_new": "bigint", "own_head": "boolean",
-    "error": "boolean", "files": f"array<{FILE}>", "lines": f"array<{LINE}>",
+    "error": "boolean", "files": f"array<{FILE}>", "bodies": f"array<{_BODY}>",
 }
 
 
+def _added(c: Column) -> Column:
+    return c.bitwiseAND(F.lit(_REMOVED - 1).cast("bigint"))
+
+
+def _removed(c: Column) -> Column:
+    return F.shiftright(c, 20).bitwiseAND(F.lit(_REMOVED - 1).cast("bigint"))
+
+
+def _old(c: Column) -> Column:
+    return _removed(c) + F.shiftright(c, 40)
+
+
+def _new(c: Column) -> Column:
+    return _added(c) + F.shiftright(c, 40)
+
+
 def _state(now: Column | None = None, **fields: Column) -> Column:
     """A state of the fold: fields as given, else as they are now, else as they are before a diff's first line."""
     zero = {"int": F.lit(0), "bigint": F.lit(0), "boolean": F.lit(False)}
     kept = {c: fields[c] if c in fields else now[c] if now is not None else zero.get(kind, F.array() if kind.startswith("array") else F.lit(None)) for c, kind in _STATE.items()}
-    return F.struct(*[v.cast(_STATE[c]).alias(c) if c not in ("files", "lines") or now is None else v.alias(c) for c, v in kept.items()])
+    return F.struct(*[v.cast(_STATE[c]).alias(c) if c not in ("files", "bodies") or now is None else v.alias(c) for c, v in kept.items()])
 
 
 def _facts(raw: Column, after: Column) -> Column:
@@ -59,9 +83,9 @@ def _facts(raw: Column, after: Column) -> Column:
     named = F.coalesce(header("rename to ", "^rename to (.*)$"), header("copy to ", "^copy to (.*)$"), header("diff --git ", r'^diff --git "?a/(.*?)"? "?b/\1"?$'), header("diff --git ", r'^diff --git .* "?b/(.*?)"?$'), header("diff --git ", r"^diff --git \S+ (\S+)$"))
     pair = raw.startswith("--- ") & F.coalesce(after.startswith("+++ "), F.lit(False))
     return F.struct(
-        raw.alias("raw"), F.substring(raw, 1, 1).alias("mark"), head.alias("head"), number(1, 0).alias("old_start"), number(2, 1).alias("old_n"), number(3, 0).alias("new_start"), number(4, 1).alias("new_n"),
+        raw.startswith("@@").alias("at"), head.alias("head"), number(1, 0).alias("old_start"), number(2, 1).alias("old_n"), number(3, 0).alias("new_start"), number(4, 1).alias("new_n"),
         raw.startswith("diff --git ").alias("git"), pair.alias("pair"), F.when(raw.startswith("+++ "), F.nullif(F.regexp_extract(raw, r"^\+\+\+ (?:b/)?([^\t]*)", 1), F.lit(""))).alias("target"),
-        F.when(pair, F.regexp_extract(raw, r"^--- (?:a/)?([^\t]*)", 1)).alias("source"), named.alias("named"), header("", "^(new|deleted) file mode ").alias("mode"),
+        F.when(pair, F.regexp_extract(raw, r"^--- (?:a/)?([^\t]*)", 1)).alias("source"), named.alias("named"), F.coalesce(header("new file mode ", "^(new)"), header("deleted file mode ", "^(deleted)")).alias("mode"),
     )
 
 
@@ -88,10 +112,10 @@ def _with_file(s: Column) -> Column:
     return F.when(s["any"], F.array_append(s["files"], own)).otherwise(s["files"])
 
 
-def _step(s: Column, f: Column, i: Column) -> Column:
-    """The state after line i, of which f has the facts."""
-    marked = f["mark"].isin(" ", "+", "-") | (F.length(f["raw"]) == 0)
-    body = (s["hunk_no"] > 0) & ~f["head"] & ((s["old"] < s["old_n"]) | (s["new"] < s["new_n"])) & marked
+def _step(s: Column, p: Column) -> Column:
+    """The state after a piece: its first line, of which p has the facts, and the plain lines after it."""
+    f = p["f"]
+    body = (s["hunk_no"] > 0) & ~f["head"] & ((s["old"] < s["old_n"]) | (s["new"] < s["new_n"])) & (p["marks"] > 0)
 
     def headed(b: Column) -> Column:
         """The state after what the line says of hunks and files; b: whether it is a body line, and whether it starts a file."""
@@ -107,28 +131,66 @@ def _step(s: Column, f: Column, i: Column) -> Column:
             target=said("target"), source=said("source"), named=said("named"), mode=said("mode"),
             any=no("any"), path=F.when(~fresh, s["path"]), added=zero("added"), removed=zero("removed"), is_new=no("is_new"), is_deleted=no("is_deleted"), broken=(s["broken"] | (new_hunk & _short(s))) & ~fresh,
             own_old=zero("own_old", fresh | new_hunk), own_new=zero("own_new", fresh | new_hunk), own_head=new_hunk | no("own_head"),
-            error=s["error"] | (new_hunk & _short_hunk(s)) | (f["raw"].startswith("@@") & ~new_hunk & ~b["body"]), files=F.when(fresh, _with_file(s)).otherwise(s["files"]),
+            error=s["error"] | (new_hunk & _short_hunk(s)) | (f["at"] & ~new_hunk & ~b["body"]), files=F.when(fresh, _with_file(s)).otherwise(s["files"]),
         )
 
-    def counted(b: Column, t: Column) -> Column:
-        """The state with the line's own share: its side, its file and, in a hunk's body, the line itself."""
-        kind = F.when(f["mark"] == "+", "add").when(f["mark"] == "-", "remove").otherwise("context")
-        at_old, at_new = t["old_start"] + t["old"], t["new_start"] + t["new"]
+    def rest(b: Column, t: Column) -> Column:
+        """The counts of the piece's body lines: its marked lines up to the end of the hunk. A first line that is none of them
+        doesn't count."""
+        base = F.when(b["body"], F.lit(0).cast("bigint")).otherwise(p["marks"])
+        open_ = (t["hunk_no"] > 0) & ((t["old"] < t["old_n"]) | (t["new"] < t["new_n"]))
+        done = lambda c: (t["old"] + _old(c - base) >= t["old_n"]) & (t["new"] + _new(c - base) >= t["new_n"])
+        last = F.element_at(p["counts"], -1)
+        end = F.when(done(last), F.get(F.filter(p["counts"], lambda c: (c >= base) & done(c)), 0)).otherwise(last)
+        return F.struct(base.alias("base"), F.when(open_, end - base).otherwise(F.lit(0).cast("bigint")).alias("c"))
+
+    def counted(b: Column, t: Column, r: Column) -> Column:
+        """The state with the lines' own share: their sides, their file and, in a hunk's body, where they are; r: their counts."""
+        path, is_new, is_deleted, c = _path(t), _is(t, "source", "new"), _is(t, "target", "deleted"), r["c"]
         own = F.struct(
-            t["file_no"].alias("file_no"), _path(t).alias("path"), t["hunk_no"].alias("hunk_no"), i.cast("int").alias("ord"), kind.alias("type"), F.substring(f["raw"], F.lit(2), F.length(f["raw"])).alias("content"),
-            F.when(kind == "remove", at_old).otherwise(at_new).cast("int").alias("line_number"), F.when(kind == "context", at_old.cast("int")).alias("other_line"), _is(t, "source", "new").alias("is_new"), _is(t, "target", "deleted").alias("is_deleted"),
+            p["no"].alias("no"), F.when(b["body"], 0).otherwise(1).alias("first"), r["base"].alias("base"), c.alias("c"), t["file_no"].alias("file_no"), path.alias("path"), t["hunk_no"].alias("hunk_no"),
+            (t["old_start"] + t["old"]).alias("at_old"), (t["new_start"] + t["new"]).alias("at_new"), is_new.alias("is_new"), is_deleted.alias("is_deleted"),
         )
-        n = lambda test: (b["body"] & test).cast("bigint")
-        counts = b["body"] | f["head"] | (t["file_no"] > 0)
-        old, new = n(f["mark"] != "+"), n(f["mark"] != "-")
+        counts = (c > 0) | f["head"] | (t["file_no"] > 0)
         return _state(
-            t, any=t["any"] | counts, path=F.when(counts, _path(t)).otherwise(t["path"]), added=t["added"] + n(f["mark"] == "+"), removed=t["removed"] + n(f["mark"] == "-"), is_new=t["is_new"] | (counts & _is(t, "source", "new")), is_deleted=t["is_deleted"] | (counts & _is(t, "target", "deleted")),
-            broken=t["broken"] | (counts & f["raw"].startswith("@@") & ~f["head"] & ~b["body"]), old=t["old"] + old, new=t["new"] + new, own_old=t["own_old"] + old, own_new=t["own_new"] + new,
-            lines=F.when(b["body"], F.array_append(t["lines"], own)).otherwise(t["lines"]),
+            t, any=t["any"] | counts, path=F.when(counts, path).otherwise(t["path"]), added=t["added"] + _added(c), removed=t["removed"] + _removed(c), is_new=t["is_new"] | (counts & is_new), is_deleted=t["is_deleted"] | (counts & is_deleted),
+            broken=t["broken"] | ((t["file_no"] > 0) & f["at"] & ~f["head"]), old=t["old"] + _old(c), new=t["new"] + _new(c), own_old=t["own_old"] + _old(c), own_new=t["own_new"] + _new(c),
+            bodies=F.when(c > 0, F.array_append(t["bodies"], own)).otherwise(t["bodies"]),
         )
 
     starts = lambda is_body: ~is_body & (f["git"] | (f["pair"] & F.coalesce(s["last"] != "git", F.lit(True))))
-    return let(F.struct(body.alias("body")), lambda a: let(F.struct(a["body"].alias("body"), starts(a["body"]).alias("first")), lambda b: let(headed(b), lambda t: counted(b, t))))
+    return let(F.struct(body.alias("body")), lambda a: let(F.struct(a["body"].alias("body"), starts(a["body"]).alias("first")), lambda b: let(headed(b), lambda t: let(rest(b, t), lambda r: counted(b, t, r)))))
+
+
+def _pieces(raws: Column) -> Column:
+    """The lines in pieces: a line that may be a header, or the CHUNKth plain one, and the plain lines after it. counts has
+    those of the marks before each line and after the last."""
+    mark = lambda raw: let(F.substring(raw, 1, 1), lambda m: F.when(m == "+", F.lit(_ADDED).cast("bigint")).when(m == "-", F.lit(_REMOVED).cast("bigint")).when(m.isin(" ", ""), F.lit(_CONTEXT)).otherwise(F.lit(0).cast("bigint")))
+    starts = F.filter(F.sequence(F.lit(0), F.size(raws) - 1), lambda i: (i % CHUNK == 0) | F.substring(F.get(raws, i), 1, 20).rlike(_MARKER))
+    counts = lambda own: F.aggregate(own, F.array(F.lit(0).cast("bigint")), lambda a, raw: F.array_append(a, F.element_at(a, -1) + mark(raw)))
+
+    def piece(i: Column, no: Column, ends: Column) -> Column:
+        own = F.slice(raws, i + 1, F.coalesce(F.get(ends, no + 1), F.size(raws)) - i)
+        return F.struct(no.alias("no"), i.alias("start"), _facts(F.get(raws, i), F.get(raws, i + 1)).alias("f"), mark(F.get(raws, i)).alias("marks"), counts(own).alias("counts"))
+
+    return let(starts, lambda ends: F.transform(ends, lambda i, no: piece(i, no, ends)))
+
+
+def _body_lines(raws: Column, p: Column, b: Column) -> Column:
+    """The lines (of LINE) that a piece has in a hunk's body."""
+    before, after = (lambda j: F.get(p["counts"], j)), (lambda j: F.get(p["counts"], j + 1))
+
+    def line(j: Column) -> Column:
+        step, c = after(j) - before(j), before(j) - b["base"]
+        kind = F.when(step == _ADDED, "add").when(step == _REMOVED, "remove").otherwise("context")
+        at_old, at_new, raw = (b["at_old"] + _old(c)).cast("int"), (b["at_new"] + _new(c)).cast("int"), F.get(raws, p["start"] + j)
+        return F.struct(
+            b["file_no"].alias("file_no"), b["path"].alias("path"), b["hunk_no"].alias("hunk_no"), (p["start"] + j).alias("ord"), kind.alias("type"), F.substring(raw, F.lit(2), F.length(raw)).alias("content"),
+            F.when(step == _REMOVED, at_old).otherwise(at_new).alias("line_number"), F.when(step == _CONTEXT, at_old).alias("other_line"), b["is_new"].alias("is_new"), b["is_deleted"].alias("is_deleted"),
+        )
+
+    lines = F.sequence(b["first"], F.size(p["counts"]) - 2)
+    return F.transform(F.filter(lines, lambda j: (after(j) > before(j)) & (after(j) - b["base"] <= b["c"])), line)
 
 
 def parsed(diff: Column) -> Column:
@@ -140,23 +202,22 @@ def parsed(diff: Column) -> Column:
     end of its own file. Files without lines (renamed, binary, empty) count, too.
     """
 
-    def chunk(raws: Column, no: Column) -> Column:
-        """(facts, number of the first line) of the lines of a chunk."""
-        own = F.slice(raws, no * CHUNK + 1, F.lit(CHUNK))
-        return F.struct((no * CHUNK).alias("start"), F.transform(own, lambda raw, i: F.struct((no * CHUNK + i).alias("i"), _facts(raw, F.get(raws, no * CHUNK + i + 1)).alias("f"))).alias("rows"))
-
-    def fold(raws: Column) -> Column:
-        numbers = F.sequence(F.lit(0), F.floor((F.size(raws) - 1) / CHUNK).cast("int"))
-        zero = F.struct(_state().alias("s"), F.array().cast(f"array<array<{LINE}>>").alias("out"))
-        emptied = lambda s: _state(s, lines=F.array().cast(f"array<{LINE}>"))
+    def fold(pieces: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / CHUNK).cast("int"))
+        zero = F.struct(_state().alias("s"), F.array().cast(f"array<array<{_BODY}>>").alias("out"))
+        emptied = lambda s: _state(s, bodies=F.array().cast(f"array<{_BODY}>"))
 
         def step(a: Column, no: Column) -> Column:
-            done = F.aggregate(chunk(raws, no)["rows"], a["s"], lambda s, row: _step(s, row["f"], row["i"]))
-            return let(done, lambda s: F.struct(emptied(s).alias("s"), F.array_append(a["out"], s["lines"]).alias("out")))
+            done = F.aggregate(F.slice(pieces, no * CHUNK + 1, F.lit(CHUNK)), a["s"], _step)
+            return let(done, lambda s: F.struct(emptied(s).alias("s"), F.array_append(a["out"], s["bodies"]).alias("out")))
+
+        return F.aggregate(numbers, zero, step, lambda a: F.struct(F.flatten(a["out"]).alias("bodies"), _with_file(a["s"]).alias("files"), (a["s"]["error"] | _short_hunk(a["s"])).alias("error")))
 
-        return F.aggregate(numbers, zero, step, lambda a: F.struct(F.flatten(a["out"]).alias("lines"), _with_file(a["s"]).alias("files"), (a["s"]["error"] | _short_hunk(a["s"])).alias("error")))
+    def result(raws: Column, pieces: Column, r: Column) -> Column:
+        each = F.transform(r["bodies"], lambda b: _body_lines(raws, F.get(pieces, b["no"]), b))
+        return F.struct(F.flatten(each).alias("lines"), r["files"].alias("files"), r["error"].alias("error"))
 
-    return F.when(diff.isNotNull(), let(F.split(diff, "\n"), fold))
+    return F.when(diff.isNotNull(), let(F.split(diff, "\n"), lambda raws: let(_pieces(raws), lambda pieces: let(fold(pieces), lambda r: result(raws, pieces, r)))))
 
 
 def diff_lines(changes: DataFrame) -> DataFrame:

@@ -118,4 +118,4 @@ def mixed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "diff --git a/src/m.py b/src/m.py\n--- a/src/m.py\n+++ b/src/m.py\n@@ -10,3 +10,2 @@\n ", "p_name", "\n-", "p_type", "\n-", "p_brand", "\n+", "p_size",
         "\ndiff --git a/old/", "p_partkey", ".js b/old/", "p_partkey", ".js\ndeleted file mode 100644\n--- a/old/", "p_partkey", ".js\n+++ /dev/null\n@@ -1,1 +0,0 @@\n-", "p_name",
     ]
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("change_id"), F.concat(*[F.col(x).cast("string") if x.startswith("p_") else F.lit(x) for x in text]).alias("diff"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")).select(F.col("p_partkey").alias("change_id"), F.concat(*[F.col(x).cast("string") if x.startswith("p_") else F.lit(x) for x in text]).alias("diff"))
