@@ -31,15 +31,17 @@ def line_findings(line: Column, zones: dict[str, str], secrets, policy: scoring.
     def found(facts: Column) -> Column:
         test = facts["test"]
         out = []
-        for i, (name, pattern) in enumerate(scans.found_zones(facts["topic"], facts["raw"], zones).items()):
+        for i, (name, pattern) in enumerate(scans.found_zones(facts["topic"], facts["raw"], zones, facts["low_topic"], facts["low_raw"]).items()):
             severity = policy.zone_severity.get(name, "medium")
             out.append(struct(pattern & ~facts["doc"], 0, i, name, _rank(severity), F.when(test, "info").otherwise(severity), F.lit(False)))
         kinds = [struct(content.rlike(p), 1, i, "entropy_secret", None, F.when(test, "high").otherwise(SEVERITIES[_rank(s)]), ~test & F.lit(v)) for i, (_, p, s, v) in enumerate(secrets)]
-        hidden = F.when(~content.rlike(scans.EXACT + scans.HASH_FIELD), F.coalesce(*kinds)) if kinds else F.lit(None)
+        hidden = F.when(~scans.matches(content, facts["low_raw"], scans.HASH_FIELD, scans.EXACT), F.coalesce(*kinds)) if kinds else F.lit(None)
         return F.array_compact(F.array(*out, hidden))
 
     facts = F.struct(F.coalesce(lines.is_test(path), F.lit(False)).alias("test"), F.coalesce(lines.is_doc(path), F.lit(True)).alias("doc"), F.concat(lines.topic_text(path, content), F.lit("\n")).alias("topic"), F.concat(content, F.lit("\n")).alias("raw"))
-    return let(facts, found)
+    # The plain texts by themselves first, so that each is made once.
+    names = ("test", "doc", "topic", "raw")
+    return let(facts, lambda f: let(F.struct(*[f[n].alias(n) for n in names], scans.plain(f["topic"]).alias("low_topic"), scans.plain(f["raw"]).alias("low_raw")), found))
 
 
 def findings(body: Column, zones: dict[str, str], secrets, policy: scoring.RiskPolicy) -> Column:

@@ -298,7 +298,7 @@ def topic_text(path: Column, content: Column) -> Column:
     out = F.when(is_config(path), F.lit(None).cast("string"))
     for mark, ends in COMMENT_MARKERS.items():
         own = F.when(content.rlike(rf"(?U)^\s*\Q{mark}\E"), "").otherwise(F.regexp_replace(content, rf"(?Ud)\s\Q{mark}\E.*$", ""))
-        out = out.when(end.isin(*ends), own)
+        out = out.when(end.isin(*ends), F.when(content.contains(mark), own).otherwise(content))
     return out.otherwise(content)
 
 

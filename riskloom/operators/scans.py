@@ -6,6 +6,8 @@ Patterns are literals in the plan, compiled once; a scan is one projection over
 from __future__ import annotations
 
 import fnmatch
+import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,39 @@ def _flags(pattern: str) -> str:
     return EXACT if any(x in pattern for x in (r"\w", r"\s", r"\b", ".*", "$")) else "(?iu)"
 
 
+def needed(pattern: str) -> list[str]:
+    """Texts in lower case of which every match of a pattern holds one: the longest plain run of each alternative. Empty where
+    an alternative has none."""
+    inner = pattern[1:-1] if re.fullmatch(r"\((?!\?)(?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)", pattern) else pattern
+    runs, depth = [[""]], 0
+    for token in re.findall(r"\\.|\[(?:\\.|[^\]\\])*\]|\{[^}]*\}|.", inner, re.S):
+        depth += (token == "(") - (token == ")")
+        if depth == 0 and token == "|":
+            runs.append([""])
+        elif depth or token == ")":
+            runs[-1].append("")
+        elif re.fullmatch(r"[A-Za-z0-9_<=/ -]|\\[^A-Za-z0-9]", token):
+            runs[-1][-1] += token[-1]
+        else:
+            # What is repeated or left out at will is in no run.
+            runs[-1][-1] = runs[-1][-1][:-1] if token[0] in "?*{" else runs[-1][-1]
+            runs[-1].append("")
+    longest = [max(r, key=len).lower() for r in runs]
+    return longest if all(len(t) > 1 for t in longest) and pattern.isascii() and not re.search(r"\\(?![bBdDsSwW])[A-Za-z0-9]|\(\?[a-z-]+[):]", pattern) else []
+
+
+def plain(text: Column) -> Column:
+    """A text in lower case, with the few other letters that equal one of a to z in any case as that one."""
+    other = F.lower(F.translate(text, "\u017f\u212a\u0130\u0131", "skii"))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(other)
+
+
+def matches(text: Column, low: Column, pattern: str, flags: str) -> Column:
+    """Whether a pattern of any case is found; low, the plain text, tells first whether it can be, which costs far less."""
+    texts, test = needed(pattern), text.rlike(flags + pattern)
+    return reduce(lambda a, b: a | b, [low.contains(t) for t in texts]) & test if texts else test
+
+
 def _found(rows: DataFrame, tests: list[Column]) -> DataFrame:
     """A row for each test that gives a value, as _hit. An outer explode: for an inner one the planner adds a filter on
     the array's size below it, which runs all patterns once more."""
@@ -34,12 +69,13 @@ def preview(content: Column, redacted: bool) -> Column:
     return F.lit("[REDACTED]") if redacted else F.trim(F.substring(content, 1, 100))
 
 
-def found_zones(topic: Column, raw: Column, zones: dict[str, str] = ZONES) -> dict[str, Column]:
-    """For each zone whether a line has it; topic and raw are the code in the line and all of it, with its newline."""
+def found_zones(topic: Column, raw: Column, zones: dict[str, str], low_topic: Column, low_raw: Column) -> dict[str, Column]:
+    """For each zone whether a line has it; topic and raw are the code in the line and all of it, with its newline, and the
+    others are their plain texts."""
     out = {}
     for name, pattern in zones.items():
-        test = (topic if name in TOPIC_ZONES else raw).rlike(_flags(pattern) + pattern)
-        out[name] = test & ~raw.rlike(EXACT + HASH_FIELD) if name == "crypto" else test
+        test = matches(*((topic, low_topic) if name in TOPIC_ZONES else (raw, low_raw)), pattern, _flags(pattern))
+        out[name] = test & ~matches(raw, low_raw, HASH_FIELD, EXACT) if name == "crypto" else test
     return out
 
 
@@ -50,8 +86,8 @@ def zone_hits(lines: DataFrame, zones: dict[str, str] = ZONES, redacted: bool =
     """
     added = lines.where(F.col("type") == "add").where(~is_doc(F.col("path")))
     topic, raw = F.concat(topic_text(F.col("path"), F.col("content")), F.lit("\n")), F.concat("content", F.lit("\n"))
-    added = added.withColumns({"_topic": topic, "_raw": raw})
-    found = found_zones(F.col("_topic"), F.col("_raw"), zones)
+    added = added.withColumns({"_topic": topic, "_raw": raw}).withColumns({"_low_topic": plain(F.col("_topic")), "_low_raw": plain(F.col("_raw"))})
+    found = found_zones(F.col("_topic"), F.col("_raw"), zones, F.col("_low_topic"), F.col("_low_raw"))
     tests = [F.when(test, F.struct(F.lit(i).alias("zone_no"), F.lit(name).alias("zone"))) for i, (name, test) in enumerate(found.items())]
     hit = _found(added, tests)
     return hit.select("change_id", "file_no", F.col("path").alias("file"), F.col("line_number").alias("line"), "ord", "_hit.zone_no", "_hit.zone", preview(F.col("content"), redacted).alias("content_preview"))
@@ -68,7 +104,7 @@ SECRETS = (
 def secret_hits(lines: DataFrame, rules=SECRETS) -> DataFrame:
     """One row for each added line, of any file, and each rule found in it; hash fields are no secrets."""
     tests = [F.when(F.col("content").rlike(p), F.struct(F.lit(i).alias("kind_no"), F.lit(k).alias("kind"), F.lit(s).alias("severity"), F.lit(v).alias("provable"))) for i, (k, p, s, v) in enumerate(rules)]
-    added = lines.where((F.col("type") == "add") & ~F.col("content").rlike("(?iuUd)" + HASH_FIELD))
+    added = lines.where((F.col("type") == "add") & ~matches(F.col("content"), plain(F.col("content")), HASH_FIELD, EXACT))
     hit = _found(added, tests)
     return hit.select("change_id", "file_no", F.col("path").alias("file"), F.col("line_number").alias("line"), "ord", F.lit("entropy_secret").alias("zone"), "_hit.kind_no", "_hit.kind", "_hit.severity", "_hit.provable", F.lit("[REDACTED]").alias("content_preview"))
 

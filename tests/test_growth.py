@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.operators import origins, votes
+from riskloom import config
+from riskloom.operators import lines, origins, scans, votes
+from riskloom.plans import inputs
 
 
 def executed(df) -> str:
@@ -26,3 +28,23 @@ def test_lines_in_ranges_are_counted_once_without_a_distinct_count(spark):
     got = origins.candidates(ranges, blame)
     assert "distinct" not in executed(got)
     assert sorted(map(tuple, got.collect())) == [(1, "s0", 601, 2), (1, "s1", 300, 1), (2, "s0", 51, 7), (2, "s1", 25, 601)]
+
+
+def test_patterns_are_asked_only_where_a_plain_text_of_theirs_is(spark):
+    assert scans.needed("(auth|api.?key|DES\\b)") == ["auth", "api", "des"] and scans.needed("abc?d{2}") == ["ab"]
+    assert scans.needed("a|bcd") == scans.needed("(?i)abc") == scans.needed(r"\x41bc") == scans.needed(r"\d+") == []
+    texts = ["API_Key", "toKen", "admİn", "admın", "ſql", "sha1x", "sha12", "nothing", "", None, "Social-Security", "shell = True"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in config.ZONES.values():
+        flags = scans._flags(pattern)
+        got = df.select("t", scans.matches(F.col("t"), scans.plain(F.col("t")), pattern, flags).alias("got"), F.col("t").rlike(flags + pattern).alias("want"))
+        assert got.where("not (got <=> want)").count() == 0
+
+
+def test_parts_are_parsed_on_all_cores_and_the_fold_holds_no_lines(spark):
+    assert inputs.mixed_changes(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert "content" not in lines._BODY and "lines" not in lines._STATE
+    body = "".join(f"+{i}\n" for i in range(200))
+    diff = f"diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +1,203 @@\n c\n{body}-gone\n+++ plus\n+ end\nafter"
+    got = lines.diff_lines(spark.createDataFrame([(1, diff)], "change_id long, diff string")).orderBy("ord").collect()
+    assert len(got) == 204 and [(r.type, r.content, r.line_number) for r in got[-3:]] == [("remove", "gone", 2), ("add", "++ plus", 202), ("add", " end", 203)]
