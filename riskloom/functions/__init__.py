@@ -7,14 +7,18 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, DoubleType, FloatType, IntegralType, MapType, NullType, StructType, TimestampNTZType, TimestampType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DateType, DoubleType, FloatType, IntegralType, MapType, NullType, StringType, StructType, TimestampNTZType, TimestampType
 
 from riskloom.config import SEVERITIES
 
 
 def let(value: Column, body) -> Column:
-    """body(value) with value computed once: inside functions over arrays, Spark computes a repeated expression each time."""
-    return F.get(F.transform(F.array(value), body), 0)
+    """body(value) with value computed once: inside functions over arrays, Spark computes a repeated expression each time.
+
+    It is a fold over no elements, whose start is the value and whose end the body. An element taken from an array of one would
+    do, too, but Spark works out an element's type, and for it walks the whole body, for each row.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda a, x: a, body)
 
 
 def literal_map(values: dict) -> Column:
@@ -57,8 +61,8 @@ ESCAPES = {92: r"\\", 34: r"\"", 10: r"\n", 13: r"\r", 9: r"\t", 8: r"\b", 12: r
 
 
 def _let(name: str, value: str, body: str) -> str:
-    """SQL of body with name standing for value, computed once."""
-    return f"transform(array({value}), {name} -> {body})[0]"
+    """SQL of body with name standing for value, computed once as let does it."""
+    return f"aggregate(cast(array() as array<int>), {value}, (_z, _o) -> _z, {name} -> {body})"
 
 
 def _literal(text: str) -> str:
@@ -78,33 +82,67 @@ def _json_double(value: str) -> str:
 
     The JVM's own text may have a digit too many: one of 15, 16 or 17 digits that gives the same number goes before it.
     """
-    parts = r"'^-?(\\d+)\\.(\\d+)(?:[eE]([+-]?\\d+))?$'"
-    part = lambda i: f"regexp_extract(_s, {parts}, {i})"
-    every = f"concat({part(1)}, {part(2)})"
-    exponent = f"coalesce(cast(nullif({part(3)}, '') as int), 0) + length({part(1)}) - 1 - (length({every}) - length(ltrim('0', {every})))"
-    taken = f"named_struct('sign', if(startswith(_s, '-'), '-', ''), 'digits', rtrim('0', ltrim('0', {every})), 'e', {exponent})"
+    shorter = ", ".join(_let("_f", f"format_string('%.{n}e', _d)", "if(cast(_f as double) = _d, _f, null)") for n in (14, 15, 16))
+    # Of 15 digits or fewer no two texts give the same number, so such a text has no shorter one.
+    text = _let("_j", "cast(_d as string)", f"replace(if(length(substring_index(_j, 'E', 1)) <= 16, _j, coalesce({shorter}, _j)), 'E', 'e')")
+    parts = "named_struct('sign', if(startswith(_s, '-'), '-', ''), 'whole', ltrim('-', substring_index(_s, '.', 1)), 'part', substring_index(substring_index(_s, 'e', 1), '.', -1), 'e', if(contains(_s, 'e'), cast(substring_index(_s, 'e', -1) as int), 0))"
+    every = "concat(_v.whole, _v.part)"
+    taken = f"named_struct('sign', _v.sign, 'digits', rtrim('0', ltrim('0', {every})), 'e', _v.e + length(_v.whole) - 1 - (length({every}) - length(ltrim('0', {every}))))"
     fixed = "case when _n.e >= length(_n.digits) - 1 then concat(rpad(_n.digits, _n.e + 1, '0'), '.0') when _n.e >= 0 then concat(substring(_n.digits, 1, _n.e + 1), '.', substring(_n.digits, _n.e + 2)) else concat('0.', repeat('0', -_n.e - 1), _n.digits) end"
     wide = "concat(substring(_n.digits, 1, 1), if(length(_n.digits) > 1, concat('.', substring(_n.digits, 2)), ''), if(_n.e < 0, 'e-', 'e+'), lpad(cast(abs(_n.e) as string), greatest(length(cast(abs(_n.e) as string)), 2), '0'))"
-    laid = _let("_n", taken, f"concat(_n.sign, case when _n.digits = '' then '0.0' when _n.e between -4 and 15 then {fixed} else {wide} end)")
-    shorter = ", ".join(f"transform(array(format_string('%.{n}e', _d)), _f -> if(cast(_f as double) = _d, _f, null))[0]" for n in (14, 15, 16))
-    text = _let("_s", f"coalesce({shorter}, cast(_d as string))", laid)
+    laid = _let("_v", parts, _let("_n", taken, f"concat(_n.sign, case when _n.digits = '' then '0.0' when _n.e between -4 and 15 then {fixed} else {wide} end)"))
+    # The JVM lays out what it writes without an exponent as is wanted.
+    text = _let("_s", text, f"if(length(_s) <= 16 and not contains(_s, 'e'), _s, {laid})")
     return _let("_d", value, f"case when _d is null then null when isnan(_d) or abs(_d) = double('infinity') then cast(raise_error('canonical JSON has no numbers that aren\\'t finite') as string) else {text} end")
 
 
-def canonical(value: str, kind: DataType, depth: int = 0) -> str:
+def _sorted(value: str, kind: DataType, depth: int) -> str | None:
+    """SQL of a value whose structs have their fields in order, for types that Spark's own JSON writes in the canonical way;
+    None for others."""
+    if isinstance(kind, (StringType, IntegralType, BooleanType)):
+        return value
+    if isinstance(kind, ArrayType):
+        x = f"_y{depth}"
+        inner = _sorted(x, kind.elementType, depth + 1)
+        return inner and (value if inner == x else f"transform({value}, {x} -> {inner})")
+    if isinstance(kind, StructType) and kind.fields:
+        names = kind.names
+        parts = {f.name: (f"{value}.{_quoted(f.name)}", f.dataType) for f in kind.fields}
+        inner = {n: _sorted(v, t, depth + 1) for n, (v, t) in parts.items()}
+        if len(inner) < len(names) or not all(inner.values()):
+            return None
+        if names == sorted(names) and all(inner[n] == parts[n][0] for n in names):
+            return value
+        return f"if({value} is null, null, named_struct({', '.join(f'{_literal(n)}, {inner[n]}' for n in sorted(names))}))"
+    return None
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def canonical(value: str, kind: DataType, depth: int = 0, native: bool = True) -> str:
     """SQL of the one JSON text of a value of any nested type, itself given as SQL: keys sorted at every level, no white
     space, nulls kept, strings as they are (no Unicode normalisation), dates and times in ISO 8601, other types as strings.
-    Numbers that aren't finite are an error. It is SQL and no Column since it is long: the driver hands it over at once."""
-    x, quoted = f"_x{depth}", lambda n: "`" + n.replace("`", "``") + "`"
+    Numbers that aren't finite are an error. It is SQL and no Column since it is long: the driver hands it over at once.
+
+    Structs and arrays of strings, whole numbers and booleans are written by Spark's own JSON, at a fraction of the cost. Where
+    it numbers a character, which it does in capitals, or may have met bytes that are no text, the long way is taken.
+    """
+    ordered = _sorted(value, kind, depth) if native and isinstance(kind, (StructType, ArrayType)) else None
+    if ordered:
+        long_way = canonical(value, kind, depth, native=False)
+        return _let("_w", f"to_json({ordered}, map('ignoreNullFields', 'false'))", rf"if(contains(_w, r'\u00') or contains(_w, '�'), {long_way}, coalesce(_w, 'null'))")
+    x = f"_x{depth}"
     named = lambda n: _literal(json.dumps(n, ensure_ascii=False) + ":")
     if isinstance(kind, StructType):
         fields = sorted(kind.fields, key=lambda f: f.name)
-        parts = ", ',', ".join(f"{named(f.name)}, {canonical(f'{value}.{quoted(f.name)}', f.dataType, depth + 1)}" for f in fields)
+        parts = ", ',', ".join(f"{named(f.name)}, {canonical(f'{value}.{_quoted(f.name)}', f.dataType, depth + 1, native)}" for f in fields)
         text = f"if({value} is null, null, concat('{{', {parts + ', ' if parts else ''}'}}'))"
     elif isinstance(kind, ArrayType):
-        text = f"concat('[', array_join(transform({value}, {x} -> {canonical(x, kind.elementType, depth + 1)}), ','), ']')"
+        text = f"concat('[', array_join(transform({value}, {x} -> {canonical(x, kind.elementType, depth + 1, native)}), ','), ']')"
     elif isinstance(kind, MapType):
-        entry = f"named_struct('k', cast({x}.key as string), 'v', {canonical(f'{x}.value', kind.valueType, depth + 1)})"
+        entry = f"named_struct('k', cast({x}.key as string), 'v', {canonical(f'{x}.value', kind.valueType, depth + 1, native)})"
         joined = f"concat({_json_string(f'{x}.k')}, ':', {x}.v)"
         text = f"concat('{{', array_join(transform(array_sort(transform(map_entries({value}), {x} -> {entry})), {x} -> {joined}), ','), '}}')"
     elif isinstance(kind, (IntegralType, BooleanType)):

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from riskloom.functions import canonical, let, uuid5_url
+from riskloom.functions import canonical, uuid5_url
 
 # The fields of an event that its hash covers, of a bundle that the seal covers, and those among them that a
 # bundle without a seal must not have; and the versions that must be sealed.
@@ -30,20 +30,24 @@ def number_events(events: DataFrame, order: list) -> DataFrame:
 def _text(e: str, kinds: StructType, previous: str | None = None) -> str:
     """SQL of the canonical JSON of an event, with the hash before it if given."""
     fields = {c: (f"{e}.{c}", kinds[c].dataType) for c in EVENT} | ({"previous_hash": (previous, STRING)} if previous else {})
-    return "concat('{', " + ", ',', ".join(f"'\"{c}\":', {canonical(v, kind)}" for c, (v, kind) in sorted(fields.items())) + ", '}')"
+    whole = ", ".join(f"'{c}', {v}" for c, (v, _) in sorted(fields.items()))
+    return canonical(f"named_struct({whole})", StructType([StructField(c, kind) for c, (_, kind) in sorted(fields.items())]))
 
 
 def _fields(e: str, names: tuple[str, ...] = EVENT) -> str:
     return ", ".join(f"'{c}', {e}.{c}" for c in names)
 
 
-def hashed_events(events: str, kinds: StructType) -> Column:
-    """Events (a column's name) with their hash: each covers its canonical JSON with the hash before it; the first follows
-    the empty string."""
-    kind = StructType([StructField(c, kinds[c].dataType) for c in EVENT] + [StructField("hash", STRING)])
-    start = f"named_struct('last', '', 'out', cast(array() as array<{kind.simpleString()}>))"
-    grown = f"named_struct('last', _h, 'out', array_append(_a.out, named_struct({_fields('_e')}, 'hash', _h)))"
-    return F.expr(f"aggregate({events}, {start}, (_a, _e) -> transform(array(sha2({_text('_e', kinds, '_a.last')}, 256)), _h -> {grown})[0], _a -> _a.out)")
+def chain_hashes(events: str, kinds: StructType) -> str:
+    """SQL of the hash of each event: it covers the event's canonical JSON with the hash before it; the first follows the empty
+    string. The fold holds hashes only, since a function over arrays copies what it gives."""
+    last = "coalesce(get(_a, size(_a) - 1), '')"
+    return f"aggregate({events}, cast(array() as array<string>), (_a, _e) -> concat(_a, array(sha2({_text('_e', kinds, last)}, 256))))"
+
+
+def hashed_events(events: str, hashes: str) -> Column:
+    """Events with their hash, by the names of both columns."""
+    return F.expr(f"transform({events}, (_e, _i) -> named_struct({_fields('_e')}, 'hash', {hashes}[_i]))")
 
 
 def _gathered(events: DataFrame) -> tuple[DataFrame, StructType]:
@@ -55,14 +59,15 @@ def event_chain(events: DataFrame) -> DataFrame:
     """bundle_id, sequence, event_type, timestamp, actor, data (of any type) -> bundle_id, event_count, events (with hash),
     final_hash."""
     rows, kinds = _gathered(events)
-    rows = rows.select("bundle_id", F.size("_e").alias("event_count"), hashed_events("_e", kinds).alias("events"))
-    return rows.withColumn("final_hash", F.coalesce(F.element_at("events", -1)["hash"], F.lit("")))
+    rows = rows.select("bundle_id", "_e", F.expr(chain_hashes("_e", kinds)).alias("_h"))
+    return rows.select("bundle_id", F.size("_e").alias("event_count"), hashed_events("_e", "_h").alias("events"), F.coalesce(F.get("_h", F.size("_h") - 1), F.lit("")).alias("final_hash"))
 
 
 def item(e: str, i: str, kinds: StructType) -> str:
     """SQL of the item of a bundle that stands for event number i."""
     content = f"named_struct({_fields(e, tuple(sorted(EVENT)))})"
-    return f"named_struct('item_id', format_string('event-%04d', {i}), 'sequence', cast({i} as int), 'content_type', concat('riskloom/', {e}.event_type), 'content', {content}, 'content_hash', concat('sha256:', sha2({_text(e, kinds)}, 256)))"
+    number = f"if({i} between 0 and 9999, concat('event-', lpad(cast({i} as string), 4, '0')), format_string('event-%04d', {i}))"
+    return f"named_struct('item_id', {number}, 'sequence', cast({i} as int), 'content_type', concat('riskloom/', {e}.event_type), 'content', {content}, 'content_hash', concat('sha256:', sha2({_text(e, kinds)}, 256)))"
 
 
 def items(events: DataFrame) -> DataFrame:
@@ -75,23 +80,25 @@ def items(events: DataFrame) -> DataFrame:
 def proof(item_rows: DataFrame) -> DataFrame:
     """bundle_id, links (with previous_hash and chain_hash) and root_hash; the first link follows `genesis`."""
     g = item_rows.groupBy("bundle_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "item_id", "content_type", "content_hash"))).alias("_i"))
-    return g.select("bundle_id", chain_links(F.col("_i")).alias("links")).withColumn("root_hash", root_hash(F.col("links")))
+    g = g.withColumn("_h", link_hashes(F.col("_i")))
+    return g.select("bundle_id", chain_links(F.col("_i"), F.col("_h")).alias("links"), root_hash(F.col("_h")).alias("root_hash"))
 
 
-def chain_links(rows: Column) -> Column:
+def link_hashes(rows: Column) -> Column:
+    """The chain hash of each item, as chain_hashes does it."""
     text = lambda x, last: F.concat_ws("|", x["sequence"].cast("string"), x["item_id"], x["content_type"], x["content_hash"], last)
-    kind = "array<struct<sequence:int,item_id:string,content_type:string,content_hash:string,previous_hash:string,chain_hash:string>>"
-    start = F.struct(F.lit("genesis").alias("last"), F.array().cast(kind).alias("out"))
+    last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), F.lit("genesis"))
+    return F.aggregate(rows, F.array().cast("array<string>"), lambda a, x: F.concat(a, F.array(F.concat(F.lit("sha256:"), F.sha2(text(x, last(a)), 256)))))
 
-    def grown(a: Column, x: Column, h: Column) -> Column:
-        row = F.struct(x["sequence"].cast("int").alias("sequence"), x["item_id"].alias("item_id"), x["content_type"].alias("content_type"), x["content_hash"].alias("content_hash"), a["last"].alias("previous_hash"), h.alias("chain_hash"))
-        return F.struct(h.alias("last"), F.array_append(a["out"], row).alias("out"))
 
-    return F.aggregate(rows, start, lambda a, x: let(F.concat(F.lit("sha256:"), F.sha2(text(x, a["last"]), 256)), lambda h: grown(a, x, h)), lambda a: a["out"])
+def chain_links(rows: Column, hashes: Column) -> Column:
+    """Items with the hashes of the links before and at them."""
+    link = lambda x, i: F.struct(x["sequence"].cast("int").alias("sequence"), x["item_id"].alias("item_id"), x["content_type"].alias("content_type"), x["content_hash"].alias("content_hash"), F.coalesce(F.get(hashes, i - 1), F.lit("genesis")).alias("previous_hash"), F.get(hashes, i).alias("chain_hash"))
+    return F.transform(rows, link)
 
 
-def root_hash(links: Column) -> Column:
-    return F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform(links, lambda x: x["chain_hash"]), ""), 256))
+def root_hash(hashes: Column) -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(F.array_join(hashes, ""), 256))
 
 
 def bundle_id(repository: Column, number: Column, commit: Column) -> Column:
@@ -134,10 +141,10 @@ def bundles(events: DataFrame, heads: DataFrame, version: str = VERSION) -> Data
     """
     chain = event_chain(events)
     kinds = StructType([events.schema[c] for c in EVENT])
-    rows = chain.withColumn("items", F.expr(f"transform(events, (_v, _i) -> {item('_v', '_i', kinds)})")).withColumn("_links", chain_links(F.col("items")))
+    rows = chain.withColumn("items", F.expr(f"transform(events, (_v, _i) -> {item('_v', '_i', kinds)})")).withColumn("_links", link_hashes(F.col("items")))
     rows = rows.select(
         "bundle_id", F.lit(version).alias("version"), F.lit(version).alias("spec_version"), "events", F.struct(F.lit("sha256").alias("algorithm"), "final_hash", "event_count").alias("hash_chain"), "items",
-        F.struct(F.col("_links").alias("hash_chain"), root_hash(F.col("_links")).alias("root_hash")).alias("immutability_proof"),
+        F.struct(chain_links(F.col("items"), F.col("_links")).alias("hash_chain"), root_hash(F.col("_links")).alias("root_hash")).alias("immutability_proof"),
     )
     rows = rows.join(heads, "bundle_id", "left")
     return seal(rows.select(*_present(rows, BUNDLE)))
@@ -153,9 +160,8 @@ def verify(rows: DataFrame) -> DataFrame:
     """
     has = lambda c: F.col(c) if c in rows.columns else F.lit(None)
     kinds = rows.schema["events"].dataType.elementType
-    start = "named_struct('last', '', 'i', 0, 'bad', cast(null as int))"
-    step = "named_struct('last', _h, 'i', _a.i + 1, 'bad', coalesce(_a.bad, if(_h <=> _e.hash, null, _a.i)))"
-    walked = F.expr(f"aggregate(events, {start}, (_a, _e) -> transform(array(sha2({_text('_e', kinds, '_a.last')}, 256)), _h -> {step})[0])")
+    rows = rows.withColumn("_walked", F.expr(chain_hashes("events", kinds)))
+    walked = F.struct(F.coalesce(F.get("_walked", F.size("_walked") - 1), F.lit("")).alias("last"), F.expr("cast(nullif(array_position(zip_with(_walked, events, (_h, _e) -> _h <=> _e.hash), false), 0) - 1 as int)").alias("bad"))
     sealed = F.lit(False)
     for c in _present(rows, SEALED):
         sealed = sealed | F.col(c).isNotNull()
@@ -178,10 +184,10 @@ def verify_proof(rows: DataFrame) -> DataFrame:
     first_bad is the first sequence that differs. A seal shows whether these were changed, this shows which."""
     kinds = rows.schema["events"].dataType.elementType
     again = rows.select("bundle_id", "items", F.col("immutability_proof.hash_chain").alias("links"), F.col("immutability_proof.root_hash").alias("root"), F.expr(f"transform(events, (_v, _i) -> {item('_v', '_i', kinds)})").alias("_items"))
-    again = again.withColumn("_links", chain_links(F.col("_items")))
+    again = again.withColumn("_h", link_hashes(F.col("_items"))).withColumn("_links", chain_links(F.col("_items"), F.col("_h")))
     first = lambda a, b: F.array_min(F.zip_with(a, b, lambda x, y: F.when(~x.eqNullSafe(y), F.coalesce(x["sequence"], y["sequence"]))))
     again = again.withColumns({"_i": first("items", "_items"), "_l": first("links", "_links")})
-    reason = F.when(F.col("_i").isNotNull(), "item differs").when(F.col("_l").isNotNull(), "link differs").when(~F.col("root").eqNullSafe(root_hash(F.col("_links"))), "root differs")
+    reason = F.when(F.col("_i").isNotNull(), "item differs").when(F.col("_l").isNotNull(), "link differs").when(~F.col("root").eqNullSafe(root_hash(F.col("_h"))), "root differs")
     return again.select("bundle_id", reason.isNull().alias("valid"), F.coalesce(reason, F.lit("ok")).alias("reason"), F.coalesce("_i", "_l").alias("first_bad"))
 
 

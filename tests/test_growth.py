@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom import config
-from riskloom.operators import lines, origins, scans, votes
+from riskloom import functions as fn
+from riskloom.operators import evidence, lines, origins, scans, votes
 from riskloom.plans import inputs
 
 
@@ -48,3 +49,21 @@ def test_parts_are_parsed_on_all_cores_and_the_fold_holds_no_lines(spark):
     diff = f"diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1,2 +1,203 @@\n c\n{body}-gone\n+++ plus\n+ end\nafter"
     got = lines.diff_lines(spark.createDataFrame([(1, diff)], "change_id long, diff string")).orderBy("ord").collect()
     assert len(got) == 204 and [(r.type, r.content, r.line_number) for r in got[-3:]] == [("remove", "gone", 2), ("add", "++ plus", 202), ("add", " end", 203)]
+
+
+def test_whole_numbers_and_strings_are_written_by_the_native_json(spark):
+    """The native way gives the long way's text, and takes that where it would differ."""
+    df = spark.sql(r"select named_struct('z', c, 'a', array(named_struct('y', c, 'x', 1), null), 'n', cast(null as array<string>)) as v from values ('a\u000bb'), (char(27)), ('\"\\\\u00/\n'), ('é '), (null), (''), (cast(x'61ff' as string)) t(c)")
+    kind = df.schema["v"].dataType
+    native, plain = fn.canonical("v", kind), fn.canonical("v", kind, native=False)
+    assert native.count("to_json") == 1 and "to_json" not in plain
+    got = df.select(F.expr(native).cast("binary").alias("got"), F.expr(plain).cast("binary").alias("want"))
+    assert got.where("not (got <=> want)").count() == 0 and got.where("want is not null").count() == 7
+
+
+def test_folds_over_events_hold_hashes_only_and_bind_without_taking_an_element(spark):
+    kinds = spark.createDataFrame([], "event_type string, timestamp string, actor string, data string").schema
+    assert evidence.chain_hashes("events", kinds).startswith("aggregate(events, cast(array() as array<string>)")
+    df = spark.range(3).select(fn.let(F.col("id") + 1, lambda v: F.struct(v.alias("a"), F.when(v > 1, v).alias("b"))).alias("s"))
+    assert "[0]" not in executed(df) and "transform" not in executed(df)
+    assert [tuple(r.s) for r in df.collect()] == [(1, None), (2, 2), (3, 3)]
