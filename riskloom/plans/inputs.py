@@ -13,10 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """df in as many parts as there are cores at least: a small table in one file is one task otherwise. A large one has
-    more parts than that and stays as it is."""
+    """df in as many parts as it is read in, and as there are cores at least. Parts of a file that hold no start of a row group
+    are empty, so rows are dealt out anew whatever the number of parts: a file of one row group is one task otherwise."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(max(cores, df.rdd.getNumPartitions()))
 
 
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,3 +67,17 @@ def test_folds_over_events_hold_hashes_only_and_bind_without_taking_an_element(s
     df = spark.range(3).select(fn.let(F.col("id") + 1, lambda v: F.struct(v.alias("a"), F.when(v > 1, v).alias("b"))).alias("s"))
     assert "[0]" not in executed(df) and "transform" not in executed(df)
     assert [tuple(r.s) for r in df.collect()] == [(1, None), (2, 2), (3, 3)]
+
+
+def test_documents_of_one_row_group_are_dealt_to_all_parts(spark, tmp_path):
+    """A file of one row group is read in many parts, all but one of them empty."""
+    path = str(tmp_path / "documents.parquet")
+    spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("en").alias("lang"), F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1).write.parquet(path)
+    read = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert sum(n > 0 for n in spark.read.parquet(path).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) == 1
+        got = inputs.code(spark, str(tmp_path)).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", read)
+    assert sum(got) == 4000 and len(got) > 4 and max(got) < 1000
