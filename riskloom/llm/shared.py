@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.sources import cut, scratch_dir, written  # noqa: F401
+
 #: The white space that ends a word, as a Java character class: space, and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -17,28 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a local one only for a local master."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: no lineage to recompute when an executor is lost."""
-    return _written(df, f"{scratch_dir(df.sparkSession)}/riskloom-{name}-{uuid.uuid4().hex}")
-
-
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class Scratch:
     """Tables of one run in a folder of their own below the shared one. A table may go once what follows from it is written."""
 
@@ -47,7 +26,7 @@ class Scratch:
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
-        out = _written(df, f"{self.path}/{self.n}-{name}")
+        out = written(df, f"{self.path}/{self.n}-{name}")
         out.scratch = f"{self.path}/{self.n}-{name}"
         return out
 

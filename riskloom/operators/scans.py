@@ -9,13 +9,15 @@ import fnmatch
 import re
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from riskloom.config import HASH_FIELD, TOPIC_ZONES, ZONES
 from riskloom.functions import let, literal_map, severity
-from riskloom.operators.lines import is_doc, is_test, topic_text
+from riskloom.operators.lines import FILE, LINE, is_doc, is_test, marks, parsed, topic_text
 
 #: Unicode classes and case folding, and lines that end at a newline only, for patterns where these can matter.
 EXACT = "(?iuUd)"
@@ -46,18 +48,42 @@ def needed(pattern: str) -> list[str]:
     return longest if all(len(t) > 1 for t in longest) and pattern.isascii() and not re.search(r"\\(?![bBdDsSwW])[A-Za-z0-9]|\(\?[a-z-]+[):]", pattern) else []
 
 
+def openers(pattern: str) -> list[str]:
+    """As needed, for patterns, too, that are of any case by a flag in front, or start with a group of alternatives."""
+    bare = pattern.removeprefix("(?i)")
+    group = re.fullmatch(r"(?:\\b)?\(\?:([^()]*)\)(?![?*{])[^|]*", bare, re.S)
+    return needed(bare) or (needed(group[1]) if group else [])
+
+
 def plain(text: Column) -> Column:
     """A text in lower case, with the few other letters that equal one of a to z in any case as that one."""
-    other = F.lower(F.translate(text, "\u017f\u212a\u0130\u0131", "skii"))
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(other)
+    others = {"\u017f": "s", "\u212a": "k", "\u0130": "i", "\u0131": "i"}
+    swapped = F.lower(F.translate(text, "".join(others), "".join(others.values())))
+    return F.when((F.octet_length(text) == F.length(text)) | ~reduce(lambda a, b: a | b, map(text.contains, others)), F.lower(text)).otherwise(swapped)
 
 
 def matches(text: Column, low: Column, pattern: str, flags: str) -> Column:
     """Whether a pattern of any case is found; low, the plain text, tells first whether it can be, which costs far less."""
-    texts, test = needed(pattern), text.rlike(flags + pattern)
+    texts, test = openers(pattern), text.rlike(flags + pattern)
     return reduce(lambda a, b: a | b, [low.contains(t) for t in texts]) & test if texts else test
 
 
+def possible(low: Column, texts: list[list[str]]) -> Column:
+    """A number with a bit for each list of plain texts (63 at most), set where low, a plain text, holds one of them. Arrow's
+    search reads a text once for all of a list, where each `contains` reads it again."""
+    patterns = ["|".join(map(re.escape, own)) for own in texts]
+
+    @F.arrow_udf("long")
+    def bits(values: pa.Array) -> pa.Array:
+        # As bytes: what is no UTF-8 is searched, too.
+        out, values = pa.repeat(pa.scalar(0, pa.int64()), len(values)), values.cast(pa.binary())
+        for i, p in enumerate(patterns):
+            out = pc.bit_wise_or(out, pc.multiply(pc.fill_null(pc.match_substring_regex(values, p), False).cast(pa.int64()), 1 << i))
+        return out
+
+    return bits(low)
+
+
 def _found(rows: DataFrame, tests: list[Column]) -> DataFrame:
     """A row for each test that gives a value, as _hit. An outer explode: for an inner one the planner adds a filter on
     the array's size below it, which runs all patterns once more."""
@@ -69,24 +95,28 @@ def preview(content: Column, redacted: bool) -> Column:
     return F.lit("[REDACTED]") if redacted else F.trim(F.substring(content, 1, 100))
 
 
-def found_zones(topic: Column, raw: Column, zones: dict[str, str], low_topic: Column, low_raw: Column) -> dict[str, Column]:
+def found_zones(topic: Column, raw: Column, zones: dict[str, str], low_topic: Column, low_raw: Column, ask=matches) -> dict[str, Column]:
     """For each zone whether a line has it; topic and raw are the code in the line and all of it, with its newline, and the
-    others are their plain texts."""
+    others are their plain texts. ask tells of a text, its plain text, a pattern and flags whether the pattern is found."""
     out = {}
     for name, pattern in zones.items():
-        test = matches(*((topic, low_topic) if name in TOPIC_ZONES else (raw, low_raw)), pattern, _flags(pattern))
+        test = ask(*((topic, low_topic) if name in TOPIC_ZONES else (raw, low_raw)), pattern, _flags(pattern))
         out[name] = test & ~matches(raw, low_raw, HASH_FIELD, EXACT) if name == "crypto" else test
     return out
 
 
+def _with_texts(lines: DataFrame) -> DataFrame:
+    """Adds _topic and _raw, the code in a line and all of it with its newline, and _low_topic and _low_raw, their plain texts."""
+    topic, raw = F.concat(topic_text(F.col("path"), F.col("content")), F.lit("\n")), F.concat("content", F.lit("\n"))
+    return lines.withColumns({"_topic": topic, "_raw": raw}).withColumns({"_low_topic": plain(F.col("_topic")), "_low_raw": plain(F.col("_raw"))})
+
+
 def zone_hits(lines: DataFrame, zones: dict[str, str] = ZONES, redacted: bool = False) -> DataFrame:
     """One row for each added line of a file that isn't documentation and each zone found in it.
 
     Topic zones look at the code in a line, the others at all of it with its newline. A hash field takes back `crypto`.
     """
-    added = lines.where(F.col("type") == "add").where(~is_doc(F.col("path")))
-    topic, raw = F.concat(topic_text(F.col("path"), F.col("content")), F.lit("\n")), F.concat("content", F.lit("\n"))
-    added = added.withColumns({"_topic": topic, "_raw": raw}).withColumns({"_low_topic": plain(F.col("_topic")), "_low_raw": plain(F.col("_raw"))})
+    added = _with_texts(lines.where(F.col("type") == "add").where(~is_doc(F.col("path"))))
     found = found_zones(F.col("_topic"), F.col("_raw"), zones, F.col("_low_topic"), F.col("_low_raw"))
     tests = [F.when(test, F.struct(F.lit(i).alias("zone_no"), F.lit(name).alias("zone"))) for i, (name, test) in enumerate(found.items())]
     hit = _found(added, tests)
@@ -109,6 +139,41 @@ def secret_hits(lines: DataFrame, rules=SECRETS) -> DataFrame:
     return hit.select("change_id", "file_no", F.col("path").alias("file"), F.col("line_number").alias("line"), "ord", F.lit("entropy_secret").alias("zone"), "_hit.kind_no", "_hit.kind", "_hit.severity", "_hit.provable", F.lit("[REDACTED]").alias("content_preview"))
 
 
+def scan_once(changes: DataFrame, keep, zones: dict[str, str] = ZONES, rules=SECRETS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """change_id, diff -> the zone hits and secret hits without their previews, the changed files and the totals by marks of all
+    changes, as zone_hits, secret_hits, changed_files and fallback_totals give them: each diff is parsed and each line scanned
+    once, whatever uses the four. keep writes a table and reads it again; it gets few rows, and no text of lines.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    totals = marks(F.col("diff"))
+    kind = changes.select(totals.alias("m")).schema["m"].dataType.simpleString()
+    row = lambda l=none(LINE), f=none(FILE), m=none(kind): F.struct(l.alias("l"), f.alias("f"), m.alias("m"))
+    listed = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
+    each = changes.select("change_id", parsed(F.col("diff")).alias("_p"), totals.alias("_m"))
+    parts = F.concat(F.transform(listed(F.col("_p.lines"), LINE), lambda l: row(l=l)), F.transform(listed(F.col("_p.files"), FILE), lambda f: row(f=f)), F.array(row(m=F.col("_m"))))
+    rows = each.select("change_id", F.explode(parts).alias("_r")).select("change_id", "_r.l.file_no", "_r.l.path", "_r.l.line_number", "_r.l.ord", "_r.l.type", "_r.l.content", "_r.f", "_r.m")
+    rows = _with_texts(rows.where("type = 'add' or type is null"))
+    hit = lambda source, no=0, name=None, severity=None, provable=None: F.struct(F.lit(source).alias("source"), F.lit(no).alias("no"), F.lit(name).cast("string").alias("name"), F.lit(severity).cast("string").alias("severity"), F.lit(provable).cast("boolean").alias("provable"))
+    # The code in a line is a part of it, so a plain text of either is in the line, but for one with a newline.
+    texts = {p: own for p in (*zones.values(), *(p for _, p, _, _ in rules)) if (own := openers(p)) and "\n" not in "".join(own)}
+    bit = {p: 1 << i for i, p in enumerate([*texts][:63])}
+    rows = rows.withColumn("_bits", possible(F.col("_low_raw"), [texts[p] for p in bit]))
+    ask = lambda text, low, p, flags: (F.col("_bits").bitwiseAND(F.lit(bit[p]).cast("long")) != 0) & text.rlike(flags + p) if p in bit else text.rlike(flags + p)
+    code, secret = ~is_doc(F.col("path")), ~matches(F.col("content"), F.col("_low_raw"), HASH_FIELD, EXACT)
+    found = found_zones(F.col("_topic"), F.col("_raw"), zones, F.col("_low_topic"), F.col("_low_raw"), ask)
+    tests = [F.when(test & code, hit("zone", i, name)) for i, (name, test) in enumerate(found.items())]
+    tests += [F.when(ask(F.col("content"), None, p, "") & secret, hit("secret", i, k, s, v)) for i, (k, p, s, v) in enumerate(rules)]
+    tests += [F.when(F.col("f").isNotNull(), hit("file")), F.when(F.col("type").isNull() & F.col("f").isNull(), hit("totals"))]
+    kept = keep(_found(rows, tests).select("change_id", "_hit.*", "file_no", F.col("path").alias("file"), F.col("line_number").alias("line"), "ord", "f", "m"))
+    of = lambda source, *columns: kept.where(F.col("source") == source).select("change_id", *columns)
+    place = ("file_no", "file", "line", "ord")
+    return (
+        of("zone", *place, F.col("no").alias("zone_no"), F.col("name").alias("zone")),
+        of("secret", *place, F.lit("entropy_secret").alias("zone"), F.col("no").alias("kind_no"), F.col("name").alias("kind"), "severity", "provable"),
+        of("file", "f.*"), of("totals", "m.*"),
+    )
+
+
 #: A token that may be random: its characters, and the least length and bits a character that make it a secret, for tokens
 #: of hexadecimal digits and for others, which must mix letters and digits.
 TOKEN = "[A-Za-z0-9+/=_-]{20,}"

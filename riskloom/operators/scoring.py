@@ -50,8 +50,9 @@ def preliminary_tier(files: DataFrame, hits: DataFrame, changes: DataFrame | Non
 def floors(files: DataFrame, hits: DataFrame, policy: RiskPolicy = DEFAULT, changes: DataFrame | None = None) -> DataFrame:
     """change_id, file_score, zone_score, size_score, floor, protected: the deterministic part of the final tier.
 
-    With changes (change_id, diff) every change has a row, and parse_error tells those of which no file or not every hunk
-    was parsed: what was parsed counts, the size is at least that of the marks alone, and the floor is 2 at least.
+    With changes (change_id, diff, or their fallback_totals) every change has a row, and parse_error tells those of which no
+    file or not every hunk was parsed: what was parsed counts, the size is at least that of the marks alone, and the floor is
+    2 at least.
     """
     if changes is not None:
         return _all_floors(files, hits, policy, changes)
@@ -65,7 +66,8 @@ def floors(files: DataFrame, hits: DataFrame, policy: RiskPolicy = DEFAULT, chan
 def _all_floors(files: DataFrame, hits: DataFrame, policy: RiskPolicy, changes: DataFrame) -> DataFrame:
     f = files.groupBy("change_id").agg(F.max(path_score(F.col("path"), policy)).alias("file_score"), F.sum(F.col("added") + F.col("removed")).alias("_total"), F.bool_or("broken").alias("_broken"))
     z = hits.groupBy("change_id").agg(F.max(zone_rank(F.col("zone"), policy)).alias("zone_score"))
-    marks = fallback_totals(changes).select("change_id", F.greatest(F.col("lines_added") + F.col("lines_removed"), F.lit(0)).alias("_marks"))
+    totals = fallback_totals(changes) if "diff" in changes.columns else changes
+    marks = totals.select("change_id", F.greatest(F.col("lines_added") + F.col("lines_removed"), F.lit(0)).alias("_marks"))
     j = marks.join(f, "change_id", "left").join(z, "change_id", "left").withColumn("parse_error", F.coalesce("_broken", F.lit(True)))
     total = F.when(F.col("parse_error"), F.greatest(F.coalesce("_total", F.lit(0)), F.coalesce("_marks", F.lit(0)))).otherwise(F.col("_total"))
     j = j.withColumns({"file_score": F.coalesce("file_score", F.lit(2)), "zone_score": F.coalesce("zone_score", F.lit(0)), "size_score": size_score(total, policy)})

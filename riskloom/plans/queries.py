@@ -11,7 +11,7 @@ from riskloom import functions as fn
 from riskloom.operators import decision, evaluation, evidence, export, lines, origins, packs, scans, scoring, votes
 from riskloom.plans import inputs
 from riskloom.plans.inputs import table
-from riskloom.sources import infer_path, load_rubric, stable_name
+from riskloom.sources import cut, infer_path, load_rubric, stable_name
 from riskloom.streaming import assess, window_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -367,14 +367,12 @@ def d12_finding_drivers(spark, d):
 
 
 def _drivers(spark, d):
-    """Drivers of documents as changes; toxic ones have three concerns."""
-    changes = inputs.changes(spark, d)
-    each = lines.diff_lines(changes)
-    hits = scans.zone_hits(each)
-    found = scoring.zone_findings(hits, scans.secret_hits(each))
+    """Drivers of documents as changes; toxic ones have three concerns. Hits and files serve many joins, so they are kept as a
+    scratch table: without it every use would parse and scan the diffs again."""
+    hits, secrets, files, totals = scans.scan_once(inputs.changes(spark, d), lambda df: cut(df, "scanned"))
+    found = scoring.zone_findings(hits, secrets)
     voiced = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("change_id"), F.array(*map(F.lit, ("Toxic text", "Second look", "Third"))).alias("concerns"))
-    files = lines.changed_files(changes)
-    return scoring.risk_drivers(hits, found, voiced, files), scoring.final_tier(scoring.floors(files, hits, changes=changes), found), found
+    return scoring.risk_drivers(hits, found, voiced, files), scoring.final_tier(scoring.floors(files, hits, changes=totals), found), found
 
 
 @query

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
+import uuid
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -196,6 +198,28 @@ def with_manifest(patches: DataFrame, manifest: DataFrame) -> DataFrame:
 # written twice is there once.
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir; a local one only for a local master."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    made = tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
+    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
+    return f"file://{made}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it again: no lineage to recompute when an executor is lost."""
+    return written(df, f"{scratch_dir(df.sparkSession)}/riskloom-{name}-{uuid.uuid4().hex}")
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _replace(df: DataFrame, path: str, by: list[str], kind: str = "json") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).format(kind).save(path)
 

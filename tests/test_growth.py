@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from riskloom import config
 from riskloom import functions as fn
 from riskloom.operators import evidence, lines, origins, scans, votes
-from riskloom.plans import inputs
+from riskloom.plans import inputs, queries
 
 
 def executed(df) -> str:
@@ -81,3 +83,48 @@ def test_documents_of_one_row_group_are_dealt_to_all_parts(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", read)
     assert sum(got) == 4000 and len(got) > 4 and max(got) < 1000
+
+
+def test_summaries_parse_and_scan_each_diff_once(spark):
+    """Hits, secrets, files and totals come from a kept table: the plan that joins them reads no text and asks no zone's pattern."""
+    got = queries.QUERIES["f7_summaries"](spark, "/root/testdata/sf0.001")
+    assert "text" not in " ".join(re.findall(r"ReadSchema: (.*)", got._jdf.queryExecution().toString())) and config.ZONES["xss"] not in executed(got)
+    rows = []
+    scans.scan_once(inputs.changes(spark, "/root/testdata/sf0.001"), lambda df: rows.append(df) or df)
+    assert executed(rows[0]).count("FileScan") == 1 and executed(rows[0]).count(config.ZONES["xss"]) == 1
+
+
+def test_one_scan_gives_the_rows_of_the_four_operators(spark):
+    file = lambda path, *added: f"diff --git a/{path} b/{path}\n--- a/{path}\n+++ b/{path}\n@@ -1,1 +1,{len(added)} @@\n-token = old\n" + "\n".join("+" + x for x in added)
+    secret, noise = 'password = "hunter2hunter2"', f'content_hash = "{"ab" * 32}" token = "0123456789"'
+    diffs = [
+        file("src/a.py", "exec(sql) # login", secret, "AKIA" + "A1" * 8, noise, "-----BEGIN RSA PRIVATE KEY-----"), file("docs/a.md", "login", secret), file("tests/a.js", "eval(x) // token", secret, secret) + "\n" + file("conf/a.yml", "aws: email", "plain"),
+        file("src/b.py", "login", "cut")[:-8], "@@ nothing\n+login", "+login\n-gone\n+++ x", "diff --git a/x.png b/y.png\nrename from x.png\nrename to y.png", "", None, "no diff",
+    ]
+    changes = spark.createDataFrame([*enumerate(diffs), (0, diffs[2]), (None, diffs[0])], "change_id long, diff string")
+    each = lines.diff_lines(changes)
+    want = (scans.zone_hits(each).drop("content_preview"), scans.secret_hits(each).drop("content_preview"), lines.changed_files(changes), lines.fallback_totals(changes))
+    got = scans.scan_once(changes, lambda df: df)
+    for g, w, least in zip(got, want, (10, 9, 9, 12)):
+        assert g.columns == w.columns and g.count() >= least and g.exceptAll(w).count() == w.exceptAll(g).count() == 0
+
+
+def test_secrets_are_asked_only_where_a_plain_text_of_theirs_is(spark):
+    assert scans.openers("(?i)(?:ab|cd)?x") == scans.openers("(?:ab|cd)x|y") == scans.openers("(?s)abc") == [] and scans.openers("(?i)(?:abc?|d.ef)+x") == ["ab", "ef"]
+    texts = ['PassWord = "12345678"', "api_key: '12345678'", 'apiKey="12345678"', 'toKen = "12345678"', 'token = "1234567"', "AKIA" + "A1" * 8, "akia" + "A1" * 8, "ASIA" + "0Z" * 8 + "x", "-----BEGIN PRIVATE KEY-----", "-----begin private key-----", "plain", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for _, pattern, _, _ in scans.SECRETS:
+        assert scans.openers(pattern)
+        got = df.select("t", scans.matches(F.col("t"), scans.plain(F.col("t")), pattern, "").alias("got"), F.col("t").rlike(pattern).alias("want"))
+        assert got.where("not (got <=> want)").count() == 0 and got.where("want").count() > 0
+
+
+def test_one_search_tells_which_plain_texts_a_line_holds(spark):
+    texts = [scans.openers(p) for p in (*config.ZONES.values(), *(p for _, p, _, _ in scans.SECRETS))]
+    assert all(texts)
+    texts += [["a.b", "(c", "d e"], ["=-<"], ["\\"]] + [["zz"]] * 43
+    values = [t + x for own in texts for t in own for x in ("", "y")] + ["axb c de", "", None, "x" * 200_000 + "shutil.", "é aws ü", "\nsql\n"]
+    df = spark.createDataFrame([(v,) for v in values], "t string").unionByName(spark.sql("select cast(x'ff61757468fe' as string) as t"))
+    want = sum((F.when(F.exists(F.array(*map(F.lit, own)), lambda x: F.col("t").contains(x)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, own in enumerate(texts)), F.lit(0).cast("long"))
+    got = df.select("t", scans.possible(F.col("t"), texts).alias("got"), want.alias("want"))
+    assert len(texts) == 63 and got.where("not (got <=> want)").count() == 0 and got.where("got > 0").count() > 120
